@@ -27,7 +27,7 @@ from .shared import table
 #: Characters of a chunk without a place to cut that goes to the library as it is; a longer one is encoded as a tree.
 PIECE_CHARS = 1 << 14
 #: Chunks whose ids a worker remembers, and characters that such a chunk has at most. Others are encoded each time.
-MEMO_CHUNKS, MEMO_CHARS = 300_000, 64
+MEMO_CHUNKS, MEMO_CHARS = 600_000, 64
 #: Characters of a whole run of letters, digits, signs or space that is encoded without a tree.
 LEAF_CHARS = 1 << 10
 #: Texts that go to the library in one call.

@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import bpe, quality, sharding, simhash
+from . import bpe, chat, quality, sharding, simhash, urls, warc
 
-MODULES = (simhash, bpe, quality, sharding)
+MODULES = (simhash, urls, bpe, chat, warc, quality, sharding)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
