@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import bpe, chat, decontaminate, quality, sharding, simhash, urls, warc
+from . import bpe, chat, decontaminate, licenses, quality, sharding, simhash, urls, warc
 
-MODULES = (simhash, urls, decontaminate, bpe, chat, warc, quality, sharding)
+MODULES = (simhash, urls, decontaminate, bpe, chat, warc, quality, sharding, licenses)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
