@@ -26,6 +26,8 @@ MAGIC = "WARC/1.0\r\n"
 _NAMED = "urn:cadenza:page:"
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT_BYTES = 100
+#: Rows that refer to others that are broadcast at most.
+BROADCAST_ROWS = 200_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -33,11 +35,11 @@ def _id_text(column: Column) -> Column:
     return F.concat(F.lit(f"<{_NAMED}"), F.coalesce(column.cast("string"), F.lit("")), F.lit(">"))
 
 
-def with_references(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
+def with_references(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int = LEAST_REVISIT_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """pages' (id, url if any, payload, bytes, digest, refers_to). Of equal payloads of at least ``least_bytes`` bytes, all but the one with the least id refer to it.
 
     Digests are grouped with map-side combine and only the rows that refer to another come back, joined by id, so neither step gathers a
-    group of copies.
+    group of copies. Up to ``broadcast_rows`` of them are sent to where the payloads are; more are joined by a shuffle of both sides.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
@@ -45,6 +47,9 @@ def with_references(pages: DataFrame, id_col: str, payload_col: str, least_bytes
     narrow = rows.where(F.col("bytes") >= least_bytes).select("id", "digest")
     first = narrow.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = narrow.join(first, "digest").where(F.col("id") > F.col("first")).select("id", "digest", F.col("first").alias("refers_to")).distinct()
+    revisits = cut(revisits)
+    if revisits.limit(broadcast_rows + 1).count() <= broadcast_rows:  # about 100 bytes each
+        revisits = F.broadcast(revisits)
     return rows.join(revisits, ["id", "digest"], "left")
 
 
@@ -110,37 +115,37 @@ def _follow(rows: pd.DataFrame) -> pd.DataFrame:
     while at in after:
         chain.append(at)
         at = after[at]
-    return rows[rows["at"].isin(chain)][["path", "at"]]
+    return rows[rows["at"].isin(chain)][["file", "at"]]
 
 
 def reachable(candidates: DataFrame) -> DataFrame:
-    """(path, at) of the records on the chain from the start of each file. candidates: (path, block, at, after), with after > at or null."""
+    """(file, at) of the records on the chain from the start of each file. candidates: (file, block, at, after), with after > at or null."""
     candidates = candidates.where(F.col("after").isNotNull())
-    kept = "path string, block bigint, at bigint, after bigint"
-    local = cut(candidates.groupBy("path", "block").applyInPandas(_exits, kept + ", leaves bigint"))
-    targets = local.select("path", F.col("leaves").alias("at")).distinct()
-    starts = candidates.where("at = 0").select("path", "at").distinct()
-    jumps = cut(local.join(targets.unionByName(starts).distinct(), ["path", "at"], "left_semi").select("path", "at", F.col("leaves").alias("to")))
+    kept = "file bigint, block bigint, at bigint, after bigint"
+    local = cut(candidates.groupBy("file", "block").applyInPandas(_exits, kept + ", leaves bigint"))
+    targets = local.select("file", F.col("leaves").alias("at")).distinct()
+    starts = candidates.where("at = 0").select("file", "at").distinct()
+    jumps = cut(local.join(targets.unionByName(starts).distinct(), ["file", "at"], "left_semi").select("file", "at", F.col("leaves").alias("to")))
     reached = starts
-    splits = local.groupBy("path").agg(F.count_distinct("block").alias("n")).agg(F.max("n")).first()[0] or 0
+    splits = local.groupBy("file").agg(F.count_distinct("block").alias("n")).agg(F.max("n")).first()[0] or 0
     for _ in range(int(splits).bit_length()):  # after k rounds the first 2^k splits of each file are reached
-        reached = cut(reached.unionByName(reached.join(jumps, ["path", "at"]).select("path", F.col("to").alias("at"))).distinct())
-        further = jumps.select("path", F.col("at").alias("to"), F.col("to").alias("next"))
-        jumps = cut(jumps.join(further, ["path", "to"], "left").select("path", "at", F.coalesce("next", "to").alias("to")))
+        reached = cut(reached.unionByName(reached.join(jumps, ["file", "at"]).select("file", F.col("to").alias("at"))).distinct())
+        further = jumps.select("file", F.col("at").alias("to"), F.col("to").alias("next"))
+        jumps = cut(jumps.join(further, ["file", "to"], "left").select("file", "at", F.coalesce("next", "to").alias("to")))
     entries = reached.withColumn("entry", F.lit(True))
-    flagged = local.join(entries, ["path", "at"], "left").select("path", "block", "at", "after", F.coalesce("entry", F.lit(False)).alias("entry"))
-    return flagged.groupBy("path", "block").applyInPandas(_follow, "path string, at bigint")
+    flagged = local.join(entries, ["file", "at"], "left").select("file", "block", "at", "after", F.coalesce("entry", F.lit(False)).alias("entry"))
+    return flagged.groupBy("file", "block").applyInPandas(_follow, "file bigint, at bigint")
 
 
 def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """(path, offset, type, id, uri, refers_to, digest, payload_bytes, payload_sha256, payload if asked for) of the true records of all archives in a folder."""
-    rows = cut(scan(spark, path))
+    rows = cut(scan(spark, path).withColumn("file", F.xxhash64("path")))
     blocks = rows.groupBy("path", "block").agg(F.sum("size").alias("total"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = blocks.select("path", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     placed = rows.join(bases, ["path", "block"]).withColumn("at", F.col("base") + F.col("rel") - len(MAGIC)).withColumn("after", F.col("at") + len(MAGIC) + F.col("head") + F.col("length") + 4)
-    placed = cut(placed.where("at >= 0"))
-    true = placed.join(reachable(placed.select("path", "block", "at", "after")), ["path", "at"])
+    placed = placed.where("at >= 0")
+    true = placed.join(reachable(placed.select("file", "block", "at", "after")), ["file", "at"])
     spanning = cut(true.where("whole_sha256 is null").select("path", "block", "at", "after", "head", "length"))
     pieces = _pieces(spark, path, spanning, placed) if payloads or not spanning.isEmpty() else None
     out = true.select("path", "block", "rel", F.col("at").alias("offset"), "type", "id", "uri", "refers_to", "digest", F.col("length").alias("payload_bytes"), F.col("whole_sha256").alias("payload_sha256"), "head", "length")
