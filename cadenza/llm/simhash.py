@@ -13,15 +13,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import NOT_SPACE, Words, cut, slices, table
+from .shared import NOT_SPACE, Words, cut, mix, slices, table, window_hash
 
 #: A block's members are compared with each other up to this many; a fuller block's members go by one-bit neighbours, which is exact too.
 BLOCK_MEMBERS = 32
-#: Shingles whose bits are counted in one step.
+#: Hashes whose bits are counted in one step.
 _STEP = 1 << 17
 
 
@@ -43,16 +43,28 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarr
     first = words.first[of] + index
     last = np.minimum(first + width, words.first[of + 1]) - 1
     begin, end = (stops - lengths)[first], stops[last]
-    ones = np.zeros((len(counts), 64), np.int64)
     digest = xxhash.xxh64_intdigest
-    for a in range(0, len(of), _STEP):
-        b = min(a + _STEP, len(of))
-        h = np.fromiter((digest(joined[x:y], 42) for x, y in zip(begin[a:b].tolist(), end[a:b].tolist())), np.uint64, b - a)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        texts, where = np.unique(of[a:b], return_index=True)
-        ones[texts] += np.add.reduceat(bits, where, axis=0, dtype=np.int64)
-    majority = 2 * ones > shingles[:, None]
-    return np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
+    h = np.fromiter((digest(joined[x:y], 42) for x, y in zip(begin.tolist(), end.tolist())), np.uint64, len(of))
+    return majority(h, shingles)
+
+
+#: For each byte value, its bits as the bytes of an integer, so that one addition counts eight bits.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For runs of hashes, of the lengths ``counts``: the integer whose bits are those set in over half the run; zero for an empty run."""
+    ones = np.zeros((len(counts), 64), np.int64)
+    of = np.repeat(np.arange(len(counts)), counts)
+    within = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    cuts = np.flatnonzero(within % 255 == 0)  # a byte counts up to 255
+    lanes = hashes.view(np.uint8).reshape(-1, 8)
+    for a in range(0, len(cuts), _STEP // 255 + 1):
+        part = cuts[a : a + _STEP // 255 + 1]
+        end = cuts[a + len(part)] if a + len(part) < len(cuts) else len(of)
+        sums = np.add.reduceat(_SPREAD[lanes[part[0] : end]], part - part[0], axis=0)
+        np.add.at(ones, of[part], sums.view(np.uint8).reshape(len(part), 64).astype(np.int64))
+    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -117,10 +129,102 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(close_pairs(distinct.select("fp"), distance))
     linked = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "least")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", F.col("component").alias("linked"))
-    component = distinct.join(named, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component"))
+    component = cut(distinct.join(named, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component")))
     return prints.join(component, "fp").select("id", "fp", "component")
 
 
+#: Bits of the wide fingerprints, as so many 64-bit planes; blocks of each plane that candidates share; members that a block is paired through.
+PLANES, TURNS, SIMILAR_BLOCK_MEMBERS = 8, 3, 64
+
+
+def _plane_hashes(h: np.ndarray, plane: int) -> np.ndarray:
+    return mix(h ^ np.uint64(0xA0761D6478BD642F * (plane + 1) % (1 << 64)))
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, planes: int = PLANES) -> DataFrame:
+    """(id, w, s): wide SimHashes of each whole text, over the set of its words and over the set of its shingles of ``width`` words, as arrays of longs."""
+
+    def distinct(hashes: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((hashes, of))
+        hashes, of = hashes[order], of[order]
+        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, bool)
+        return hashes[new], np.bincount(of[new], minlength=n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in slices(batch.column(1)):
+                words = Words(data, offsets, NOT_SPACE, lower=True)
+                h, of, counts = words.hashes(), words.texts(), words.counts()
+                runs = window_hash(h, width)
+                inside = np.flatnonzero(of[width - 1 :] == of[: len(runs)]) if len(runs) else np.zeros(0, np.int64)
+                short = np.flatnonzero((counts > 0) & (counts < width))  # one shingle: all its words, as a sum that their order changes
+                brief = np.array([mix(np.cumsum(h[words.first[d] : words.first[d + 1]]).sum(keepdims=True))[0] for d in short.tolist()], np.uint64)
+                shingles = distinct(np.concatenate([runs[inside], brief]), np.concatenate([of[inside], short]), j - i)
+                columns = []
+                for hashes, n in (distinct(h, of, j - i), shingles):
+                    wide = np.stack([majority(_plane_hashes(hashes, p), n) for p in range(planes)], axis=1).view(np.int64)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * planes + 1, planes), pa.int32()), pa.array(wide.ravel())))
+                yield pa.record_batch([batch.column(0).slice(i, j - i), *columns], ["id", "w", "s"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, w array<bigint>, s array<bigint>")
+
+
+def _distance(a: str, b: str, planes: int) -> Column:
+    total = F.lit(0)
+    for p in range(planes):
+        total = total + F.bit_count(F.col(a)[p].bitwiseXOR(F.col(b)[p]))
+    return total
+
+
+def similar_links(prints: DataFrame, similarity: float = 0.8, planes: int = PLANES, turns: int = TURNS, block_members: int = SIMILAR_BLOCK_MEMBERS) -> DataFrame:
+    """Links (u, v) between rows (key, w, s) whose shingle sets have about this Jaccard similarity or more, by the Hamming distance of s.
+
+    Two sets of similarity j differ in a share acos(2j / (1 + j)) / pi of their bits on average, which sets the distance. Candidates share a
+    block of w; its width follows the logarithm of the row count, so that a block gathers few rows by chance at any size. A block with more
+    than ``block_members`` is split by bits of another plane, three ways; what is still fuller than that is linked through its first row.
+    """
+    n = prints.count()
+    bits = min(40, max(12, n.bit_length() + 2))
+    most = round(64 * planes * np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+    turned = lambda c, k: F.shiftleft(c, k).bitwiseOR(F.shiftrightunsigned(c, 64 - k)) if k else c
+    key = lambda p, turn, width: turned(F.col("w")[p], turn * 20).bitwiseAND(F.lit((1 << width) - 1))
+    blocks = [F.struct(F.lit(p * turns + t).alias("t"), key(p, t, bits).alias("k"), F.array(*[key((p + 1 + x) % planes, t, 12) for x in range(3)]).alias("more")) for p in range(planes) for t in range(turns)]
+    rows = prints.select("key", F.explode(F.array(*blocks)).alias("b")).select("key", "b.*")
+    sizes = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(rows.join(sizes, ["t", "k"]))
+    few = members.where(F.col("n") <= block_members).select(F.concat_ws(":", "t", "k").alias("b"), "key")
+    fine = members.where(F.col("n") > block_members).select("t", "k", "key", F.posexplode("more").alias("x", "m")).select(F.concat_ws(":", "t", "k", "x", "m").alias("b"), "key")
+    fine_sizes = fine.groupBy("b").agg(F.count("*").alias("n"), F.min("key").alias("least"))
+    fine = cut(fine.join(fine_sizes.where("n > 1"), "b"))
+    paired = few.unionByName(fine.where(F.col("n") <= block_members).select("b", "key"))
+    pairs = paired.select("b", F.col("key").alias("u")).join(paired.select("b", F.col("key").alias("v")), "b").where("u < v").select("u", "v")
+    starred = fine.where((F.col("n") > block_members) & (F.col("key") > F.col("least"))).select(F.col("least").alias("u"), F.col("key").alias("v"))
+    candidates = pairs.unionByName(starred).distinct()
+    left = prints.select(F.col("key").alias("u"), F.col("s").alias("su"))
+    right = prints.select(F.col("key").alias("v"), F.col("s").alias("sv"))
+    return candidates.join(left, "u").join(right, "v").where(_distance("su", "sv", planes) <= most).select("u", "v")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component): groups of texts by similarity of their word shingles; component is the least id. Texts with equal fingerprints are merged first."""
+    prints = cut(wide_fingerprints(docs, id_col, text_col, width))
+    whole = F.concat_ws(",", F.concat("w", "s"))
+    keyed = prints.withColumn("key", F.unhex(F.sha2(whole.cast("binary"), 256)))
+    distinct = cut(keyed.groupBy("key").agg(F.min("id").alias("least"), F.first("w").alias("w"), F.first("s").alias("s")))
+    roots = components(similar_links(distinct.select("key", "w", "s"), similarity))
+    linked = distinct.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key")
+    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("key", F.col("component").alias("linked"))
+    component = cut(distinct.select("key", "least").join(named, "key", "left").select("key", F.coalesce("linked", "least").alias("component")))
+    return keyed.select("id", "key").join(component, "key").select("id", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each group of near copies, the one of the least id; columns unchanged. Rows with a null id stay."""
+    gone = similar_groups(docs, id_col, text_col, width, similarity).where("id <> component").select(F.col("id").alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
