@@ -79,8 +79,8 @@ def _segment_rows(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def _asked(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """What is asked of documents, by (ord, h): the text of a segment, or with ``apart`` a row without text for each of its windows."""
-    lists = asked.groupBy("ord", "h").agg(F.collect_list(F.struct("anchor", "segment", "start", "n", "apart")).alias("asked"))
+    """What is asked of documents, by (ord, h): the text of a segment, or with ``apart`` the text of each of its windows, with the window's own hash as segment."""
+    lists = asked.groupBy("ord", "h").agg(F.collect_list(F.struct("anchor", "segment", "start", "n", "apart", "shared")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,25 +90,27 @@ def _asked(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
                 part = lists_.slice(i, j - i)
                 flat = part.flatten()
                 text = np.repeat(np.arange(j - i), np.asarray(part.value_lengths()))
-                anchor, segment, start, n, apart = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+                anchor, segment, start, n, apart, shared = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(6))
                 begin = words.first[text] + start
-                apart = apart.astype(bool)
+                apart, shared = apart.astype(bool), shared.astype(bool)
                 whole = np.flatnonzero(~apart)
                 raw = data.tobytes()
-                texts = [raw[x:y] for x, y in zip(words.starts[begin[whole]].tolist(), words.ends[begin[whole] + n[whole] + width - 2].tolist())]
                 every = np.repeat(np.flatnonzero(apart), n[apart])
                 step = np.arange(len(every)) - np.repeat(np.cumsum(n[apart]) - n[apart], n[apart])
                 content = window_hash(words.hashes(), width)[begin[every] + step].view(np.int64) if len(every) else np.zeros(0, np.int64)
                 rows = np.concatenate([whole, every])
+                first = np.concatenate([begin[whole], begin[every] + step])
+                last = np.concatenate([begin[whole] + n[whole] + width - 2, begin[every] + step + width - 1])
+                texts = [raw[x:y] for x, y in zip(words.starts[first].tolist(), words.ends[last].tolist())]
                 keys = batch.select(["ord", "h"]).slice(i, j - i).take(pa.array(text[rows]))
                 columns = [
                     pa.array(anchor[rows]), pa.array(np.concatenate([segment[whole], content])), keys.column(0), keys.column(1), pa.array(np.concatenate([start[whole], start[every] + step]), pa.int32()),
-                    pa.array(np.concatenate([n[whole], np.ones(len(every), n.dtype)]), pa.int32()), pa.array([*texts, *[None] * len(every)], pa.binary()),
+                    pa.array(np.concatenate([n[whole], np.ones(len(every), n.dtype)]), pa.int32()), pa.array(apart[rows]), pa.array(shared[rows]), pa.array(texts, pa.binary()),
                 ]
-                yield pa.record_batch(columns, [*_NAMES, "text"])
+                yield pa.record_batch(columns, [*_NAMES, "apart", "shared", "text"])
 
     joined = docs.join(lists, ["ord", "h"]).select("ord", "h", "text", "asked")
-    return joined.mapInArrow(run, _ROW + ", text binary")
+    return joined.mapInArrow(run, _ROW + ", apart boolean, shared boolean, text binary")
 
 
 def _search(width: int):
@@ -160,24 +162,21 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     anchors = units.groupBy("anchor").agg(F.min("rep.ord").alias("low"), F.max("last").alias("high"), F.count("*").alias("segments")).where("high > low")
     units = cut(units.join(anchors.select("anchor", "segments"), "anchor"))
     hot = units.where(F.col("segments") > anchor_segments).select("anchor").distinct()
-    asked = units.where(F.col("segments") <= anchor_segments).select("anchor", "segment", "rep.*", F.lit(False).alias("apart"))
+    asked = units.where(F.col("segments") <= anchor_segments).select("anchor", "segment", "rep.*", F.lit(False).alias("apart"), (F.col("last") > F.col("rep.ord")).alias("shared"))
     any_hot = not hot.isEmpty()
     if any_hot:
-        asked = asked.unionByName(rows.join(hot, "anchor").withColumn("apart", F.lit(True)))
+        asked = asked.unionByName(rows.join(hot, "anchor").withColumns({"apart": F.lit(True), "shared": F.lit(True)}))
     _asked(keyed, asked, width).write.option("compression", "zstd").parquet(f"{path}/asked")
     got = spark.read.parquet(f"{path}/asked")
-    texts = got.where("text is not null")
+    texts = got.where("not apart")
     if any_hot:
-        windows = got.where("text is null").drop("text")
-        apart = _merged(windows).where(F.col("last") > F.col("rep.ord"))
-        _asked(keyed, apart.select("anchor", "segment", "rep.*", F.lit(False).alias("apart")), width).write.option("compression", "zstd").parquet(f"{path}/apart")
-        texts = texts.unionByName(spark.read.parquet(f"{path}/apart"))
-        units = units.select("anchor", "segment", "rep", "last").unionByName(apart)
-        rows = rows.unionByName(windows)
+        windows = got.where("apart")
+        apart = cut(_merged(windows).where(F.col("last") > F.col("rep.ord")).select("anchor", "segment", "rep.ord", "rep.h", "rep.start"))
+        texts = texts.unionByName(windows.join(apart, ["anchor", "segment", "ord", "h", "start"]).select(texts.columns))
+        rows = rows.unionByName(windows.select(_NAMES))
     total = texts.agg(F.sum(F.col("n") + (width - 1))).first()[0] or 0
     shards = max(1, total // shard_words)
-    wanted = texts.join(units.select("anchor", "segment", F.col("rep.ord").alias("ord"), F.col("rep.h").alias("h"), F.col("rep.start").alias("start"), (F.col("last") > F.col("rep.ord")).alias("shared")), ["anchor", "segment", "ord", "h", "start"])
-    dealt = wanted.select(F.pmod(F.when(F.col("n") > 1, F.col("anchor")).otherwise(F.xxhash64("anchor", "segment")), F.lit(shards)).alias("shard"), "anchor", "segment", "ord", "shared", "text")
+    dealt = texts.select(F.pmod(F.when(F.col("apart"), F.xxhash64("anchor", "segment")).otherwise(F.col("anchor")), F.lit(shards)).alias("shard"), "anchor", "segment", "ord", "shared", "text")
     found = dealt.groupBy("shard").applyInArrow(_search(width), "anchor bigint, segment bigint, least bigint, is_least boolean, low int, high int")
     met = rows.join(found, ["anchor", "segment"]).where(F.when(F.col("is_least"), F.col("ord") == F.col("least")).otherwise(F.col("ord") > F.col("least")))
     spans = met.groupBy("ord", "h").agg(F.collect_list(F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))).alias("spans"))
