@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+HALF_OFFSET = 1.3e-9
+
 
 def by_seq() -> Window:
     """Each piece in order. A function, since a window needs a session and workers have none."""
@@ -17,8 +19,8 @@ def by_piece() -> Window:
 
 
 def rounded(df: DataFrame, digits: int = 7) -> DataFrame:
-    """All double columns rounded, with no negative zero, so that results compare exactly."""
-    return df.select(*[(F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+    """All double columns rounded, with no negative zero, so that results compare exactly. The offset moves exact halves, which engines round differently."""
+    return df.select(*[(F.round(F.col(f"`{f.name}`") + HALF_OFFSET, digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
 def entropy(counts: list[Column]) -> Column:
@@ -49,4 +51,4 @@ def is_prime(n: Column) -> Column:
 
 def sql_round(expression: str, name: str, digits: int = 7) -> str:
     """What rounded() does, in SQL."""
-    return f"round(CAST({expression} AS DOUBLE), {digits}) + 0.0 AS {name}"
+    return f"round(CAST({expression} AS DOUBLE) + {HALF_OFFSET}, {digits}) + 0.0 AS {name}"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import features, numbers, statistics
+from . import features, numbers, sequences, statistics
 
-MODULES = (features, numbers, statistics)
+MODULES = (features, numbers, statistics, sequences)
 FLAGSHIP = "feature_matrix"
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
