@@ -40,7 +40,7 @@ def fingerprint(paths: list[str]) -> str:
 
 @dataclass(frozen=True)
 class Layout:
-    """How one layout maps to turns. ``paths``: its field paths. ``turns``: an SQL expression over its fields; in JSON records $ stands for the record.
+    """How one layout maps to turns. ``paths``: its field paths. ``turns``: an SQL expression over its top-level fields, which stand in braces.
 
     ``rows``: the layout has a row per turn, and names the columns (conversation, turn, role, text) instead.
     """
@@ -50,13 +50,21 @@ class Layout:
     turns: str = ""
     rows: tuple[str, str, str, str] | None = None
 
+    @property
+    def fields(self) -> list[str]:
+        """Top-level fields."""
+        return list(dict.fromkeys(re.split(r"[.\[]", p)[0] for p in self.paths))
+
+    def expression(self, prefix: str = "") -> Column:
+        return F.expr(self.turns.format(**{f: f"{prefix}`{f}`" for f in self.fields}))
+
     @property
     def fingerprint(self) -> str:
         return fingerprint(list(self.paths))
 
 
 def _list(field: str, role: str, text: str) -> str:
-    return f"transform({field}, m -> struct(cast(m.{role} as string) as role, cast(m.{text} as string) as text))"
+    return f"transform({{{field}}}, m -> struct(cast(m.{role} as string) as role, cast(m.{text} as string) as text))"
 
 
 def _pair(ask: str, reply: str) -> str:
@@ -65,19 +73,19 @@ def _pair(ask: str, reply: str) -> str:
 
 #: Role names that stand for the canonical three.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-_WITH_INPUT = "if(coalesce(input, '') = '', instruction, concat(instruction, '\n\n', input))"
+_WITH_INPUT = "if(coalesce({input}, '') = '', {instruction}, concat({instruction}, '\n\n', {input}))"
 
 LAYOUTS = (
     Layout("turn_rows", ("conv_id", "turn", "role", "text"), rows=("conv_id", "turn", "role", "text")),
     Layout("messages", ("messages[].role", "messages[].content"), _list("messages", "role", "content")),
     Layout("share", ("conversations[].from", "conversations[].value"), _list("conversations", "from", "value")),
     Layout("dialog", ("dialog[].speaker", "dialog[].text"), _list("dialog", "speaker", "text")),
-    Layout("prompt_completion", ("prompt", "completion"), _pair("prompt", "completion")),
-    Layout("prompt_response", ("prompt", "response"), _pair("prompt", "response")),
-    Layout("question_answer", ("question", "answer"), _pair("question", "answer")),
-    Layout("instruction_output", ("instruction", "output"), _pair("instruction", "output")),
-    Layout("instruction_input_output", ("instruction", "input", "output"), _pair(_WITH_INPUT, "output")),
-    Layout("system_prompt_response", ("system", "prompt", "response"), f"concat(array(struct('system' as role, system as text)), {_pair('prompt', 'response')})"),
+    Layout("prompt_completion", ("prompt", "completion"), _pair("{prompt}", "{completion}")),
+    Layout("prompt_response", ("prompt", "response"), _pair("{prompt}", "{response}")),
+    Layout("question_answer", ("question", "answer"), _pair("{question}", "{answer}")),
+    Layout("instruction_output", ("instruction", "output"), _pair("{instruction}", "{output}")),
+    Layout("instruction_input_output", ("instruction", "input", "output"), _pair(_WITH_INPUT, "{output}")),
+    Layout("system_prompt_response", ("system", "prompt", "response"), "concat(array(struct('system' as role, {system} as text)), " + _pair("{prompt}", "{response}") + ")"),
 )
 
 
@@ -107,7 +115,7 @@ def from_table(df: DataFrame, id_col: str, layouts: tuple[Layout, ...] = LAYOUTS
         rows = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("n"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))))
         grouped = df.groupBy(F.col(conversation).alias("id")).agg(rows.alias("rows"))
         return grouped.select("id", F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))  # roles as they are
-    return df.select(F.col(id_col).alias("id"), _canonical(F.expr(layout.turns)).alias("turns"))
+    return df.select(F.col(id_col).alias("id"), _canonical(layout.expression()).alias("turns"))
 
 
 def _json_paths(record: Column) -> Column:
@@ -150,17 +158,10 @@ def from_json(df: DataFrame, id_col: str, json_col: str, layouts: tuple[Layout,
         parsed = F.transform(F.array(F.from_json("raw", schema)), lambda r: r)[0]
         column = f"_{layout.name}"
         records = records.withColumn(column, F.when(match, parsed))
-        expression = layout.turns
-        for head in fields:
-            expression = _qualified(expression, head, column)
-        name, turns = F.when(match, F.lit(layout.name)).otherwise(name), F.when(match, _canonical(F.expr(expression))).otherwise(turns)
+        name, turns = F.when(match, F.lit(layout.name)).otherwise(name), F.when(match, _canonical(layout.expression(f"{column}."))).otherwise(turns)
     return records.select("id", "fingerprint", name.alias("layout"), turns.alias("turns"))
 
 
-def _qualified(expression: str, field: str, column: str) -> str:
-    return re.sub(rf"(?<![\w.'`]){re.escape(field)}(?![\w'`])(?! as )", f"{column}.{field}", expression)
-
-
 def unknown_layouts(parsed: DataFrame) -> DataFrame:
     """(fingerprint, n) of records that from_json() found no mapping for."""
     return parsed.where(F.col("layout").isNull()).groupBy("fingerprint").agg(F.count("*").alias("n"))

@@ -251,7 +251,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rest[at] = pa.array(texts, batch.schema.field(at).type)
                 yield pa.record_batch(rest, batch.schema.names[:-1])
 
-    return joined.select(*[docs[c] for c in docs.columns], "_spans").mapInArrow(run, docs.schema)
+    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], keys["_spans"].alias("_spans_of_repeats")).mapInArrow(run, docs.schema)
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
