@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analyses, features, numbers, sequences, statistics
+from . import analyses, features, generators, numbers, relational, sequences, statistics
 
-MODULES = (features, numbers, statistics, sequences, analyses)
+MODULES = (features, numbers, statistics, sequences, analyses, relational, generators)
 FLAGSHIP = "feature_matrix"
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
