@@ -135,11 +135,13 @@ def principal_components(df: DataFrame, columns: list[str], k: int = 2, scale: b
 
 
 def classify(df: DataFrame, columns: list[str], label: str, folds: int = 3, trees: int = 30, depth: int = 5, least: int = 8, seed: int = 42, id_col: str = "piece_id") -> DataFrame:
-    """(label, prediction, n): confusion counts of a random forest over hash folds; classes of fewer than ``least`` rows are left out before anything is fitted."""
+    """(label, prediction, n): confusion counts of a random forest over hash folds; classes of fewer than ``least`` rows are left out before anything is fitted, and with no class left the result is empty."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 
     kept = df.where(F.col(label).isNotNull()).join(df.groupBy(label).count().where(F.col("count") >= least).select(label), label, "left_semi").na.fill(0.0, columns)
+    if kept.isEmpty():
+        return kept.select(F.col(label).alias("label"), F.col(label).alias("predicted"), F.lit(0).cast("bigint").alias("n"))
     indexed = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(kept)
     rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(indexed.transform(kept)).withColumn("_fold", F.pmod(F.xxhash64(id_col), F.lit(folds))).cache()
     back, out = IndexToString(inputCol="prediction", outputCol="_p", labels=indexed.labels), None
