@@ -32,6 +32,15 @@ def signature_scores(matrix: DataFrame) -> DataFrame:
     )
 
 
+def aesthetic_index(df: DataFrame, third: str = "rw_corr_z") -> DataFrame:
+    """(piece_id, aesthetic_z_raw, aesthetic_index): z-scores of prime sums, golden density and a third column by .25, .25 and .5, and the same scaled to 0..1 over all pieces; 0.5 if all are equal."""
+    z = with_zscores(df, ("prime_sum_ratio", "phi_density_ratio", third))
+    raw = z.select("piece_id", (0.25 * F.col("z_prime_sum_ratio") + 0.25 * F.col("z_phi_density_ratio") + 0.5 * F.col(f"z_{third}")).alias("aesthetic_z_raw"))
+    bounds = raw.agg(F.min("aesthetic_z_raw").alias("lo"), F.max("aesthetic_z_raw").alias("hi"))
+    index = F.when(F.col("hi") > F.col("lo"), (F.col("aesthetic_z_raw") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.5)
+    return raw.crossJoin(F.broadcast(bounds)).select("piece_id", "aesthetic_z_raw", index.alias("aesthetic_index"))
+
+
 def group_summary(df: DataFrame, by: str, columns: Sequence[str], least_rows: int) -> DataFrame:
     """Mean, sample deviation and count of each column, for groups of at least ``least_rows`` rows."""
     stats = [f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("count", F.count))]

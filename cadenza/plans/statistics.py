@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..functions.columns import sql_round as R
-from ..operators import numbers
+from ..operators import numbers, patterns
 from ..operators import statistics as op
 from ..sources import views
 from .features import HARMONY, INTERVAL, MATRIX_SQL, PITCH, RHYTHM, matrix
@@ -27,13 +27,11 @@ def _responses(spark, sf_dir):
 _RESP = "resp AS (SELECT doc_id, lang AS condition, CAST(quality AS DOUBLE) AS likability, CAST(n_chars AS DOUBLE) AS feature FROM labels JOIN documents USING (doc_id))"
 
 
-def _aesthetic(spark, sf_dir):
-    base = numbers.numeric_patterns(views.notes(spark, sf_dir)).select("piece_id", "prime_sum_ratio", "phi_density_ratio", "interval_self_similarity")
-    z = op.with_zscores(base, ("prime_sum_ratio", "phi_density_ratio", "interval_self_similarity"))
-    raw = z.select("piece_id", (0.25 * F.col("z_prime_sum_ratio") + 0.25 * F.col("z_phi_density_ratio") + 0.5 * F.col("z_interval_self_similarity")).alias("aesthetic_z_raw"))
-    bounds = raw.agg(F.min("aesthetic_z_raw").alias("lo"), F.max("aesthetic_z_raw").alias("hi"))
-    index = F.when(F.col("hi") > F.col("lo"), (F.col("aesthetic_z_raw") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.5)
-    return raw.crossJoin(F.broadcast(bounds)).select("piece_id", "aesthetic_z_raw", index.alias("aesthetic_index"))
+def _aesthetic(spark, sf_dir, walk):
+    """The index over the random-walk score, or over interval self-similarity, which SQL can check."""
+    notes = views.notes(spark, sf_dir)
+    base = numbers.numeric_patterns(notes)
+    return op.aesthetic_index(base.join(patterns.nonrandomness(notes), "piece_id") if walk else base, third="rw_corr_z" if walk else "interval_self_similarity")
 
 
 from .numbers import ORACLE_SQL as _NUMBERS  # noqa: E402
@@ -46,7 +44,8 @@ QUERIES = {
     "signature_scores": lambda s, d: rounded(op.signature_scores(matrix(s, d))),
     "signature_era_summary": lambda s, d: rounded(op.group_summary(op.signature_scores(matrix(s, d)), "era", op.SIGNATURES, 3)),
     "signature_composer_summary": lambda s, d: rounded(op.group_summary(op.signature_scores(matrix(s, d)), "composer", op.SIGNATURES, 5)),
-    "aesthetic_index": lambda s, d: rounded(_aesthetic(s, d)),
+    "aesthetic_index": lambda s, d: rounded(_aesthetic(s, d, True)),
+    "aesthetic_index_of_similarity": lambda s, d: rounded(_aesthetic(s, d, False)),
     "composer_profiles": lambda s, d: rounded(op.profiles(matrix(s, d), "composer", COLUMNS)),
     "composer_distances": lambda s, d: rounded(op.profile_distances(op.profiles(matrix(s, d), "composer", COLUMNS), "composer")),
     "closest_composer": lambda s, d: rounded(op.closest_group(m := matrix(s, d), op.profiles(m, "composer", COLUMNS), "composer", COLUMNS)),
@@ -75,7 +74,7 @@ ORACLE_SQL = {
     "signature_scores": f"WITH {SIG_SQL} SELECT piece_id, composer, era, {', '.join(R(c, c) for c in op.SIGNATURES)} FROM sig",
     "signature_era_summary": f"WITH {SIG_SQL} {_summary('sig', 'era', op.SIGNATURES, 3)}",
     "signature_composer_summary": f"WITH {SIG_SQL} {_summary('sig', 'composer', op.SIGNATURES, 5)}",
-    "aesthetic_index": f"""{_NUM}, raw AS (SELECT piece_id, 0.25 * {_zc("prime_sum_ratio")} + 0.25 * {_zc("phi_density_ratio")} + 0.5 * {_zc("interval_self_similarity")} AS r FROM num)
+    "aesthetic_index_of_similarity": f"""{_NUM}, raw AS (SELECT piece_id, 0.25 * {_zc("prime_sum_ratio")} + 0.25 * {_zc("phi_density_ratio")} + 0.5 * {_zc("interval_self_similarity")} AS r FROM num)
 SELECT piece_id, {R("r", "aesthetic_z_raw")}, {R("(r - min(r) OVER ()) / (max(r) OVER () - min(r) OVER ())", "aesthetic_index")} FROM raw""",
     "composer_profiles": f"WITH {_PROFILE} SELECT composer, feature, {R('m', 'mean')}, {R('s', 'std')}, {R('lo', 'min')}, {R('hi', 'max')}, {R('med', 'median')} FROM prof",
     "composer_distances": f"WITH {_PROFILE} SELECT x.composer AS a, y.composer AS b, {R('avg(least(abs(x.m - y.m) / ((x.s + y.s) / 2 + 1e-8), 10))', 'distance')} FROM prof AS x JOIN prof AS y ON x.feature = y.feature AND x.composer < y.composer GROUP BY ALL",
