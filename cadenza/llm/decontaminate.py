@@ -25,7 +25,7 @@ from .shared import remove as remove_folder
 
 WINDOW = 13
 #: Text bytes of a shard, unless a single text is longer.
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 1 << 21
 #: Words of test phrases that travel to the shards at once.
 BLOCK_WORDS = 1 << 20
 

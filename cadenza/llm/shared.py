@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step takes at most, unless a single text is longer.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _WINDOW_MULTIPLIER = 0xD6E8FEB86659FD93 | 1
@@ -100,6 +100,8 @@ def _powers(multiplier: int, n: int) -> np.ndarray:
     return out
 
 
+#: Powers that a worker keeps at most, of each multiplier.
+_KEPT_POWERS = (1 << 21) + (1 << 16)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -109,7 +111,7 @@ def powers(multiplier: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if have is None or len(have[0]) < n:
         size = max(n, 1 << 16)
         have = (_powers(multiplier, size), _powers(pow(multiplier, -1, 1 << 64), size))
-        if size <= SLICE_BYTES + (1 << 16):
+        if size <= _KEPT_POWERS:
             _POWERS[multiplier] = have
     return have
 
