@@ -12,6 +12,7 @@ other than the two named are ignored. Special tokens that a text spells out are
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,9 @@ LEAF_CHARS = 1 << 10
 #: Texts that go to the library in one call.
 BATCH_TEXTS = 64
 
+#: The splitting pattern of byte-level BPE; used on characters below _SETTLED, whose classes no Unicode version disputes.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_SETTLED = "\u0250"
 #: A space between a character that is no white space and one that is none: every split of byte-level BPE begins a piece there.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Where text.split(" ") alone would cut otherwise.
@@ -89,16 +94,22 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        config = json.loads(self.tokenizer.to_str())
+        split = config["pre_tokenizer"] or {}
+        if config["normalizer"] or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space"):
+            raise ValueError("only byte-level BPE with its usual splitting pattern is supported")
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.piece_chars, self.leaf_chars = piece_chars, leaf_chars
         self.memo = _Memo(self.encode_chunks)
+        self._splits: dict[str, list[int]] = {}
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = {t.content: i for i, t in added.items()}
         self._special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
         self.may_cut = not any(" " in content for content in self.special)
-        letter = self._byte_letters()
+        self._special_starts = {content[0] for content in self.special}
+        letter = self._letter = self._byte_letters()
         back = {c: b for b, c in letter.items()}
         self.bytes_of = [b""] * self.tokenizer.get_vocab_size()
         for token, i in self.tokenizer.get_vocab().items():
@@ -165,8 +176,25 @@ class Coder:
             yield from np.split(flat, where[ends[:-1]])
 
     def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        short = iter(self.tokenizer.encode_batch_fast([c for c in chunks if len(c) <= self.piece_chars], add_special_tokens=False))
-        return [next(short).ids if len(c) <= self.piece_chars else self._long(c) for c in chunks]
+        """Ids of chunks: plain ones from the memo of splits, others by the library, long ones as trees."""
+        whole = [c for c in chunks if not self._plain(c) and len(c) <= self.piece_chars]
+        encoded = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)) if whole else iter(())
+        return [self._by_splits(c) if self._plain(c) else next(encoded).ids if len(c) <= self.piece_chars else self._long(c) for c in chunks]
+
+    def _plain(self, chunk: str) -> bool:
+        """Short, of characters whose classes have long been settled, and without a special token's first character."""
+        return len(chunk) <= MEMO_CHARS and (chunk.isascii() or max(chunk) < _SETTLED) and not any(x in chunk for x in self._special_starts)
+
+    def _by_splits(self, chunk: str) -> list[int]:
+        out: list[int] = []
+        for part in _SPLIT.findall(chunk):
+            ids = self._splits.get(part)
+            if ids is None:
+                ids = self._whole("".join(map(self._letter.__getitem__, part.encode())))
+                if len(self._splits) < MEMO_CHUNKS:
+                    self._splits[part] = ids
+            out += ids
+        return out
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
