@@ -6,8 +6,11 @@ distribution by piece_id. Degenerate pieces give the constants named in each doc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,10 +152,42 @@ def structural_features(notes: DataFrame) -> DataFrame:
     return counts.join(spectral_and_repetition(notes).select("piece_id", "repetition_index"), "piece_id").join(fractal_dimension(notes), "piece_id")
 
 
-def feature_matrix(notes: DataFrame, pieces: DataFrame | None = None, least_notes: int = 20) -> DataFrame:
-    """All 41 features of pieces with at least ``least_notes`` notes, with composer and era if pieces are given."""
+def _box_dimension(pitches: np.ndarray, most: int = 8) -> float:
+    """What fractal_dimension() computes, for one piece in memory."""
+    n = len(pitches)
+    if n < 4:
+        return 1.0
+    unit = (pitches - pitches.min()) / (pitches.max() - pitches.min() + 1e-8)
+    sides = range(2, most + 1)
+    counts = [len(set(zip((np.arange(n) / (n / s)).astype(int).tolist(), (unit * s).astype(int).tolist()))) for s in sides]
+    return float(-np.polyfit(np.log(1 / np.array(sides)), np.log(counts), 1)[0])
+
+
+_SEQUENTIAL = ("spectral_centroid", "spectral_entropy", "dominant_frequency", "spectral_flatness", "repetition_index", "fractal_dimension")
+
+
+def feature_matrix(notes: DataFrame, pieces: DataFrame | None = None, least_notes: int = 20, window: int = 20, apart: int = 5) -> DataFrame:
+    """All 41 features of pieces with at least ``least_notes`` notes, with composer and era if pieces are given.
+
+    One distribution by piece serves everything: the aggregate also keeps the piece's pitches in order, and what needs the whole sequence is
+    computed from that array where the row is.
+    """
     steps = _with_rhythm(with_steps(notes))
-    wide = steps.groupBy("piece_id").agg(*_pitch(), *_interval(), *_harmony(), *_rhythm(), F.count("*").cast("double").alias("total_notes")).where(F.col("total_notes") >= least_notes)
-    wide = wide.withColumn("unique_pitch_classes", F.col("chromatic_saturation"))
-    wide = wide.join(fractal_dimension(notes), "piece_id").join(spectral_and_repetition(notes), "piece_id")
-    return wide if pieces is None else wide.join(pieces, "piece_id", "left")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "pitch"))), lambda x: x["pitch"].cast("double"))
+    wide = steps.groupBy("piece_id").agg(*_pitch(), *_interval(), *_harmony(), *_rhythm(), F.count("*").cast("double").alias("total_notes"), ordered.alias("_pitches")).where(F.col("total_notes") >= least_notes)
+    wide = wide.select(*[c for c in wide.columns if c != "_pitches"], F.col("chromatic_saturation").alias("unique_pitch_classes"), "_pitches")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for pitches in batch.column(batch.num_columns - 1):
+                x = np.array(pitches.as_py())
+                similar = _self_similarity(x.astype(int), window)
+                pairs = similar[np.triu_indices(len(similar), apart)]
+                rows.append((*_spectrum(x), float(pairs.mean()) if len(similar) >= 10 and len(pairs) else 0.0, _box_dimension(x)))
+            more = [pa.array(c, pa.float64()) for c in zip(*rows)] if rows else [pa.array([], pa.float64())] * len(_SEQUENTIAL)
+            yield pa.record_batch([*batch.columns[:-1], *more], [*batch.schema.names[:-1], *_SEQUENTIAL])
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in wide.schema.fields[:-1]), *(f"{c} double" for c in _SEQUENTIAL)])
+    full = wide.mapInArrow(run, schema)
+    return full if pieces is None else full.join(pieces, "piece_id", "left")

@@ -26,7 +26,7 @@ def signature_scores(matrix: DataFrame) -> DataFrame:
     """Four scores from z-scores; the consonance balance is z(consonance) - z(dissonance)."""
     z = with_zscores(matrix, SIGNATURE_INPUTS)
     c = F.col
-    return matrix.select("piece_id").join(z, "piece_id").select(
+    return z.select(
         "piece_id", *[x for x in ("composer", "era") if x in matrix.columns], ((c("z_pitch_range") + c("z_pitch_std")) / 2).alias(SIGNATURES[0]), c("z_repetition_index").alias(SIGNATURES[1]),
         (c("z_consonance_score") - c("z_dissonance_index")).alias(SIGNATURES[2]), ((c("z_pitch_entropy") + c("z_interval_entropy") + c("z_rhythmic_entropy") + c("z_spectral_entropy") + c("z_fractal_dimension")) / 5).alias(SIGNATURES[3]),
     )
