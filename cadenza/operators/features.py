@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,18 +127,32 @@ def _spectrum(pitches: np.ndarray) -> tuple[float, float, float, float]:
 def spectral_and_repetition(notes: DataFrame, window: int = 20, apart: int = 5) -> DataFrame:
     """Spectrum of the mean-free pitches (all 0 without any change) and mean similarity of windows at least ``apart`` steps apart (0 for fewer than ten windows).
 
-    A Fourier transform is not an aggregate that SQL has; it runs in numpy on one piece at a time.
+    A Fourier transform is not an aggregate that SQL has; it runs in numpy on the piece's ordered pitches, where the row is.
     """
+    rows = notes.groupBy("piece_id").agg(_ordered_pitches())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_sequential(np.array(p.as_py()), window, apart)[:-1] for p in batch.column(1)]
+            yield pa.record_batch([batch.column(0), *_columns(found, len(_SEQUENTIAL) - 1)], ["piece_id", *_SEQUENTIAL[:-1]])
+
+    kind = notes.schema["piece_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"piece_id {kind}, " + ", ".join(f"{c} double" for c in _SEQUENTIAL[:-1]))
+
+
+def _ordered_pitches() -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("seq", "pitch"))), lambda x: x["pitch"].cast("double")).alias("_pitches")
+
+
+def _sequential(x: np.ndarray, window: int, apart: int) -> tuple[float, ...]:
+    """The measures of _SEQUENTIAL of one piece's pitches."""
+    similar = _self_similarity(x.astype(int), window)
+    pairs = similar[np.triu_indices(len(similar), apart)]
+    return (*_spectrum(x), float(pairs.mean()) if len(similar) >= 10 and len(pairs) else 0.0, _box_dimension(x))
 
-    def run(piece: pd.DataFrame) -> pd.DataFrame:
-        pitches = piece.sort_values("seq")["pitch"].to_numpy()
-        similar = _self_similarity(pitches, window)
-        pairs = similar[np.triu_indices(len(similar), apart)]
-        repetition = float(pairs.mean()) if len(similar) >= 10 and len(pairs) else 0.0
-        return pd.DataFrame([[piece["piece_id"].iloc[0], *_spectrum(pitches.astype(float)), repetition]], columns=["piece_id", "spectral_centroid", "spectral_entropy", "dominant_frequency", "spectral_flatness", "repetition_index"])
 
-    schema = "piece_id bigint, spectral_centroid double, spectral_entropy double, dominant_frequency double, spectral_flatness double, repetition_index double"
-    return notes.select("piece_id", "seq", "pitch").groupBy("piece_id").applyInPandas(run, schema)
+def _columns(rows: list[tuple[float, ...]], n: int) -> list[pa.Array]:
+    return [pa.array(c, pa.float64()) for c in zip(*rows)] if rows else [pa.array([], pa.float64())] * n
 
 
 def spectral_features(notes: DataFrame) -> DataFrame:
@@ -173,19 +186,12 @@ def feature_matrix(notes: DataFrame, pieces: DataFrame | None = None, least_note
     computed from that array where the row is.
     """
     steps = _with_rhythm(with_steps(notes))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "pitch"))), lambda x: x["pitch"].cast("double"))
-    wide = steps.groupBy("piece_id").agg(*_pitch(), *_interval(), *_harmony(), *_rhythm(), F.count("*").cast("double").alias("total_notes"), ordered.alias("_pitches")).where(F.col("total_notes") >= least_notes)
+    wide = steps.groupBy("piece_id").agg(*_pitch(), *_interval(), *_harmony(), *_rhythm(), F.count("*").cast("double").alias("total_notes"), _ordered_pitches()).where(F.col("total_notes") >= least_notes)
     wide = wide.select(*[c for c in wide.columns if c != "_pitches"], F.col("chromatic_saturation").alias("unique_pitch_classes"), "_pitches")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for pitches in batch.column(batch.num_columns - 1):
-                x = np.array(pitches.as_py())
-                similar = _self_similarity(x.astype(int), window)
-                pairs = similar[np.triu_indices(len(similar), apart)]
-                rows.append((*_spectrum(x), float(pairs.mean()) if len(similar) >= 10 and len(pairs) else 0.0, _box_dimension(x)))
-            more = [pa.array(c, pa.float64()) for c in zip(*rows)] if rows else [pa.array([], pa.float64())] * len(_SEQUENTIAL)
+            more = _columns([_sequential(np.array(p.as_py()), window, apart) for p in batch.column(batch.num_columns - 1)], len(_SEQUENTIAL))
             yield pa.record_batch([*batch.columns[:-1], *more], [*batch.schema.names[:-1], *_SEQUENTIAL])
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in wide.schema.fields[:-1]), *(f"{c} double" for c in _SEQUENTIAL)])
