@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .shared import NOT_SPACE, Words, covered, cut, remove, shared_dir, slices, table, window_hash
+from .shared import NOT_SPACE, Words, cut, remove, shared_dir, slices, table, window_hash
 
 WIDTH, GRAM = 50, 8
 #: Words of a shard on average, and different segments of one anchor beyond which they are taken apart into windows.
