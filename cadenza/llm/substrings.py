@@ -30,6 +30,8 @@ from .shared import NOT_SPACE, Words, cut, remove, shared_dir, slices, table, wi
 WIDTH, GRAM = 50, 8
 #: Words of a shard on average, and different segments of one anchor beyond which they are taken apart into windows.
 SHARD_WORDS, ANCHOR_SEGMENTS = 300_000, 2000
+#: Hot anchors, of 8 bytes each, that are broadcast at most.
+BROADCAST_ANCHORS = 100_000
 _LAST = (1 << 63) - 1
 #: Words that the search for anchors takes at once; a window's position must fit beside its hash.
 _PIECE = 1 << 22
@@ -163,13 +165,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     units = cut(units.join(anchors.select("anchor", "segments"), "anchor"))
     hot = units.where(F.col("segments") > anchor_segments).select("anchor").distinct()
     asked = units.where(F.col("segments") <= anchor_segments).select("anchor", "segment", "rep.*", F.lit(False).alias("apart"), (F.col("last") > F.col("rep.ord")).alias("shared"))
-    any_hot = not hot.isEmpty()
-    if any_hot:
-        asked = asked.unionByName(rows.join(hot, "anchor").withColumns({"apart": F.lit(True), "shared": F.lit(True)}))
+    n_hot = hot.limit(BROADCAST_ANCHORS + 1).count()
+    if n_hot:  # few, since each has many segments; sent to the rows if they are few enough, so that an anchor's rows stay where they are
+        asked = asked.unionByName(rows.join(F.broadcast(hot) if n_hot <= BROADCAST_ANCHORS else hot, "anchor").withColumns({"apart": F.lit(True), "shared": F.lit(True)}))
     _asked(keyed, asked, width).write.option("compression", "zstd").parquet(f"{path}/asked")
     got = spark.read.parquet(f"{path}/asked")
     texts = got.where("not apart")
-    if any_hot:
+    if n_hot:
         windows = got.where("apart")
         apart = cut(_merged(windows).where(F.col("last") > F.col("rep.ord")).select("anchor", "segment", "rep.ord", "rep.h", "rep.start"))
         texts = texts.unionByName(windows.join(apart, ["anchor", "segment", "ord", "h", "start"]).select(texts.columns))
