@@ -133,8 +133,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(component, "fp").select("id", "fp", "component")
 
 
-#: Bits of the wide fingerprints, as so many 64-bit planes; blocks of each plane that candidates share; members that a block is paired through.
-PLANES, TURNS, SIMILAR_BLOCK_MEMBERS = 8, 3, 64
+#: Bits of the wide fingerprints, as so many 64-bit planes; blocks of each plane that candidates share.
+PLANES, TURNS = 8, 3
+#: A block's members are joined in pairs up to this many; a fuller block goes to tasks that compare all of up to twice so many members.
+SIMILAR_BLOCK_MEMBERS, TASK_MEMBERS = 64, 1 << 16
 
 
 def _plane_hashes(h: np.ndarray, plane: int) -> np.ndarray:
@@ -177,33 +179,65 @@ def _distance(a: str, b: str, planes: int) -> Column:
     return total
 
 
-def similar_links(prints: DataFrame, similarity: float = 0.8, planes: int = PLANES, turns: int = TURNS, block_members: int = SIMILAR_BLOCK_MEMBERS) -> DataFrame:
-    """Links (u, v) between rows (key, w, s) whose shingle sets have about this Jaccard similarity or more, by the Hamming distance of s.
+def spanning_links(keys: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join up the same rows as all pairs of ``prints`` (rows of 64-bit planes) within ``most`` bits: one less than rows in each group.
+
+    Walks from row to row and compares each with all that no link has reached yet, so that rows of one dense group cost little.
+    """
+    left, rest, us, vs = np.arange(len(keys)), prints, [], []
+    while len(left):
+        reached, left, rest = [left[0]], left[1:], rest[1:]
+        while reached and len(left):
+            at = reached.pop()
+            near = np.bitwise_count(rest ^ prints[at]).sum(axis=1, dtype=np.int64) <= most
+            if near.any():
+                found = left[near]
+                reached += found.tolist()
+                us.append(np.full(len(found), at))
+                vs.append(found)
+                left, rest = left[~near], rest[~near]
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *us]), np.concatenate([empty, *vs])
+
+
+def _full_block_links(members: DataFrame, most: int, planes: int, task_members: int) -> DataFrame:
+    """Links (u, v) of blocks (b, key, s, n) of any size. Members of a block are dealt to parts of about ``task_members``, and each two parts meet in one task."""
+    parts = F.ceil(F.col("n") / task_members).cast("int")
+    mine, other = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = members.withColumn("parts", parts).withColumn("mine", mine).select("b", "key", "s", "parts", "mine", other).where("other <> mine or parts = 1")
+    tasks = dealt.select(F.concat_ws(":", "b", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "key", "s")
+
+    def run(task: pa.Table) -> pa.Table:
+        keys, prints = task.column("key").combine_chunks(), task.column("s").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        u, v = spanning_links(np.arange(len(keys)), prints.view(np.uint64).reshape(-1, planes), most)
+        return pa.table({"u": keys.take(pa.array(u)), "v": keys.take(pa.array(v))})
+
+    return tasks.groupBy("task").applyInArrow(run, f"u {members.schema['key'].dataType.simpleString()}, v {members.schema['key'].dataType.simpleString()}")
+
+
+def similar_links(prints: DataFrame, similarity: float = 0.8, planes: int = PLANES, turns: int = TURNS, block_members: int = SIMILAR_BLOCK_MEMBERS, task_members: int = TASK_MEMBERS) -> DataFrame:
+    """Links (u, v) between rows (key, w, s): enough of them to give the same groups as all pairs that share a block of w and whose shingle sets have about this Jaccard similarity or more, by the Hamming distance of s.
 
     Two sets of similarity j differ in a share acos(2j / (1 + j)) / pi of their bits on average, which sets the distance. Candidates share a
-    block of w; its width follows the logarithm of the row count, so that a block gathers few rows by chance at any size. A block with more
-    than ``block_members`` is split by bits of another plane, three ways; what is still fuller than that is linked through its first row.
+    block of w; its width follows the logarithm of the row count, so that a block gathers few rows by chance at any size. In a block with more
+    than ``block_members`` all members are compared as well, in tasks of bounded size.
     """
     n = prints.count()
     bits = min(40, max(12, n.bit_length() + 2))
     most = round(64 * planes * np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
     turned = lambda c, k: F.shiftleft(c, k).bitwiseOR(F.shiftrightunsigned(c, 64 - k)) if k else c
     key = lambda p, turn, width: turned(F.col("w")[p], turn * 20).bitwiseAND(F.lit((1 << width) - 1))
-    blocks = [F.struct(F.lit(p * turns + t).alias("t"), key(p, t, bits).alias("k"), F.array(*[key((p + 1 + x) % planes, t, 12) for x in range(3)]).alias("more")) for p in range(planes) for t in range(turns)]
-    rows = prints.select("key", F.explode(F.array(*blocks)).alias("b")).select("key", "b.*")
-    sizes = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(rows.join(sizes, ["t", "k"]))
-    few = members.where(F.col("n") <= block_members).select(F.concat_ws(":", "t", "k").alias("b"), "key")
-    fine = members.where(F.col("n") > block_members).select("t", "k", "key", F.posexplode("more").alias("x", "m")).select(F.concat_ws(":", "t", "k", "x", "m").alias("b"), "key")
-    fine_sizes = fine.groupBy("b").agg(F.count("*").alias("n"), F.min("key").alias("least"))
-    fine = cut(fine.join(fine_sizes.where("n > 1"), "b"))
-    paired = few.unionByName(fine.where(F.col("n") <= block_members).select("b", "key"))
-    pairs = paired.select("b", F.col("key").alias("u")).join(paired.select("b", F.col("key").alias("v")), "b").where("u < v").select("u", "v")
-    starred = fine.where((F.col("n") > block_members) & (F.col("key") > F.col("least"))).select(F.col("least").alias("u"), F.col("key").alias("v"))
-    candidates = pairs.unionByName(starred).distinct()
+    blocks = [F.concat_ws(":", F.lit(p * turns + t), key(p, t, bits)) for p in range(planes) for t in range(turns)]
+    rows = prints.select("key", F.explode(F.array(*blocks)).alias("b"))
+    sizes = rows.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(rows.join(sizes, "b"))
+    few = members.where(F.col("n") <= block_members)
+    candidates = few.select("b", F.col("key").alias("u")).join(few.select("b", F.col("key").alias("v")), "b").where("u < v").select("u", "v").distinct()
     left = prints.select(F.col("key").alias("u"), F.col("s").alias("su"))
     right = prints.select(F.col("key").alias("v"), F.col("s").alias("sv"))
-    return candidates.join(left, "u").join(right, "v").where(_distance("su", "sv", planes) <= most).select("u", "v")
+    verified = candidates.join(left, "u").join(right, "v").where(_distance("su", "sv", planes) <= most).select("u", "v")
+    full = members.where(F.col("n") > block_members).join(prints.select("key", "s"), "key")
+    return verified.unionByName(_full_block_links(full, most, planes, task_members))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

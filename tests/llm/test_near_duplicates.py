@@ -78,3 +78,63 @@ def test_similar_groups_keep_one_and_leave_the_others(spark):
     kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, 8, None]
     assert simhash.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def variants(n, seed=4, changed=6):
+    """An original of 300 words and n copies in each of which other words are changed, apart from each other by more than the original."""
+    rng = np.random.default_rng(seed)
+    original = [f"o{i}" for i in range(300)]
+    out = [list(original) for _ in range(n + 1)]
+    for k in range(1, n + 1):
+        for p in rng.choice(300, changed, replace=False).tolist():
+            out[k][p] = f"x{k}y{p}"
+    return [" ".join(w) for w in out]
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def groups_lose_nothing(spark, texts, most=78):
+    """All pairs of Jaccard 0.8 or more within ``most`` bits share a group. The least id is a variant, so no block has the original as its first."""
+    docs = spark.createDataFrame([(-i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    group = {r.id: r.component for r in simhash.similar_groups(docs).collect()}
+    s = {r.id: np.array(r.s, np.int64).view(np.uint64) for r in simhash.wide_fingerprints(docs).collect()}
+    bits = np.bitwise_count(np.array([s[-i] for i in range(len(texts))]) ^ s[0]).sum(axis=1, dtype=int)
+    near = [i for i in range(1, len(texts)) if bits[i] <= most and jaccard(texts[0], texts[i]) >= 0.8]
+    assert len(near) > len(texts) / 2
+    assert [i for i in near if group[-i] != group[0]] == []
+
+
+def test_an_original_and_thousands_of_variants_are_one_group(spark):
+    groups_lose_nothing(spark, variants(2500))
+
+
+def test_full_blocks_compare_every_pair(spark):
+    rng = np.random.default_rng(8)
+    s = rng.integers(0, 1 << 62, (6, 8))
+    s = np.concatenate([s[k] ^ (np.int64(1) << rng.integers(0, 62, (40, 8))) ^ (np.int64(1) << rng.integers(0, 62, (40, 8))) * (rng.random((40, 8)) < 0.5) for k in range(6)])
+    keys = [bytes([i // 256, i % 256]) for i in range(len(s))]
+    members = spark.createDataFrame([("b", k, x.tolist(), len(s)) for k, x in zip(keys, s)], "b string, key binary, s array<bigint>, n long")
+    bits = np.bitwise_count(s.view(np.uint64)[:, None] ^ s.view(np.uint64)[None]).sum(axis=2, dtype=int)
+    for most in (20, 22, 78):
+        parent = list(range(len(s)))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, j in np.argwhere(bits <= most).tolist():
+            parent[find(i)] = find(j)
+        for task_members in (30, 1000):
+            links = simhash._full_block_links(members, most, 8, task_members)
+            root = {bytes(r.node): bytes(r.root) for r in components(links).collect()}
+            mine = [root.get(k, k) for k in keys]
+            assert all((mine[i] == mine[j]) == (find(i) == find(j)) for i in range(len(s)) for j in range(i)), (most, task_members)
