@@ -133,8 +133,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(component, "fp").select("id", "fp", "component")
 
 
-#: Bits of the wide fingerprints, as so many 64-bit planes; blocks of each plane that candidates share.
-PLANES, TURNS = 8, 3
+#: Bits of the wide fingerprints, as so many 64-bit planes.
+PLANES = 8
+#: Candidates share a band: so many least hashes of their shingles. Two texts of similarity j miss each other with (1 - j ** rows) ** bands, 3e-5 at 0.8.
+BANDS, BAND_ROWS = 20, 4
 #: A block's members are joined in pairs up to this many; a fuller block goes to tasks that compare all of up to twice so many members.
 SIMILAR_BLOCK_MEMBERS, TASK_MEMBERS = 64, 1 << 16
 
@@ -143,8 +145,22 @@ def _plane_hashes(h: np.ndarray, plane: int) -> np.ndarray:
     return mix(h ^ np.uint64(0xA0761D6478BD642F * (plane + 1) % (1 << 64)))
 
 
+_FACTORS = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def _bands(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For runs of hashes, of the lengths ``counts``: a key for each band, equal if the band's least hashes are; zero for an empty run."""
+    out, hashes = np.zeros((len(counts), BANDS), np.uint64), mix(hashes)
+    some = np.flatnonzero(counts)
+    starts = (np.cumsum(counts) - counts)[some]
+    for k in range(BANDS * BAND_ROWS if len(some) else 0):
+        least = np.minimum.reduceat((hashes ^ _FACTORS[k - 1]) * _FACTORS[k], starts)
+        out[some, k // BAND_ROWS] = mix(out[some, k // BAND_ROWS] + least + np.uint64(k))
+    return out
+
+
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, planes: int = PLANES) -> DataFrame:
-    """(id, w, s): wide SimHashes of each whole text, over the set of its words and over the set of its shingles of ``width`` words, as arrays of longs."""
+    """(id, b, s): of each whole text, over the set of its shingles of ``width`` words, the keys of its MinHash bands and its wide SimHash, as arrays of longs."""
 
     def distinct(hashes: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((hashes, of))
@@ -161,15 +177,13 @@ def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 inside = np.flatnonzero(of[width - 1 :] == of[: len(runs)]) if len(runs) else np.zeros(0, np.int64)
                 short = np.flatnonzero((counts > 0) & (counts < width))  # one shingle: all its words, as a sum that their order changes
                 brief = np.array([mix(np.cumsum(h[words.first[d] : words.first[d + 1]]).sum(keepdims=True))[0] for d in short.tolist()], np.uint64)
-                shingles = distinct(np.concatenate([runs[inside], brief]), np.concatenate([of[inside], short]), j - i)
-                columns = []
-                for hashes, n in (distinct(h, of, j - i), shingles):
-                    wide = np.stack([majority(_plane_hashes(hashes, p), n) for p in range(planes)], axis=1).view(np.int64)
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * planes + 1, planes), pa.int32()), pa.array(wide.ravel())))
-                yield pa.record_batch([batch.column(0).slice(i, j - i), *columns], ["id", "w", "s"])
+                hashes, n = distinct(np.concatenate([runs[inside], brief]), np.concatenate([of[inside], short]), j - i)
+                wide = np.stack([majority(_plane_hashes(hashes, p), n) for p in range(planes)], axis=1)
+                columns = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.view(np.int64).ravel())) for x in (_bands(hashes, n), wide)]
+                yield pa.record_batch([batch.column(0).slice(i, j - i), *columns], ["id", "b", "s"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, w array<bigint>, s array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, b array<bigint>, s array<bigint>")
 
 
 def _distance(a: str, b: str, planes: int) -> Column:
@@ -215,20 +229,15 @@ def _full_block_links(members: DataFrame, most: int, planes: int, task_members:
     return tasks.groupBy("task").applyInArrow(run, f"u {members.schema['key'].dataType.simpleString()}, v {members.schema['key'].dataType.simpleString()}")
 
 
-def similar_links(prints: DataFrame, similarity: float = 0.8, planes: int = PLANES, turns: int = TURNS, block_members: int = SIMILAR_BLOCK_MEMBERS, task_members: int = TASK_MEMBERS) -> DataFrame:
-    """Links (u, v) between rows (key, w, s): enough of them to give the same groups as all pairs that share a block of w and whose shingle sets have about this Jaccard similarity or more, by the Hamming distance of s.
+def similar_links(prints: DataFrame, similarity: float = 0.8, planes: int = PLANES, block_members: int = SIMILAR_BLOCK_MEMBERS, task_members: int = TASK_MEMBERS) -> DataFrame:
+    """Links (u, v) between rows (key, b, s): enough of them to give the same groups as all pairs that share a band and whose shingle sets have about this Jaccard similarity or more, by the Hamming distance of s.
 
-    Two sets of similarity j differ in a share acos(2j / (1 + j)) / pi of their bits on average, which sets the distance. Candidates share a
-    block of w; its width follows the logarithm of the row count, so that a block gathers few rows by chance at any size. In a block with more
-    than ``block_members`` all members are compared as well, in tasks of bounded size.
+    Two sets of similarity j differ in a share acos(2j / (1 + j)) / pi of their bits on average, which sets the distance. Whether two rows are
+    compared depends on their own bands alone, not on the other rows: those of a band join in pairs, or in tasks of bounded size where they are
+    more than ``block_members``.
     """
-    n = prints.count()
-    bits = min(40, max(12, n.bit_length() + 2))
     most = round(64 * planes * np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
-    turned = lambda c, k: F.shiftleft(c, k).bitwiseOR(F.shiftrightunsigned(c, 64 - k)) if k else c
-    key = lambda p, turn, width: turned(F.col("w")[p], turn * 20).bitwiseAND(F.lit((1 << width) - 1))
-    blocks = [F.concat_ws(":", F.lit(p * turns + t), key(p, t, bits)) for p in range(planes) for t in range(turns)]
-    rows = prints.select("key", F.explode(F.array(*blocks)).alias("b"))
+    rows = prints.select("key", F.posexplode("b").alias("t", "k")).select("key", F.concat_ws(":", "t", "k").alias("b"))
     sizes = rows.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(rows.join(sizes, "b"))
     few = members.where(F.col("n") <= block_members)
@@ -243,10 +252,10 @@ def similar_links(prints: DataFrame, similarity: float = 0.8, planes: int = PLAN
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component): groups of texts by similarity of their word shingles; component is the least id. Texts with equal fingerprints are merged first."""
     prints = cut(wide_fingerprints(docs, id_col, text_col, width))
-    whole = F.concat_ws(",", F.concat("w", "s"))
+    whole = F.concat_ws(",", F.concat("b", "s"))
     keyed = prints.withColumn("key", F.unhex(F.sha2(whole.cast("binary"), 256)))
-    distinct = cut(keyed.groupBy("key").agg(F.min("id").alias("least"), F.first("w").alias("w"), F.first("s").alias("s")))
-    roots = components(similar_links(distinct.select("key", "w", "s"), similarity))
+    distinct = cut(keyed.groupBy("key").agg(F.min("id").alias("least"), F.first("b").alias("b"), F.first("s").alias("s")))
+    roots = components(similar_links(distinct.select("key", "b", "s"), similarity))
     linked = distinct.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("key", F.col("component").alias("linked"))
     component = cut(distinct.select("key", "least").join(named, "key", "left").select("key", F.coalesce("linked", "least").alias("component")))

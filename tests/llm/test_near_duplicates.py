@@ -138,3 +138,17 @@ def test_full_blocks_compare_every_pair(spark):
             root = {bytes(r.node): bytes(r.root) for r in components(links).collect()}
             mine = [root.get(k, k) for k in keys]
             assert all((mine[i] == mine[j]) == (find(i) == find(j)) for i in range(len(s)) for j in range(i)), (most, task_members)
+
+
+def test_pairs_meet_whatever_the_other_rows_are(spark):
+    """The bands of a text are its own, and nearly all pairs at 0.8 share one."""
+    texts = variants(400)
+    both = [texts[0], *texts[1:]]
+    alone = {r.id: list(r.b) for r in simhash.wide_fingerprints(spark.createDataFrame(list(enumerate(both)), "doc_id long, text string")).collect()}
+    close = [i for i in range(1, 401) if jaccard(both[0], both[i]) >= 0.8]
+    assert len(close) > 300 and sum(any(x == y for x, y in zip(alone[0], alone[i])) for i in close) == len(close)
+    rows = [(bytes([k]), b, [0] * 8) for k, b in enumerate((alone[0], alone[close[0]]))]
+    others = [(b"\xff" + k.to_bytes(4), [int(x) for x in np.random.default_rng(k).integers(-(1 << 62), 1 << 62, simhash.BANDS)], [-1] * 8) for k in range(3000)]
+    for more in ([], others):
+        links = simhash.similar_links(spark.createDataFrame(rows + more, "key binary, b array<bigint>, s array<bigint>"))
+        assert [(bytes(r.u), bytes(r.v)) for r in links.collect()] == [(b"\x00", b"\x01")]
