@@ -132,6 +132,8 @@ RULES = (
     Rule("shouting", lambda t: (t.n_letters > 0) & (10 * t.n_upper > 7 * t.n_letters), "n_letters > 0 AND 10 * n_upper > 7 * n_letters"),
     Rule("repeated_lines", lambda t: 10 * t.n_dup_lines > t.n_words, "10 * n_dup_lines > n_words"),
 )
+#: Beyond op8's contract, for the pipeline: separators that stand as words of their own ("a | b | c") stay below 0.5 a word however many they are.
+SEPARATORS = Rule("separators", lambda t: 10 * t.n_symbols > t.n_words, "10 * n_symbols > n_words")
 
 
 def plan(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:

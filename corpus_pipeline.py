@@ -15,8 +15,8 @@ from cadenza.session import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every quality rule."""
-    return quality.keep(docs)
+    """Documents that pass every quality rule, and hold no more than a tenth of a symbol a word."""
+    return quality.keep(docs, rules=(*quality.BASE_RULES, *quality.RULES, quality.SEPARATORS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
