@@ -6,7 +6,7 @@ each further term's positions, less its own offset, are intersected with what is
 bounded size, so that a benchmark of any size works; nothing of the corpus is sent to the driver.
 
 Defined results: a null text has no words, and an item without words no windows; an item of fewer words than a window is one window; items
-that share an id are one item of several texts; a null item id is never reported; repeated documents are judged one by one; empty tables give no
+that share an id are one item of several texts; an item with a null id is searched like any other, only its name is never reported; repeated documents are judged one by one; empty tables give no
 hits or an empty result; other columns are ignored, and remove() passes them through. Terms are told apart by 64-bit hashes.
 """
 
@@ -124,7 +124,7 @@ def _windows(counts: np.ndarray, window: int) -> tuple[int, np.ndarray]:
 def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[object, np.ndarray]]]:
     """The test phrases as (item id, term hashes), in blocks of about ``block_words`` words."""
     block, size = [], 0
-    for row in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").toLocalIterator():
+    for row in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator():
         data = np.frombuffer(row["t"].encode(), np.uint8)
         hashes = Words(data, np.array([0, len(data)]), ALNUM, lower=True).hashes()
         if not len(hashes):

@@ -158,3 +158,16 @@ def test_written_shards_hold_all_rows(spark, tmp_path):
     sharding.write_shards(docs, f"{tmp_path}/s", 4)
     back = spark.read.parquet(f"{tmp_path}/s")
     assert sorted((r.doc_id, r.text, r.source, r.extra) for r in back.collect()) == rows and set(r._shard for r in back.collect()) == {0, 1, 2, 3}
+
+
+def test_items_with_a_null_id_are_searched_and_not_named(spark):
+    rng = np.random.default_rng(11)
+    draw = lambda n: " ".join(f"t{i}" for i in rng.integers(0, 80, n))
+    passage, named = draw(20), draw(20)
+    docs = spark.createDataFrame([(1, draw(30) + " " + passage), (2, draw(50)), (3, passage + " " + named)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage), (4, named)], "item_id long, text string")
+    found = {r.id: (r.n_hit, list(r["items"]), r.contaminated) for r in decontaminate.judge(docs, items).collect()}
+    assert found == {1: (20, [], True), 2: (0, [], False), 3: (40, ["4"], True)}
+    assert [r.doc_id for r in decontaminate.remove(docs, items.where("item_id is null")).collect()] == [2]
+    empty = spark.createDataFrame([(None, passage)], "item_id string, text string")
+    assert decontaminate.judge(docs, empty).where("contaminated").count() == 2
