@@ -5,6 +5,9 @@ Searches take a stated set of queries against all rows. Queries travel to the ro
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,10 +15,16 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import by_seq
 
-#: Queries that travel to the rows at most.
+#: Queries that travel to the rows at once, or about so many.
 MOST_QUERIES = 10_000
 
 
+def _in_blocks(queries: DataFrame, id_col: str, most_queries: int, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The union of what ``found`` gives for each block of the queries."""
+    blocks = max(1, -(-queries.count() // most_queries))
+    return reduce(DataFrame.unionByName, [found(queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == k) if blocks > 1 else queries) for k in range(blocks)])
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of numbers; 0 if either has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -24,13 +33,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", most_queries: int = MOST_QUERIES) -> DataFrame:
-    """(query, neighbour, rank, score): exact cosine neighbours of each query among all other rows. More than ``most_queries`` queries are refused."""
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
-    q = queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("qv"))
-    scored = vectors.select(F.col(id_col).alias("neighbour"), F.col(vector_col).alias("v")).join(F.broadcast(q), F.col("neighbour") != F.col("query")).select("query", "neighbour", F.round(cosine(F.col("qv"), F.col("v")), 9).alias("score"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "neighbour")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    """(query, neighbour, rank, score): exact cosine neighbours of each query among all other rows. Queries go in blocks of about ``most_queries``."""
+
+    def found(block: DataFrame) -> DataFrame:
+        q = block.select(F.col(id_col).alias("query"), F.col(vector_col).alias("qv"))
+        scored = vectors.select(F.col(id_col).alias("neighbour"), F.col(vector_col).alias("v")).join(F.broadcast(q), F.col("neighbour") != F.col("query")).select("query", "neighbour", F.round(cosine(F.col("qv"), F.col("v")), 9).alias("score"))
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "neighbour")
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+    return _in_blocks(queries, id_col, most_queries, found)
 
 
 def pearson_to(notes: DataFrame, query: int, column: str = "pitch") -> DataFrame:
@@ -65,19 +76,26 @@ def lcs(a: np.ndarray, b: np.ndarray, tolerance: float = 0.0) -> int:
     return int(row[-1])
 
 
-def align_to(notes: DataFrame, query: int, least_notes: int = 10) -> DataFrame:
-    """(piece_id, dtw_distance, dtw_similarity, lcs_length, lcs_similarity): every other piece of at least ``least_notes`` notes against one; warping on intervals, subsequences on pitches within one semitone."""
-    rows = notes.where(F.col("piece_id") == query).orderBy("seq").select("pitch").toPandas()["pitch"].to_numpy()
+def align_to(notes: DataFrame, queries: DataFrame, least_notes: int = 10, most_queries: int = 500) -> DataFrame:
+    """(query, piece_id, dtw_distance, dtw_similarity, lcs_length, lcs_similarity): every piece of at least ``least_notes`` notes against each other piece in ``queries``; warping on intervals, subsequences on pitches within one semitone."""
+
+    def series(n: DataFrame) -> DataFrame:
+        return n.groupBy("piece_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "pitch"))), lambda x: x["pitch"]).alias("x"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for query, piece, q, x in frame[["query", "piece_id", "q", "x"]].itertuples(index=False):
+                d, common = dtw(np.diff(x), np.diff(q)), lcs(x, q, 1.0)
+                rows.append((query, piece, d, max(0.0, 1 - d / max(len(x) + len(q) - 2, 1)), common, common / max(len(x), len(q), 1)))
+            yield pd.DataFrame(rows, columns=["query", "piece_id", "dtw_distance", "dtw_similarity", "lcs_length", "lcs_similarity"])
 
-    def run(piece: pd.DataFrame) -> pd.DataFrame:
-        x = piece.sort_values("seq")["pitch"].to_numpy()
-        if len(x) < least_notes:
-            return pd.DataFrame({"piece_id": pd.Series(dtype="int64"), "dtw_distance": pd.Series(dtype=float), "dtw_similarity": pd.Series(dtype=float), "lcs_length": pd.Series(dtype="int32"), "lcs_similarity": pd.Series(dtype=float)})
-        d = dtw(np.diff(x), np.diff(rows))
-        common = lcs(x, rows, 1.0)
-        return pd.DataFrame([[piece["piece_id"].iloc[0], d, max(0.0, 1 - d / max(len(x) + len(rows) - 2, 1)), common, common / max(len(x), len(rows), 1)]], columns=["piece_id", "dtw_distance", "dtw_similarity", "lcs_length", "lcs_similarity"])
+    def found(block: DataFrame) -> DataFrame:
+        mine = F.broadcast(block.select(F.col("piece_id").alias("query"), F.col("x").alias("q")))
+        return pieces.join(mine, F.col("piece_id") != F.col("query")).mapInPandas(run, "query bigint, piece_id bigint, dtw_distance double, dtw_similarity double, lcs_length int, lcs_similarity double")
 
-    return notes.where(F.col("piece_id") != query).select("piece_id", "seq", "pitch").groupBy("piece_id").applyInPandas(run, "piece_id bigint, dtw_distance double, dtw_similarity double, lcs_length int, lcs_similarity double")
+    pieces = series(notes).where(F.size("x") >= least_notes)
+    return _in_blocks(series(queries), "piece_id", most_queries, found)
 
 
 def lsh_buckets(vectors: DataFrame, bands: int = 20, rows: int = 5, threshold: float = 0.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
