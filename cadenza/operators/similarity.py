@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from ..functions.columns import by_seq
 
 #: Queries that travel to the rows at once, or about so many.
 MOST_QUERIES = 10_000
+#: Bands and sign bits of a band in the index of vectors, which reach the nearest ten even where no vectors lie close to each other.
+BANDS, BAND_BITS = 64, 6
 
 
 def _in_blocks(queries: DataFrame, id_col: str, most_queries: int, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -98,12 +101,22 @@ def align_to(notes: DataFrame, queries: DataFrame, least_notes: int = 10, most_q
     return _in_blocks(series(queries), "piece_id", most_queries, found)
 
 
-def lsh_buckets(vectors: DataFrame, bands: int = 20, rows: int = 5, threshold: float = 0.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, band, bucket): MinHash bands over the coordinates above the threshold. Thresholding first matters: on dense vectors every signature would be the same."""
-    support = F.filter(F.transform(F.col(vector_col), lambda v, i: F.when(v > threshold, i)), lambda i: i.isNotNull())
-    minimum = lambda k: F.array_min(F.transform(support, lambda i: F.xxhash64(i, F.lit(k))))
-    listed = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.md5(F.concat_ws(",", *[minimum(b * rows + r).cast("string") for r in range(rows)])).alias("bucket")) for b in range(bands)]))
-    return vectors.select(F.col(id_col).alias("id"), listed.alias("x")).select("id", "x.*")
+def lsh_buckets(vectors: DataFrame, bands: int = BANDS, bits: int = BAND_BITS, seed: int = 42, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, band, bucket): the signs of ``bits`` random projections in each band. Rows without a vector have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [np.array(v, float) for v in batch.column(1).to_pylist()]
+            x = np.zeros((len(vectors), max(map(len, vectors), default=0)))
+            for row, v in zip(x, vectors):
+                row[: len(v)] = np.nan_to_num(v)
+            planes = np.random.default_rng(seed).standard_normal((x.shape[1], bands * bits))  # row by row, so that each coordinate has its own at any length
+            buckets = (x @ planes > 0).reshape(len(x), bands, bits) @ (1 << np.arange(bits))
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(x)), bands)))
+            yield pa.record_batch([ids, pa.array(np.tile(np.arange(bands), len(x)), pa.int32()), pa.array(buckets.ravel(), pa.int64())], ["id", "band", "bucket"])
+
+    kind = vectors.schema[id_col].dataType.simpleString()
+    return vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull()).mapInArrow(run, f"id {kind}, band int, bucket bigint")
 
 
 def lsh_search(vectors: DataFrame, queries: DataFrame, top: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -1,6 +1,8 @@
 """Searches take every query, in blocks, and the index finds what the exact search finds."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from cadenza.operators import similarity as sim
 from cadenza.plans import catalog
@@ -27,3 +29,14 @@ def test_alignment_in_blocks_equals_each_query_by_itself(spark):
     both = rows("piece_id % 20 = 0", 1)
     assert both == rows("piece_id % 20 = 0", 100) == sorted(rows("piece_id = 0", 9) + rows("piece_id = 20", 9))
     assert [r[:2] for r in both] == [(0, 1), (0, 20), (20, 0), (20, 1)]
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
+def test_index_finds_nine_of_ten_nearest(spark, folder):
+    v = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    q = v.where(F.col("vec_id") % 20 == 0)
+    pairs = lambda d: {tuple(r) for r in d.select("query", "neighbour").collect()}
+    exact = pairs(sim.nearest(v, q))
+    recall = len(exact & pairs(sim.lsh_search(v, q))) / len(exact)
+    print(folder, "recall", recall)
+    assert recall >= 0.9
