@@ -1,7 +1,7 @@
 """License scans: a trained paragraph classifier over sparse word n-grams, with an unknown class and a template check. DataFrame functions only.
 
-Paragraphs are lines. A paragraph without any of the stems below is unknown by rule, since no template lacks them; all others get n-gram scores
-of every family, a calibrated probability, and a comparison with the family's templates. A family counts only if the probability passes the
+Paragraphs are lines. A paragraph in which none of the model's marks stands (telling_words) is unknown whatever else it holds, since its other
+words cannot lift any family over the threshold; all others get n-gram scores of every family, a calibrated probability, and a comparison with the family's templates. A family counts only if the probability passes the
 threshold and the templates agree. The model is fitted on the driver from the templates in this file, varied by rule; its size is fixed.
 
 Defined results: a null or empty text has no paragraphs and no licence; an empty table gives an empty result; repeated rows are judged alike; very
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .shared import table
 
 UNKNOWN = "unknown"
-#: A licence paragraph has one of these in it; "licen" covers both spellings.
-STEMS = ("licen", "copyright", "warrant", "redistribut", "permission", "public domain", "spdx", "rights reserved", "cc by", "cc0", "creative commons")
 THRESHOLD, AGREEMENT = 0.6, 0.5
+#: Words of prose that are tried first as words which tell nothing; whether they do is for the model to say.
+_PROSE = ("of", "and", "that", "it", "be", "with", "by", "this", "or", "the", "in", "to", "a", "no", "#")
 
 #: Public licence wordings by family: notices, grants and the sentences by which each is known.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -148,12 +148,37 @@ def _grams(words: Column, n: int) -> Column:
     return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
-def _has_stem(lowered: Column) -> Column:
-    """Whether a text in lower case has one of the stems. Plain searches: they cost little next to a pattern."""
-    found = F.lit(False)
-    for stem in STEMS:
-        found = found | F.contains(lowered, F.lit(stem))
-    return found
+@cache
+def telling_words(threshold: float = THRESHOLD) -> tuple[str, ...]:
+    """Words of which every paragraph that ``classify`` gives a family has one.
+
+    A family's probability is at most the logistic of its lead over unknown, and its lead is at most its bias and the positive leads of all
+    n-grams made of the other words. Words are set aside, cheapest first, as long as no family can pass the threshold by them.
+    """
+    m, unknown = train(), len(TEMPLATES)
+    lead = {g: np.maximum(np.array(w) - w[unknown], 0)[:unknown] for g, w in m.weights.items()}
+    most = (np.array(m.bias) - m.bias[unknown])[:unknown]
+    needed = m.temperature * np.log(threshold / (1 - threshold)) - 1e-6 if 0 < threshold < 1 else -np.inf
+    words = sorted({w for g in lead for w in g.split()}, key=lambda w: (w not in _PROSE, float(lead[w].max()) if w in lead else 0.0, w))
+    grams: dict[str, list[str]] = {w: [g for g in lead if w in g.split()] for w in words}
+    aside: set[str] = set()
+    for w in words:
+        added = sum((lead[g] for g in grams[w] if set(g.split()) <= aside | {w}), np.zeros(unknown))
+        if (most + added < needed).all():
+            most, aside = most + added, aside | {w}
+    return tuple(w for w in words if w not in aside)
+
+
+def _tells(text: Column, threshold: float) -> Column:
+    """Whether a text has one of the telling words, as classify() cuts words. False only where classify() is sure to say unknown."""
+    m, listed = train(), telling_words(threshold)
+    if not 0 < threshold < 1 or max(m.bias) > m.bias[-1]:
+        return F.lit(True)
+    by_letter: dict[str, list[str]] = {}
+    for w in sorted(set(listed) - {"#"}, reverse=True):
+        by_letter.setdefault(w[0], []).append(w[1:])
+    letters = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by_letter.items())
+    return F.coalesce(text.rlike(rf"(?i)(?<![a-z])(?:{letters})(?![a-z])" + ("|[0-9]" if "#" in listed else "")), F.lit(False))
 
 
 def classify(paragraph: Column, model: Model | None = None, threshold: float = THRESHOLD, agreement: float = AGREEMENT) -> Column:
@@ -195,8 +220,8 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, agreement: float = AGREEMENT) -> DataFrame:
     """(id, paragraph, text, family, probability, agreement) of the paragraphs that carry a known licence; paragraph counts lines from 0."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.lower(F.col(text_col)).alias("low")).where(_has_stem(F.col("low")))
-    lines = rows.select("id", F.posexplode(F.split("t", "\n")).alias("paragraph", "text")).where(_has_stem(F.lower("text")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(_tells(F.col("t"), threshold))
+    lines = rows.select("id", F.posexplode(F.split("t", "\n")).alias("paragraph", "text")).where(_tells(F.col("text"), threshold))
     return lines.withColumn("c", classify(F.col("text"), None, threshold, agreement)).select("id", "paragraph", "text", "c.*").where(F.col("family") != UNKNOWN)
 
 
@@ -204,8 +229,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     """(id, n_paragraphs, n_licensed, families, family, probability) of every row: families in order of name, and the one of the surest paragraph, else unknown. All in one row, so nothing is shuffled."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     # a line counts where a character that is no white space follows a line break or the start
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.lower(text).alias("low"), F.regexp_count(text, F.lit(r"(?m)^[^\S\n]*\S")).cast("long").alias("n_paragraphs"))
-    marked = F.when(_has_stem(F.col("low")), F.filter(F.split("t", "\n"), lambda x: _has_stem(F.lower(x)))).otherwise(F.array().cast("array<string>"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.regexp_count(text, F.lit(r"(?m)^[^\S\n]*\S")).cast("long").alias("n_paragraphs"))
+    marked = F.when(_tells(F.col("t"), threshold), F.filter(F.split("t", "\n"), lambda x: _tells(x, threshold))).otherwise(F.array().cast("array<string>"))
     found = F.filter(F.transform("marked", lambda x: classify(x, None, threshold, agreement)), lambda c: c["family"] != UNKNOWN)
     rows = rows.select("id", "n_paragraphs", marked.alias("marked")).select("id", "n_paragraphs", found.alias("found"))
     best = F.array_max(F.transform("found", lambda c: F.struct(c["probability"].alias("p"), c["family"].alias("f"))))

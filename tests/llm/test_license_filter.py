@@ -1,0 +1,22 @@
+"""The filter before the licence classifier loses nothing that the classifier finds."""
+
+from pyspark.sql import functions as F
+
+from cadenza.llm import licenses
+
+STEMLESS = ["Released under the GPL version 3.", "Distributed under CC-BY 4.0", "GPL version 3 or later", "Under the MIT", "the Mozilla Public terms", "UNDER THE GNU GENERAL PUBLIC", "of the and to in a", "", "x"]
+
+
+def test_scan_finds_what_classify_finds_on_every_paragraph(spark, sf_dir):
+    texts = [*STEMLESS, *licenses.OTHERS, *[t for ts in licenses.TEMPLATES.values() for t in ts]]
+    words = [t.split() for t in texts]
+    texts += [" ".join(w[k : k + 4]) for w in words for k in range(0, len(w), 2)]
+    made = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = made.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring("text", 1, 1500).alias("text")))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).repartition(8)
+    every = lines.withColumn("c", licenses.classify(F.col("line"))).where(F.col("c.family") != licenses.UNKNOWN).select("doc_id", "paragraph", "c.family")
+    want = {tuple(r) for r in every.collect()}
+    assert {tuple(r) for r in licenses.paragraphs(docs).select("id", "paragraph", "family").collect()} == want
+    counts = {r.id: r.n_licensed for r in licenses.scan(docs).collect()}
+    assert {d for d, n in counts.items() if n} == {d for d, _, _ in want} and sum(counts.values()) == len(want)
+    assert counts[-1] == counts[-2] == 1
