@@ -28,8 +28,8 @@ def state_ngrams(notes: DataFrame, column: str = "pitch", least_length: int = 3,
     return rows.select("piece_id", grams.alias("g")).select("piece_id", "g.*").where(F.col("pattern").isNotNull()).groupBy("piece_id", "length", "pattern").agg(F.count("*").alias("support")).where(F.col("support") >= least_support)
 
 
-def mine(notes: DataFrame, least_length: int = 4, most_length: int = 12, least_support: int = 3, shuffles: int = 25, top: int = 500, seed: int = 42) -> DataFrame:
-    """(piece_id, rank, pattern, length, support, z): motifs against shuffled intervals, best z first.
+def mine(notes: DataFrame, least_length: int = 4, most_length: int = 12, least_support: int = 3, shuffles: int = 25, top: int | None = 500, seed: int = 42) -> DataFrame:
+    """(piece_id, rank, pattern, length, support, z): motifs against shuffled intervals, best z first; all of them if ``top`` is None.
 
     One generator per piece shuffles one array on and on, over the patterns in order of length and first appearance, so results depend on
     the seed and the piece alone. Counting shuffled copies is sequential by nature and runs in numpy, a piece at a time.

@@ -81,8 +81,8 @@ QUERIES = {
     "predict_next_states": lambda s, d: rounded(mk.predict_next(mk.transitions(views.motes(s, d), F.col("pitch"), ["piece_id"]), 3, ["piece_id"])),
     "interval_ngrams": lambda s, d: mo.interval_ngrams(views.motes(s, d), (3, 4, 5)),
     "repeating_patterns": lambda s, d: mo.state_ngrams(views.motes(s, d), most_length=8),
-    "motif_mining": lambda s, d: rounded(mo.mine(views.motes(s, d), 3, 6, 2, 5, 20)),
-    "motif_summary": lambda s, d: rounded(mo.summary(mo.mine(views.motes(s, d), 3, 6, 2, 5, 20))),
+    "motif_mining": lambda s, d: rounded(mo.mine(views.motes(s, d), 3, 12, 2)),
+    "motif_summary": lambda s, d: rounded(mo.summary(mo.mine(views.motes(s, d), 3, 12, 2, top=None))),
     "instrument_view": lambda s, d: rounded(views.instruments(s, d)),
     "instrument_transitions": lambda s, d: rounded(ins.transitions(views.instruments(s, d))),
     "instrument_layers": lambda s, d: rounded(ins.layers(i := views.instruments(s, d), ins.transitions(i))),
