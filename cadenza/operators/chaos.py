@@ -25,6 +25,10 @@ def _embed(x: np.ndarray, dim: int, tau: int) -> np.ndarray:
     return np.stack([x[d * tau : d * tau + rows] for d in range(dim)], axis=1) if rows > 0 else np.zeros((0, dim))
 
 
+#: Pairs of points whose distances are held at once.
+_BLOCK_PAIRS = 1 << 20
+
+
 def _distances(points: np.ndarray) -> np.ndarray:
     return np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
 
@@ -51,15 +55,18 @@ def lyapunov(x: np.ndarray, dim: int = 3, tau: int = 1, apart: int = 5, steps: i
     n = len(points)
     if n < steps + apart:
         return 0.0
-    distance = _distances(points)
-    far = np.abs(np.subtract.outer(np.arange(n), np.arange(n))) > apart
-    nearest = np.where(far, distance, np.inf)[: n - steps]
-    rows = np.flatnonzero(np.isfinite(nearest).any(axis=1))
-    partner = nearest.argmin(axis=1)[rows]
+    found, block = [], max(1, _BLOCK_PAIRS // n)
+    for begin in range(0, n - steps, block):  # a block of rows against all points at a time
+        rows = np.arange(begin, min(begin + block, n - steps))
+        distance = np.sqrt(sum((np.subtract.outer(points[rows, k], points[:, k])) ** 2 for k in range(dim)))
+        distance[np.abs(np.subtract.outer(rows, np.arange(n))) <= apart] = np.inf
+        some = np.isfinite(distance).any(axis=1)
+        found.append(np.stack([rows[some], distance.argmin(axis=1)[some]]))
+    rows, partner = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
     means = []
     for k in range(steps):
         inside = (rows + k < n) & (partner + k < n)
-        d = distance[rows[inside] + k, partner[inside] + k]
+        d = np.sqrt(((points[rows[inside] + k] - points[partner[inside] + k]) ** 2).sum(axis=1))
         if (d > 0).any():
             means.append((k, np.log(d[d > 0]).mean()))
     return float(np.polyfit(*np.array(means).T, 1)[0]) if len(means) >= 3 else 0.0

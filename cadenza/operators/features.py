@@ -6,7 +6,7 @@ distribution by piece_id. Degenerate pieces give the constants named in each doc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -104,15 +104,24 @@ def fractal_dimension(notes: DataFrame, most: int = 8) -> DataFrame:
     return counted.groupBy("piece_id").agg(F.when(F.max("n") < 4, 1.0).otherwise(slope).alias("fractal_dimension"))
 
 
-def _self_similarity(pitches: np.ndarray, window: int) -> np.ndarray:
-    """Cosines between pitch-class histograms of all windows but the last."""
+def window_histograms(pitches: np.ndarray, window: int) -> np.ndarray:
+    """Pitch-class histograms of all windows but the last, of length one."""
     n = len(pitches) - window
     if n <= 0:
-        return np.zeros((0, 0))
+        return np.zeros((0, 12))
     running = np.vstack([np.zeros(12), np.cumsum(np.eye(12)[pitches % 12], axis=0)])
     hist = running[window : window + n] - running[:n]
-    hist /= np.linalg.norm(hist, axis=1, keepdims=True)
-    return hist @ hist.T
+    return hist / np.linalg.norm(hist, axis=1, keepdims=True)
+
+
+def _mean_similarity(pitches: np.ndarray, window: int, apart: int) -> float:
+    """The mean cosine of windows at least ``apart`` steps apart; 0 for fewer than ten windows. From sums of histograms, with no matrix of pairs."""
+    hist = window_histograms(pitches, window)
+    n = len(hist) - apart
+    if len(hist) < 10 or n <= 0:
+        return 0.0
+    later = np.cumsum(hist[::-1], axis=0)[::-1]  # of each window and all after it
+    return float((hist[:n] * later[apart:]).sum() / (n * (n + 1) / 2))
 
 
 def _spectrum(pitches: np.ndarray) -> tuple[float, float, float, float]:
@@ -124,20 +133,17 @@ def _spectrum(pitches: np.ndarray) -> tuple[float, float, float, float]:
     return float((np.arange(len(power)) * power).sum() / total), float(-(p * np.log2(p)).sum()), float(power.argmax()), float(np.exp(np.log(power + 1e-8).mean()) / (power.mean() + 1e-8))
 
 
-def spectral_and_repetition(notes: DataFrame, window: int = 20, apart: int = 5) -> DataFrame:
-    """Spectrum of the mean-free pitches (all 0 without any change) and mean similarity of windows at least ``apart`` steps apart (0 for fewer than ten windows).
-
-    A Fourier transform is not an aggregate that SQL has; it runs in numpy on the piece's ordered pitches, where the row is.
-    """
-    rows = notes.groupBy("piece_id").agg(_ordered_pitches())
+def _of_pitches(rows: DataFrame, measure: Callable[[np.ndarray], tuple[float, ...]], names: Sequence[str]) -> DataFrame:
+    """rows without their last column, the ordered pitches, and with what ``measure`` makes of them."""
+    kept = rows.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_sequential(np.array(p.as_py()), window, apart)[:-1] for p in batch.column(1)]
-            yield pa.record_batch([batch.column(0), *_columns(found, len(_SEQUENTIAL) - 1)], ["piece_id", *_SEQUENTIAL[:-1]])
+            found = [measure(np.array(p.as_py())) for p in batch.column(len(kept))]
+            yield pa.record_batch([*batch.columns[:-1], *_columns(found, len(names))], [*batch.schema.names[:-1], *names])
 
-    kind = notes.schema["piece_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"piece_id {kind}, " + ", ".join(f"{c} double" for c in _SEQUENTIAL[:-1]))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), *(f"{c} double" for c in names)])
+    return rows.mapInArrow(run, schema)
 
 
 def _ordered_pitches() -> Column:
@@ -146,9 +152,7 @@ def _ordered_pitches() -> Column:
 
 def _sequential(x: np.ndarray, window: int, apart: int) -> tuple[float, ...]:
     """The measures of _SEQUENTIAL of one piece's pitches."""
-    similar = _self_similarity(x.astype(int), window)
-    pairs = similar[np.triu_indices(len(similar), apart)]
-    return (*_spectrum(x), float(pairs.mean()) if len(similar) >= 10 and len(pairs) else 0.0, _box_dimension(x))
+    return (*_spectrum(x), _mean_similarity(x.astype(int), window, apart), _box_dimension(x))
 
 
 def _columns(rows: list[tuple[float, ...]], n: int) -> list[pa.Array]:
@@ -156,13 +160,38 @@ def _columns(rows: list[tuple[float, ...]], n: int) -> list[pa.Array]:
 
 
 def spectral_features(notes: DataFrame) -> DataFrame:
-    return spectral_and_repetition(notes).drop("repetition_index")
+    """Spectrum of the mean-free pitches (all 0 without any change).
+
+    A Fourier transform is not an aggregate that SQL has; it runs in numpy on the piece's ordered pitches, where the row is.
+    """
+    return _of_pitches(notes.groupBy("piece_id").agg(_ordered_pitches()), _spectrum, _SEQUENTIAL[:4])
 
 
 def structural_features(notes: DataFrame) -> DataFrame:
-    """Repetition, fractal dimension, distinct pitch classes, note count."""
-    counts = notes.groupBy("piece_id").agg(F.count_distinct(F.pmod("pitch", F.lit(12))).cast("double").alias("unique_pitch_classes"), F.count("*").cast("double").alias("total_notes"))
-    return counts.join(spectral_and_repetition(notes).select("piece_id", "repetition_index"), "piece_id").join(fractal_dimension(notes), "piece_id")
+    """Repetition, fractal dimension, distinct pitch classes, note count, in one pass over the notes."""
+    classes = F.size(F.collect_set(F.pmod("pitch", F.lit(12)))).cast("double").alias("unique_pitch_classes")
+    rows = notes.groupBy("piece_id").agg(classes, F.count("*").cast("double").alias("total_notes"), _ordered_pitches())
+    return _of_pitches(rows, lambda x: (_mean_similarity(x.astype(int), 20, 5), _box_dimension(x)), _SEQUENTIAL[4:])
+
+
+def self_similarity(notes: DataFrame, window: int = 20) -> DataFrame:
+    """(piece_id, i, j, similarity) for i <= j: the matrix of cosines between pitch-class histograms of windows, as rows; pieces of ``window`` notes or fewer have none.
+
+    The matrix is quadratic in a piece's notes by definition; it comes out line by line, so that no more than one line is held.
+    """
+    rows = notes.groupBy("piece_id").agg(_ordered_pitches())
+    kind = notes.schema["piece_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, pitches in enumerate(batch.column(1)):
+                hist = window_histograms(np.array(pitches.as_py()).astype(int), window)
+                for i in range(len(hist)):
+                    j = np.arange(i, len(hist), dtype=np.int32)
+                    piece = batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(j), np.int64)))
+                    yield pa.record_batch([piece, pa.array(np.full(len(j), i, np.int32)), pa.array(j), pa.array(hist[i:] @ hist[i])], ["piece_id", "i", "j", "similarity"])
+
+    return rows.mapInArrow(run, f"piece_id {kind}, i int, j int, similarity double")
 
 
 def _box_dimension(pitches: np.ndarray, most: int = 8) -> float:
@@ -189,11 +218,5 @@ def feature_matrix(notes: DataFrame, pieces: DataFrame | None = None, least_note
     wide = steps.groupBy("piece_id").agg(*_pitch(), *_interval(), *_harmony(), *_rhythm(), F.count("*").cast("double").alias("total_notes"), _ordered_pitches()).where(F.col("total_notes") >= least_notes)
     wide = wide.select(*[c for c in wide.columns if c != "_pitches"], F.col("chromatic_saturation").alias("unique_pitch_classes"), "_pitches")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            more = _columns([_sequential(np.array(p.as_py()), window, apart) for p in batch.column(batch.num_columns - 1)], len(_SEQUENTIAL))
-            yield pa.record_batch([*batch.columns[:-1], *more], [*batch.schema.names[:-1], *_SEQUENTIAL])
-
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in wide.schema.fields[:-1]), *(f"{c} double" for c in _SEQUENTIAL)])
-    full = wide.mapInArrow(run, schema)
+    full = _of_pitches(wide, lambda x: _sequential(x, window, apart), _SEQUENTIAL)
     return full if pieces is None else full.join(pieces, "piece_id", "left")

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from .features import CONSONANCE
 
 #: Per style the entropy band, least consonance, least step ratio, repetition target and fractal band.
@@ -143,7 +144,8 @@ def classify(df: DataFrame, columns: list[str], label: str, folds: int = 3, tree
     if kept.isEmpty():
         return kept.select(F.col(label).alias("label"), F.col(label).alias("predicted"), F.lit(0).cast("bigint").alias("n"))
     indexed = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(kept)
-    rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(indexed.transform(kept)).withColumn("_fold", F.pmod(F.xxhash64(id_col), F.lit(folds))).cache()
+    rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(indexed.transform(kept)).withColumn("_fold", F.pmod(F.xxhash64(id_col), F.lit(folds)))
+    rows = stored(rows.select(label, "_y", "_x", "_fold"))
     back, out = IndexToString(inputCol="prediction", outputCol="_p", labels=indexed.labels), None
     for k in range(folds):
         model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed).fit(rows.where(F.col("_fold") != k))

@@ -47,11 +47,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, id_col: str =
     return _in_blocks(queries, id_col, most_queries, found)
 
 
-def pearson_to(notes: DataFrame, query: int, column: str = "pitch") -> DataFrame:
-    """(piece_id, r, similarity) of every other piece with one, over the places that both have; (r + 1) / 2, and r = 0 without variation."""
-    mine = F.broadcast(notes.where(F.col("piece_id") == query).select("seq", F.col(column).cast("double").alias("q")))
-    r = notes.where(F.col("piece_id") != query).join(mine, "seq").groupBy("piece_id").agg(F.coalesce(F.corr(F.col(column).cast("double"), "q"), F.lit(0.0)).alias("r"))
-    return r.withColumn("similarity", (F.col("r") + 1) / 2)
+def pearson_to(notes: DataFrame, queries: DataFrame, column: str = "pitch", most_queries: int = 500) -> DataFrame:
+    """(query, piece_id, r, similarity) of every other piece with each piece in ``queries``, over the places that both have; (r + 1) / 2, and r = 0 without variation."""
+    x = F.col(column).cast("double")
+
+    def found(block: DataFrame) -> DataFrame:
+        mine = block.select(F.col("piece_id").alias("query"), F.col("seq").alias("_at"), x.alias("_q"))
+        met = notes.join(F.broadcast(mine), (F.col("seq") == F.col("_at")) & (F.col("piece_id") != F.col("query")))
+        r = met.groupBy("query", "piece_id").agg(F.coalesce(F.corr(x, F.col("_q")), F.lit(0.0)).alias("r"))
+        return r.withColumn("similarity", (F.col("r") + 1) / 2)
+
+    return _in_blocks(queries, "piece_id", most_queries, found)
 
 
 def dtw(a: np.ndarray, b: np.ndarray) -> float:

@@ -77,6 +77,16 @@ def anova(df: DataFrame, by: str, column: str, least_rows: int = 2) -> DataFrame
     return total.select(F.lit(column).alias("feature"), (F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within"), ((between / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))).alias("f_statistic"))
 
 
+def anova_of(df: DataFrame, by: str, columns: Sequence[str], least_rows: int = 2) -> DataFrame:
+    """anova() of several columns, in one pass: a row for each."""
+    long = df.where(F.col(by).isNotNull()).select(by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([by], list(columns), "feature", "value").where("value is not null")
+    groups = long.groupBy("feature", by).agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")).where(F.col("n") >= least_rows)
+    sums = [F.sum("n").alias("n"), F.count("*").cast("double").alias("k"), F.sum(F.col("n") * F.col("m")).alias("nm")]
+    total = groups.groupBy("feature").agg(*sums, F.sum(F.col("n") * F.col("m") * F.col("m")).alias("nmm"), F.sum(F.col("n") * F.col("v")).alias("within"))
+    between, inner, outer = F.col("nmm") - F.col("nm") * F.col("nm") / F.col("n"), F.col("k") - 1, F.col("n") - F.col("k")
+    return total.select("feature", inner.alias("df_between"), outer.alias("df_within"), ((between / inner) / (F.col("within") / outer)).alias("f_statistic"))
+
+
 def t_test(df: DataFrame, by: str, column: str, first: str, second: str) -> DataFrame:
     """One row: pooled two-sample t statistic and degrees of freedom."""
     moments = [f(F.when(F.col(by) == g, F.col(column))).alias(f"{n}{i}") for i, g in enumerate((first, second)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))]

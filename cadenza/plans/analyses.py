@@ -37,7 +37,7 @@ QUERIES = {
     "progression_patterns": lambda s, d: rounded(forms.progression_patterns(forms.chords(views.notes(s, d).withColumn("start", F.floor(F.col("start") / 4) * 4)))),
     "palindromes": _m(forms.palindromes), "structural_mirrors": _m(lambda n: forms.structural_mirrors(n, threshold=0.75)), "retrograde_motion": _m(lambda n: forms.retrograde_motion(n, 3)), "symmetry_score": _m(forms.symmetry_score),
     "phase_space_embedding": _n(chaos.embedding), "chaos": _n(chaos.analyze),
-    "cosine_neighbours": lambda s, d: rounded(sim.nearest(v := _vectors(s, d), v.where("vec_id % 100 = 0"))), "pearson_similarity": _n(lambda n: sim.pearson_to(n, 0)), "alignment_similarity": _n(lambda n: sim.align_to(n, n.where("piece_id % 20 = 0"))),
+    "cosine_neighbours": lambda s, d: rounded(sim.nearest(v := _vectors(s, d), v.where("vec_id % 20 = 0"))), "pearson_similarity": _n(lambda n: sim.pearson_to(n, n.where("piece_id % 20 = 0"))), "alignment_similarity": _n(lambda n: sim.align_to(n, n.where("piece_id % 20 = 0"))),
     "lsh_search": lambda s, d: rounded(sim.lsh_search(v := _vectors(s, d), v.where("vec_id % 20 = 0"))), "normalized_series": _n(sim.normalized), "interval_series": _n(lambda n: sim.sequence_of(n, "interval")),
 }
 ORACLE_SQL = {
@@ -59,10 +59,10 @@ SELECT piece_id, {R(f"CASE WHEN max(n) < 5 THEN 0 ELSE greatest(0, sum(h * ln(h
     "retrograde_motion": f"""WITH {MOTES_SQL}, l AS (SELECT piece_id, list(pitch ORDER BY seq) AS v FROM motes GROUP BY piece_id),
 w AS (SELECT piece_id, v[i + 1:i + 3] = list_reverse(v[i + 4:i + 6]) AS h FROM (SELECT piece_id, v, unnest(range(0, len(v) - 5)) AS i FROM l) AS x) SELECT piece_id, coalesce(bool_or(h), false) AS has_retrograde FROM w GROUP BY piece_id""",
     "phase_space_embedding": f"WITH {NOTES_SQL}, e AS (SELECT piece_id, seq, CAST(pitch AS DOUBLE) AS a, CAST(lead(pitch) OVER w AS DOUBLE) AS b, CAST(lead(pitch, 2) OVER w AS DOUBLE) AS c FROM notes WINDOW w AS (PARTITION BY piece_id ORDER BY seq)) SELECT piece_id, seq, {R('a', 'x0')}, {R('b', 'x1')}, {R('c', 'x2')} FROM e WHERE c IS NOT NULL",
-    "cosine_neighbours": f"""WITH p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings AS a JOIN embeddings AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    "cosine_neighbours": f"""WITH p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings AS a JOIN embeddings AS b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
 s AS (SELECT query, neighbour, round(list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))), 9) AS score FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour) AS k FROM s) SELECT query, neighbour, CAST(k AS INTEGER) AS rank, {R('score', 'score')} FROM r WHERE k <= 10""",
-    "pearson_similarity": f"WITH {NOTES_SQL}, c AS (SELECT a.piece_id, coalesce(corr(a.pitch, q.pitch), 0) AS c FROM notes AS a JOIN notes AS q ON q.piece_id = 0 AND q.seq = a.seq AND a.piece_id <> 0 GROUP BY a.piece_id) SELECT piece_id, {R('c', 'r')}, {R('(c + 1) / 2', 'similarity')} FROM c",
+    "pearson_similarity": f"WITH {NOTES_SQL}, c AS (SELECT q.piece_id AS query, a.piece_id, coalesce(corr(a.pitch, q.pitch), 0) AS c FROM notes AS a JOIN notes AS q ON q.piece_id % 20 = 0 AND q.seq = a.seq AND a.piece_id <> q.piece_id GROUP BY ALL) SELECT query, piece_id, {R('c', 'r')}, {R('(c + 1) / 2', 'similarity')} FROM c",
     "normalized_series": f"WITH {NOTES_SQL} SELECT piece_id, seq, {R('coalesce((pitch - min(pitch) OVER w) / nullif(CAST(max(pitch) OVER w - min(pitch) OVER w AS DOUBLE), 0), 0)', 'value')} FROM notes WINDOW w AS (PARTITION BY piece_id)",
     "interval_series": f"WITH {NOTES_SQL}, i AS (SELECT piece_id, seq, CAST(pitch - lag(pitch) OVER (PARTITION BY piece_id ORDER BY seq) AS DOUBLE) AS v FROM notes) SELECT piece_id, seq, {R('v', 'value')} FROM i WHERE v IS NOT NULL",
 }

@@ -21,13 +21,17 @@ _STYLES = ", ".join(f"('{s}', {', '.join(f'{v}::DOUBLE' for v in p)})" for s, p
 _KEYS = ", ".join(f"({k}, '{name}', CAST({p} AS DOUBLE[]))" for k, (name, p) in enumerate(sh.keys()))
 
 
+#: Coordinates of the embeddings.
+_DIMENSIONS = 64
+
+
 def _frames(s, d):
     return sh.chroma(views.notes(s, d))
 
 
 def _vectors(s, d):
     v = views.table(s, d, "embeddings")
-    return v.select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(8)])
+    return v.select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(_DIMENSIONS)])
 
 
 QUERIES = {
@@ -39,7 +43,7 @@ QUERIES = {
     "key_segments": lambda s, d: rounded(pt.key_segments(_frames(s, d))), "modulations": lambda s, d: rounded(pt.modulations(pt.key_segments(_frames(s, d)))), "chroma_cycles": lambda s, d: rounded(pt.chroma_cycles(_frames(s, d))),
     "generation_quality": lambda s, d: rounded(pt.generation_quality(views.notes(s, d))),
     "principal_components": lambda s, d: rounded(mo.principal_components(matrix(s, d), _COLUMNS).select("piece_id", "composer", "era", "pc1", "pc2"), 5),
-    "era_classification": lambda s, d: mo.classify(matrix(s, d), _COLUMNS, "era", folds=5, trees=300, depth=30), "vector_classification": lambda s, d: mo.classify(_vectors(s, d), [f"e{k}" for k in range(8)], "label", folds=5, trees=300, depth=30, id_col="vec_id"),
+    "era_classification": lambda s, d: mo.classify(matrix(s, d), _COLUMNS, "era", folds=5, trees=300, depth=30), "vector_classification": lambda s, d: mo.classify(_vectors(s, d), [f"e{k}" for k in range(_DIMENSIONS)], "label", folds=5, trees=300, depth=30, id_col="vec_id"),
 }
 ORACLE_SQL = {
     "pitch_circle": f"WITH {NOTES_SQL} SELECT piece_id, seq, {R('cos((pitch % 12) / 12.0 * 2 * pi() - pi() / 2)', 'x')}, {R('sin((pitch % 12) / 12.0 * 2 * pi() - pi() / 2)', 'y')} FROM notes",

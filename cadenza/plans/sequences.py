@@ -80,7 +80,7 @@ QUERIES = {
     "rare_transitions": lambda s, d: rounded(mk.rare_transitions(mk.common_transitions(views.motes(s, d), F.col("pitch")))),
     "predict_next_states": lambda s, d: rounded(mk.predict_next(mk.transitions(views.motes(s, d), F.col("pitch"), ["piece_id"]), 3, ["piece_id"])),
     "interval_ngrams": lambda s, d: mo.interval_ngrams(views.motes(s, d), (3, 4, 5)),
-    "repeating_patterns": lambda s, d: mo.state_ngrams(views.motes(s, d), most_length=8),
+    "repeating_patterns": lambda s, d: mo.state_ngrams(views.motes(s, d)),
     "motif_mining": lambda s, d: rounded(mo.mine(views.motes(s, d), 3, 12, 2)),
     "motif_summary": lambda s, d: rounded(mo.summary(mo.mine(views.motes(s, d), 3, 12, 2, top=None))),
     "instrument_view": lambda s, d: rounded(views.instruments(s, d)),
@@ -115,7 +115,7 @@ ag AS (SELECT piece_id, list(v ORDER BY seq) FILTER (WHERE v IS NOT NULL) AS vs
 gr AS (SELECT piece_id, n, i, array_to_string(vs[i + 1:i + n], ',') AS pattern FROM (SELECT piece_id, vs, n, unnest(range(0, len(vs) - n + 1)) AS i FROM ag, (SELECT unnest([3, 4, 5]) AS n) AS y) AS z)
 SELECT piece_id, CAST(n AS INTEGER) AS length, pattern, count(*) AS support, CAST(min(i) AS INTEGER) AS first_position FROM gr GROUP BY piece_id, n, pattern HAVING count(*) >= 2""",
     "repeating_patterns": f"""WITH {MOTES_SQL}, ag AS (SELECT piece_id, list(pitch ORDER BY seq) AS vs FROM motes GROUP BY piece_id),
-gr AS (SELECT piece_id, n, array_to_string(vs[i + 1:i + n], ',') AS pattern FROM (SELECT piece_id, vs, n, unnest(range(0, len(vs) - n + 1)) AS i FROM ag, (SELECT unnest([3, 4, 5, 6, 7, 8]) AS n) AS y WHERE n <= len(vs) // 2) AS z)
+gr AS (SELECT piece_id, n, array_to_string(vs[i + 1:i + n], ',') AS pattern FROM (SELECT piece_id, vs, n, unnest(range(0, len(vs) - n + 1)) AS i FROM ag, (SELECT unnest(range(3, 20)) AS n) AS y WHERE n <= len(vs) // 2) AS z)
 SELECT piece_id, CAST(n AS INTEGER) AS length, pattern, count(*) AS support FROM gr GROUP BY piece_id, n, pattern HAVING count(*) >= 2""",
     "instrument_view": f"WITH {INSTRUMENTS_SQL} SELECT piece_id, event_type, {R('entry', 'entry')}, {R('exit', 'exit')}, note_count, {R('velocity', 'velocity')} FROM instruments",
     "instrument_transitions": f"WITH {_TRANS} SELECT piece_id, {R('time', 'time')}, entering, exiting, continuing, kind, {R('velocity_change', 'velocity_change')}, density_change, {R('impact', 'impact')} FROM trans",

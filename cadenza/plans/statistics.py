@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..functions.columns import sql_round as R
+from ..functions.storage import stored
 from ..operators import numbers, patterns
 from ..operators import statistics as op
 from ..sources import views
@@ -48,14 +49,14 @@ QUERIES = {
     "aesthetic_index_of_similarity": lambda s, d: rounded(_aesthetic(s, d, False)),
     "composer_profiles": lambda s, d: rounded(op.profiles(matrix(s, d), "composer", COLUMNS)),
     "composer_distances": lambda s, d: rounded(op.profile_distances(op.profiles(matrix(s, d), "composer", COLUMNS), "composer")),
-    "closest_composer": lambda s, d: rounded(op.closest_group(m := matrix(s, d), op.profiles(m, "composer", COLUMNS), "composer", COLUMNS)),
-    "anova_by_era": lambda s, d: rounded(op.anova(matrix(s, d), "era", "pitch_entropy").unionByName(op.anova(matrix(s, d), "era", "mean_interval"))),
+    "closest_composer": lambda s, d: rounded(op.closest_group(m := stored(matrix(s, d)), op.profiles(m, "composer", COLUMNS), "composer", COLUMNS)),
+    "anova_by_era": lambda s, d: rounded(op.anova_of(matrix(s, d), "era", ("pitch_entropy", "mean_interval"))),
     "t_test_eras": lambda s, d: rounded(op.t_test(matrix(s, d), "era", "pitch_entropy", "ASIA", "EUROPE")),
     "t_test_consonance": lambda s, d: rounded(op.one_sample_t(matrix(s, d), "consonance_score", 0.5)),
     "preference_correlation": lambda s, d: rounded(op.correlation(_responses(s, d), "likability", "feature")),
     "experiment_summary": lambda s, d: rounded(op.group_summary(_responses(s, d), "condition", ("likability",), 1)),
     "experiment_anova": lambda s, d: rounded(op.anova(_responses(s, d), "condition", "likability")),
-    "kl_of_eras": lambda s, d: rounded(op.kl_divergence((m := matrix(s, d)).where("era = 'ASIA'"), m.where("era = 'EUROPE'"), "pitch_mean"), 5),
+    "kl_of_eras": lambda s, d: rounded(op.kl_divergence((m := stored(matrix(s, d))).where("era = 'ASIA'"), m.where("era = 'EUROPE'"), "pitch_mean"), 5),
     "impact_score": lambda s, d: rounded(op.impact_score(matrix(s, d))),
 }
 

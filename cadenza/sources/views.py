@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Pitch of each event type in the narrow voice, and the offset of its instrument.
+#: Pitch of each event type in the narrow voice, and its place among them.
 VOICES = {"view": (60, 0), "click": (62, 1), "purchase": (64, 2), "signup": (67, 3), "error": (69, 4)}
 
 
@@ -34,7 +34,7 @@ def motes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(piece_id, composer, era): composer and era by nation and region, which are fixed small tables."""
+    """(piece_id, composer, era): composer and era by nation and region, which are broadcast as they are fixed tables of 25 and 5 rows."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     who = nation.join(F.broadcast(region), nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_nationkey").cast("bigint").alias("_k"), F.col("n_name").alias("composer"), F.col("r_name").alias("era"))
     ids = table(spark, sf_dir, "events").select(F.col("user_id").alias("piece_id")).distinct()
@@ -42,12 +42,8 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(piece_id, event_type, entry, exit, note_count, velocity): one interval per piece and event type, staggered."""
-    offset = F.lit(None).cast("int")
-    for kind, (_, k) in VOICES.items():
-        offset = F.when(F.col("event_type") == kind, F.lit(k)).otherwise(offset)
-    rows = notes(spark, sf_dir).withColumn("k", offset).where(F.col("seq").between(10 * F.col("k"), 10 * F.col("k") + 18))
-    return rows.groupBy("piece_id", "event_type").agg(F.min("start").alias("entry"), F.max(F.col("start") + F.col("duration")).alias("exit"), F.count("*").alias("note_count"), F.avg("value").alias("velocity"))
+    """(piece_id, event_type, entry, exit, note_count, velocity): one interval per piece and event type, from its first event to its last."""
+    return notes(spark, sf_dir).groupBy("piece_id", "event_type").agg(F.min("start").alias("entry"), F.max(F.col("start") + F.col("duration")).alias("exit"), F.count("*").alias("note_count"), F.avg("value").alias("velocity"))
 
 
 #: The same views in SQL.
@@ -63,5 +59,4 @@ pieces AS (SELECT piece_id, n_name AS composer, r_name AS era FROM (SELECT DISTI
 INSTRUMENTS_SQL = NOTES_SQL + """,
 instruments AS (
   SELECT piece_id, event_type, min(start) AS entry, max(start + duration) AS exit, count(*) AS note_count, avg(value) AS velocity
-  FROM (SELECT *, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'error' THEN 4 END AS k FROM notes) AS n
-  WHERE seq BETWEEN 10 * k AND 10 * k + 18 GROUP BY piece_id, event_type)"""
+  FROM notes GROUP BY piece_id, event_type)"""
