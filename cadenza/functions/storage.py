@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +22,8 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` computed once, in the shared folder, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The name of a new folder in the shared one."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/cadenza-{uuid.uuid4().hex}"

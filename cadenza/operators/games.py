@@ -54,11 +54,11 @@ def minimax(notes: DataFrame, window: int = 8) -> DataFrame:
 
 
 def tension_resolution(notes: DataFrame) -> DataFrame:
-    """(piece_id, cc_rate, cd_rate, dc_rate, dd_rate, pd_total_payoff): successive states, consonant or not, with payoffs 3, 0, 5 and 1 of at most 5."""
+    """(piece_id, cc_rate, cd_rate, dc_rate, dd_rate, pd_total_payoff, surprise_resolution_rate): successive states, consonant or not, with payoffs 3, 0, 5 and 1 of at most 5."""
     rows = with_payoffs(notes).where(F.col("payoff").isNotNull()).withColumn("before", F.lag("payoff").over(by_seq())).where(F.col("before").isNotNull())
     is_ = lambda a, b: ((F.col("before") > 0) == F.lit(a)) & ((F.col("payoff") > 0) == F.lit(b))
     rate = lambda a, b: F.avg(F.when(is_(a, b), 1.0).otherwise(0.0))
-    return rows.groupBy("piece_id").agg(rate(True, True).alias("cc_rate"), rate(True, False).alias("cd_rate"), rate(False, True).alias("dc_rate"), rate(False, False).alias("dd_rate"), ((3 * rate(True, True) + 5 * rate(False, True) + rate(False, False)) / 5).alias("pd_total_payoff"))
+    return rows.groupBy("piece_id").agg(rate(True, True).alias("cc_rate"), rate(True, False).alias("cd_rate"), rate(False, True).alias("dc_rate"), rate(False, False).alias("dd_rate"), ((3 * rate(True, True) + 5 * rate(False, True) + rate(False, False)) / 5).alias("pd_total_payoff"), rate(False, True).alias("surprise_resolution_rate"))
 
 
 def evolutionary_stability(notes: DataFrame, window: int = 32) -> DataFrame:

@@ -62,6 +62,34 @@ def smoothed(notes: DataFrame, state: Column) -> DataFrame:
     return dense.select("piece_id", "src", "dst", F.when(total > 0, (F.col("c") + 1) / (total + F.col("n"))).otherwise(1.0 / F.col("n")).alias("p"))
 
 
+def higher_order(notes: DataFrame, state: Column, order: int) -> DataFrame:
+    """(piece_id, src, dst, count, p, p_unseen): a chain over runs of ``order`` + 1 states of a piece, each followed by the run one later.
+
+    p is (count + 1) / (row total + runs), where runs is the number of different runs of the piece; p_unseen is what every transition of
+    the row that is not listed has, so that the dense matrix need not be written. A run without a successor has no row; its chances are equal.
+    """
+    window, width = by_seq(), order + 1
+    values = [F.lead(state.cast("string"), k).over(window) for k in range(width)]
+    runs = notes.select("piece_id", "seq", F.when(values[-1].isNotNull(), F.concat_ws(",", *values)).alias("src")).where("src IS NOT NULL")
+    steps = runs.select("piece_id", "src", F.lead("src").over(window).alias("dst"))
+    states = runs.groupBy("piece_id").agg(F.count_distinct("src").alias("_states"))
+    counts = steps.where("dst IS NOT NULL").groupBy("piece_id", "src", "dst").agg(F.count("*").alias("count")).join(states, "piece_id")
+    total = F.sum("count").over(Window.partitionBy("piece_id", "src")) + F.col("_states")
+    return counts.select("piece_id", "src", "dst", "count", ((F.col("count") + 1) / total).alias("p"), (1 / total).alias("p_unseen"))
+
+
+def features(notes: DataFrame, least: int = 2) -> DataFrame:
+    """(piece_id, pitch_entropy, interval_entropy, predictability, pitch_states, common_transitions, top_share): a piece's chains of pitches and of steps in scalars."""
+    steps = notes.select("piece_id", "seq", (F.col("pitch") - F.lag("pitch").over(by_seq())).alias("step")).where("step IS NOT NULL")
+    pitch, step = entropy_rate(smoothed(notes, F.col("pitch"))), entropy_rate(smoothed(steps, F.col("step")))
+    named = pitch.select("piece_id", F.col("entropy").alias("pitch_entropy"), F.col("predictability").alias("_a"))
+    named = named.join(step.select("piece_id", F.col("entropy").alias("interval_entropy"), F.col("predictability").alias("_b")), "piece_id")
+    states = notes.groupBy("piece_id").agg(F.count_distinct("pitch").alias("pitch_states"))
+    common = common_transitions(notes, F.col("pitch"), least).groupBy("piece_id").agg(F.least(F.count("*"), F.lit(20)).alias("common_transitions"), F.max("share").alias("top_share"))
+    joined = named.join(states, "piece_id").join(common, "piece_id", "left").na.fill(0, ["common_transitions"]).na.fill(0.0, ["top_share"])
+    return joined.withColumn("predictability", (F.col("_a") + F.col("_b")) / 2).drop("_a", "_b")
+
+
 def entropy_rate(dense: DataFrame, rounds: int = 200) -> DataFrame:
     """(piece_id, entropy, predictability): rate of the stationary chain, by power iteration, and 1 - rate / log2(states), held to 0..1. A piece's states are few."""
 

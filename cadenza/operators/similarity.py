@@ -11,7 +11,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_seq
@@ -85,6 +85,60 @@ def lcs(a: np.ndarray, b: np.ndarray, tolerance: float = 0.0) -> int:
     return int(row[-1])
 
 
+def lcs_backtrack(a: np.ndarray, b: np.ndarray, tolerance: float = 0.0) -> list[float]:
+    """A longest common subsequence, as values of ``a``; where dropping either end is as good, the end of ``b`` is dropped."""
+    same = np.abs(np.subtract.outer(np.asarray(a, float), np.asarray(b, float))) <= tolerance
+    lengths = np.zeros((len(a) + 1, len(b) + 1), np.int64)
+    for i, line in enumerate(same):
+        found = np.where(line, lengths[i, :-1] + 1, 0)
+        lengths[i + 1, 1:] = np.maximum.accumulate(np.maximum(found, lengths[i, 1:]))
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if same[i - 1, j - 1]:
+            out.append(a[i - 1])
+            i, j = i - 1, j - 1
+        elif lengths[i - 1, j] > lengths[i, j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def best_tracks(scored: DataFrame, top: int = 10, score: str = "similarity") -> DataFrame:
+    """(query, piece_id, rank, score): the ``top`` most similar pieces of each query, whatever the measure; ties by piece."""
+    order = Window.partitionBy("query").orderBy(F.desc(F.round(score, 9)), "piece_id")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.select("query", "piece_id", "rank", score)
+
+
+def compare(notes: DataFrame, first: int, second: int) -> DataFrame:
+    """One row: all measures of two pieces, and their common subsequence within a semitone."""
+    mine, other = notes.where(F.col("piece_id") == second), notes.where(F.col("piece_id") == first)
+    aligned = align_to(mine, other, least_notes=1).join(pearson_to(mine, other), ["query", "piece_id"], "left")
+    pair = notes.where(F.col("piece_id").isin(first, second)).groupBy("piece_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "pitch"))), lambda x: x["pitch"]).alias("v"))
+    both = pair.groupBy().agg(F.max(F.when(F.col("piece_id") == second, F.col("v"))).alias("a"), F.max(F.when(F.col("piece_id") == first, F.col("v"))).alias("b"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"common": [[int(x) for x in lcs_backtrack(a, b, 1.0)] for a, b in zip(frame["a"], frame["b"])]})
+
+    return aligned.crossJoin(F.broadcast(both.mapInPandas(run, "common array<int>")))
+
+
+def resolve_series(spark: SparkSession, kind: str, source: DataFrame | list[float] | int | None, name: str | None = None, most: int = 512) -> DataFrame:
+    """(index, value): a series by its kind: "custom" (numbers), "pattern" (the number of a sequence) or "track" (a row of features, and the name of one or none for all)."""
+    if kind == "track":
+        names = [name] if name else [f.name for f in source.schema.fields if f.dataType.simpleString() == "double"]
+        return source.limit(1).select(F.posexplode(F.array(*[F.col(n).cast("double") for n in names])).alias("index", "value"))
+    if kind == "pattern":
+        from .generators import _double, values
+
+        source = [_double(v) for v in values(source, most)]
+    elif kind != "custom":
+        raise ValueError(f"no series of kind {kind}")
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate((source or [])[:most])], "index int, value double")
+
+
 def align_to(notes: DataFrame, queries: DataFrame, least_notes: int = 10, most_queries: int = 500) -> DataFrame:
     """(query, piece_id, dtw_distance, dtw_similarity, lcs_length, lcs_similarity): every piece of at least ``least_notes`` notes against each other piece in ``queries``; warping on intervals, subsequences on pitches within one semitone."""
 

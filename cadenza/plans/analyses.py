@@ -45,7 +45,7 @@ ORACLE_SQL = {
   {R(f"CASE WHEN count(*) > 2 THEN avg(CASE WHEN (pay > 0) = (bef > 0) THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE {_PAIR}) ELSE 0 END", "tit_for_tat_score")}, {R("var_pop(pay)", "payoff_variance")} FROM gb GROUP BY piece_id""",
     "minimax_score": f"WITH {_GAME}, mw AS (SELECT piece_id, CASE WHEN count(*) OVER w = 7 THEN min(pay) OVER w END AS l FROM gp WHERE pay IS NOT NULL WINDOW w AS (PARTITION BY piece_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING)) SELECT piece_id, {R('coalesce((avg(l) + 1) / 2, 0)', 'minimax_score')} FROM mw GROUP BY piece_id",
     "tension_resolution": f"""WITH {_GAME}, r AS (SELECT piece_id, {_if("bef > 0 AND pay > 0")} AS cc, {_if("bef > 0 AND pay <= 0")} AS cd, {_if("bef <= 0 AND pay > 0")} AS dc, {_if("bef <= 0 AND pay <= 0")} AS dd FROM gb WHERE {_PAIR} GROUP BY piece_id)
-SELECT piece_id, {R("cc", "cc_rate")}, {R("cd", "cd_rate")}, {R("dc", "dc_rate")}, {R("dd", "dd_rate")}, {R("(3 * cc + 5 * dc + dd) / 5", "pd_total_payoff")} FROM r""",
+SELECT piece_id, {R("cc", "cc_rate")}, {R("cd", "cd_rate")}, {R("dc", "dc_rate")}, {R("dd", "dd_rate")}, {R("(3 * cc + 5 * dc + dd) / 5", "pd_total_payoff")}, {R("dc", "surprise_resolution_rate")} FROM r""",
     "evolutionary_stability": f"""WITH {NOTES_SQL}, nb AS (SELECT piece_id, count(*) // 32 AS b FROM notes GROUP BY piece_id),
 bl AS (SELECT DISTINCT piece_id, seq // 32 AS k FROM notes JOIN nb USING (piece_id) WHERE seq // 32 < b AND b >= 2),
 ds AS (SELECT bl.piece_id, k, pc, count(pitch) / 32.0::DOUBLE AS d FROM bl CROSS JOIN (SELECT unnest(range(12)) AS pc) AS p LEFT JOIN notes AS n ON n.piece_id = bl.piece_id AND n.seq // 32 = k AND n.pitch % 12 = pc GROUP BY ALL),

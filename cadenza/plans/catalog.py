@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analyses, features, generators, models, numbers, relational, sequences, statistics
+from . import analyses, features, generators, models, numbers, relational, reports, sequences, statistics, tables
 
-MODULES = (features, numbers, statistics, sequences, analyses, relational, generators, models)
+MODULES = (features, numbers, statistics, sequences, analyses, relational, generators, models, tables, reports)
 FLAGSHIP = "feature_matrix"
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
