@@ -8,11 +8,12 @@ character patterns they stand for. Word and window identities are 64-bit polynom
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Text bytes that one vectorised step takes at most, unless a single text is longer.
 SLICE_BYTES = 1 << 20
@@ -40,13 +41,52 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/cadenza-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once and cuts its lineage, in the shared folder, so that a lost executor costs no recomputation."""
+#: Rows of a file that cut() writes, where the row count is known, and least rows of a partition that packed() leaves.
+CUT_ROWS, PACKED_ROWS = 50_000, 16_384
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about so many rows, in no more partitions than one for each PACKED_ROWS: small tables do not become hundreds of tiny files."""
+    return df.coalesce(max(1, -(-rows // PACKED_ROWS)))
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Computes ``df`` once and cuts its lineage, in the shared folder, so that a lost executor costs no recomputation.
+
+    rows: about so many rows there are. They go into files of CUT_ROWS rows, not into one for each partition, of which small tables in
+    many rounds would write thousands.
+    """
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession).rpartition("/")[0])
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // CUT_ROWS)))
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, unless a single row is longer. Spark's own bound is 64 MB, held several times over.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b")
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Sets the session's bound on Arrow batches where nobody has set another one."""
+    name, default = _BATCH_CONF
+    if spark.conf.get(name, None) == default:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches of at most about BATCH_BYTES."""
+    _bound_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def apply_groups(df: DataFrame, key: str, run: Callable, schema: str | StructType) -> DataFrame:
+    """applyInArrow by one key, with batches of at most about BATCH_BYTES."""
+    _bound_batches(df.sparkSession)
+    return df.groupBy(key).applyInArrow(run, schema)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that shared_dir() named, by whatever file system it is in."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, remove, shared_dir, table
+from .shared import cut, map_batches, remove, shared_dir, table
 
 MAGIC = "WARC/1.0\r\n"
 _NAMED = "urn:cadenza:page:"
@@ -96,7 +96,7 @@ def scan(spark: SparkSession, path: str, values: bool = False) -> DataFrame:
             types = [pa.int64() if n in ("block", "rel", "size", "head", "length") else pa.binary() if n == "value" else pa.string() for n in names]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types)], names)
 
-    return text.mapInArrow(run, _SCAN + ", value binary" * values)
+    return map_batches(text, run, _SCAN + ", value binary" * values)
 
 
 def _exits(rows: pd.DataFrame) -> pd.DataFrame:
