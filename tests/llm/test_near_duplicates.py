@@ -121,7 +121,7 @@ def test_full_blocks_compare_every_pair(spark):
     s = rng.integers(0, 1 << 62, (6, 8))
     s = np.concatenate([s[k] ^ (np.int64(1) << rng.integers(0, 62, (40, 8))) ^ (np.int64(1) << rng.integers(0, 62, (40, 8))) * (rng.random((40, 8)) < 0.5) for k in range(6)])
     keys = [bytes([i // 256, i % 256]) for i in range(len(s))]
-    members = spark.createDataFrame([("b", k, x.tolist(), len(s)) for k, x in zip(keys, s)], "b string, key binary, s array<bigint>, n long")
+    members = spark.createDataFrame([(0, 5, k, x.tolist(), len(s)) for k, x in zip(keys, s)], "t int, k long, key binary, s array<bigint>, n long")
     bits = np.bitwise_count(s.view(np.uint64)[:, None] ^ s.view(np.uint64)[None]).sum(axis=2, dtype=int)
     for most in (20, 22, 78):
         parent = list(range(len(s)))
@@ -150,5 +150,58 @@ def test_pairs_meet_whatever_the_other_rows_are(spark):
     rows = [(bytes([k]), b, [0] * 8) for k, b in enumerate((alone[0], alone[close[0]]))]
     others = [(b"\xff" + k.to_bytes(4), [int(x) for x in np.random.default_rng(k).integers(-(1 << 62), 1 << 62, simhash.BANDS)], [-1] * 8) for k in range(3000)]
     for more in ([], others):
-        links = simhash.similar_links(spark.createDataFrame(rows + more, "key binary, b array<bigint>, s array<bigint>"))
+        links = simhash.candidate_links(spark.createDataFrame(rows + more, "key binary, b array<bigint>, s array<bigint>"), 78)
         assert [(bytes(r.u), bytes(r.v)) for r in links.collect()] == [(b"\x00", b"\x01")]
+
+
+def linked_texts(n_groups, seed):
+    """Groups of copies with 1 to 14 changed words each, so that similarities lie on either side of 0.8, and loners; no two texts are equal."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for g in range(n_groups):
+        base = [f"g{g}w{i}" for i in range(int(rng.integers(60, 400)))]
+        for k in range(int(rng.integers(1, 6))):
+            copy = list(base)
+            for p in rng.choice(len(base), int(rng.integers(1, max(2, len(base) // 25))), replace=False).tolist():
+                copy[p] = f"c{g}k{k}p{p}"
+            out.append(" ".join(copy))
+    return out
+
+
+def brute_groups(texts):
+    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    by_shingle, pairs = {}, set()
+    for i, s in enumerate(sets):
+        for x in s:
+            pairs |= {(j, i) for j in by_shingle.setdefault(x, [])}
+            by_shingle[x].append(i)
+    close = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in close:
+        parent[max(find(i), find(j))] = min(find(i), find(j))
+    return close, [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("n_groups", [150, 900])
+def test_groups_are_those_of_all_pairs_at_the_similarity(spark, n_groups):
+    """Jaccard by brute force, no exact copies: at least 0.99 of all linked pairs are found at either size, and nothing else is linked."""
+    texts = linked_texts(n_groups, 21)
+    close, want = brute_groups(texts)
+    found = {r.id: r.component for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(close) > n_groups / 3 and sum(found[i] == found[j] for i, j in close) >= 0.99 * len(close)
+    assert all(want[found[i]] == want[i] for i in range(len(texts)))
+
+
+@pytest.mark.parametrize("options", [{}, {"exact_members": 40, "block_members": 8, "task_members": 50}, {"exact_bytes": 9000}])
+def test_a_dense_group_is_whole_and_holds_nothing_else(spark, options):
+    """An original, variants at 0.8 and more to it (fewer to each other), and variants that are too far; groups are split over tasks or not."""
+    near, far = variants(150, seed=5, changed=6), variants(60, seed=6, changed=12)[1:]
+    texts = [*near[1:], *far, near[0]]
+    _, want = brute_groups(texts)
+    found = {r.id: r.component for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **options).collect()}
+    assert [found[i] for i in range(len(texts))] == want and want.count(want[-1]) > 120
