@@ -11,7 +11,8 @@ are taken apart into windows, equal windows are merged in the same way, and only
 
 Defined results: a null text is an empty one without words; a text shorter than a window loses nothing; a null id comes after all others;
 documents that share an id do not remove from each other; empty tables give empty results; other columns are ignored, and deduplicate() passes
-them through. Anchors and segments are told apart by 64-bit hashes, which no result rests on alone: matches are found in the texts.
+them through. Segments are told apart by the hashes of their anchor and of their words, 64 bits each; equal ones travel once and share what is
+found for them. Within a shard, words are told apart by 64-bit hashes, and matches are found in the segments' words.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .shared import NOT_SPACE, Words, cut, remove, shared_dir, slices, table, window_hash
+from .shared import NOT_SPACE, Words, apply_groups, cut, map_batches, packed, remove, shared_dir, slices, table, window_hash
 
 WIDTH, GRAM = 50, 8
 #: Words of a shard on average, and different segments of one anchor beyond which they are taken apart into windows.
 SHARD_WORDS, ANCHOR_SEGMENTS = 300_000, 2000
+#: Different segments to a file of what is asked of documents; each has up to 92 words.
+ASKED_ROWS = 20_000
 #: Hot anchors, of 8 bytes each, that are broadcast at most.
 BROADCAST_ANCHORS = 100_000
 _LAST = (1 << 63) - 1
@@ -77,7 +80,7 @@ def _segment_rows(docs: DataFrame, width: int, gram: int) -> DataFrame:
                 keys = batch.select(["ord", "h"]).slice(i, j - i).take(pa.array(of))
                 yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), keys.column(0), keys.column(1), pa.array(first - words.first[of], pa.int32()), pa.array(n, pa.int32())], _NAMES)
 
-    return docs.mapInArrow(run, _ROW)
+    return map_batches(docs, run, _ROW)
 
 
 def _asked(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
@@ -112,7 +115,7 @@ def _asked(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
                 yield pa.record_batch(columns, [*_NAMES, "apart", "shared", "text"])
 
     joined = docs.join(lists, ["ord", "h"]).select("ord", "h", "text", "asked")
-    return joined.mapInArrow(run, _ROW + ", apart boolean, shared boolean, text binary")
+    return map_batches(joined, run, _ROW + ", apart boolean, shared boolean, text binary")
 
 
 def _search(width: int):
@@ -156,33 +159,34 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, anchor_segments: int = ANCHOR_SEGMENTS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(ord, h, spans): for each document with windows that also start in an earlier one, runs of their first words as (low, high) from 0."""
     spark = docs.sparkSession
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = packed(_keyed(docs, id_col, text_col), docs.count())
     path = shared_dir(spark)
     _segment_rows(keyed, width, gram).write.option("compression", "zstd").parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
     units = _merged(rows)
     anchors = units.groupBy("anchor").agg(F.min("rep.ord").alias("low"), F.max("last").alias("high"), F.count("*").alias("segments")).where("high > low")
-    units = cut(units.join(anchors.select("anchor", "segments"), "anchor"))
+    units = cut(units.join(anchors.select("anchor", "segments"), "anchor"), rows.count())
+    n_units = units.count()
     hot = units.where(F.col("segments") > anchor_segments).select("anchor").distinct()
     asked = units.where(F.col("segments") <= anchor_segments).select("anchor", "segment", "rep.*", F.lit(False).alias("apart"), (F.col("last") > F.col("rep.ord")).alias("shared"))
     n_hot = hot.limit(BROADCAST_ANCHORS + 1).count()
     if n_hot:  # few, since each has many segments; sent to the rows if they are few enough, so that an anchor's rows stay where they are
         asked = asked.unionByName(rows.join(F.broadcast(hot) if n_hot <= BROADCAST_ANCHORS else hot, "anchor").withColumns({"apart": F.lit(True), "shared": F.lit(True)}))
-    _asked(keyed, asked, width).write.option("compression", "zstd").parquet(f"{path}/asked")
+    _asked(keyed, asked, width).coalesce(1 + n_units // ASKED_ROWS).write.option("compression", "zstd").parquet(f"{path}/asked")
     got = spark.read.parquet(f"{path}/asked")
     texts = got.where("not apart")
     if n_hot:
         windows = got.where("apart")
-        apart = cut(_merged(windows).where(F.col("last") > F.col("rep.ord")).select("anchor", "segment", "rep.ord", "rep.h", "rep.start"))
+        apart = cut(_merged(windows).where(F.col("last") > F.col("rep.ord")).select("anchor", "segment", "rep.ord", "rep.h", "rep.start"), windows.count())
         texts = texts.unionByName(windows.join(apart, ["anchor", "segment", "ord", "h", "start"]).select(texts.columns))
         rows = rows.unionByName(windows.select(_NAMES))
     total = texts.agg(F.sum(F.col("n") + (width - 1))).first()[0] or 0
     shards = max(1, total // shard_words)
     dealt = texts.select(F.pmod(F.when(F.col("apart"), F.xxhash64("anchor", "segment")).otherwise(F.col("anchor")), F.lit(shards)).alias("shard"), "anchor", "segment", "ord", "shared", "text")
-    found = dealt.groupBy("shard").applyInArrow(_search(width), "anchor bigint, segment bigint, least bigint, is_least boolean, low int, high int")
+    found = apply_groups(dealt, "shard", _search(width), "anchor bigint, segment bigint, least bigint, is_least boolean, low int, high int")
     met = rows.join(found, ["anchor", "segment"]).where(F.when(F.col("is_least"), F.col("ord") == F.col("least")).otherwise(F.col("ord") > F.col("least")))
     spans = met.groupBy("ord", "h").agg(F.collect_list(F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))).alias("spans"))
-    spans = cut(spans)
+    spans = cut(spans, n_units)
     remove(spark, path)
     return spans
 
@@ -229,7 +233,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(words.counts(), pa.int64()), pa.array(np.diff(sums), pa.int64()), pa.array(digests)], ["id", "n_words", "n_removed", "kept_sha256"])
 
     joined = keyed.join(spans, ["ord", "h"], "left").select("id", "text", "spans")
-    return joined.mapInArrow(run, f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
+    return map_batches(packed(joined, docs.count()), run, f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, **options: int) -> DataFrame:
@@ -253,7 +257,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rest[at] = pa.array(texts, batch.schema.field(at).type)
                 yield pa.record_batch(rest, batch.schema.names[:-1])
 
-    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], keys["_spans"].alias("_spans_of_repeats")).mapInArrow(run, docs.schema)
+    joined = packed(joined, docs.count())
+    return map_batches(joined.select(*[docs[f"`{c}`"] for c in docs.columns], keys["_spans"].alias("_spans_of_repeats")), run, docs.schema)
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
