@@ -1,9 +1,10 @@
 """Benchmark decontamination on a positional inverted index that is stored in shards.
 
-A shard is a run of training texts of some megabytes: its terms in order, and for each term the word positions at which it stands. Phrases
+A shard is a run of training texts of about half a megabyte: its terms in order, and for each term the word positions at which it stands. Phrases
 are searched in each shard from their rarest terms: the rarest term's positions, less its offset in the phrase, are candidate starts, and
-each further term's positions, less its own offset, are intersected with what is left. Test phrases travel to the shards in blocks of
-bounded size, so that a benchmark of any size works; nothing of the corpus is sent to the driver.
+each further term's positions, less its own offset, are intersected with what is left. All phrases of a block are searched together, and only
+those of which a shard has every term. Test phrases travel to the shards in blocks of bounded size, so that a benchmark of any size works;
+nothing of the corpus is sent to the driver.
 
 Defined results: a null text has no words, and an item without words no windows; an item of fewer words than a window is one window; items
 that share an id are one item of several texts; an item with a null id is searched like any other, only its name is never reported; repeated documents are judged one by one; empty tables give no
@@ -19,13 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import ALNUM, Words, cut, shared_dir, slices, table
+from .shared import ALNUM, Words, cut, map_batches, packed, shared_dir, slices, table
 from .shared import remove as remove_folder
 
 WINDOW = 13
 #: Text bytes of a shard, unless a single text is longer.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 19
 #: Words of test phrases that travel to the shards at once.
 BLOCK_WORDS = 1 << 20
 
@@ -57,20 +59,22 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 yield pa.record_batch([pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in binary)], ["shard", "ids", "first", "n_words", "terms", "counts", "steps"])
 
     schema = _SHARD.format(kind=docs.schema[id_col].dataType.simpleString())
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    rows = map_batches(packed(docs, docs.count()).select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), run, schema)
     rows.write.option("compression", "zstd").parquet(path)
 
 
 class Shard:
-    """One shard's index in memory."""
+    """One shard's index in memory. ``keys`` holds each place of each term as (the term's row, position), in order."""
 
     def __init__(self, first: bytes, terms: bytes, counts: bytes, steps: bytes):
         self.first, self.terms = np.frombuffer(first, np.int64), np.frombuffer(terms, np.uint64)
-        self.ends = np.cumsum(np.frombuffer(counts, np.uint32), dtype=np.int64)
-        self.begins = self.ends - np.frombuffer(counts, np.uint32)
-        total = np.cumsum(np.frombuffer(steps, np.uint32), dtype=np.int64)
-        before = total[self.begins] - np.frombuffer(steps, np.uint32)[self.begins] if len(total) else total
-        self.positions = total - np.repeat(before, self.ends - self.begins)
+        n, steps_ = np.frombuffer(counts, np.uint32).astype(np.int64), np.frombuffer(steps, np.uint32)
+        self.ends = np.cumsum(n)
+        self.begins = self.ends - n
+        total = np.cumsum(steps_, dtype=np.int64)
+        before = total[self.begins] - steps_[self.begins] if len(total) else total
+        self.positions = total - np.repeat(before, n)
+        self.keys = (np.repeat(np.arange(len(n)), n) << _POSITION_BITS) | self.positions
 
     def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each term's row, and in how many places it stands; none if it is absent."""
@@ -79,52 +83,79 @@ class Shard:
             return at, np.zeros(len(terms), np.int64)
         return at, np.where(self.terms[at] == terms, self.ends[at] - self.begins[at], 0)
 
-    def places(self, row: int) -> np.ndarray:
-        return self.positions[self.begins[row] : self.ends[row]]
-
-    def phrase(self, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Starts of the exact phrase whose terms are in these rows."""
-        starts = None
-        for k in np.argsort(counts, kind="stable").tolist():
-            places = self.places(rows[k])
-            if starts is None:
-                starts = places - k
-                continue
-            at = np.searchsorted(places, starts + k)
-            at[at == len(places)] = 0
-            starts = starts[places[at] == starts + k]
-            if not len(starts):
-                break
-        return starts
-
-    def near(self, rows: np.ndarray, counts: np.ndarray, reach: int) -> np.ndarray:
-        """Places of the rarest term that have every other term within ``reach`` words on either side, in the same text."""
-        order = np.argsort(counts, kind="stable")
-        here = self.places(rows[order[0]])
+    def _from_rarest(self, rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For phrases as rows of terms' rows: (phrase, place) of the rarest term of each, and the order of each phrase's terms from the rarest on."""
+        order = np.argsort(counts, axis=1, kind="stable")
+        rarest = np.take_along_axis(rows, order[:, :1], axis=1)[:, 0]
+        n = self.ends[rarest] - self.begins[rarest]
+        phrase = np.repeat(np.arange(len(rows)), n)
+        places = self.positions[np.arange(int(n.sum())) + np.repeat(self.begins[rarest] - (np.cumsum(n) - n), n)]
+        return phrase, places, order
+
+    def phrases(self, rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, start) of all exact occurrences: offset-adjusted places of the rarest terms, intersected with those of the next, and so on."""
+        phrase, places, order = self._from_rarest(rows, counts)
+        starts = places - order[phrase, 0]
+        for k in range(1, rows.shape[1]):
+            offset = order[phrase, k]
+            wanted = (rows[phrase, offset] << _POSITION_BITS) | np.maximum(starts + offset, 0)
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            fine = (self.keys[at] == wanted) & (starts >= 0)
+            phrase, starts = phrase[fine], starts[fine]
+        return phrase[starts >= 0], starts[starts >= 0]
+
+    def near(self, rows: np.ndarray, counts: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, place) of the rarest terms that have every other term of the phrase within ``reach`` words on either side, in the same text."""
+        phrase, here, order = self._from_rarest(rows, counts)
         text = np.searchsorted(self.first, here, "right") - 1
         low = np.maximum(here - reach, self.first[text])
-        ends = np.append(self.first[1:] - 1, np.iinfo(np.int64).max)
+        ends = np.append(self.first[1:] - 1, _MOST_POSITION)
         high = np.minimum(here + reach + 1, ends[text])
-        for k in order[1:].tolist():
-            places = self.places(rows[k])
-            fine = np.searchsorted(places, low) < np.searchsorted(places, high)
-            here, low, high = here[fine], low[fine], high[fine]
-            if not len(here):
-                break
-        return here
-
-
-def _windows(counts: np.ndarray, window: int) -> tuple[int, np.ndarray]:
-    """An item's window width, and the starts of those windows of which every term stands somewhere in the shard."""
-    width = min(window, len(counts))
-    rarest = np.lib.stride_tricks.sliding_window_view(counts, width).min(axis=1)
-    return width, np.flatnonzero(rarest > 0)
+        for k in range(1, rows.shape[1]):
+            row = rows[phrase, order[phrase, k]] << _POSITION_BITS
+            fine = np.searchsorted(self.keys, row | low) < np.searchsorted(self.keys, row | high)
+            phrase, here, low, high = phrase[fine], here[fine], low[fine], high[fine]
+        return phrase, here
+
+
+#: A place is a number of so many bits, beside its term's row.
+_POSITION_BITS = 32
+_MOST_POSITION = (1 << _POSITION_BITS) - 1
+
+
+class Block:
+    """Test phrases of bounded size: their different terms, and their windows as numbers of terms, by width."""
+
+    def __init__(self, hashes: list[np.ndarray], window: int):
+        self.terms, number = np.unique(np.concatenate(hashes), return_inverse=True)
+        number, ends = number.astype(np.int32), np.cumsum([len(h) for h in hashes])
+        by_width: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for item, (end, h) in enumerate(zip(ends.tolist(), hashes)):
+            width = min(window, len(h))
+            by_width.setdefault(width, []).append((item, np.lib.stride_tricks.sliding_window_view(number[end - len(h) : end], width)))
+        self.windows = {w: (np.concatenate([m for _, m in found]), np.repeat([i for i, _ in found], [len(m) for _, m in found])) for w, found in by_width.items()}
+
+    def matches(self, shard: Shard, slop: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(items, places, length) by width: different places at which windows of the items are found."""
+        rows, counts = shard.find(self.terms)
+        for width, (windows, items) in self.windows.items():
+            left = np.arange(len(windows))
+            for k in range(width):  # only windows of which every term stands somewhere in the shard
+                left = left[counts[windows[left, k]] > 0]
+            if not len(left):
+                continue
+            terms = windows[left]
+            found, places = shard.phrases(rows[terms], counts[terms]) if slop is None else shard.near(rows[terms], counts[terms], width + slop)
+            if len(found):
+                both = np.unique(np.stack([items[left[found]], places]), axis=1)
+                yield both[0], both[1], width if slop is None else 1
 
 
 def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[object, np.ndarray]]]:
-    """The test phrases as (item id, term hashes), in blocks of about ``block_words`` words."""
+    """The test phrases as (item id, term hashes), in blocks of about ``block_words`` words. One partition of them is on the driver at a time."""
     block, size = [], 0
-    for row in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator():
+    named = items.select(items[f"`{id_col}`"].alias("i"), items[f"`{text_col}`"].alias("t"))
+    for row in named.where("t is not null").toLocalIterator():
         data = np.frombuffer(row["t"].encode(), np.uint8)
         hashes = Words(data, np.array([0, len(data)]), ALNUM, lower=True).hashes()
         if not len(hashes):
@@ -138,60 +169,52 @@ def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int)
         yield block
 
 
-def search(spark: SparkSession, index: str, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+def search(
+    spark: SparkSession, index: str, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW,
+    slop: int | None = None, block_words: int = BLOCK_WORDS, folder: str | None = None,
+) -> DataFrame:
     """(shard, k, item, at, length): matches of the items' windows in the indexed texts; k is the text's number in its shard, at its first word.
 
     Without slop, exact phrases; windows of an item that overlap in a text come as one stretch. With slop, proximity: places (length 1) of a
-    window's rarest term that have all of its other terms, in any order, within window + slop words.
+    window's rarest term that have all of its other terms, in any order, within window + slop words. Blocks are searched one after another,
+    each in one pass over the index, and their matches written in ``folder`` (by default a new one of the shared folder), so that one block
+    is in memory at a time.
     """
-    kind = items.schema[id_col].dataType.simpleString()
-    found = None
-    for block in _item_blocks(items, id_col, text_col, block_words):
-        terms = np.concatenate([h for _, h in block])
-        ends = np.cumsum([len(h) for _, h in block])
-        names = [i for i, _ in block]
-
-        def run(batches: Iterator[pa.RecordBatch], terms=terms, ends=ends, names=names) -> Iterator[pa.RecordBatch]:
+    kind, arrow_kind = items.schema[id_col].dataType.simpleString(), to_arrow_type(items.schema[id_col].dataType)
+    folder = folder or shared_dir(spark)
+    schema = f"shard string, k int, item {kind}, at bigint, length bigint"
+    spark.createDataFrame([], schema).write.parquet(folder)
+    for part in _item_blocks(items, id_col, text_col, block_words):
+        block = spark.sparkContext.broadcast((Block([h for _, h in part], window), pa.array([i for i, _ in part], arrow_kind)))
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            phrases, names = block.value
             for batch in batches:
                 for row in range(batch.num_rows):
-                    shard_id, first, words, counts, steps = (c[row].as_py() for c in batch.columns)
-                    shard = Shard(first, words, counts, steps)
-                    rows, n = shard.find(terms)
-                    out: list[tuple[object, np.ndarray, np.ndarray]] = []
-                    for name, begin, end in zip(names, (ends - np.diff(ends, prepend=0)).tolist(), ends.tolist()):
-                        width, at = _windows(n[begin:end], window)
-                        stretches = []
-                        for s in (at + begin).tolist():
-                            if slop is None:
-                                starts = shard.phrase(rows[s : s + width], n[s : s + width])
-                            else:
-                                starts = shard.near(rows[s : s + width], n[s : s + width], width + slop)
-                            if len(starts):
-                                stretches.append(starts)
-                        if stretches:
-                            starts = np.unique(np.concatenate(stretches))
-                            long = width if slop is None else 1
-                            new = np.concatenate([[True], starts[1:] > starts[:-1] + long])
-                            last = np.append(starts[np.flatnonzero(new)[1:] - 1], starts[-1])
-                            out.append((name, starts[new], last + long - starts[new]))
-                    if out:
-                        at, length = np.concatenate([a for _, a, _ in out]), np.concatenate([b for _, _, b in out])
+                    shard_id, *index_ = (c[row].as_py() for c in batch.columns)
+                    shard = Shard(*index_)
+                    for item, starts, length in phrases.matches(shard, slop):
+                        new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (starts[1:] > starts[:-1] + length)]))
+                        last = np.append(starts[new[1:] - 1], starts[-1])
+                        at = starts[new]
                         k = np.searchsorted(shard.first, at, "right") - 1
-                        items_ = [name for name, a, _ in out for _ in range(len(a))]
-                        yield pa.record_batch([pa.array([shard_id] * len(at)), pa.array(k, pa.int32()), pa.array(items_, batch_type), pa.array(at - shard.first[k], pa.int64()), pa.array(length, pa.int64())], ["shard", "k", "item", "at", "length"])
+                        columns = [
+                            pa.array([shard_id] * len(at)), pa.array(k, pa.int32()), names.take(pa.array(item[new])),
+                            pa.array(at - shard.first[k], pa.int64()), pa.array(last + length - at, pa.int64()),
+                        ]
+                        yield pa.record_batch(columns, ["shard", "k", "item", "at", "length"])
 
-        batch_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
-        part = spark.read.parquet(index).select("shard", "first", "terms", "counts", "steps").mapInArrow(run, f"shard string, k int, item {kind}, at bigint, length bigint")
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], f"shard string, k int, item {kind}, at bigint, length bigint")
+        map_batches(spark.read.parquet(index).select("shard", "first", "terms", "counts", "steps"), run, schema).write.mode("append").parquet(folder)
+        block.destroy()
+    return spark.read.schema(schema).parquet(folder)
 
 
 def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, n_words, n_hit, items, contaminated) of every document: hit words lie in an occurring window; contaminated from a twentieth of the words on."""
     spark = docs.sparkSession
-    path = shared_dir(spark)
+    path, matches = shared_dir(spark), shared_dir(spark)
     build_index(docs, path, id_col, text_col)
-    hits = search(spark, path, items, item_col, item_text_col, window)
+    hits = search(spark, path, items, item_col, item_text_col, window, folder=matches)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +223,7 @@ def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                 n = np.frombuffer(batch.column(2)[row].as_py(), np.int64)
                 yield pa.record_batch([pa.array([batch.column(0)[row].as_py()] * len(n)), pa.array(np.arange(len(n)), pa.int32()), batch.column(1).slice(row, 1).flatten(), pa.array(n)], ["shard", "k", "id", "n_words"])
 
-    all_texts = spark.read.parquet(path).select("shard", "ids", "n_words").mapInArrow(texts, f"shard string, k int, id {kind}, n_words bigint")
+    all_texts = map_batches(spark.read.parquet(path).select("shard", "ids", "n_words"), texts, f"shard string, k int, id {kind}, n_words bigint")
     spans = F.array_sort(F.collect_list(F.struct("at", "length")))
     zero = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n"))
 
@@ -213,15 +236,16 @@ def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     out = all_texts.join(per_text, ["shard", "k"], "left").select("id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-    judged = cut(out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))))
-    remove_folder(spark, path)
+    judged = cut(out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))), docs.count())
+    for folder in (path, matches):
+        remove_folder(spark, folder)
     return judged
 
 
 def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **names: str) -> DataFrame:
     """The documents that are not contaminated, columns unchanged. Documents that share an id go if one of them is contaminated."""
     bad = judge(docs, items, id_col, **names).where("contaminated").select(F.col("id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    return packed(docs.join(bad, docs[f"`{id_col}`"].eqNullSafe(bad["_bad"]), "left_anti"), docs.count())
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from cadenza.llm import decontaminate, quality, sharding, substrings
 from cadenza.llm.fmindex import FMIndex, suffix_order
 
@@ -109,9 +111,64 @@ def test_contamination_against_brute_force(spark):
 
 def test_proximity_finds_words_out_of_order(spark, tmp_path):
     docs = spark.createDataFrame([(1, "x y z alpha q beta r gamma z z"), (2, "alpha " + "f " * 40 + "beta gamma"), (3, "gamma beta alpha")], "doc_id long, text string")
-    decontaminate.build_index(docs, f"{tmp_path}/i")
+    decontaminate.build_index(docs.coalesce(1), f"{tmp_path}/i")
     near = decontaminate.search(spark, f"{tmp_path}/i", spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string"), slop=4)
-    assert {r.k for r in near.collect()} <= {0, 2} and near.count() == 2
+    assert sorted(r.k for r in near.collect()) == [0, 2]
+
+
+def brute_near(docs, items, window, slop):
+    """(text, item, place): places of a window's rarest term (over all texts; the first of equals) with the other terms near, in the same text."""
+    words = [re.findall("[a-z0-9]+", t) for t in docs]
+    counts, out = Counter(w for ws in words for w in ws), set()
+    for name, text in items:
+        terms = text.split()
+        width = min(window, len(terms))
+        for s in range(len(terms) - width + 1):
+            phrase = terms[s : s + width]
+            rarest = min(phrase, key=lambda w: counts[w])
+            for d, ws in enumerate(words):
+                for p, w in enumerate(ws):
+                    if w == rarest and all(x in ws[max(0, p - width - slop) : p + width + slop + 1] for x in phrase):
+                        out.add((d, name, p))
+    return out
+
+
+def test_proximity_and_phrases_against_brute_force_in_one_block_or_many(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    draw = lambda n: " ".join(f"t{i}" for i in (rng.random(n) ** 2 * 60).astype(int))
+    docs = [draw(int(rng.integers(1, 120))) for _ in range(60)]
+    items = [(i, draw(int(rng.integers(1, 9)))) for i in range(25)]
+    decontaminate.build_index(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1), f"{tmp_path}/i")
+    # ids of any type name the items
+    frame = spark.createDataFrame(items, "item_id int, text string").withColumn("item_id", F.col("item_id").cast("smallint"))
+    for block_words in (10, 1 << 20):
+        near = decontaminate.search(spark, f"{tmp_path}/i", frame, window=4, slop=3, block_words=block_words)
+        got = {(r.k, r["item"], r.at + j) for r in near.collect() for j in range(r.length)}
+        assert got == brute_near(docs, items, 4, 3)
+        exact = decontaminate.search(spark, f"{tmp_path}/i", frame, window=4, block_words=block_words)
+        covered = {(r.k, r["item"], r.at + j) for r in exact.collect() for j in range(r.length)}
+        want = set()
+        for name, text in items:
+            terms = text.split()
+            width = min(4, len(terms))
+            grams = {tuple(terms[s : s + width]) for s in range(len(terms) - width + 1)}
+            for d, ws in enumerate(x.split() for x in docs):
+                want |= {(d, name, p + j) for p in range(len(ws) - width + 1) if tuple(ws[p : p + width]) in grams for j in range(width)}
+        assert covered == want
+
+
+def test_contamination_of_long_and_repeated_texts_with_clashing_columns(spark):
+    rng = np.random.default_rng(13)
+    draw = lambda n: [f"t{i}" for i in rng.integers(0, 4000, n)]
+    passage = draw(20)
+    long = draw(300_000) + passage + draw(100)
+    rows = [(1, " ".join(long)), (2, " ".join(passage)), (2, " ".join(passage)), (None, " ".join(passage + draw(5)))]
+    docs = spark.createDataFrame([(i, t, "own", 0, "own") for i, t in rows], "doc_id long, text string, item string, k int, shard string")
+    items = spark.createDataFrame([(5, " ".join(passage), "own")], "item_id long, text string, doc_id string")
+    found = sorted(((r.id, r.n_words, r.n_hit, r.contaminated) for r in decontaminate.judge(docs, items).collect()), key=str)
+    assert found == [(1, 300_120, 20, False), (2, 20, 20, True), (2, 20, 20, True), (None, 25, 20, True)]
+    left = decontaminate.remove(docs, items)
+    assert [r.doc_id for r in left.collect()] == [1] and left.columns == docs.columns
 
 
 def test_quality_cascade_does_not_depend_on_order(spark):
