@@ -1,12 +1,18 @@
-"""BPE encoding and decoding of whole texts, with tree concatenation of long unsplit text.
+"""BPE encoding and decoding of whole texts, with tree concatenation of long ones.
 
-A text is cut where the vocabulary's splitting pattern cuts whatever stands on either side; chunks of moderate length go to the tokenizers
-library. A chunk that is still long and that the pattern leaves whole is encoded as a tree: halves are encoded apart, and a window around
-the join is encoded anew and grown until its outer tokens are those of both halves and fit the tokens next to them. A token sequence is the
-encoding of its text exactly if each two neighbours are the encoding of theirs, so agreement on both sides makes the whole exact.
+A text of more than LONG_CHARS characters is dealt out as pieces of fixed size, wherever that cuts it. Pieces are the leaves of a tree: each
+is encoded by itself, in whatever task it lands in. Then neighbours are joined in pairs: a window of text around the join is split and encoded
+anew and grown until its splits agree with those of both sides at either end, and what lies outside the window stays as it is. A run that the
+splitting pattern leaves whole across the join is joined token by token in the same way: its window grows until its outer tokens are those of
+both halves and fit the tokens next to them. (A token sequence is the encoding of its text exactly if each two neighbours are the encoding of
+theirs.) Either way the result is exactly that of the whole text.
 
-Defined results: a null text is an empty one and has no tokens; an empty table gives an empty result; repeated rows are encoded alike; columns
-other than the two named are ignored. Special tokens that a text spells out are found as the library finds them.
+Shorter texts are cut where the vocabulary's splitting pattern cuts whatever stands on either side, and their chunks are looked up, or encoded
+by the tokenizers library.
+
+Defined results: a null text is an empty one and has no tokens; an empty table gives an empty result; repeated rows and null ids are encoded
+alike and kept as rows of their own; columns other than the two named are ignored. Special tokens that a text spells out are found as the
+library finds them, across joins as well.
 """
 
 from __future__ import annotations
@@ -15,7 +21,8 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -24,16 +31,18 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import apply_groups, map_batches, packed, shared_dir, table
 
-#: Characters of a chunk without a place to cut that goes to the library as it is; a longer one is encoded as a tree.
-PIECE_CHARS = 1 << 14
+#: A text of more characters is encoded as a tree of pieces of PIECE_CHARS characters, each a row of its own. The result is the same either way.
+LONG_CHARS, PIECE_CHARS = 1 << 15, 1 << 13
 #: Chunks whose ids a worker remembers, and characters that such a chunk has at most. Others are encoded each time.
 MEMO_CHUNKS, MEMO_CHARS = 600_000, 64
 #: Characters of a whole run of letters, digits, signs or space that is encoded without a tree.
 LEAF_CHARS = 1 << 10
 #: Texts that go to the library in one call.
 BATCH_TEXTS = 64
+#: Characters on either side of a join that its first window takes.
+WINDOW_CHARS = 256
 
 #: The splitting pattern of byte-level BPE; used on characters below _SETTLED, whose classes no Unicode version disputes.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -86,10 +95,20 @@ class _Memo:
         return flat, where
 
 
+@dataclass(frozen=True)
+class Part:
+    """A stretch of text with its encoding: the splits' ends in characters, how many tokens each split has, and all tokens."""
+
+    text: str
+    ends: np.ndarray
+    counts: np.ndarray
+    ids: np.ndarray
+
+
 class Coder:
     """Encodes and decodes as the tokenizers library does with the same file, add_special_tokens=False, no truncation and no padding."""
 
-    def __init__(self, path: str, piece_chars: int = PIECE_CHARS, leaf_chars: int = LEAF_CHARS):
+    def __init__(self, path: str, leaf_chars: int = LEAF_CHARS, window_chars: int = WINDOW_CHARS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already fill the cores
         from tokenizers import Tokenizer
 
@@ -101,7 +120,7 @@ class Coder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer
-        self.piece_chars, self.leaf_chars = piece_chars, leaf_chars
+        self.leaf_chars, self.window_chars = leaf_chars, window_chars
         self.memo = _Memo(self.encode_chunks)
         self._splits: dict[str, list[int]] = {}
         added = self.tokenizer.get_added_tokens_decoder()
@@ -109,6 +128,7 @@ class Coder:
         self._special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
         self.may_cut = not any(" " in content for content in self.special)
         self._special_starts = {content[0] for content in self.special}
+        self._margin = max(8, *(len(content) for content in self.special)) if self.special else 8
         letter = self._letter = self._byte_letters()
         back = {c: b for b, c in letter.items()}
         self.bytes_of = [b""] * self.tokenizer.get_vocab_size()
@@ -147,17 +167,90 @@ class Coder:
                 return left[:keep] + inner + right[skip:]
             width *= 2
 
-    def _long(self, piece: str) -> list[int]:
-        """A long piece without a place to cut: first by special tokens, then run by run."""
-        out: list[int] = []
-        for part in self._special_pattern.split(piece) if self._special_pattern else [piece]:
+    def splits(self, text: str) -> list[tuple[int, str | int]]:
+        """(end, what) of each split of a text: what is a special token's id, or the split in the vocabulary's characters."""
+        out: list[tuple[int, str | int]] = []
+        at = 0
+        for part in self._special_pattern.split(text) if self._special_pattern else [text]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append((at + len(part), self.special[part]))
             elif part:
-                for run, _ in self.split.pre_tokenize_str(part):
-                    out += self.tree(run)
+                out += [(at + end, run) for run, (_, end) in self.split.pre_tokenize_str(part)]
+            at += len(part)
         return out
 
+    def _tokens(self, text: str, begin: int, end: int, what: str | int) -> list[int]:
+        """The tokens of one split, from the memo of splits or, if it is long, as a tree."""
+        if isinstance(what, int):
+            return [what]
+        if end - begin > MEMO_CHARS:
+            return self.tree(what)
+        part = text[begin:end]
+        ids = self._splits.get(part)
+        if ids is None:
+            ids = self._whole(what)
+            if len(self._splits) < MEMO_CHUNKS:
+                self._splits[part] = ids
+        return ids
+
+    def leaf(self, text: str) -> Part:
+        """A stretch of text, encoded as if it were a whole text."""
+        splits = self.splits(text)
+        begins = [0, *(end for end, _ in splits)]
+        tokens = [self._tokens(text, begin, end, what) for begin, (end, what) in zip(begins, splits)]
+        return Part(text, np.array(begins[1:], np.int64), np.array([len(t) for t in tokens], np.int64), np.array([i for t in tokens for i in t], np.uint32))
+
+    def join(self, a: Part, b: Part) -> Part:
+        """The encoding of two stretches as one. Only a window around the join is split and encoded anew."""
+        joint, margin, width = len(a.text), self._margin, self.window_chars
+        if not a.text or not b.text:
+            return a if a.text else b
+        while True:
+            # the window begins at a split of a, and ends at one of b; how a run of space splits depends on what comes after it
+            k = int(np.searchsorted(a.ends, joint - max(width, margin), "right"))
+            while k and a.text[a.ends[k - 1] - 1].isspace():
+                k -= 1
+            begin = int(a.ends[k - 1]) if k else 0
+            m = min(int(np.searchsorted(b.ends, max(width, margin))), len(b.ends) - 1)
+            end = int(b.ends[m])
+            text = a.text[begin:] + b.text[:end]
+            splits = self.splits(text)
+            ends = np.array([e for e, _ in splits], np.int64) + (begin - joint)
+            if end == len(b.text):
+                agree = len(splits) - 1
+                break
+            # a split that ends where one of b does, clear of the join and of the window's end: from there on b is as it was
+            common = np.flatnonzero(np.isin(ends, b.ends[: m + 1]) & (ends >= margin) & (ends + margin <= end))
+            agree = next((x for x in common.tolist() if not b.text[ends[x] - 1].isspace()), -1)
+            if agree >= 0:
+                break
+            width *= 4
+        again = [self._anew(a, b, text, begin, x, e, what) for x, (e, what) in zip([0, *(e for e, _ in splits)], splits[: agree + 1])]
+        rest = int(np.searchsorted(b.ends, ends[agree], "right"))
+        ids = [a.ids[: int(a.counts[:k].sum())], np.array([i for t in again for i in t], np.uint32), b.ids[int(b.counts[:rest].sum()) :]]
+        return Part(
+            a.text + b.text, np.concatenate([a.ends[:k], ends[: agree + 1] + joint, b.ends[rest:] + joint]),
+            np.concatenate([a.counts[:k], np.array([len(t) for t in again], np.int64), b.counts[rest:]]), np.concatenate(ids),
+        )
+
+    def _anew(self, a: Part, b: Part, text: str, offset: int, begin: int, end: int, what: str | int) -> list[int]:
+        """The tokens of a split of the window. A long run that crosses the join and is a split of either side up to it is joined token by token."""
+        joint = len(a.text)
+        if isinstance(what, str) and end - begin > self.leaf_chars and offset + begin < joint < offset + end:
+            last, right = offset + begin, offset + end - joint
+            starts = len(a.ends) == 1 and last == 0 or len(a.ends) > 1 and a.ends[-2] == last
+            if starts and a.ends[-1] == joint and b.ends[0] == right:
+                mine = a.ids[len(a.ids) - int(a.counts[-1]) :].tolist()
+                return self._join(mine, b.ids[: int(b.counts[0])].tolist())
+        return self._tokens(text, begin, end, what)
+
+    def concatenate(self, parts: list[Part]) -> Part:
+        """Joins neighbours in pairs, and the results again, until one is left."""
+        while len(parts) > 1:
+            pairs = [self.join(a, b) for a, b in zip(parts[::2], parts[1::2])]
+            parts = pairs + parts[2 * len(pairs) :]
+        return parts[0]
+
     def _chunks(self, text: str) -> list[str]:
         """The text cut at every place where a piece begins whatever stands on either side."""
         if not self.may_cut:
@@ -176,10 +269,10 @@ class Coder:
             yield from np.split(flat, where[ends[:-1]])
 
     def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of chunks: plain ones from the memo of splits, others by the library, long ones as trees."""
-        whole = [c for c in chunks if not self._plain(c) and len(c) <= self.piece_chars]
+        """Ids of chunks: plain ones from the memo of splits, others by the library."""
+        whole = [c for c in chunks if not self._plain(c)]
         encoded = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)) if whole else iter(())
-        return [self._by_splits(c) if self._plain(c) else next(encoded).ids if len(c) <= self.piece_chars else self._long(c) for c in chunks]
+        return [self._by_splits(c) if self._plain(c) else next(encoded).ids for c in chunks]
 
     def _plain(self, chunk: str) -> bool:
         """Short, of characters whose classes have long been settled, and without a special token's first character."""
@@ -210,19 +303,66 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(id, ids array<bigint>) of each whole text."""
-    path = path or vocabulary_path()
-    kind = docs.schema[id_col].dataType.simpleString()
+def _pieces(docs: DataFrame, folder: str, piece_chars: int) -> DataFrame:
+    """(n, id, piece, text): the long texts (id, text) as rows of pieces, written in the shared folder, where n numbers their rows once and for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                text = batch.column(2)[row].as_py()
+                pieces = [text[x : x + piece_chars] for x in range(0, len(text), piece_chars)]
+                same = batch.slice(row, 1).select([0, 1]).take(pa.array([0] * len(pieces)))
+                yield pa.record_batch([*same.columns, pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.string())], ["n", "id", "piece", "text"])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("n"), "id", "text")
+    kind = docs.schema["id"].dataType.simpleString()
+    map_batches(numbered, run, f"n bigint, id {kind}, piece int, text string").write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
+def _encoded(
+    docs: DataFrame, id_col: str, text_col: str, path: str, columns: Callable[[list[np.ndarray]], list[pa.Array]], schema: str,
+    long_chars: int = LONG_CHARS, piece_chars: int = PIECE_CHARS,
+) -> DataFrame:
+    """(id, and what ``columns`` makes of the token ids of some texts) of every whole text: short ones where they are, long ones as trees."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["id", *(x.split()[0] for x in schema.split(", "))]
+    rows = packed(docs, docs.count()).select(docs[f"`{id_col}`"].alias("id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
+    is_long = F.char_length("text") > long_chars
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, BATCH_TEXTS):
                 part = batch.slice(k, BATCH_TEXTS)
-                ids = [x.astype(np.int64) for x in coder(path).encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int64()))], ["id", "ids"])
+                yield pa.record_batch([part.column(0), *columns(list(coder(path).encode(part.column(1).to_pylist())))], names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<bigint>")
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [coder(path).leaf(t) for t in batch.column(3).to_pylist()]
+            arrays = [pa.array([getattr(p, f).tobytes() for p in parts], pa.binary()) for f in ("ends", "counts", "ids")]
+            yield pa.record_batch([*batch.columns, *arrays], [*batch.schema.names, "ends", "counts", "ids"])
+
+    def whole(pieces: pa.Table) -> pa.Table:
+        pieces = pieces.sort_by("piece")
+        parts = [
+            Part(r["text"], np.frombuffer(r["ends"], np.int64), np.frombuffer(r["counts"], np.int64), np.frombuffer(r["ids"], np.uint32))
+            for r in pieces.select(["text", "ends", "counts", "ids"]).to_pylist()
+        ]
+        return pa.table([pieces.column("id").slice(0, 1), *columns([coder(path).concatenate(parts).ids])], names=names)
+
+    out = map_batches(rows.where(~is_long), short, f"id {kind}, {schema}")
+    pieces = _pieces(rows.where(is_long), shared_dir(docs.sparkSession), piece_chars).repartition("n", "piece")
+    encoded = map_batches(pieces, leaves, f"n bigint, id {kind}, piece int, text string, ends binary, counts binary, ids binary")
+    return out.unionByName(apply_groups(encoded, "n", whole, f"id {kind}, {schema}"))
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, **sizes: int) -> DataFrame:
+    """(id, ids array<bigint>) of each whole text."""
+
+    def columns(ids: list[np.ndarray]) -> list[pa.Array]:
+        return [pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))]
+
+    return _encoded(docs, id_col, text_col, path or vocabulary_path(), columns, "ids array<bigint>", **sizes)
 
 
 def decode(encoded: DataFrame, id_col: str = "id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -235,26 +375,19 @@ def decode(encoded: DataFrame, id_col: str = "id", ids_col: str = "ids", path: s
             texts = [coder(path).decode(np.array(ids or [], np.uint32)) for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string")
+    return map_batches(encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")), run, f"id {kind}, text string")
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, **sizes: int) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encodes each whole text, decodes the ids again, and keeps the digests of both."""
     path = path or vocabulary_path()
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, BATCH_TEXTS):
-                part = batch.slice(k, BATCH_TEXTS)
-                counts, digests, decoded = [], [], []
-                for ids in coder(path).encode([t or "" for t in part.column(1).to_pylist()]):
-                    counts.append(len(ids))
-                    digests.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                    decoded.append(hashlib.sha256(coder(path).decode(ids).encode()).hexdigest())
-                yield pa.record_batch([part.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    def columns(ids: list[np.ndarray]) -> list[pa.Array]:
+        digests = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
+        decoded = [hashlib.sha256(coder(path).decode(x).encode()).hexdigest() for x in ids]
+        return [pa.array([len(x) for x in ids], pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+
+    return _encoded(docs, id_col, text_col, path, columns, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", **sizes)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
