@@ -13,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,13 +144,16 @@ def _layout_text(layout: Layout) -> str:
 
 
 def from_json(df: DataFrame, id_col: str, json_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """(id, fingerprint, layout, turns) of JSON records in mixed layouts. Malformed or unknown records have null layout and turns."""
+    """(id, fingerprint, layout, turns) of JSON records in mixed layouts. Malformed or unknown records have null layout and turns.
+
+    A record whose fingerprint no layout has, because it has further fields or an empty list, takes the layout with the most paths of those
+    whose top-level fields it has, and whose lists are empty or have the mapping's names.
+    """
     records = df.select(F.col(id_col).alias("id"), F.col(json_col).alias("raw"), F.try_parse_json(F.col(json_col)).alias("v"))
-    records = records.withColumn("fingerprint", F.sha2(_json_paths(F.col("v")), 256))
+    records = records.withColumns({"fingerprint": F.sha2(_json_paths(F.col("v")), 256), "keys": F.json_object_keys("raw")})
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for layout in layouts:
-        if layout.rows:
-            continue
+    loose_name, loose_turns = name, turns
+    for layout in sorted((x for x in layouts if not x.rows), key=lambda x: (len(x.paths), x.name)):  # the one with the most paths is asked first
         match = F.col("fingerprint") == F.lit(hashlib.sha256(_layout_text(layout).encode()).hexdigest())
         fields: dict[str, list[str]] = {}
         for p in layout.paths:
@@ -157,9 +162,16 @@ def from_json(df: DataFrame, id_col: str, json_col: str, layouts: tuple[Layout,
         schema = ", ".join(f"`{h}` array<struct<{', '.join(f'`{x}`: string' for x in rest)}>>" if rest else f"`{h}` string" for h, rest in fields.items())
         parsed = F.transform(F.array(F.from_json("raw", schema)), lambda r: r)[0]
         column = f"_{layout.name}"
-        records = records.withColumn(column, F.when(match, parsed))
-        name, turns = F.when(match, F.lit(layout.name)).otherwise(name), F.when(match, _canonical(layout.expression(f"{column}."))).otherwise(turns)
-    return records.select("id", "fingerprint", name.alias("layout"), turns.alias("turns"))
+        within = F.col("v").isNotNull() & F.forall(F.array(*[F.lit(h) for h in fields]), lambda h: F.array_contains("keys", h))
+        records = records.withColumn(column, F.when(match | within, parsed))
+        for head, rest in fields.items():  # a list is empty, or has the mapping's names in some element
+            items = F.col(column)[head]
+            met = [F.size(F.filter(F.transform(items, lambda m: m[x]), F.isnotnull)) > 0 for x in rest]
+            within = within & F.coalesce((F.size(items) == 0) | reduce(and_, met), F.lit(False)) if rest else within
+        mapped = _canonical(layout.expression(f"{column}."))
+        name, turns = F.when(match, F.lit(layout.name)).otherwise(name), F.when(match, mapped).otherwise(turns)
+        loose_name, loose_turns = F.when(within, F.lit(layout.name)).otherwise(loose_name), F.when(within, mapped).otherwise(loose_turns)
+    return records.select("id", "fingerprint", F.coalesce(name, loose_name).alias("layout"), F.coalesce(turns, loose_turns).alias("turns"))
 
 
 def unknown_layouts(parsed: DataFrame) -> DataFrame:
@@ -194,13 +206,13 @@ def render(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     tail = f"{END}\n"
     formatted = F.array_join(F.zip_with("heads", "bodies", lambda h, b: F.concat(h, b, F.lit(tail))), "")
     sizes = F.zip_with(F.zip_with("heads", "bodies", lambda h, b: F.struct(F.char_length(h).alias("h"), F.char_length(b).alias("b"))), "roles", lambda s, r: F.struct(s["h"].alias("h"), s["b"].alias("b"), r.alias("r")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,length:int>>").alias("spans"))
-
-    def step(acc: Column, s: Column) -> Column:
-        span = F.struct((acc["at"] + s["h"]).cast("int").alias("begin"), s["b"].cast("int").alias("length"))
-        return F.struct((acc["at"] + s["h"] + s["b"] + len(tail)).cast("int").alias("at"), F.when(s["r"] == loss_role, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return parts.select("id", formatted.alias("formatted"), F.aggregate(sizes, zero, step, lambda acc: acc["spans"]).alias("loss"))
+    # running sums by doubling: after k rounds, each place holds the sum of the 2 ** k totals up to it
+    ends = F.transform(sizes, lambda s: s["h"] + s["b"] + len(tail))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size("bodies") + F.lit(1))).cast("int"))
+    ends = F.aggregate(rounds, ends, lambda sums, k: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.pow(F.lit(2), k).cast("int")), F.lit(0))))
+    spans = F.zip_with(sizes, "ends", lambda s, e: F.struct((e - len(tail) - s["b"]).alias("begin"), s["b"].alias("length"), s["r"].alias("r")))
+    masked = F.transform(F.filter(spans, lambda s: s["r"] == loss_role), lambda s: F.struct(s["begin"].cast("int").alias("begin"), s["length"].cast("int").alias("length")))
+    return parts.select("*", ends.alias("ends")).select("id", formatted.alias("formatted"), masked.alias("loss"))
 
 
 def read_back(formatted: Column) -> Column:
