@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import prefix_hash, slices, span_hash, table
+from .shared import map_batches, prefix_hash, slices, span_hash, table
 
 #: Rules of the contract: (host, beginning of the path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of the labelled table at most.
 MOST_LABELLED = 20_000
-GRAMS, BITS = (3, 4, 5), 16
+GRAMS, BITS = (3, 4, 5), 18
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -44,7 +44,7 @@ def rule_column(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
 
 
 def _grams(texts: pa.Array, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of the character n-grams, each text between marks; part keeps those of hosts and paths apart. N-grams are of bytes."""
+    """(row, feature) of the character n-grams, each text between marks; part keeps those of hosts and paths apart."""
     rows, features = [], []
     for i, _, data, offsets in slices(texts):
         lengths = np.diff(offsets)
@@ -53,50 +53,59 @@ def _grams(texts: pa.Array, part: int) -> tuple[np.ndarray, np.ndarray]:
         inner = np.ones(len(marked), bool)
         inner[begins], inner[begins + lengths + 1] = False, False
         marked[inner] = data
-        of = np.repeat(np.arange(len(lengths)), lengths + 2)
+        starts = np.flatnonzero((marked & 0xC0) != 0x80)  # of characters
+        of = np.searchsorted(begins, starts, "right") - 1
+        stops = np.append(starts, len(marked))
         prefix = prefix_hash(marked)
         for n in GRAMS:
-            at = np.arange(max(0, len(marked) - n + 1))
+            at = np.arange(max(0, len(starts) - n + 1))
             at = at[of[at] == of[at + n - 1]]
             rows.append(i + of[at])
-            features.append((span_hash(prefix, at, at + n) + np.uint64(part)) >> np.uint64(64 - BITS))
+            features.append((span_hash(prefix, stops[at], stops[at + n]) + np.uint64(part)) >> np.uint64(64 - BITS))
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(rows), np.concatenate(features).astype(np.int64)
 
 
+def _features(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, value) of hosts and paths. A part's n-grams weigh one over the root of their number, so that a long path does not outweigh its host."""
+    found = []
+    for part, texts in enumerate((hosts, paths)):
+        rows, features = _grams(texts, part << 60)
+        found.append((rows, features, (1 / np.sqrt(np.maximum(np.bincount(rows, minlength=len(texts)), 1)))[rows]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 @dataclass(frozen=True)
 class Model:
-    """Weights by feature; the score of a url is the mean weight of its n-grams plus the bias."""
+    """Weights by feature."""
 
     weights: np.ndarray
     bias: float
 
     def probability(self, hosts: pa.Array, paths: pa.Array) -> np.ndarray:
-        z, n = np.zeros(len(hosts)), np.zeros(len(hosts))
-        for part, texts in enumerate((hosts, paths)):
-            rows, features = _grams(texts, part << 60)
-            z += np.bincount(rows, self.weights[features], len(hosts))
-            n += np.bincount(rows, minlength=len(hosts))
-        return 1 / (1 + np.exp(-(z / np.sqrt(np.maximum(n, 1)) + self.bias)))
+        rows, features, values = _features(hosts, paths)
+        z = np.bincount(rows, self.weights[features] * values, len(hosts))
+        return 1 / (1 + np.exp(-(z + self.bias)))
 
 
 def fit(hosts: Sequence[str], paths: Sequence[str], blocked: Sequence[int], rounds: int = 300, rate: float = 0.5, l2: float = 1e-4) -> Model:
     """Logistic regression by full-batch adaptive gradients; the same rows in the same order give the same model."""
     y, n = np.asarray(blocked, float), len(blocked)
-    parts = [_grams(pa.array(list(texts), pa.string()), part << 60) for part, texts in enumerate((hosts, paths))]
-    rows, features = np.concatenate([r for r, _ in parts]), np.concatenate([f for _, f in parts])
-    scale = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))
-    weights, bias, seen, seen_bias = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-8), 1e-8
+    rows, features, values = _features(*(pa.array(list(texts), pa.string()) for texts in (hosts, paths)))
+    used, features = np.unique(features, return_inverse=True)
+    weights, bias, seen, seen_bias = np.zeros(len(used)), 0.0, np.full(len(used), 1e-8), 1e-8
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(np.bincount(rows, weights[features], n) * scale + bias)))
+        p = 1 / (1 + np.exp(-(np.bincount(rows, weights[features] * values, n) + bias)))
         error = (p - y) / max(n, 1)
-        slope = np.bincount(features, (error * scale)[rows], 1 << BITS) + l2 * weights
+        slope = np.bincount(features, error[rows] * values, len(used)) + l2 * weights
         seen += slope**2
         weights -= rate * slope / np.sqrt(seen)
         seen_bias += error.sum() ** 2
         bias -= rate * error.sum() / np.sqrt(seen_bias)
-    return Model(weights, float(bias))
+    every = np.zeros(1 << BITS, np.float32)
+    every[used] = weights
+    return Model(every, float(bias))
 
 
 def fit_table(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", most_rows: int = MOST_LABELLED) -> Model:
@@ -108,30 +117,72 @@ def fit_table(labelled: DataFrame, url_col: str = "url", label_col: str = "block
     return fit(rows["h"].to_pylist(), rows["p"].to_pylist(), rows["y"].to_pylist())
 
 
-#: Words from which the small labelled table is made.
-UNWANTED = ("casino", "poker", "jackpot", "betting", "slots", "porn", "xxx", "escort", "nude", "viagra", "pills", "warez", "torrent", "cracked", "keygen", "phish", "malware", "spam", "payday", "clickbait", "replica", "free-money", "lottery", "cams")
-WANTED = ("news", "science", "library", "university", "research", "museum", "docs", "wiki", "history", "health", "weather", "school", "garden", "recipes", "music", "travel", "journal", "archive", "forum", "blog", "city", "sport", "open", "story")
+#: Words of hosts that filters block, by subject: gambling, adult, pills, advertising and tracking, spam and fraud, pirated goods.
+UNWANTED = (
+    "casino", "poker", "jackpot", "bets", "betting", "slots", "roulette", "bingo", "lottery",
+    "adult", "porn", "xxx", "sex", "nude", "escort", "cams", "erotic",
+    "pills", "viagra", "cialis", "meds", "steroid",
+    "ads", "adserver", "banner", "track", "tracker", "popup", "clicks", "pixel",
+    "spam", "phish", "malware", "scam", "payday", "loans", "clickbait", "getrich",
+    "warez", "torrent", "keygen", "cracked", "replica", "fakes",
+)
+#: Words of hosts that they leave alone.
+WANTED = (
+    "news", "science", "library", "university", "research", "museum", "docs", "wiki", "history", "health", "weather", "school",
+    "garden", "recipes", "music", "travel", "journal", "archive", "forum", "city", "sport", "open", "story", "books", "maps",
+    "kitchen", "camera", "bicycle", "hospital", "railway", "theatre", "village", "market", "harbour", "mountain", "college",
+    "engineer", "painting", "teacher", "student", "language", "software", "data", "cloud", "code", "paper", "radio", "nature",
+    "family", "animal", "winter", "church", "street", "island", "coffee", "trade", "bank", "house", "energy", "water",
+)
+#: Words that go with either.
+BESIDE = ("free", "online", "best", "now", "win", "cheap", "hot", "live", "club", "world", "my", "the", "deal", "buy", "top", "farm", "x", "pro", "24", "hub")
+_TOPS = ("com", "net", "org", "info", "biz", "io", "co.uk", "de")
+_SUBDOMAINS = ("", "", "www.", "m.", "blog.", "shop.")
+_SYLLABLES = ("an", "er", "on", "th", "in", "re", "st", "sh", "ou", "le", "ti", "en", "ba", "ko", "mi", "ra", "sel", "tor", "ven", "lu", "du", "gar", "pel", "wick", "ham", "bur")
+
+
+def labelled_urls(hosts: int = 1200, seed: int = 11) -> list[tuple[str, int]]:
+    """The small labelled table (url, 1 for blocked): ``hosts`` hosts of each label with two urls each, made by rule from the word lists.
+
+    A host is a word or two of its label, a word that goes with either, and digits, joined or hyphenated; half of the clean hosts are names
+    of a few syllables. Paths are of the kinds that occur with both, and a third have a word of the label in them.
+    """
+    rng = np.random.default_rng(seed)
+    pick = lambda words: words[int(rng.integers(len(words)))]
+    out, met = [], set()
+    for label, words in ((0, WANTED), (1, UNWANTED)):
+        n = 0
+        while n < hosts:
+            if label == 0 and rng.random() < 0.5:
+                name = "".join(pick(_SYLLABLES) for _ in range(int(rng.integers(2, 6))))
+            else:
+                parts = [pick(words), pick(BESIDE if rng.random() < 0.6 else words)][: 1 if rng.random() < 0.2 else 2]
+                name = ("-" if rng.random() < 0.5 else "").join(reversed(parts) if rng.random() < 0.5 else parts)
+            name += str(int(rng.integers(1, 1000))) if rng.random() < 0.15 else ""
+            host = f"{pick(_SUBDOMAINS)}{name}{'.' + pick(_SYLLABLES) + pick(_SYLLABLES) if rng.random() < 0.2 else ''}.{pick(_TOPS)}"
+            if host in met:
+                continue
+            met.add(host)
+            n += 1
+            for _ in range(2):
+                number = int(rng.integers(1, 100_000))
+                slug = f"/{pick(words)}-{pick(BESIDE)}.html"
+                path = pick(("", "/", "/index.php", f"/p/{number}", f"/{2000 + number % 25}/{1 + number % 12:02d}/post", f"/item/{number}.html", slug, slug, slug))
+                out.append((f"http{'s' if rng.random() < 0.5 else ''}://{host}{path}", label))
+    return out
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table: each word in a few shapes of host and path, wanted words labelled 0 and unwanted ones 1, and plain numbered pages labelled 0."""
-    out = []
-    for words, label in ((WANTED, 0), (UNWANTED, 1)):
-        for k, w in enumerate(words):
-            other = words[(k + 7) % len(words)]
-            for top in ("com", "net", "org"):
-                out += [(f"http://www.{w}.{top}/", label), (f"https://{w}-{other}.{top}/{other}/{100 * k + 7}", label), (f"https://site{k}.example.{top}/{w}/{other}.html", label)]
-    for k in range(120):
-        out.append((f"https://{'abcdefghij'[k % 10]}{'aeiou'[k % 5]}{'lmnrst'[k % 6]}{'dgkpt'[k % 5]}.example.{('com', 'net', 'org')[k % 3]}/{('en', 'de', 'fr', 'es')[k % 4]}/{977 * k + 13}", 0))
-    return out
+def split_url(url: str) -> tuple[str, str]:
+    """host_and_path() of one url."""
+    rest = url.partition("://")[2]
+    end = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
+    return rest[:end].translate(str.maketrans(_UPPER, _LOWER)), rest[end:].partition("#")[0].partition("?")[0]
 
 
 @cache
 def default_model() -> Model:
-    from urllib.parse import urlsplit
-
-    parts = [(urlsplit(u), y) for u, y in labelled_urls()]
-    return fit([s.netloc for s, _ in parts], [s.path for s, _ in parts], [y for _, y in parts])
+    parts = [(*split_url(u), y) for u, y in labelled_urls()]
+    return fit(*zip(*parts))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, model: Model | None = None, threshold: float = 0.5) -> DataFrame:
@@ -146,7 +197,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         for batch in batches:
             yield pa.record_batch([*batch.columns, pa.array(model.probability(batch.column(1), batch.column(2)))], [*batch.schema.names, "probability"])
 
-    scored = rows.mapInArrow(run, _schema_with(rows, "probability double"))
+    scored = map_batches(rows, run, _schema_with(rows, "probability double"))
     return scored.select("id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("probability") >= threshold, "block").otherwise("allow")).alias("verdict"), "probability")
 
 
