@@ -378,16 +378,18 @@ def decode(encoded: DataFrame, id_col: str = "id", ids_col: str = "ids", path: s
     return map_batches(encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")), run, f"id {kind}, text string")
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, **sizes: int) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): encodes each whole text, decodes the ids again, and keeps the digests of both."""
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep_ids: bool = False, **sizes: int) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the ids): encodes each whole text, decodes the ids again, and keeps the digests of both."""
     path = path or vocabulary_path()
 
     def columns(ids: list[np.ndarray]) -> list[pa.Array]:
         digests = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
         decoded = [hashlib.sha256(coder(path).decode(x).encode()).hexdigest() for x in ids]
-        return [pa.array([len(x) for x in ids], pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+        kept = [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))] if keep_ids else []
+        return [pa.array([len(x) for x in ids], pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), *kept]
 
-    return _encoded(docs, id_col, text_col, path, columns, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", **sizes)
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return _encoded(docs, id_col, text_col, path, columns, schema, **sizes)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,10 +87,33 @@ class FMIndex:
         k = np.frexp((high - low).astype(np.float64))[1] - 1
         return np.minimum(self.least[k, low], self.least[k, high - (1 << k)])
 
+    def matching_statistics(self, patterns: list[np.ndarray], bound: np.ndarray) -> list[np.ndarray]:
+        """For each symbol of each pattern, the length of the longest match that ends there with an owner below bound[q], up to 2 ** doublings symbols.
+
+        All of a pattern's ends are searched backwards in step. Symbols that the index does not have match nothing.
+        """
+        ends = np.cumsum([0, *map(len, patterns)])
+        every = np.concatenate([np.zeros(0, np.int64), *patterns])
+        query = np.repeat(np.arange(len(patterns)), np.diff(ends))
+        lengths, live, at = np.zeros(len(every), np.int64), np.arange(len(every)), np.arange(len(every))
+        low, high = np.zeros(len(every), np.int64), np.full(len(every), self.n)
+        for _ in range(self.longest):
+            known = (every[at] > 0) & (every[at] < len(self.before) - 1)
+            live, at, low, high = live[known], at[known], low[known], high[known]
+            low, high = self.extend(every[at], low, high)
+            fits = high > low
+            fits[fits] = self.least_owner(low[fits], high[fits]) < bound[query[live[fits]]]
+            lengths[live[fits]] += 1
+            goes_on = fits & (at > ends[query[live]])
+            live, at, low, high = live[goes_on], at[goes_on] - 1, low[goes_on], high[goes_on]
+            if not len(live):
+                break
+        return np.split(lengths, ends[1:-1])
+
     def windows_found(self, first: np.ndarray, last: np.ndarray, bound: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the windows of ``width`` symbols that start at positions first[q] to last[q]: (query, from, to) runs of those that occur with an owner below bound[q].
 
-        A search goes backwards from the end of one window of a range. Where T[f..e] has no such occurrence, no window around it has; where
+        These are the runs of ends whose matching statistic is ``width`` or more, found without the statistics of all other ends. A search goes backwards from the end of one window of a range. Where T[f..e] has no such occurrence, no window around it has; where
         T[f + 1..e] has one, so have all windows inside. What stays open is searched again, split, until every window is decided.
         """
         query, a, b = np.arange(len(first)), first.astype(np.int64), last.astype(np.int64)

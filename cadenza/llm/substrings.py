@@ -18,12 +18,14 @@ found for them. Within a shard, words are told apart by 64-bit hashes, and match
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .fmindex import FMIndex
 from .shared import NOT_SPACE, Words, apply_groups, cut, map_batches, packed, remove, shared_dir, slices, table, window_hash
@@ -261,6 +263,74 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_batches(joined.select(*[docs[f"`{c}`"] for c in docs.columns], keys["_spans"].alias("_spans_of_repeats")), run, docs.schema)
 
 
+def matching_statistics(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(id, shard, start, length): where documents match a corpus for ``least`` words or more, as maximal intervals of words from 0.
+
+    Each shard of the corpus, a run of rows of about ``shard_words`` words, becomes one FM-index; every document is streamed through it, and
+    backward search gives the longest match that ends at each of its words, up to 128 words (``least`` at most). Intervals cover the matches
+    of ``least`` words or more; ``length`` is the interval's. For a set of documents that is small beside the corpus: each passes every shard,
+    in blocks of bounded size. A document that is in the corpus matches itself.
+    """
+    if not 0 < least <= 128:
+        raise ValueError("least must be from 1 to 128")
+    spark = docs.sparkSession
+    kind, arrow_kind = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
+    schema, folder = f"id {kind}, shard string, start bigint, length bigint", shared_dir(spark)
+    spark.createDataFrame([], schema).write.parquet(folder)
+
+    def blocks() -> Iterator[list[tuple[object, str]]]:
+        block, size = [], 0
+        for row in docs.select(docs[f"`{id_col}`"].alias("i"), docs[f"`{text_col}`"].alias("t")).where("t IS NOT NULL").toLocalIterator():
+            block.append((row["i"], row["t"]))
+            size += len(row["t"])
+            if size >= _BLOCK_CHARS:
+                yield block
+                block, size = [], 0
+        if block:
+            yield block
+
+    for block in blocks():
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            hashes = [Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), NOT_SPACE).hashes() for _, t in sent.value]
+            for batch in batches:
+                for i, j, data, offsets in slices(batch.column(0), shard_words * 6):
+                    words = Words(data, offsets, NOT_SPACE)
+                    if not len(words):
+                        continue
+                    kinds, symbols = np.unique(words.hashes(), return_inverse=True)
+                    ends = np.cumsum(words.counts() + 1) - 1
+                    joined, inside = np.zeros(int(ends[-1]) + 1, np.int64), np.ones(int(ends[-1]) + 1, bool)
+                    inside[ends] = False
+                    joined[inside] = symbols + 1
+                    index = FMIndex(joined, np.zeros(len(joined), np.int64))
+                    numbers = []
+                    for h in hashes:
+                        at = np.minimum(np.searchsorted(kinds, h), len(kinds) - 1)
+                        numbers.append(np.where(kinds[at] == h, at + 1, 0))
+                    shard = f"{zlib.crc32(data.tobytes()):08x}-{len(data)}"
+                    for (name, _), lengths in zip(sent.value, index.matching_statistics(numbers, np.ones(len(numbers), np.int64))):
+                        long = np.flatnonzero(lengths >= least)
+                        if len(long):
+                            change = np.zeros(len(lengths) + 1, np.int64)
+                            np.add.at(change, long - lengths[long] + 1, 1)
+                            np.add.at(change, long + 1, -1)
+                            edges = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(change[:-1]) > 0, [0]]).astype(np.int8)))
+                            starts, stops = edges[::2], edges[1::2]
+                            columns = [pa.array([name] * len(starts), arrow_kind), pa.array([shard] * len(starts)), pa.array(starts), pa.array(stops - starts)]
+                            yield pa.record_batch(columns, ["id", "shard", "start", "length"])
+
+        texts = corpus.select(corpus[f"`{text_col}`"].alias("text"))
+        map_batches(packed(texts, corpus.count()), run, schema).write.mode("append").parquet(folder)
+        sent.destroy()
+    return spark.read.schema(schema).parquet(folder)
+
+
+#: Characters of documents that pass the shards at once.
+_BLOCK_CHARS = 1 << 20
+
+
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 

@@ -228,3 +228,37 @@ def test_items_with_a_null_id_are_searched_and_not_named(spark):
     assert [r.doc_id for r in decontaminate.remove(docs, items.where("item_id is null")).collect()] == [2]
     empty = spark.createDataFrame([(None, passage)], "item_id string, text string")
     assert decontaminate.judge(docs, empty).where("contaminated").count() == 2
+
+
+def test_matching_statistics_against_brute_force(spark):
+    rng = np.random.default_rng(31)
+    draw = lambda n: rng.integers(0, 12, n).tolist()
+    texts = [draw(int(rng.integers(1, 60))) for _ in range(12)]
+    symbols = np.concatenate([np.array([*[x + 1 for x in t], 0]) for t in texts])
+    owner = np.repeat(np.arange(12), [len(t) + 1 for t in texts])
+    index = FMIndex(symbols, owner)
+    patterns = [np.array([x + 1 for x in draw(40)]) for _ in range(5)] + [np.array([0, 99, 3])]
+    for bound in (12, 5):
+        found = index.matching_statistics(patterns, np.full(len(patterns), bound))
+        for p, lengths in zip(patterns, found):
+            own = {tuple(t[a:b]) for t in texts[:bound] for a in range(len(t)) for b in range(a + 1, len(t) + 1)}
+            want = [max((n for n in range(e + 2) if n == 0 or tuple(x - 1 for x in p[e + 1 - n : e + 1].tolist()) in own), default=0) for e in range(len(p))]
+            assert lengths.tolist() == want
+
+
+def test_documents_streamed_through_shards_report_intervals(spark):
+    texts = [t or "" for t in passages(8)]
+    corpus = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    words = [re.findall(SPACE, t) for t in texts]
+    queries = [" ".join(["own"] * 5 + words[0][3:68] + ["mine"] + words[3]), "nothing of it", ""]
+    frame = spark.createDataFrame([(chr(97 + k), q) for k, q in enumerate(queries)] + [("z", None)], "doc_id string, text string")
+    found = {(r.id, r.start, r.length) for r in substrings.matching_statistics(frame, corpus, least=30).collect()}
+    grams = {tuple(w[s : s + 30]) for w in words for s in range(len(w) - 29)}
+    want = set()
+    for k, q in enumerate(queries):
+        w = q.split()
+        hit = sorted({p for s in range(len(w) - 29) if tuple(w[s : s + 30]) in grams for p in range(s, s + 30)})
+        runs = [p for p in hit if p - 1 not in hit]
+        want |= {(chr(97 + k), p, next(n for n in range(1, len(w) + 2) if p + n not in hit)) for p in runs}
+    assert found == want and len(want) == 2
+    assert substrings.matching_statistics(frame.limit(0), corpus).count() == 0 and substrings.matching_statistics(frame, corpus.limit(0)).count() == 0
