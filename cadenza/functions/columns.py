@@ -36,6 +36,13 @@ def share(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).when(~condition, 0.0))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson's correlation over the rows that have both; null where either does not vary, which corr() makes an error."""
+    a, b = F.when(y.isNotNull(), x.cast("double")), F.when(x.isNotNull(), y.cast("double"))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.covar_pop(a, b) / F.when(spread > 0, spread)
+
+
 def zscore(column: str, window: Window | None = None) -> Column:
     """Population z-score over a window (all rows without one); 0 where the deviation is 0."""
     w = window or Window.partitionBy()

@@ -92,6 +92,31 @@ def progression_patterns(found: DataFrame) -> DataFrame:
     return named.groupBy("piece_id", "pattern", "length").agg(F.count("*").alias("hits"), (F.count("*") / F.greatest(F.lit(1.0), F.max("total") / F.col("length"))).alias("frequency")).drop("length")
 
 
+def progression_complexity(found: DataFrame) -> DataFrame:
+    """(piece_id, complexity, unique_chords, uniqueness_ratio, change_rate, non_tonic_ratio, roman_diversity) of pieces with two chords or more."""
+    n, span = F.count("*"), F.max("time") - F.min("time")
+    rows = found.groupBy("piece_id").agg(
+        n.alias("_n"), F.count_distinct("root", "quality").alias("unique_chords"), F.when(span > 0, (n - 1) / span).otherwise(0.0).alias("change_rate"),
+        F.avg(F.when(F.col("root") != F.col("tonic"), 1.0).otherwise(0.0)).alias("non_tonic_ratio"), F.count_distinct("numeral").alias("_numerals"),
+    ).where("_n >= 2")
+    rows = rows.withColumns({"uniqueness_ratio": F.col("unique_chords") / F.col("_n"), "roman_diversity": F.col("_numerals") / F.least(F.col("_n"), F.lit(7))})
+    score = F.col("uniqueness_ratio") * 0.3 + F.least(F.col("change_rate") / 2, F.lit(1.0)) * 0.2 + F.col("non_tonic_ratio") * 0.3 + F.col("roman_diversity") * 0.2
+    return rows.select("piece_id", score.alias("complexity"), "unique_chords", "uniqueness_ratio", "change_rate", "non_tonic_ratio", "roman_diversity")
+
+
+def palindrome_features(notes: DataFrame, window: int = 8) -> DataFrame:
+    """(piece_id, counts of melodic, rhythmic and intervallic palindromes and of mirrors, density, longest melodic and rhythmic, has_retrograde, symmetry)."""
+    kinds = ("melodic", "rhythmic", "intervallic")
+    counts = [F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in kinds]
+    longest = [F.coalesce(F.max(F.when(F.col("kind") == k, F.col("length"))), F.lit(0)).alias(f"longest_{k}") for k in kinds[:2]]
+    found = palindromes(notes).groupBy("piece_id").agg(*counts, *longest, F.sum("length").alias("_covered"))
+    mirrors = structural_mirrors(notes).groupBy("piece_id").agg(F.count("*").alias("mirror_count"))
+    n = notes.groupBy("piece_id").agg(F.count("*").alias("_n"))
+    rows = n.join(found, "piece_id", "left").join(mirrors, "piece_id", "left").na.fill(0)
+    rows = rows.join(retrograde_motion(notes, window), "piece_id").join(symmetry_score(notes), "piece_id")
+    return rows.withColumn("density", F.col("_covered") / F.col("_n")).drop("_covered", "_n")
+
+
 def _mirrors(x: np.ndarray, length: int, tolerance: np.ndarray | float) -> np.ndarray:
     """Starts of windows of this length that equal their reverse within the tolerance."""
     if len(x) < length:

@@ -34,8 +34,8 @@ def check_styles(matrix: DataFrame) -> DataFrame:
     return rows.withColumns(checks).select("piece_id", "style", *checks, (c("entropy_ok") & c("consonance_ok") & c("steps_ok")).alias("valid"), distance.alias("distance"))
 
 
-def _suggest(pitches: np.ndarray, durations: np.ndarray, markov: np.ndarray, total: float, top: int) -> list[tuple]:
-    """(pitch, score, duration, tag) of the best next notes after a context of up to 16 notes."""
+def _suggest(pitches: np.ndarray, durations: np.ndarray, markov: np.ndarray, total: float, top: int, with_terms: bool = False) -> list[tuple] | tuple[list[tuple], list[dict[str, float]]]:
+    """(pitch, score, duration, tag) of the best next notes after a context of up to 16 notes; with_terms: and the seven terms of each."""
     recent, last = pitches[-16:], int(pitches[-1])
     level, variance = float(last), 1.0  # the filter starts at the last pitch and replays the context
     for x in recent:
@@ -78,7 +78,8 @@ def _suggest(pitches: np.ndarray, durations: np.ndarray, markov: np.ndarray, tot
         return next((name for name, holds in rules if holds), "neutral")
 
     best = np.argsort(-score, kind="stable")[:top]
-    return [(int(candidates[k]), float(score[k]), round(min(4.0, max(0.25, length)), 2), tag(int(k))) for k in best]
+    found = [(int(candidates[k]), float(score[k]), round(min(4.0, max(0.25, length)), 2), tag(int(k))) for k in best]
+    return (found, [{name: float(v[k]) for name, v in terms.items()} for k in best]) if with_terms else found
 
 
 def markov_matrix(notes: DataFrame) -> np.ndarray:

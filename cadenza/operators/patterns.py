@@ -6,6 +6,8 @@ one piece at a time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -91,6 +93,39 @@ def mandala(notes: DataFrame, layers: int = 3, points: int = 12, radius: float =
     return rows.withColumn("symmetry_order", F.coalesce(F.get(divisors, F.lit(0)), F.col("num_points")))
 
 
+def geometric_complexity(notes: DataFrame) -> DataFrame:
+    """(piece_id, complexity, shapes, kinds, is_spiral, layers): kinds of shapes by .1, a spiral by .2, layers by .1 and shapes by .05, at most 1."""
+    from .shapes import spiral_pattern
+
+    found = shapes(notes).groupBy("piece_id").agg(F.count("*").alias("shapes"), F.count_distinct("shape").alias("kinds"))
+    layers = mandala(notes).groupBy("piece_id").agg(F.count("*").alias("layers"))
+    rows = notes.select("piece_id").distinct().join(found, "piece_id", "left").join(layers, "piece_id", "left").na.fill(0)
+    rows = rows.join(spiral_pattern(notes).select("piece_id", "is_spiral"), "piece_id", "left").na.fill(False)
+    score = F.col("kinds") * 0.1 + F.col("is_spiral").cast("int") * 0.2 + F.col("layers") * 0.1 + F.col("shapes") * 0.05
+    return rows.select("piece_id", F.least(F.lit(1.0), score).alias("complexity"), "shapes", "kinds", "is_spiral", "layers")
+
+
+def chroma_geometry(frames: DataFrame) -> DataFrame:
+    """(piece_id, variance, eccentricity, circularity): mean variance of the twelve energies over a piece's frames, and how elongated they lie: from the two largest eigenvalues of their covariance, by moments alone."""
+    e = lambda k: F.col("energy")[k]
+    pairs = [(i, j) for i in range(12) for j in range(i, 12)]
+    moments = frames.groupBy("piece_id").agg(F.count("*").alias("n"), *[F.covar_pop(e(i), e(j)).alias(f"c{i}_{j}") for i, j in pairs])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            rows = []
+            for r in frame.to_dict("records"):
+                c = np.zeros((12, 12))
+                for i, j in pairs:
+                    c[i, j] = c[j, i] = r[f"c{i}_{j}"]
+                second, first = np.linalg.eigvalsh(c)[-2:]
+                long = float(np.sqrt(max(0.0, 1 - (second / first) ** 2))) if first > 1e-12 else 0.0
+                rows.append((r["piece_id"], float(np.trace(c) / 12), long, 1 - long))
+            yield _frame(rows, {"piece_id": "int64", "variance": "float64", "eccentricity": "float64", "circularity": "float64"})
+
+    return moments.mapInPandas(run, "piece_id bigint, variance double, eccentricity double, circularity double")
+
+
 def _key(energy: np.ndarray) -> tuple[str, float]:
     """Best of the 24 keys in the order C major, C minor, C# major, and so on; the strength is at least 0."""
     centred = energy - energy.mean()

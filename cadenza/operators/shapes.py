@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_seq
+from ..functions.columns import correlation as correlated
 
 PHI = (1 + math.sqrt(5)) / 2
 #: Key profiles of Krumhansl and Kessler, from the tonic.
@@ -36,7 +37,7 @@ def spiral_pattern(notes: DataFrame) -> DataFrame:
     at = circle(notes).withColumns({"dx": F.col("x") - F.avg("x").over(w), "dy": F.col("y") - F.avg("y").over(w)})
     polar = at.select("piece_id", "seq", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2).alias("r"), F.atan2("dy", "dx").alias("theta"))
     polar = polar.withColumn("up", F.when(F.lag("r").over(by_seq()).isNotNull(), F.when(F.col("r") > F.lag("r").over(by_seq()) + 1e-12, 1.0).otherwise(0.0)))
-    out = polar.groupBy("piece_id").agg(F.avg("up").alias("increasing"), F.coalesce(F.corr("theta", F.when(F.col("r") > 0, F.log("r")).otherwise(0.0)), F.lit(0.0)).alias("correlation"), F.count("*").alias("n"))
+    out = polar.groupBy("piece_id").agg(F.avg("up").alias("increasing"), F.coalesce(correlated(F.col("theta"), F.when(F.col("r") > 0, F.log("r")).otherwise(0.0)), F.lit(0.0)).alias("correlation"), F.count("*").alias("n"))
     return out.select("piece_id", "increasing", "correlation", ((F.col("n") >= 10) & (F.col("increasing") >= 0.7)).alias("is_spiral"))
 
 

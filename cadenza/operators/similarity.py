@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_seq
+from ..functions.columns import by_seq, correlation
 
 #: Queries that travel to the rows at once, or about so many.
 MOST_QUERIES = 10_000
@@ -54,7 +54,7 @@ def pearson_to(notes: DataFrame, queries: DataFrame, column: str = "pitch", most
     def found(block: DataFrame) -> DataFrame:
         mine = block.select(F.col("piece_id").alias("query"), F.col("seq").alias("_at"), x.alias("_q"))
         met = notes.join(F.broadcast(mine), (F.col("seq") == F.col("_at")) & (F.col("piece_id") != F.col("query")))
-        r = met.groupBy("query", "piece_id").agg(F.coalesce(F.corr(x, F.col("_q")), F.lit(0.0)).alias("r"))
+        r = met.groupBy("query", "piece_id").agg(F.coalesce(correlation(x, F.col("_q")), F.lit(0.0)).alias("r"))
         return r.withColumn("similarity", (F.col("r") + 1) / 2)
 
     return _in_blocks(queries, "piece_id", most_queries, found)

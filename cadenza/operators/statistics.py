@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import correlation as correlated
+
 SIGNATURE_INPUTS = ("pitch_range", "pitch_std", "repetition_index", "consonance_score", "dissonance_index", "pitch_entropy", "interval_entropy", "rhythmic_entropy", "spectral_entropy", "fractal_dimension")
 SIGNATURES = ("sig_melodic_volatility", "sig_motif_repetition", "sig_consonance_balance", "sig_structural_complexity")
 
@@ -102,7 +104,7 @@ def one_sample_t(df: DataFrame, column: str, expected: float) -> DataFrame:
 
 
 def correlation(df: DataFrame, x: str, y: str) -> Column:
-    return df.agg(F.corr(x, y).alias("r"), F.count("*").alias("n"))
+    return df.agg(correlated(F.col(x), F.col(y)).alias("r"), F.count("*").alias("n"))
 
 
 def kl_divergence(original: DataFrame, other: DataFrame, column: str, bins: int = 20) -> DataFrame:
@@ -156,6 +158,22 @@ def r_p_value(r: float, n: int) -> float:
     return 0.0 if abs(r) >= 1 else t_p_value(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
 
 
+#: Weights of the beauty terms before they are fitted.
+BEAUTY = {"pitch_entropy": 0.35, "consonance_score": 0.25, "repetition_index": 0.2, "fractal_dimension": 0.2}
+
+
+def beauty_weights(df: DataFrame, liked: str, weights: dict[str, float] = BEAUTY, significant: float = 0.05) -> DataFrame:
+    """(feature, r, p, weight): weights of features by their correlation with a liking: |r| as a share of all significant ones, the others as they were, all brought to a sum of one."""
+    moments = df.agg(*[correlated(F.col(c), F.col(liked)).alias(c) for c in weights], F.count("*").alias("_n")).first()
+    r = {c: moments[c] if moments[c] is not None and moments[c] == moments[c] else 0.0 for c in weights}
+    p = {c: r_p_value(r[c], moments["_n"]) if moments["_n"] > 2 else 1.0 for c in weights}
+    strong = {c: abs(r[c]) for c in weights if p[c] < significant}
+    total = sum(strong.values()) or 1.0
+    raw = {c: strong[c] / total if c in strong else w for c, w in weights.items()}
+    whole = sum(raw.values()) or 1.0
+    return df.sparkSession.createDataFrame([(c, float(r[c]), float(p[c]), raw[c] / whole) for c in weights], "feature string, r double, p double, weight double")
+
+
 def impact_score(matrix: DataFrame, entropy_band: tuple[float, float] = (2.0, 2.8), consonance: float = 0.65, repetition: float = 0.4, fractal: float = 1.5, weights: tuple[float, float, float, float] = (0.35, 0.25, 0.2, 0.2)) -> DataFrame:
     """(piece_id, impact): pitch entropy inside a band, and closeness of consonance, repetition and fractal dimension to targets, weighted and held to 0..1."""
     lo, hi = entropy_band

@@ -22,7 +22,7 @@ QUERIES = {
     "inner_join": lambda s, d: rounded(_ord(s, d).join(_cust(s, d), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count("*").alias("orders"), F.avg("o_totalprice").alias("mean_price")), 4),
     "left_join": lambda s, d: _cust(s, d).join(_ord(s, d).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n")), "c_custkey", "left").groupBy(F.coalesce("n", F.lit(0)).alias("orders")).agg(F.count("*").alias("customers")),
     "semi_join": lambda s, d: _cust(s, d).join(_ord(s, d), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name"),
-    "anti_join": lambda s, d: _cust(s, d).join(_ord(s, d), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name"),
+    "anti_join": lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_anti").select("doc_id", "source"),
     "range_join": lambda s, d: op.near_in_time(table(s, d, "events"), 600.0),
     "union_keep_last": lambda s, d: op.keep_last(_ord(s, d), _ord(s, d).withColumn("o_orderstatus", F.lower("o_orderstatus")), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus"),
     "pivot": lambda s, d: table(s, d, "events").groupBy("user_id").pivot("event_type", list(views.VOICES)).count().na.fill(0),
@@ -49,7 +49,7 @@ ORACLE_SQL = {
     "inner_join": f"SELECT c_mktsegment, count(*) AS orders, {R('avg(o_totalprice)', 'mean_price', 4)} FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "left_join": "SELECT coalesce(n, 0) AS orders, count(*) AS customers FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) AS o ON c_custkey = o_custkey GROUP BY 1",
     "semi_join": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
-    "anti_join": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "anti_join": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "range_join": "SELECT x.user_id, x.event_id AS a, y.event_id AS b FROM events AS x JOIN events AS y ON x.user_id = y.user_id AND (y.ts > x.ts OR (y.ts = x.ts AND y.event_id > x.event_id)) AND epoch_us(y.ts) - epoch_us(x.ts) < 600000000",
     "union_keep_last": "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY age DESC, o_orderkey DESC) AS k FROM (SELECT o_custkey, o_orderkey, o_orderstatus, 0 AS age FROM orders UNION ALL SELECT o_custkey, o_orderkey, lower(o_orderstatus), 1 FROM orders) AS u) AS v WHERE k = 1",
     "pivot": "SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{v}') AS {v}" for v in views.VOICES) + " FROM events GROUP BY user_id",

@@ -66,6 +66,13 @@ def _weights_sql(weights) -> str:
     return f"WITH {_XS} SELECT piece_id, CAST(i - 1 AS INTEGER) AS seq, {R(terms, 'smoothed')} FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM xs) AS x"
 
 
+_SMOOTHED_HEAD = f"""WITH {MOTES_SQL}, {_model('pitch', 'motes', 'piece_id')}, ss AS (SELECT DISTINCT piece_id, src AS s FROM st), nn AS (SELECT piece_id, count(*) AS k FROM ss GROUP BY piece_id),
+de AS (SELECT a.piece_id, a.s AS src, b.s AS dst, k, coalesce(n, 0) AS c FROM ss AS a JOIN ss AS b USING (piece_id) JOIN nn USING (piece_id) LEFT JOIN model AS m ON m.piece_id = a.piece_id AND m.src = a.s AND m.dst = b.s)
+"""
+_SMOOTHED_P = "CASE WHEN sum(c) OVER w > 0 THEN (c + 1) / CAST(sum(c) OVER w + k AS DOUBLE) ELSE 1.0 / k END"
+#: The dense smoothed model, unrounded.
+SMOOTHED_SQL = f"{_SMOOTHED_HEAD}SELECT piece_id, src, dst, {_SMOOTHED_P} AS p FROM de WINDOW w AS (PARTITION BY piece_id, src)"
+
 QUERIES = {
     "markov_pitch_model": lambda s, d: rounded(mk.transitions(views.notes(s, d), _pc_())),
     "markov_duration_model": lambda s, d: rounded(mk.transitions(views.notes(s, d), mk.duration_level())),
@@ -103,9 +110,7 @@ ORACLE_SQL = {
     "markov_transition_entropy": f"WITH {NOTES_SQL}, {_model('pitch % 12', by='piece_id')}, h AS (SELECT piece_id, src, -sum(p * log2(p)) AS h FROM model GROUP BY ALL) SELECT piece_id, {R('avg(h)', 'entropy')}, count(*) AS rows FROM h GROUP BY piece_id",
     "markov_similarity": f"WITH {_TWO} SELECT {R('sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y)))', 'similarity')} FROM xy",
     "markov_compare": f"WITH {_TWO} SELECT src, dst, {R('abs(x - y)', 'difference')} FROM xy",
-    "markov_smoothed": f"""WITH {MOTES_SQL}, {_model('pitch', 'motes', 'piece_id')}, ss AS (SELECT DISTINCT piece_id, src AS s FROM st), nn AS (SELECT piece_id, count(*) AS k FROM ss GROUP BY piece_id),
-de AS (SELECT a.piece_id, a.s AS src, b.s AS dst, k, coalesce(n, 0) AS c FROM ss AS a JOIN ss AS b USING (piece_id) JOIN nn USING (piece_id) LEFT JOIN model AS m ON m.piece_id = a.piece_id AND m.src = a.s AND m.dst = b.s)
-SELECT piece_id, src, dst, {R('CASE WHEN sum(c) OVER w > 0 THEN (c + 1) / CAST(sum(c) OVER w + k AS DOUBLE) ELSE 1.0 / k END', 'p')} FROM de WINDOW w AS (PARTITION BY piece_id, src)""",
+    "markov_smoothed": f"{_SMOOTHED_HEAD}SELECT piece_id, src, dst, {R(_SMOOTHED_P, 'p')} FROM de WINDOW w AS (PARTITION BY piece_id, src)",
     "common_transitions": f"WITH {MOTES_SQL}, {_model('pitch', 'motes', 'piece_id')}, sh AS (SELECT piece_id, src, dst, n, n / CAST(sum(n) OVER (PARTITION BY piece_id) AS DOUBLE) AS s FROM model) SELECT piece_id, src, dst, n AS count, {R('s', 'share')}, {R('-log2(s)', 'surprise')} FROM sh WHERE n >= 2",
     "rare_transitions": f"""WITH {MOTES_SQL}, {_model('pitch', 'motes', 'piece_id')}, sh AS (SELECT piece_id, src, dst, n, n / CAST(sum(n) OVER (PARTITION BY piece_id) AS DOUBLE) AS s FROM model),
 rk AS (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY round(-log2(s), 9) DESC, src, dst) AS r FROM sh WHERE n >= 2 AND s < 0.1) SELECT piece_id, src, dst, n AS count, {R('s', 'share')}, {R('-log2(s)', 'surprise')}, CAST(r AS INTEGER) AS rank FROM rk WHERE r <= 20""",

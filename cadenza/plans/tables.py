@@ -63,7 +63,7 @@ _CUSTOMER = "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal + 1.3e-9, 4)
 
 QUERIES = {
     "set_intersect": lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(s, d, "supplier").select(F.col("s_nationkey").alias("nation"))),
-    "set_difference": lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("key")).subtract(_ord(s, d).select(F.col("o_custkey").alias("key"))),
+    "set_difference": lambda s, d: table(s, d, "documents").select("doc_id").subtract(table(s, d, "labels").select("doc_id")),
     "cube_counts": lambda s, d: views.pieces(s, d).cube("era", "composer").agg(F.count("*").alias("pieces"), F.grouping_id().cast("int").alias("level")),
     "grouping_sets": lambda s, d: rounded(_ord(s, d).groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("orders"), F.avg("o_totalprice").alias("mean_price")), 4),
     "as_of_join": _as_of,
@@ -88,7 +88,7 @@ QUERIES = {
 _HASH = lambda c: f"CAST(('0x' || substr(md5('42:' || {c}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
 ORACLE_SQL = {
     "set_intersect": "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "set_difference": "SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "set_difference": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
     "cube_counts": f"WITH {PIECES_SQL} SELECT era, composer, count(*) AS pieces, CAST(grouping(era, composer) AS INTEGER) AS level FROM pieces GROUP BY CUBE (era, composer)",
     "grouping_sets": f"SELECT o_orderstatus, o_orderpriority, count(*) AS orders, {R('avg(o_totalprice)', 'mean_price', 4)} FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
     "as_of_join": """WITH e AS (SELECT user_id, ts, max(event_id) AS error_id FROM events WHERE event_type = 'error' GROUP BY ALL)

@@ -16,6 +16,10 @@ METADATA = (
 )
 
 
+#: What stands for a null in delimited text.
+_NULL = "\\N"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, by whatever file system it names."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -26,12 +30,12 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
     """A table of delimited text with a header line; a missing path gives an empty table. Quoted fields may hold line breaks."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', nullValue=_NULL)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Delimited text with a header line in each file; quotes are doubled, an empty text is quoted and a null is not."""
-    df.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue='""')
+    """Delimited text with a header line in each file; quotes are doubled, and a null is \\N, so that it is no empty text."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"', nullValue=_NULL, emptyValue='""')
 
 
 def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
