@@ -27,7 +27,7 @@ def keep_last(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame
 
 
 def near_in_time(events: DataFrame, seconds: float, by: str = "user_id") -> DataFrame:
-    """(by, a, b): pairs of a key's events that are less than ``seconds`` apart, a before b. Events meet in time buckets and their neighbours, so the join is on equality."""
+    """(by, a, b): pairs of a key's events that are less than ``seconds`` apart, a before b. Events meet in time buckets and their neighbours, so the join is on equality; in a burst of n events of one key within the time, all n * (n - 1) / 2 pairs are the result."""
     t = F.col("ts").cast("timestamp").cast("double")
     rows = events.select(F.col(by), F.col("event_id"), t.alias("t"), F.floor(t / seconds).cast("long").alias("bucket"))
     other = rows.select(F.col(by), F.col("event_id").alias("b"), F.col("t").alias("tb"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"))

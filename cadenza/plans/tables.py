@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import rounded
 from ..functions.columns import sql_round as R
 from ..functions.storage import checkpoint_dir, new_folder
-from ..operators import markov, statistics
+from ..operators import markov, relational, statistics
 from ..operators import tables as op
-from ..sources import files, views
+from ..sources import files, midi, views
 from ..sources.views import NOTES_SQL, PIECES_SQL, table
 from ..streaming import notes as stream
 from . import sequences
@@ -42,6 +42,18 @@ def _kept_profiles(s, d):
     return rounded(files.load_model(s, path))
 
 
+def _through_midi(s, d):
+    """The notes, as MIDI files and back."""
+    made = midi.files_of(views.notes(s, d).withColumn("program", F.lit(7)))
+    return rounded(midi.notes_of(made, "piece_id").select(F.col("file").cast("bigint").alias("piece_id"), "program", "pitch", "velocity", "start", "duration"))
+
+
+def _clean(s, d):
+    """Pieces of the tables that pass the quality check, with composer and era."""
+    fine = relational.quality_flags(views.notes(s, d), 60, 70.0).where("quality_flag = 1").select("piece_id")
+    return views.pieces(s, d).join(fine, "piece_id", "left_semi")
+
+
 def _as_of(s, d):
     events = table(s, d, "events").select("user_id", "ts", "event_id", "event_type")
     errors = events.where("event_type = 'error'").select("user_id", F.col("ts").alias("since"), F.col("event_id").alias("error_id"))
@@ -83,6 +95,7 @@ QUERIES = {
     "python_aggregate": lambda s, d: rounded(op.geometric_mean(_ord(s, d), "o_orderpriority", "o_totalprice"), 2), "python_table_function": lambda s, d: op.triples(views.notes(s, d)),
     "stream_counts": _streamed(lambda e: stream.windowed_counts(e).select(F.unix_seconds("window.start").alias("hour"), "event_type", "n", "total")),
     "stream_sessions": _streamed(lambda e: stream.sessions(e).select("user_id", F.unix_micros("session_window.start").alias("begin_us"), "n")),
+    "midi_files": _through_midi, "clean_dataset": _clean,
     "note_names": lambda s, d: views.notes(s, d).groupBy(files.note_name(F.col("pitch")).alias("name")).agg(F.count("*").alias("n")),
 }
 _HASH = lambda c: f"CAST(('0x' || substr(md5('42:' || {c}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
@@ -112,5 +125,7 @@ SELECT piece_id, position, a, CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c F
     "stream_counts": f"SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, event_type, count(*) AS n, {R('sum(value)', 'total')} FROM events GROUP BY ALL",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 600000000 THEN 0 ELSE 1 END AS j FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(j) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(epoch_us(ts)) AS begin_us, count(*) AS n FROM s GROUP BY user_id, k""",
+    "midi_files": f"WITH {NOTES_SQL} SELECT piece_id, CAST(7 AS INTEGER) AS program, pitch, CAST(64 AS INTEGER) AS velocity, {R('start', 'start')}, {R('duration', 'duration')} FROM notes",
+    "clean_dataset": f"WITH {NOTES_SQL}, {PIECES_SQL}, q AS (SELECT piece_id, count(*) AS n, max(start + duration) AS t FROM notes GROUP BY 1) SELECT piece_id, composer, era FROM pieces JOIN q USING (piece_id) WHERE n >= 60 AND t <= 70",
     "note_names": f"WITH {NOTES_SQL} SELECT (['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'])[pitch % 12 + 1] || CAST(pitch // 12 - 1 AS VARCHAR) AS name, count(*) AS n FROM notes GROUP BY 1",
 }

@@ -8,7 +8,7 @@ import pytest
 
 from cadenza.operators import chaos, composition, features, forms, generators, markov, models, motifs, patterns, reports, shapes, similarity, statistics
 from cadenza.plans import catalog
-from cadenza.sources import files, views
+from cadenza.sources import files, midi, views
 
 
 @pytest.fixture(scope="module")
@@ -357,3 +357,19 @@ def test_files_in_and_out(spark, tmp_path):
     assert similarity.resolve_series(spark, "custom", [2, 3.5]).count() == 2
     with pytest.raises(ValueError):
         similarity.resolve_series(spark, "other", [])
+
+
+def test_midi_bytes(spark, tmp_path):
+    """A file written by hand with running status, a silent note-on as the end, a held note, two tracks and a system message."""
+    one = bytes([0, 0xFF, 0x51, 3, 0x07, 0xA1, 0x20, 0, 0xC1, 5, 0, 0x91, 60, 90, 48, 64, 80, 48, 60, 0, 0, 64, 0, 0, 0xFF, 0x2F, 0])
+    two = bytes([0, 0xF0, 2, 1, 0xF7, 0x81, 0x40, 0x90, 67, 70, 96, 0xFF, 0x2F, 0])
+    data = b"MThd" + bytes([0, 0, 0, 6, 0, 1, 0, 2, 0, 96]) + b"".join(b"MTrk" + len(t).to_bytes(4, "big") + t for t in (one, two))
+    assert midi.parse(data) == [(0, 1, 5, 60, 90, 0.0, 1.0), (0, 1, 5, 64, 80, 0.5, 0.5), (1, 0, 0, 67, 70, 2.0, 1.0)]
+    assert midi.tempi(data) == [(0.0, 120.0)] and midi.tempi(midi.with_tempo(data, 60)) == [(0.0, 60.0)] and midi.parse(midi.with_tempo(data, 60)) == midi.parse(data)
+    own = [(60, 0.0, 1.0, 64, 3), (64, 0.5, 0.25, 99, 40), (60, 1.0, 2.0, 1, 3)]
+    assert [(p, s, d, v, g) for _, _, g, p, v, s, d in midi.parse(midi.write(own))] == own
+    for name, content in (("a.mid", data), ("b.mid", b"no midi"), ("c.mid", data[:40])):
+        (tmp_path / name).write_bytes(content)
+    rows = midi.read(spark, str(tmp_path)).collect()
+    assert sorted(r.file.rpartition("/")[2] for r in rows) == ["a.mid"] * 3 + ["b.mid", "c.mid"]
+    assert all((r.error is None) == r.file.endswith("a.mid") for r in rows)
