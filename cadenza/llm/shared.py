@@ -7,6 +7,8 @@ character patterns they stand for. Word and window identities are 64-bit polynom
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,14 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the cluster's shared folder. Only where the session names none (tests), one is set."""
+    """A new folder name under the cluster's shared folder. Where the session names none, one is set on a single machine, and a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not base:
         base = context.getCheckpointDir()
     if not base:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="cadenza-")
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/cadenza-{uuid.uuid4().hex}"

@@ -160,7 +160,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
 
 
 def _pieces(spark: SparkSession, path: str, spanning: DataFrame, placed: DataFrame) -> DataFrame:
-    """(path, at, pieced): payloads with magics inside, put together from the stretches between them. Stretches meet records by split, so no file is gathered."""
+    """(path, at, pieced): payloads with magics inside, put together from the stretches between them. Stretches meet records by split, so no file is gathered; what meets on the path alone is a row for each such record and each split of one file."""
     reach = placed.groupBy("path", "block").agg(F.min("at").alias("low"), F.max("at").alias("high"))
     s = spanning.select("path", F.col("at").alias("start"), "after", "head", "length")
     where = s.join(reach, "path").where("low < after and high >= start").select("path", "block", "start", "after", "head", "length")
