@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..functions.columns import sql_round as R
-from ..operators import features, instruments, markov
+from ..operators import features, grids, instruments, markov
 from ..operators import reports as op
 from ..operators import shapes
 from ..operators import similarity as sim
-from ..sources import views
+from ..sources import files, views
 from ..sources.views import MOTES_SQL, NOTES_SQL, PIECES_SQL
 from .features import MATRIX_SQL, REPETITION_SQL, matrix
 from .sequences import _TRANS
@@ -51,6 +51,13 @@ mc AS (SELECT src, dst, count(*) AS c FROM mv WHERE dst IS NOT NULL GROUP BY ALL
 _COLOURS = [[op._rgb(c)[k] for c in op.PALETTE] for k in range(3)]
 _blend = lambda k, name: f"CAST(trunc(CAST({_COLOURS[k]} AS INTEGER[])[lo + 1] + (CAST({_COLOURS[k]} AS INTEGER[])[least(lo + 1, 4) + 1] - CAST({_COLOURS[k]} AS INTEGER[])[lo + 1]) * (place - lo)) AS INTEGER) AS {name}"
 
+def _listing(s, d):
+    """A catalogue made of the parts: every fourth is no MIDI file."""
+    names = F.array(*[F.lit(n) for n in ("Johann Sebastian Bach", " Franz Liszt", "Nobody")])
+    name = F.when(F.col("p_partkey") % 4 == 3, F.concat("p_name", F.lit(".txt"))).otherwise(F.concat("p_name", F.lit(".midi")))
+    return views.table(s, d, "part").select(name.alias("midi_filename"), F.get(names, (F.col("p_partkey") % 3).cast("int")).alias("canonical_composer"), F.col("p_size").cast("int").alias("year"), F.lit(1.5).alias("duration"))
+
+
 QUERIES = {
     "sequence_impact": lambda s, d: rounded(op.impact(views.notes(s, d))),
     "tension_curve": lambda s, d: rounded(op.tension_curve(views.notes(s, d))),
@@ -67,6 +74,11 @@ QUERIES = {
     "markov_second_order": lambda s, d: rounded(markov.higher_order(views.motes(s, d), F.col("pitch"), 2)),
     "markov_third_order": lambda s, d: rounded(markov.higher_order(views.motes(s, d), F.col("pitch"), 3)),
     "similar_tracks": lambda s, d: rounded(sim.best_tracks(sim.pearson_to(n := views.notes(s, d), n.where("piece_id % 20 = 0")), 10)),
+    "emotion_cells": lambda s, d: rounded(grids.emotion_cells(views.notes(s, d))),
+    "spectrogram_cells": lambda s, d: rounded(grids.spectrogram_cells(views.notes(s, d))),
+    "smoothed_bars": lambda s, d: rounded(grids.smoothed_bars(views.notes(s, d))),
+    "json_documents": lambda s, d: rounded(files.from_documents(files.to_documents(m := matrix(s, d).select("piece_id", "composer", "pitch_mean", "total_notes"), "piece_id"), "piece_id", "composer string, pitch_mean double, total_notes double")),
+    "catalogue_metadata": lambda s, d: files.catalogue_metadata(_listing(s, d)).select("file_path", "composer", "era", "composition_year", "instrumentation", "quality_flag"),
     "track_series": lambda s, d: rounded(sim.resolve_series(s, "track", matrix(s, d).where("piece_id = 3"), "pitch_entropy")),
     "frequency_bins": lambda s, d: rounded(s.createDataFrame(list(enumerate(shapes.bin_frequencies())), "bin int, hertz double")),
     "bins_to_chroma": lambda s, d: rounded(shapes.fold_bins(views.notes(s, d).groupBy((F.col("piece_id") * 1000 + F.floor(F.col("start") / 4)).alias("frame"), (F.col("pitch") - 24).alias("bin")).agg(F.sum("duration").alias("magnitude")))),
@@ -106,6 +118,19 @@ SELECT piece_id, src, dst, c AS count, {R('(c + 1) / (CAST(sum(c) OVER (PARTITIO
     },
     "similar_tracks": f"""WITH {NOTES_SQL}, c AS (SELECT q.piece_id AS query, a.piece_id, (coalesce(corr(a.pitch, q.pitch), 0) + 1) / 2 AS s FROM notes AS a JOIN notes AS q ON q.piece_id % 20 = 0 AND q.seq = a.seq AND a.piece_id <> q.piece_id GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, piece_id) AS k FROM c) SELECT query, piece_id, CAST(k AS INTEGER) AS rank, {R('s', 'similarity')} FROM r WHERE k <= 10""",
+    "emotion_cells": f"""WITH {NOTES_SQL}, p AS (SELECT piece_id, duration, CAST(11 - pitch % 12 AS INTEGER) AS row, CAST(floor(seq / CAST(count(*) OVER w AS DOUBLE) * least(50, count(*) OVER w)) AS INTEGER) AS col FROM notes WINDOW w AS (PARTITION BY piece_id)),
+c AS (SELECT piece_id, row, col, sum(duration * 0.5::DOUBLE + 64.0::DOUBLE / 127 * 0.5::DOUBLE) AS v FROM p GROUP BY ALL) SELECT piece_id, row, col, {R('v / max(v) OVER (PARTITION BY piece_id)', 'value')} FROM c""",
+    "spectrogram_cells": f"""WITH {NOTES_SQL}, g AS (SELECT piece_id, count(*) AS n, arg_max(start + duration, seq) AS total FROM notes GROUP BY piece_id),
+c AS (SELECT piece_id, CAST(pitch % 12 AS INTEGER) AS pc, CAST(floor(start / total * (least(100, n) - 1)) AS INTEGER) AS frame, sum(64.0::DOUBLE / 127 * (duration / total * n)) AS v FROM notes JOIN g USING (piece_id) GROUP BY ALL)
+SELECT piece_id, pc, frame, {R('v / max(v) OVER (PARTITION BY piece_id)', 'value')} FROM c""",
+    "smoothed_bars": f"""WITH RECURSIVE {NOTES_SQL}, k AS (SELECT piece_id, seq, CAST(pitch AS DOUBLE) AS x, CAST(1 AS DOUBLE) AS p FROM notes WHERE seq = 0
+UNION ALL SELECT n.piece_id, n.seq, x + (p + 0.02) / (p + 0.02 + 0.08) * (pitch - x), (1 - (p + 0.02) / (p + 0.02 + 0.08)) * (p + 0.02) FROM k JOIN notes AS n ON n.piece_id = k.piece_id AND n.seq = k.seq + 1),
+l AS (SELECT piece_id, seq, coalesce((x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0), 0.5) AS level FROM k WINDOW w AS (PARTITION BY piece_id)),
+b AS (SELECT piece_id, seq, count(*) OVER (PARTITION BY piece_id) AS n, coalesce(least(1, abs(pitch - lag(pitch) OVER (PARTITION BY piece_id ORDER BY seq)) / 12.0::DOUBLE), 0.5) AS speed FROM notes)
+SELECT piece_id, seq, {R('seq / CAST(n - 1 AS DOUBLE) * 1199', 'x')}, {R('level', 'level')}, {R('(1 - level) * 800 * 0.8::DOUBLE + 80', 'middle')}, {R('40 + 120 * speed', 'size')} FROM b JOIN l USING (piece_id, seq) WHERE n > 1""",
+    "json_documents": f"WITH {MATRIX_SQL} SELECT piece_id, composer, {R('pitch_mean', 'pitch_mean')}, {R('total_notes', 'total_notes')} FROM matrix",
+    "catalogue_metadata": """SELECT p_name || '.midi' AS file_path, (['Johann Sebastian Bach', 'Franz Liszt', 'Nobody'])[p_partkey % 3 + 1] AS composer, (['Baroque', 'Romantic', 'Other'])[p_partkey % 3 + 1] AS era,
+CAST(p_size AS INTEGER) AS composition_year, 'solo_piano' AS instrumentation, CAST(1 AS INTEGER) AS quality_flag FROM part WHERE p_partkey % 4 <> 3""",
     "track_series": f"WITH {MATRIX_SQL} SELECT CAST(0 AS INTEGER) AS index, {R('pitch_entropy', 'value')} FROM matrix WHERE piece_id = 3",
     "frequency_bins": f"SELECT CAST(k AS INTEGER) AS bin, {R('27.5 * power(2, k / 12.0)', 'hertz')} FROM (SELECT unnest(range(84)) AS k) AS b",
     "bins_to_chroma": f"""WITH {NOTES_SQL}, b AS (SELECT piece_id * 1000 + CAST(floor(start / 4) AS BIGINT) AS frame, (pitch - 24) % 12 AS pc, sum(duration) AS e FROM notes GROUP BY ALL)

@@ -65,6 +65,37 @@ def metadata_template(spark: SparkSession, folder: str, pattern: str = "*.mid")
     return listed.select("file_path", *[defaults.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields[1:]])
 
 
+#: Tables of a listening experiment.
+PARTICIPANTS = "participant_id string, age_group string, music_training_years int, is_musician boolean"
+STIMULI = "stimulus_id string, condition string, style string, filepath string"
+RESPONSES = (
+    "participant_id string, stimulus_id string, condition string, likability double, beauty double, valence double, arousal double, perceived_era string, perceived_origin string"
+)
+
+
+def catalogue_metadata(listing: DataFrame, source: str = "maestro", instrumentation: str = "solo_piano") -> DataFrame:
+    """METADATA of a recording catalogue (midi_filename, canonical_composer, year, duration), MIDI files only; eras by composer, Other for those unknown."""
+    from ..operators.relational import era_of
+
+    path, composer = F.trim("midi_filename"), F.trim(F.coalesce("canonical_composer", F.lit("Unknown")))
+    known = {
+        "file_path": path, "composer": composer, "full_name": composer, "birth_year": F.lit(0), "death_year": F.lit(0), "era": era_of(composer), "composition_year": F.coalesce("year", F.lit(0)),
+        "instrumentation": F.lit(instrumentation), "duration_seconds": F.coalesce("duration", F.lit(0.0)), "total_notes": F.lit(0), "source": F.lit(source), "quality_flag": F.lit(1),
+    }
+    rows = listing.where(path.endswith(".mid") | path.endswith(".midi"))
+    return rows.select(*[known.get(f.name, F.lit("")).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(METADATA).fields])
+
+
+def to_documents(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, document): all other columns of a row as one JSON object."""
+    return df.select(id_col, F.to_json(F.struct(*[c for c in df.columns if c != id_col]), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def from_documents(documents: DataFrame, id_col: str, schema: str | T.StructType) -> DataFrame:
+    """The columns of ``schema`` from such documents; a document that cannot be read gives nulls."""
+    return documents.select(id_col, F.from_json("document", schema).alias("d")).select(id_col, "d.*")
+
+
 def numeric_features(df: DataFrame) -> list[str]:
     """Names of the numeric columns."""
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
