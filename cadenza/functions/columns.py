@@ -19,8 +19,12 @@ def by_piece() -> Window:
 
 
 def rounded(df: DataFrame, digits: int = 7) -> DataFrame:
-    """All double columns rounded, with no negative zero, so that results compare exactly. The offset moves exact halves, which engines round differently."""
-    return df.select(*[(F.round(F.col(f"`{f.name}`") + HALF_OFFSET, digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+    """All double columns rounded, with no negative zero, so that results compare exactly. The offset moves exact halves, which engines round
+    differently.
+    """
+    return df.select(
+        *[(F.round(F.col(f"`{f.name}`") + HALF_OFFSET, digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    )
 
 
 def entropy(counts: list[Column]) -> Column:

@@ -16,7 +16,10 @@ from ..functions.columns import by_seq
 
 def embedding(notes: DataFrame, tau: int = 1) -> DataFrame:
     """(piece_id, seq, x0, x1, x2): delay vectors of dimension three, by window functions."""
-    rows = notes.select("piece_id", "seq", F.col("pitch").cast("double").alias("x0"), F.lead(F.col("pitch").cast("double"), tau).over(by_seq()).alias("x1"), F.lead(F.col("pitch").cast("double"), 2 * tau).over(by_seq()).alias("x2"))
+    rows = notes.select(
+        "piece_id", "seq", F.col("pitch").cast("double").alias("x0"), F.lead(F.col("pitch").cast("double"), tau).over(by_seq()).alias("x1"),
+        F.lead(F.col("pitch").cast("double"), 2 * tau).over(by_seq()).alias("x2")
+    )
     return rows.where(F.col("x2").isNotNull())
 
 
@@ -133,7 +136,8 @@ def recurrence_measures(hit: np.ndarray, least: int = 2) -> dict[str, float]:
     long = diagonal[diagonal >= least]
     p = np.unique(long, return_counts=True)[1] / max(len(long), 1)
     return {
-        "recurrence_rate": float((hit.sum() - n) / (n * (n - 1))), "determinism": float(long.sum() / max(diagonal.sum(), 1)), "laminarity": float(vertical[vertical >= least].sum() / max(vertical.sum(), 1)),
+        "recurrence_rate": float((hit.sum() - n) / (n * (n - 1))), "determinism": float(long.sum() / max(diagonal.sum(), 1)),
+        "laminarity": float(vertical[vertical >= least].sum() / max(vertical.sum(), 1)),
         "recurrence_entropy": float(-(p * np.log2(p + 1e-12)).sum()) if len(p) else 0.0,
     }
 
@@ -157,11 +161,19 @@ def logistic_similarity(x: np.ndarray, low: float = 3.5, high: float = 4.0, step
 
 def analyze(notes: DataFrame, dim: int = 3) -> DataFrame:
     """(piece_id, delay, lyapunov, correlation_dimension, hurst, four recurrence measures, logistic_r, logistic_correlation)."""
-    names = ["delay", "lyapunov", "correlation_dimension", "hurst", "recurrence_rate", "determinism", "laminarity", "recurrence_entropy", "logistic_r", "logistic_correlation"]
+    names = [
+        "delay", "lyapunov", "correlation_dimension", "hurst", "recurrence_rate", "determinism", "laminarity", "recurrence_entropy", "logistic_r",
+        "logistic_correlation"
+    ]
 
     def run(piece: pd.DataFrame) -> pd.DataFrame:
         x = piece.sort_values("seq")["pitch"].to_numpy(float)
-        values = [optimal_delay(x), lyapunov(x, dim), correlation_dimension(x, dim), hurst(x), *recurrence_measures(recurrence(x, dim)).values(), *logistic_similarity(x)]
+        values = [
+            optimal_delay(x), lyapunov(x, dim), correlation_dimension(x, dim), hurst(x), *recurrence_measures(recurrence(x, dim)).values(),
+            *logistic_similarity(x)
+        ]
         return pd.DataFrame([[piece["piece_id"].iloc[0], *map(float, values)]], columns=["piece_id", *names])
 
-    return notes.select("piece_id", "seq", "pitch").groupBy("piece_id").applyInPandas(run, "piece_id bigint, " + ", ".join(f"{n} double" for n in names))
+    return notes.select("piece_id", "seq", "pitch").groupBy("piece_id").applyInPandas(
+        run, "piece_id bigint, " + ", ".join(f"{n} double" for n in names)
+    )

@@ -39,7 +39,9 @@ def octave_near(pitch_class: int, before: int, lowest: int = 3, highest: int = 6
 
 
 def chances(markov: np.ndarray, before: int, temperature: float = 1.0, key: str | None = None, boost: float = 1.5) -> np.ndarray:
-    """The chances of the next pitch class. A class that nothing follows goes anywhere; with a key, classes of its scale weigh ``boost`` times as much."""
+    """The chances of the next pitch class. A class that nothing follows goes anywhere; with a key, classes of its scale weigh ``boost`` times
+    as much.
+    """
     p = markov[before % 12].astype(float)
     if not p.sum():
         p = np.ones(12)
@@ -50,7 +52,10 @@ def chances(markov: np.ndarray, before: int, temperature: float = 1.0, key: str
     return p / p.sum()
 
 
-def walk(rng: np.random.Generator, markov: np.ndarray, style: str, bars: int = 32, tonic: int = 60, beats: int = 4, temperature: float = 1.0, key: str | None = None) -> list[tuple[int, float, float]]:
+def walk(
+    rng: np.random.Generator, markov: np.ndarray, style: str, bars: int = 32, tonic: int = 60, beats: int = 4, temperature: float = 1.0,
+    key: str | None = None
+) -> list[tuple[int, float, float]]:
     """(pitch, duration, start) until the bars are full; the last note is cut to fit. The walk begins at the tonic, which is not a note itself."""
     lengths, weights = LENGTHS.get(style, LENGTHS["classical"])
     pitch, at, total, notes = tonic, 0.0, float(bars * beats), []
@@ -68,7 +73,9 @@ def summary(pitches: Sequence[int]) -> tuple[float, float, float]:
     counts = np.bincount(np.asarray(pitches) % 12, minlength=12)
     p = counts[counts > 0] / counts.sum()
     steps = np.abs(np.diff(pitches))
-    return float(-(p * np.log2(p)).sum()), float(np.array(CONSONANCE)[steps % 12].mean()) if len(steps) else 0.0, float((steps <= 2).mean()) if len(steps) else 0.0
+    return float(-(p * np.log2(p)).sum()), float(
+        np.array(CONSONANCE)[steps % 12].mean()
+    ) if len(steps) else 0.0, float((steps <= 2).mean()) if len(steps) else 0.0
 
 
 def meets(style: str, features: tuple[float, float, float]) -> bool:
@@ -77,8 +84,12 @@ def meets(style: str, features: tuple[float, float, float]) -> bool:
     return bounds is None or (bounds[0] <= features[0] <= bounds[1] and features[1] >= bounds[2] and features[2] >= bounds[3])
 
 
-def constrained(rng: np.random.Generator, markov: np.ndarray, style: str, attempts: int = 10, **options: int | str | None) -> tuple[list[tuple[int, float, float]], bool]:
-    """The first walk of ten notes or more that meets its style, hotter by a tenth at each attempt; else the last of ten notes or more, else a plain one."""
+def constrained(
+    rng: np.random.Generator, markov: np.ndarray, style: str, attempts: int = 10, **options: int | str | None
+) -> tuple[list[tuple[int, float, float]], bool]:
+    """The first walk of ten notes or more that meets its style, hotter by a tenth at each attempt; else the last of ten notes or more, else a
+    plain one.
+    """
     last: list[tuple[int, float, float]] = []
     for k in range(attempts):
         notes = walk(rng, markov, style, temperature=1.0 + 0.1 * k, **options)
@@ -89,7 +100,10 @@ def constrained(rng: np.random.Generator, markov: np.ndarray, style: str, attemp
     return last or walk(rng, markov, style, **options), False
 
 
-def _samples(spark: SparkSession, samples: int, seed: int, make: Callable[[np.random.Generator], list[tuple]], names: Sequence[str], kinds: Sequence[pa.DataType], schema: str) -> DataFrame:
+def _samples(
+    spark: SparkSession, samples: int, seed: int, make: Callable[[np.random.Generator], list[tuple]], names: Sequence[str],
+    kinds: Sequence[pa.DataType], schema: str
+) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sample in batch.column(0).to_pylist():
@@ -100,7 +114,10 @@ def _samples(spark: SparkSession, samples: int, seed: int, make: Callable[[np.ra
     return spark.range(samples).mapInArrow(run, f"sample bigint, seq int, {schema}")
 
 
-def compose(spark: SparkSession, markov: np.ndarray, style: str = "classical", samples: int = 10, bars: int = 32, tonic: int = 60, key: str | None = None, seed: int = 42) -> DataFrame:
+def compose(
+    spark: SparkSession, markov: np.ndarray, style: str = "classical", samples: int = 10, bars: int = 32, tonic: int = 60, key: str | None = None,
+    seed: int = 42
+) -> DataFrame:
     """(sample, seq, pitch, duration, start, tempo, meets_style): walks under their style's constraints."""
 
     def make(rng: np.random.Generator) -> list[tuple]:
@@ -109,10 +126,15 @@ def compose(spark: SparkSession, markov: np.ndarray, style: str = "classical", s
         return [(*n, speed, fine) for n in notes]
 
     kinds = (pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.bool_())
-    return _samples(spark, samples, seed, make, ("pitch", "duration", "start", "tempo", "meets_style"), kinds, "pitch int, duration double, start double, tempo int, meets_style boolean")
+    return _samples(
+        spark, samples, seed, make, ("pitch", "duration", "start", "tempo", "meets_style"), kinds,
+        "pitch int, duration double, start double, tempo int, meets_style boolean"
+    )
 
 
-def emotional(spark: SparkSession, markov: np.ndarray, emotion: str = "balanced", samples: int = 5, length: int = 32, start: int = 60, seed: int = 42) -> DataFrame:
+def emotional(
+    spark: SparkSession, markov: np.ndarray, emotion: str = "balanced", samples: int = 5, length: int = 32, start: int = 60, seed: int = 42
+) -> DataFrame:
     """(sample, seq, pitch, duration, tag): each next note is drawn from the five best suggestions, by the terms of the emotion or else by score."""
 
     def make(rng: np.random.Generator) -> list[tuple]:
@@ -127,7 +149,9 @@ def emotional(spark: SparkSession, markov: np.ndarray, emotion: str = "balanced"
             rows.append((chosen[0], chosen[2], chosen[3]))
         return rows
 
-    return _samples(spark, samples, seed, make, ("pitch", "duration", "tag"), (pa.int32(), pa.float64(), pa.string()), "pitch int, duration double, tag string")
+    return _samples(
+        spark, samples, seed, make, ("pitch", "duration", "tag"), (pa.int32(), pa.float64(), pa.string()), "pitch int, duration double, tag string"
+    )
 
 
 def forecast(smoothed: DataFrame, steps: int = 1, column: str = "value") -> DataFrame:
@@ -137,7 +161,9 @@ def forecast(smoothed: DataFrame, steps: int = 1, column: str = "value") -> Data
 
 
 def ward_merges(means: pd.DataFrame, names: Sequence[str]) -> list[tuple[int, str, str, float, int]]:
-    """(step, left, right, distance, size) of agglomerative clustering by least increase of squared deviation, by the update formula; ties by order."""
+    """(step, left, right, distance, size) of agglomerative clustering by least increase of squared deviation, by the update formula; ties by
+    order.
+    """
     sizes = dict.fromkeys(range(len(names)), 1)
     label = dict(enumerate(names))
     x = means.to_numpy(float)
@@ -161,15 +187,21 @@ def hierarchy(matrix: DataFrame, by: str, columns: Sequence[str], most_groups: i
 
     The groups' means come to the driver; more than ``most_groups`` are refused.
     """
-    spread = matrix.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    spread = matrix.agg(
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]
+    ).first()
     scaled = [((F.avg(c) - F.lit(spread[f"m{i}"])) / F.lit(spread[f"s{i}"] or 1.0)).alias(c) for i, c in enumerate(columns)]
     means = matrix.where(F.col(by).isNotNull()).groupBy(by).agg(*scaled).orderBy(by).limit(most_groups + 1).toPandas()
     if len(means) > most_groups:
         raise ValueError(f"more than {most_groups} groups")
-    return matrix.sparkSession.createDataFrame(ward_merges(means[list(columns)], means[by].tolist()), "step int, left string, right string, distance double, size int")
+    return matrix.sparkSession.createDataFrame(
+        ward_merges(means[list(columns)], means[by].tolist()), "step int, left string, right string, distance double, size int"
+    )
 
 
-def feature_importance(matrix: DataFrame, columns: Sequence[str], label: str, trees: int = 100, depth: int = 10, top: int = 20, seed: int = 42) -> DataFrame:
+def feature_importance(
+    matrix: DataFrame, columns: Sequence[str], label: str, trees: int = 100, depth: int = 10, top: int = 20, seed: int = 42
+) -> DataFrame:
     """(rank, feature, importance): the ``top`` features of a random forest that tells the labels apart; ties by name."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -179,4 +211,6 @@ def feature_importance(matrix: DataFrame, columns: Sequence[str], label: str, tr
     rows = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(indexed)
     found = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed).fit(rows).featureImportances.toArray()
     ranked = sorted(zip(columns, found.tolist()), key=lambda f: (-f[1], f[0]))[:top]
-    return matrix.sparkSession.createDataFrame([(k + 1, c, float(v)) for k, (c, v) in enumerate(ranked)], "rank int, feature string, importance double")
+    return matrix.sparkSession.createDataFrame(
+        [(k + 1, c, float(v)) for k, (c, v) in enumerate(ranked)], "rank int, feature string, importance double"
+    )

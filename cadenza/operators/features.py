@@ -21,7 +21,9 @@ CONSONANCE = (1.0, 0.0, 0.2, 0.8, 0.8, 0.9, 0.1, 1.0, 0.7, 0.7, 0.3, 0.2)
 
 def with_steps(notes: DataFrame) -> DataFrame:
     """Adds iv (signed interval from the note before), gap (onset distance) and q (duration in sixteenths, half to even)."""
-    return notes.withColumns({"iv": F.col("pitch") - F.lag("pitch").over(by_seq()), "gap": F.col("start") - F.lag("start").over(by_seq()), "q": F.rint(F.col("duration") * 4) / 4})
+    return notes.withColumns(
+        {"iv": F.col("pitch") - F.lag("pitch").over(by_seq()), "gap": F.col("start") - F.lag("start").over(by_seq()), "q": F.rint(F.col("duration") * 4) / 4}
+    )
 
 
 def consonance(interval: Column) -> Column:
@@ -33,8 +35,10 @@ def _pitch() -> list[Column]:
     counts = [F.count_if(pc == k) for k in range(12)]
     n = F.count("*").cast("double")
     return [
-        entropy(counts).alias("pitch_entropy"), (F.greatest(*counts) / n).alias("tonal_center_strength"), (F.max("pitch") - F.min("pitch")).cast("double").alias("pitch_range"),
-        F.avg("pitch").alias("pitch_mean"), F.stddev_pop("pitch").alias("pitch_std"), F.size(F.filter(F.array(*counts), lambda c: c > 0)).cast("double").alias("chromatic_saturation"),
+        entropy(counts).alias("pitch_entropy"), (F.greatest(*counts) / n).alias("tonal_center_strength"),
+        (F.max("pitch") - F.min("pitch")).cast("double").alias("pitch_range"),
+        F.avg("pitch").alias("pitch_mean"), F.stddev_pop("pitch").alias("pitch_std"),
+        F.size(F.filter(F.array(*counts), lambda c: c > 0)).cast("double").alias("chromatic_saturation"),
         *[(c / n).alias(f"pc_{k}") for k, c in enumerate(counts)],
     ]
 
@@ -49,7 +53,8 @@ def _interval() -> list[Column]:
     moved = F.count_if(F.col("iv") != 0)
     size = F.abs(F.col("iv"))
     return [
-        entropy([F.count_if(clipped == k) for k in range(-12, 13)]).alias("interval_entropy"), F.coalesce(F.sum(F.signum("iv")) / F.when(moved > 0, moved), F.lit(0.0)).alias("directional_bias"),
+        entropy([F.count_if(clipped == k) for k in range(-12, 13)]).alias("interval_entropy"),
+        F.coalesce(F.sum(F.signum("iv")) / F.when(moved > 0, moved), F.lit(0.0)).alias("directional_bias"),
         F.coalesce(share(size <= 2), F.lit(0.0)).alias("step_ratio"), F.coalesce(share(size > 4), F.lit(0.0)).alias("leap_ratio"),
         F.coalesce(F.avg(size), F.lit(0.0)).alias("mean_interval"), F.coalesce(F.stddev_pop(size), F.lit(0.0)).alias("interval_std"),
     ]
@@ -74,19 +79,25 @@ def _rhythm() -> list[Column]:
     cv = lambda c: F.coalesce(F.when(F.avg(c) != 0, F.stddev_pop(c) / (F.avg(c) + 1e-8)), F.lit(0.0))
     total = F.max("start") + F.max_by("duration", "seq")
     return [
-        F.avg(-F.log2(F.col("same_q") / F.col("notes_in_piece"))).alias("rhythmic_entropy"), F.when(total > 0, F.count("*") / total).otherwise(0.0).alias("note_density"),
-        cv("duration").alias("syncopation_estimate"), cv("gap").alias("tempo_variance"), F.avg("duration").alias("duration_mean"), F.stddev_pop("duration").alias("duration_std"),
+        F.avg(-F.log2(F.col("same_q") / F.col("notes_in_piece"))).alias("rhythmic_entropy"),
+        F.when(total > 0, F.count("*") / total).otherwise(0.0).alias("note_density"),
+        cv("duration").alias("syncopation_estimate"), cv("gap").alias("tempo_variance"), F.avg("duration").alias("duration_mean"),
+        F.stddev_pop("duration").alias("duration_std"),
     ]
 
 
 def _with_rhythm(steps: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    return steps.withColumns({"same_q": F.count("*").over(Window.partitionBy("piece_id", "q")), "notes_in_piece": F.count("*").over(Window.partitionBy("piece_id"))})
+    return steps.withColumns(
+        {"same_q": F.count("*").over(Window.partitionBy("piece_id", "q")), "notes_in_piece": F.count("*").over(Window.partitionBy("piece_id"))}
+    )
 
 
 def rhythm_features(notes: DataFrame) -> DataFrame:
-    """Entropy of durations in sixteenths is the mean surprise over notes, so a window replaces a second aggregate. Total time ends with the last note's own duration."""
+    """Entropy of durations in sixteenths is the mean surprise over notes, so a window replaces a second aggregate. Total time ends with the
+    last note's own duration.
+    """
     return _with_rhythm(with_steps(notes)).groupBy("piece_id").agg(*_rhythm())
 
 
@@ -130,7 +141,9 @@ def _spectrum(pitches: np.ndarray) -> tuple[float, float, float, float]:
     if total < 1e-12:
         return 0.0, 0.0, 0.0, 0.0
     p = power[power > 0] / total
-    return float((np.arange(len(power)) * power).sum() / total), float(-(p * np.log2(p)).sum()), float(power.argmax()), float(np.exp(np.log(power + 1e-8).mean()) / (power.mean() + 1e-8))
+    return float((np.arange(len(power)) * power).sum() / total), float(-(p * np.log2(p)).sum()), float(power.argmax()), float(
+        np.exp(np.log(power + 1e-8).mean()) / (power.mean() + 1e-8)
+    )
 
 
 def _of_pitches(rows: DataFrame, measure: Callable[[np.ndarray], tuple[float, ...]], names: Sequence[str]) -> DataFrame:
@@ -175,7 +188,8 @@ def structural_features(notes: DataFrame) -> DataFrame:
 
 
 def self_similarity(notes: DataFrame, window: int = 20) -> DataFrame:
-    """(piece_id, i, j, similarity) for i <= j: the matrix of cosines between pitch-class histograms of windows, as rows; pieces of ``window`` notes or fewer have none.
+    """(piece_id, i, j, similarity) for i <= j: the matrix of cosines between pitch-class histograms of windows, as rows; pieces of ``window``
+    notes or fewer have none.
 
     The matrix is quadratic in a piece's notes by definition; it comes out line by line, so that no more than one line is held.
     """
@@ -189,7 +203,10 @@ def self_similarity(notes: DataFrame, window: int = 20) -> DataFrame:
                 for i in range(len(hist)):
                     j = np.arange(i, len(hist), dtype=np.int32)
                     piece = batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(j), np.int64)))
-                    yield pa.record_batch([piece, pa.array(np.full(len(j), i, np.int32)), pa.array(j), pa.array(hist[i:] @ hist[i])], ["piece_id", "i", "j", "similarity"])
+                    yield pa.record_batch(
+                        [piece, pa.array(np.full(len(j), i, np.int32)), pa.array(j), pa.array(hist[i:] @ hist[i])],
+                        ["piece_id", "i", "j", "similarity"]
+                    )
 
     return rows.mapInArrow(run, f"piece_id {kind}, i int, j int, similarity double")
 
@@ -215,7 +232,9 @@ def feature_matrix(notes: DataFrame, pieces: DataFrame | None = None, least_note
     computed from that array where the row is.
     """
     steps = _with_rhythm(with_steps(notes))
-    wide = steps.groupBy("piece_id").agg(*_pitch(), *_interval(), *_harmony(), *_rhythm(), F.count("*").cast("double").alias("total_notes"), _ordered_pitches()).where(F.col("total_notes") >= least_notes)
+    wide = steps.groupBy("piece_id").agg(
+        *_pitch(), *_interval(), *_harmony(), *_rhythm(), F.count("*").cast("double").alias("total_notes"), _ordered_pitches()
+    ).where(F.col("total_notes") >= least_notes)
     wide = wide.select(*[c for c in wide.columns if c != "_pitches"], F.col("chromatic_saturation").alias("unique_pitch_classes"), "_pitches")
 
     full = _of_pitches(wide, lambda x: _sequential(x, window, apart), _SEQUENTIAL)

@@ -19,7 +19,9 @@ NUMERALS = ("I", "II", "III", "IV", "V", "VI", "VII")
 
 
 def chord_of(pitches: list[int], extended: bool = False) -> tuple[int, str] | None:
-    """(root, quality) of the first root in ascending order with a third and a fifth. Only extended knows other triads than major and minor, and sevenths."""
+    """(root, quality) of the first root in ascending order with a third and a fifth. Only extended knows other triads than major and minor,
+    and sevenths.
+    """
     classes = sorted({p % 12 for p in pitches})
     kinds = [("major", {4, 7}), ("minor", {3, 7})]
     if extended:
@@ -33,7 +35,9 @@ def chord_of(pitches: list[int], extended: bool = False) -> tuple[int, str] | No
 
 
 def key_of(roots: list[int]) -> tuple[int, bool]:
-    """(tonic, minor) with the best score: 1 for a root in the scale, 2 more for the fifth, 3 more for the tonic. First best wins, major before minor."""
+    """(tonic, minor) with the best score: 1 for a root in the scale, 2 more for the fifth, 3 more for the tonic. First best wins, major before
+    minor.
+    """
     best = (0, False, -1)
     for tonic in range(12):
         for minor, scale in ((False, MAJOR), (True, MINOR)):
@@ -50,11 +54,16 @@ def numeral(root: int, quality: str, tonic: int, minor: bool) -> str:
     if step not in scale:
         return str(step)
     name = NUMERALS[scale.index(step)]
-    return {"minor": name.lower(), "minor7": name.lower() + "7", "diminished": name.lower() + "°", "augmented": name + "+", "dominant7": name + "7", "major7": name + "maj7"}.get(quality, name)
+    return {
+        "minor": name.lower(), "minor7": name.lower() + "7", "diminished": name.lower() + "°", "augmented": name + "+", "dominant7": name + "7",
+        "major7": name + "maj7"
+    }.get(quality, name)
 
 
 def chords(notes: DataFrame, window: float = 0.1, extended: bool = False) -> DataFrame:
-    """(piece_id, position, time, root, quality, numeral, tonic, is_minor): notes within ``window`` of a group's first onset form a group; groups that are no chord, and repeats of the chord before, are left out."""
+    """(piece_id, position, time, root, quality, numeral, tonic, is_minor): notes within ``window`` of a group's first onset form a group;
+    groups that are no chord, and repeats of the chord before, are left out.
+    """
 
     def run(piece: pd.DataFrame) -> pd.DataFrame:
         piece = piece.sort_values(["start", "seq"])
@@ -71,41 +80,67 @@ def chords(notes: DataFrame, window: float = 0.1, extended: bool = False) -> Dat
         tonic, minor = key_of([r for _, r, _ in found])
         rows = [(piece["piece_id"].iloc[0], k, t, r, q, numeral(r, q, tonic, minor), tonic, minor) for k, (t, r, q) in enumerate(found)]
         out = pd.DataFrame(rows, columns=["piece_id", "position", "time", "root", "quality", "numeral", "tonic", "is_minor"])
-        return out.astype({"piece_id": "int64", "position": "int32", "time": "float64", "root": "int32", "quality": "object", "numeral": "object", "tonic": "int32", "is_minor": "bool"})
+        return out.astype(
+            {"piece_id": "int64", "position": "int32", "time": "float64", "root": "int32", "quality": "object", "numeral": "object", "tonic": "int32", "is_minor": "bool"}
+        )
 
-    return notes.select("piece_id", "seq", "start", "pitch").groupBy("piece_id").applyInPandas(run, "piece_id bigint, position int, time double, root int, quality string, numeral string, tonic int, is_minor boolean")
+    return notes.select("piece_id", "seq", "start", "pitch").groupBy("piece_id").applyInPandas(
+        run, "piece_id bigint, position int, time double, root int, quality string, numeral string, tonic int, is_minor boolean"
+    )
 
 
 #: Named progressions.
-PROGRESSIONS = {"authentic": "V I", "plagal": "IV I", "two_five_one": "II V I", "pop": "I V VI IV", "doo_wop": "I VI IV V", "blues": "I IV V", "circle": "VI II V I"}
+PROGRESSIONS = {
+    "authentic": "V I", "plagal": "IV I", "two_five_one": "II V I", "pop": "I V VI IV", "doo_wop": "I VI IV V", "blues": "I IV V",
+    "circle": "VI II V I"
+}
 
 
 def progression_patterns(found: DataFrame) -> DataFrame:
-    """(piece_id, pattern, hits, frequency) of named progressions in a piece's numerals without quality; frequency is hits / max(1, chords / length)."""
+    """(piece_id, pattern, hits, frequency) of named progressions in a piece's numerals without quality; frequency is hits / max(1, chords /
+    length).
+    """
     plain = found.select("piece_id", "position", F.upper(F.regexp_replace("numeral", r"[°+]|maj7|7$", "")).alias("n"))
     w = Window.partitionBy("piece_id").orderBy("position")
-    runs = plain.select("piece_id", *[F.lead("n", k).over(w).alias(f"n{k}") for k in range(4)], F.count("*").over(Window.partitionBy("piece_id")).alias("total"))
-    grams = F.explode(F.array(*[F.struct(F.when(F.col(f"n{k - 1}").isNotNull(), F.concat_ws(" ", *[F.col(f"n{i}") for i in range(k)])).alias("run"), F.lit(k).alias("length")) for k in (2, 3, 4)]))
+    runs = plain.select(
+        "piece_id", *[F.lead("n", k).over(w).alias(f"n{k}") for k in range(4)], F.count("*").over(Window.partitionBy("piece_id")).alias("total")
+    )
+    grams = F.explode(
+        F.array(
+            *[F.struct(F.when(F.col(f"n{k - 1}").isNotNull(), F.concat_ws(" ", *[F.col(f"n{i}") for i in range(k)])).alias("run"), F.lit(k).alias("length")) for k in (2, 3, 4)]
+        )
+    )
     rows = runs.select("piece_id", "total", grams.alias("g")).select("piece_id", "total", "g.*").where(F.col("run").isNotNull())
     names = F.create_map(*[F.lit(x) for name, run in PROGRESSIONS.items() for x in (run, name)])
     named = rows.withColumn("pattern", names[F.col("run")]).where(F.col("pattern").isNotNull())
-    return named.groupBy("piece_id", "pattern", "length").agg(F.count("*").alias("hits"), (F.count("*") / F.greatest(F.lit(1.0), F.max("total") / F.col("length"))).alias("frequency")).drop("length")
+    return named.groupBy("piece_id", "pattern", "length").agg(
+        F.count("*").alias("hits"), (F.count("*") / F.greatest(F.lit(1.0), F.max("total") / F.col("length"))).alias("frequency")
+    ).drop("length")
 
 
 def progression_complexity(found: DataFrame) -> DataFrame:
     """(piece_id, complexity, unique_chords, uniqueness_ratio, change_rate, non_tonic_ratio, roman_diversity) of pieces with two chords or more."""
     n, span = F.count("*"), F.max("time") - F.min("time")
     rows = found.groupBy("piece_id").agg(
-        n.alias("_n"), F.count_distinct("root", "quality").alias("unique_chords"), F.when(span > 0, (n - 1) / span).otherwise(0.0).alias("change_rate"),
+        n.alias("_n"), F.count_distinct("root", "quality").alias("unique_chords"),
+        F.when(span > 0, (n - 1) / span).otherwise(0.0).alias("change_rate"),
         F.avg(F.when(F.col("root") != F.col("tonic"), 1.0).otherwise(0.0)).alias("non_tonic_ratio"), F.count_distinct("numeral").alias("_numerals"),
     ).where("_n >= 2")
-    rows = rows.withColumns({"uniqueness_ratio": F.col("unique_chords") / F.col("_n"), "roman_diversity": F.col("_numerals") / F.least(F.col("_n"), F.lit(7))})
-    score = F.col("uniqueness_ratio") * 0.3 + F.least(F.col("change_rate") / 2, F.lit(1.0)) * 0.2 + F.col("non_tonic_ratio") * 0.3 + F.col("roman_diversity") * 0.2
-    return rows.select("piece_id", score.alias("complexity"), "unique_chords", "uniqueness_ratio", "change_rate", "non_tonic_ratio", "roman_diversity")
+    rows = rows.withColumns(
+        {"uniqueness_ratio": F.col("unique_chords") / F.col("_n"), "roman_diversity": F.col("_numerals") / F.least(F.col("_n"), F.lit(7))}
+    )
+    score = F.col("uniqueness_ratio") * 0.3 + F.least(
+        F.col("change_rate") / 2, F.lit(1.0)
+    ) * 0.2 + F.col("non_tonic_ratio") * 0.3 + F.col("roman_diversity") * 0.2
+    return rows.select(
+        "piece_id", score.alias("complexity"), "unique_chords", "uniqueness_ratio", "change_rate", "non_tonic_ratio", "roman_diversity"
+    )
 
 
 def palindrome_features(notes: DataFrame, window: int = 8) -> DataFrame:
-    """(piece_id, counts of melodic, rhythmic and intervallic palindromes and of mirrors, density, longest melodic and rhythmic, has_retrograde, symmetry)."""
+    """(piece_id, counts of melodic, rhythmic and intervallic palindromes and of mirrors, density, longest melodic and rhythmic,
+    has_retrograde, symmetry).
+    """
     kinds = ("melodic", "rhythmic", "intervallic")
     counts = [F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in kinds]
     longest = [F.coalesce(F.max(F.when(F.col("kind") == k, F.col("length"))), F.lit(0)).alias(f"longest_{k}") for k in kinds[:2]]
@@ -139,7 +174,9 @@ def _apart(matches: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
 
 
 def palindromes(notes: DataFrame, least: int = 4, most_length: int = 49, most: int = 20, tolerance: int = 0, ratio: float = 0.1) -> DataFrame:
-    """(piece_id, kind, start, length): melodic and rhythmic palindromes without overlaps, and intervallic ones (intervals that answer in reverse with opposite sign; a middle interval is free) in order of length and start, at most 15."""
+    """(piece_id, kind, start, length): melodic and rhythmic palindromes without overlaps, and intervallic ones (intervals that answer in
+    reverse with opposite sign; a middle interval is free) in order of length and start, at most 15.
+    """
 
     def run(piece: pd.DataFrame) -> pd.DataFrame:
         piece = piece.sort_values("seq")
@@ -157,11 +194,15 @@ def palindromes(notes: DataFrame, least: int = 4, most_length: int = 49, most: i
         out = pd.DataFrame([(piece["piece_id"].iloc[0], *r) for r in rows], columns=["piece_id", "kind", "start", "length"])
         return out.astype({"piece_id": "int64", "kind": "object", "start": "int32", "length": "int32"})
 
-    return notes.select("piece_id", "seq", "pitch", "duration").groupBy("piece_id").applyInPandas(run, "piece_id bigint, kind string, start int, length int")
+    return notes.select("piece_id", "seq", "pitch", "duration").groupBy("piece_id").applyInPandas(
+        run, "piece_id bigint, kind string, start int, length int"
+    )
 
 
 def structural_mirrors(notes: DataFrame, least: int = 8, most_length: int = 99, threshold: float = 0.8, most: int = 10) -> DataFrame:
-    """(piece_id, a_start, b_start, length, similarity, kind): section pairs that agree in at least ``threshold`` of their positions, best first, none of whose second sections overlap."""
+    """(piece_id, a_start, b_start, length, similarity, kind): section pairs that agree in at least ``threshold`` of their positions, best
+    first, none of whose second sections overlap.
+    """
 
     def kind_of(a: np.ndarray, b: np.ndarray) -> str:
         if (a == b).all():
@@ -187,7 +228,9 @@ def structural_mirrors(notes: DataFrame, least: int = 8, most_length: int = 99,
         out = pd.DataFrame(rows[:most], columns=["piece_id", "a_start", "b_start", "length", "similarity", "kind"])
         return out.astype({"piece_id": "int64", "a_start": "int32", "b_start": "int32", "length": "int32", "similarity": "float64", "kind": "object"})
 
-    return notes.select("piece_id", "seq", "pitch").groupBy("piece_id").applyInPandas(run, "piece_id bigint, a_start int, b_start int, length int, similarity double, kind string")
+    return notes.select("piece_id", "seq", "pitch").groupBy("piece_id").applyInPandas(
+        run, "piece_id bigint, a_start int, b_start int, length int, similarity double, kind string"
+    )
 
 
 def retrograde_motion(notes: DataFrame, window: int = 8) -> DataFrame:
@@ -200,8 +243,12 @@ def retrograde_motion(notes: DataFrame, window: int = 8) -> DataFrame:
 
 def symmetry_score(notes: DataFrame) -> DataFrame:
     """(piece_id, symmetry): coverage of melodic, rhythmic and intervallic palindromes by .3, .25 and .25 and up to .2 of mirrors by .2, at most 1."""
-    found = palindromes(notes).groupBy("piece_id").agg(*[F.sum(F.when(F.col("kind") == k, F.col("length")).otherwise(0)).alias(k) for k in ("melodic", "rhythmic", "intervallic")])
+    found = palindromes(notes).groupBy("piece_id").agg(
+        *[F.sum(F.when(F.col("kind") == k, F.col("length")).otherwise(0)).alias(k) for k in ("melodic", "rhythmic", "intervallic")]
+    )
     mirrors = structural_mirrors(notes).groupBy("piece_id").agg(F.count("*").alias("mirrors"))
     n = notes.groupBy("piece_id").agg(F.count("*").alias("n")).join(found, "piece_id", "left").join(mirrors, "piece_id", "left").na.fill(0)
-    score = (F.col("melodic") * 0.3 + F.col("rhythmic") * 0.25 + F.col("intervallic") * 0.25) / F.col("n") + F.least(F.col("mirrors") * 0.1, F.lit(0.2)) * 0.2
+    score = (
+        F.col("melodic") * 0.3 + F.col("rhythmic") * 0.25 + F.col("intervallic") * 0.25
+    ) / F.col("n") + F.least(F.col("mirrors") * 0.1, F.lit(0.2)) * 0.2
     return n.select("piece_id", F.least(F.lit(1.0), score).alias("symmetry"))

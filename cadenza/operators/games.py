@@ -32,7 +32,10 @@ def _pc() -> Column:
 def with_payoffs(notes: DataFrame) -> DataFrame:
     """(piece_id, seq, pc, payoff): payoff of each note with the next; null at a piece's end."""
     rows = notes.select("piece_id", "seq", _pc().alias("pc")).withColumn("next", F.lead("pc").over(by_seq()))
-    return rows.select("piece_id", "seq", "pc", F.when(F.col("next").isNotNull(), F.element_at(F.array(*[F.lit(p) for p in PAYOFF]), F.abs(F.col("pc") - F.col("next")) + 1)).alias("payoff"))
+    return rows.select(
+        "piece_id", "seq", "pc",
+        F.when(F.col("next").isNotNull(), F.element_at(F.array(*[F.lit(p) for p in PAYOFF]), F.abs(F.col("pc") - F.col("next")) + 1)).alias("payoff")
+    )
 
 
 def iterated_payoffs(notes: DataFrame) -> DataFrame:
@@ -40,7 +43,8 @@ def iterated_payoffs(notes: DataFrame) -> DataFrame:
     rows = with_payoffs(notes).where(F.col("payoff").isNotNull()).withColumn("before", F.lag("payoff").over(by_seq()))
     same = F.when(F.col("before").isNotNull(), F.when((F.col("payoff") > 0) == (F.col("before") > 0), 1.0).otherwise(0.0))
     return rows.groupBy("piece_id").agg(
-        F.avg("payoff").alias("mean_payoff"), F.avg(F.when(F.col("payoff") > 0, 1.0).otherwise(0.0)).alias("cooperation_rate"), F.avg(F.when(F.col("payoff") < 0, 1.0).otherwise(0.0)).alias("defection_rate"),
+        F.avg("payoff").alias("mean_payoff"), F.avg(F.when(F.col("payoff") > 0, 1.0).otherwise(0.0)).alias("cooperation_rate"),
+        F.avg(F.when(F.col("payoff") < 0, 1.0).otherwise(0.0)).alias("defection_rate"),
         F.when(F.count("*") > 2, F.avg(same)).otherwise(0.0).alias("tit_for_tat_score"), F.var_pop("payoff").alias("payoff_variance"),
     )
 
@@ -54,40 +58,64 @@ def minimax(notes: DataFrame, window: int = 8) -> DataFrame:
 
 
 def tension_resolution(notes: DataFrame) -> DataFrame:
-    """(piece_id, cc_rate, cd_rate, dc_rate, dd_rate, pd_total_payoff, surprise_resolution_rate): successive states, consonant or not, with payoffs 3, 0, 5 and 1 of at most 5."""
-    rows = with_payoffs(notes).where(F.col("payoff").isNotNull()).withColumn("before", F.lag("payoff").over(by_seq())).where(F.col("before").isNotNull())
+    """(piece_id, cc_rate, cd_rate, dc_rate, dd_rate, pd_total_payoff, surprise_resolution_rate): successive states, consonant or not, with
+    payoffs 3, 0, 5 and 1 of at most 5.
+    """
+    rows = with_payoffs(notes).where(F.col("payoff").isNotNull()).withColumn(
+        "before", F.lag("payoff").over(by_seq())
+    ).where(F.col("before").isNotNull())
     is_ = lambda a, b: ((F.col("before") > 0) == F.lit(a)) & ((F.col("payoff") > 0) == F.lit(b))
     rate = lambda a, b: F.avg(F.when(is_(a, b), 1.0).otherwise(0.0))
-    return rows.groupBy("piece_id").agg(rate(True, True).alias("cc_rate"), rate(True, False).alias("cd_rate"), rate(False, True).alias("dc_rate"), rate(False, False).alias("dd_rate"), ((3 * rate(True, True) + 5 * rate(False, True) + rate(False, False)) / 5).alias("pd_total_payoff"), rate(False, True).alias("surprise_resolution_rate"))
+    return rows.groupBy("piece_id").agg(
+        rate(True, True).alias("cc_rate"), rate(True, False).alias("cd_rate"), rate(False, True).alias("dc_rate"),
+        rate(False, False).alias("dd_rate"), ((3 * rate(True, True) + 5 * rate(False, True) + rate(False, False)) / 5).alias("pd_total_payoff"),
+        rate(False, True).alias("surprise_resolution_rate")
+    )
 
 
 def evolutionary_stability(notes: DataFrame, window: int = 32) -> DataFrame:
     """(piece_id, strategy_stability, invasion_resistance) over full blocks of ``window`` notes; pieces of fewer than two blocks get 0."""
     n = F.count("*").over(Window.partitionBy("piece_id"))
-    rows = notes.select("piece_id", F.floor(F.col("seq") / window).alias("block"), _pc().alias("pc"), F.floor(n / window).alias("blocks")).where("block < blocks and blocks >= 2")
+    rows = notes.select(
+        "piece_id", F.floor(F.col("seq") / window).alias("block"), _pc().alias("pc"), F.floor(n / window).alias("blocks")
+    ).where("block < blocks and blocks >= 2")
     shares = [(F.count_if(F.col("pc") == k) / window).alias(f"d{k}") for k in range(12)]
     blocks = rows.groupBy("piece_id", "block").agg(*shares)
     w = Window.partitionBy("piece_id")
-    blocks = blocks.select("piece_id", F.array(*[F.col(f"d{k}") for k in range(12)]).alias("d"), F.array(*[F.avg(f"d{k}").over(w) for k in range(12)]).alias("m"))
+    blocks = blocks.select(
+        "piece_id", F.array(*[F.col(f"d{k}") for k in range(12)]).alias("d"), F.array(*[F.avg(f"d{k}").over(w) for k in range(12)]).alias("m")
+    )
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
     deviation = total(F.zip_with("d", "m", lambda a, b: F.abs(a - b))) / 2
-    against = F.transform(F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in MATRIX]), lambda row: total(F.zip_with(row, "m", lambda a, b: a * b)))
+    against = F.transform(
+        F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in MATRIX]), lambda row: total(F.zip_with(row, "m", lambda a, b: a * b))
+    )
     holds = F.transform(F.array(against), lambda v: F.round(total(F.zip_with("d", v, lambda a, b: a * b)), 12) >= F.round(total(v) / 12, 12))[0]
     scored = blocks.select("piece_id", deviation.alias("deviation"), F.when(holds, 1.0).otherwise(0.0).alias("holds"))
-    found = scored.groupBy("piece_id").agg(F.greatest(F.lit(0.0), 1 - F.avg("deviation")).alias("strategy_stability"), F.avg("holds").alias("invasion_resistance"))
+    found = scored.groupBy("piece_id").agg(
+        F.greatest(F.lit(0.0), 1 - F.avg("deviation")).alias("strategy_stability"), F.avg("holds").alias("invasion_resistance")
+    )
     return notes.select("piece_id").distinct().join(found, "piece_id", "left").na.fill(0.0)
 
 
 def nash_distance(notes: DataFrame) -> DataFrame:
-    """(piece_id, nash_distance): divergence in nats of the pitch-class shares from the equilibrium, both at least 1e-12; 0 for fewer than five notes."""
+    """(piece_id, nash_distance): divergence in nats of the pitch-class shares from the equilibrium, both at least 1e-12; 0 for fewer than five
+    notes.
+    """
     ne = np.maximum(equilibrium(), 1e-12)
     share = lambda k: F.greatest(F.count_if(_pc() == k) / (F.count("*") + 1e-12), F.lit(1e-12))
     terms = [share(k) * F.log(share(k) / float(ne[k])) for k in range(12)]
-    return notes.groupBy("piece_id").agg(F.when(F.count("*") < 5, 0.0).otherwise(F.greatest(F.lit(0.0), F.aggregate(F.array(*terms), F.lit(0.0), lambda a, x: a + x))).alias("nash_distance"))
+    return notes.groupBy("piece_id").agg(
+        F.when(F.count("*") < 5, 0.0).otherwise(
+            F.greatest(F.lit(0.0), F.aggregate(F.array(*terms), F.lit(0.0), lambda a, x: a + x))
+        ).alias("nash_distance")
+    )
 
 
 def shapley(notes: DataFrame, samples: int = 200, seed: int = 42) -> DataFrame:
-    """(piece_id, shapley_top_pc, shapley_gini): sampled marginal contributions of pitch classes to the mean payoff. Permutations are seeded for each piece alike; the walk over them is sequential, a piece at a time."""
+    """(piece_id, shapley_top_pc, shapley_gini): sampled marginal contributions of pitch classes to the mean payoff. Permutations are seeded
+    for each piece alike; the walk over them is sequential, a piece at a time.
+    """
 
     def run(piece: pd.DataFrame) -> pd.DataFrame:
         pcs = piece.sort_values("seq")["pitch"].to_numpy() % 12

@@ -89,38 +89,70 @@ def _convergents(term: Callable[[int], int]) -> Iterator[float]:
 
 #: Value at index i of n.
 CLOSED: dict[int, Callable[[int, int], object]] = {
-    16: lambda i, n: sum(gcd(k, i + 1) == 1 for k in range(1, i + 2)), 21: lambda i, n: Fraction(1, i + 1), 22: lambda i, n: 220.0 * (i + 1), 25: lambda i, n: sin(2 * pi * 5 * i / 100),
-    26: lambda i, n: sin(3 * (2 * pi * i / n)), 27: lambda i, n: sin(2 * (2 * pi * i / n) + pi / 4), 28: lambda i, n: cos(5 * math.acos(max(-1, min(1, cos(pi * i / n))))),
-    29: lambda i, n: sum(sin(k * (2 * pi * i / n)) / k for k in (1, 3, 5, 7, 9)), 30: lambda i, n: cos(2 * pi * 5 * (i / 100)) + cos(2 * pi * 5.5 * (i / 100)),
-    36: lambda i, n: 1 << i.bit_count(), 37: lambda i, n: 1, 38: lambda i, n: i.bit_count() % 2, 39: lambda i, n: _in_cantor(i / n, 6), 43: lambda i, n: 2 ** ((i % 12) / 12), 46: lambda i, n: 2 ** ((i % 41) / 41),
-    51: lambda i, n: comb(10, i), 53: lambda i, n: comb(i + 1, min(2, i + 1)) * comb(i + 1, min(2, i + 1) - 1) // (i + 1), 54: lambda i, n: _stirling(i + 1, max(1, (i + 1) // 2)), 56: lambda i, n: i ^ (i >> 1),
-    57: lambda i, n: 1 - 2 * (_adjacent_ones(i) % 2), 58: lambda i, n: _even_zero_runs(i), 61: lambda i, n: i + 0.5, 62: lambda i, n: math.exp(-(((i - n / 2) / 100) ** 2) / 0.5) * cos(5 * ((i - n / 2) / 100)),
-    63: lambda i, n: abs(sin(3 * (2 * pi * i / n))), 64: lambda i, n: sin(2 * pi * 5 * (i / n) + 2 * sin(2 * pi * 3 * (i / n))), 65: lambda i, n: (1 + cos(2 * pi * (i / n))) * cos(2 * pi * 10 * (i / n)),
-    70: lambda i, n: 1 - 2 * (i // max(1, (2 ** (n.bit_length() - i.bit_length()) if i else n) // 2) % 2), 73: lambda i, n: (-1) ** len(_factors(i + 1)),
-    74: lambda i, n: 0 if len(set(_factors(i + 1))) < len(_factors(i + 1)) else (-1) ** len(_factors(i + 1)), 75: lambda i, n: sum(d for d in range(1, i + 2) if (i + 1) % d == 0), 77: lambda i, n: i % 60, 79: lambda i, n: i,
-    86: lambda i, n: _hilbert_x(2 ** math.ceil(math.log2(n)), i), 87: lambda i, n: 5 ** (i % 4), 90: lambda i, n: floor((i + 1) * PHI) - floor(i * PHI) - 1, 91: lambda i, n: ((i + 1) * sqrt(i + 1)) % (2 * pi) if _prime(i + 1) else 0.0,
-    95: lambda i, n: sum(2 ** gcd(k, i + 1) for k in range(i + 1)) // (i + 1), 99: lambda i, n: (BITMAP + 17 - i // 106) // (17 * (i % 106) + 1) % 2, 100: lambda i, n: i,
+    16: lambda i, n: sum(gcd(k, i + 1) == 1 for k in range(1, i + 2)), 21: lambda i, n: Fraction(1, i + 1), 22: lambda i, n: 220.0 * (i + 1),
+    25: lambda i, n: sin(2 * pi * 5 * i / 100),
+    26: lambda i, n: sin(3 * (2 * pi * i / n)), 27: lambda i, n: sin(2 * (2 * pi * i / n) + pi / 4),
+    28: lambda i, n: cos(5 * math.acos(max(-1, min(1, cos(pi * i / n))))),
+    29: lambda i, n: sum(sin(k * (2 * pi * i / n)) / k for k in (1, 3, 5, 7, 9)),
+    30: lambda i, n: cos(2 * pi * 5 * (i / 100)) + cos(2 * pi * 5.5 * (i / 100)),
+    36: lambda i, n: 1 << i.bit_count(), 37: lambda i, n: 1, 38: lambda i, n: i.bit_count() % 2, 39: lambda i, n: _in_cantor(i / n, 6),
+    43: lambda i, n: 2 ** ((i % 12) / 12), 46: lambda i, n: 2 ** ((i % 41) / 41),
+    51: lambda i, n: comb(10, i), 53: lambda i, n: comb(i + 1, min(2, i + 1)) * comb(i + 1, min(2, i + 1) - 1) // (i + 1),
+    54: lambda i, n: _stirling(i + 1, max(1, (i + 1) // 2)), 56: lambda i, n: i ^ (i >> 1),
+    57: lambda i, n: 1 - 2 * (_adjacent_ones(i) % 2), 58: lambda i, n: _even_zero_runs(i), 61: lambda i, n: i + 0.5,
+    62: lambda i, n: math.exp(-(((i - n / 2) / 100) ** 2) / 0.5) * cos(5 * ((i - n / 2) / 100)),
+    63: lambda i, n: abs(sin(3 * (2 * pi * i / n))), 64: lambda i, n: sin(2 * pi * 5 * (i / n) + 2 * sin(2 * pi * 3 * (i / n))),
+    65: lambda i, n: (1 + cos(2 * pi * (i / n))) * cos(2 * pi * 10 * (i / n)),
+    70: lambda i, n: 1 - 2 * (i // max(1, (2 ** (n.bit_length() - i.bit_length()) if i else n) // 2) % 2),
+    73: lambda i, n: (-1) ** len(_factors(i + 1)),
+    74: lambda i, n: 0 if len(set(_factors(i + 1))) < len(_factors(i + 1)) else (-1) ** len(_factors(i + 1)),
+    75: lambda i, n: sum(d for d in range(1, i + 2) if (i + 1) % d == 0), 77: lambda i, n: i % 60, 79: lambda i, n: i,
+    86: lambda i, n: _hilbert_x(2 ** math.ceil(math.log2(n)), i), 87: lambda i, n: 5 ** (i % 4),
+    90: lambda i, n: floor((i + 1) * PHI) - floor(i * PHI) - 1, 91: lambda i, n: ((i + 1) * sqrt(i + 1)) % (2 * pi) if _prime(i + 1) else 0.0,
+    95: lambda i, n: sum(2 ** gcd(k, i + 1) for k in range(i + 1)) // (i + 1), 99: lambda i, n: (BITMAP + 17 - i // 106) // (17 * (i % 106) + 1) % 2,
+    100: lambda i, n: i,
 }
 #: First state, next state, and what a state shows.
 RECURRENCE: dict[int, tuple[object, Callable, Callable]] = {
     **{k: (start, step, lambda s: s[0]) for k, start, step in (
-        (1, (1, 1), lambda s: (s[1], sum(s))), (2, (2, 1), lambda s: (s[1], sum(s))), (3, (0, 0, 1), lambda s: (*s[1:], sum(s))), (4, (1, 1, 1), lambda s: (*s[1:], s[0] + s[1])), (5, (0, 1), lambda s: (s[1], 2 * s[1] + s[0])),
-        (6, (0, 1), lambda s: (s[1], s[1] + 2 * s[0])), (7, (3, 0, 2), lambda s: (*s[1:], s[0] + s[1])), (13, (1, 1), lambda s: (s[1], sum(s) % 12)), (34, (0.0, 0.0), lambda s: (1 - 1.4 * s[0] ** 2 + s[1], 0.3 * s[0])),
+        (1, (1, 1), lambda s: (s[1], sum(s))), (2, (2, 1), lambda s: (s[1], sum(s))), (3, (0, 0, 1), lambda s: (*s[1:], sum(s))),
+        (4, (1, 1, 1), lambda s: (*s[1:], s[0] + s[1])), (5, (0, 1), lambda s: (s[1], 2 * s[1] + s[0])),
+        (6, (0, 1), lambda s: (s[1], s[1] + 2 * s[0])), (7, (3, 0, 2), lambda s: (*s[1:], s[0] + s[1])), (13, (1, 1), lambda s: (s[1], sum(s) % 12)),
+        (34, (0.0, 0.0), lambda s: (1 - 1.4 * s[0] ** 2 + s[1], 0.3 * s[0])),
         (35, (1, 0), lambda s: ((s[0] + s[1]) % 12, (s[0] + 2 * s[1]) % 12)),
     )},
-    8: (Fraction(1), lambda q: 1 / (2 * floor(q) + 1 - q), lambda q: q.numerator), 9: (2, lambda x: x * (x - 1) + 1, lambda x: x), 10: ((1, 0), lambda s: (s[0] * 2 * (2 * s[1] + 1) // (s[1] + 2), s[1] + 1), lambda s: s[0]),
-    14: (1, lambda x: x * 3 % 7, lambda x: x), 15: (27, lambda x: 3 * x + 1 if x % 2 else x // 2, lambda x: x), 20: (1234, lambda x: (lambda d: int(d[::-1]) - int(d))("".join(sorted(f"{x:04d}"))) or 1000, lambda x: x),
-    24: (Fraction(1), lambda q: (lambda v: v / 2 if v >= 2 else v)(q * Fraction(3, 2)), lambda q: q), 31: (0.5, lambda x: 3.7 * x * (1 - x), lambda x: x), 32: (0.3, lambda x: 1.9 * min(x, 1 - x), lambda x: x),
-    33: ((1.0, 1.0, 1.0), lambda s: (s[0] + 10 * (s[1] - s[0]) * 0.01, s[1] + (s[0] * (28 - s[2]) - s[1]) * 0.01, s[2] + (s[0] * s[1] - 8 / 3 * s[2]) * 0.01), lambda s: s[0]),
-    40: (0j, lambda z: (0 if abs(z) > 2 else z) ** 2 + complex(-0.7, 0.27), abs), 42: (220.0, lambda x: next(v for v in (x * PHI, x * PHI / 2) if v <= 440), lambda x: x),
-    66: ((0.1, 0.0, 0), lambda s: (lambda v: (s[0] + v * 0.05, v, s[2] + 1))(s[1] + (s[0] + s[0] ** 3 - 0.3 * s[1] + 0.5 * cos(1.2 * s[2] * 0.05)) * 0.05), lambda s: s[0]),
+    8: (Fraction(1), lambda q: 1 / (2 * floor(q) + 1 - q), lambda q: q.numerator), 9: (2, lambda x: x * (x - 1) + 1, lambda x: x),
+    10: ((1, 0), lambda s: (s[0] * 2 * (2 * s[1] + 1) // (s[1] + 2), s[1] + 1), lambda s: s[0]),
+    14: (1, lambda x: x * 3 % 7, lambda x: x), 15: (27, lambda x: 3 * x + 1 if x % 2 else x // 2, lambda x: x),
+    20: (1234, lambda x: (lambda d: int(d[::-1]) - int(d))("".join(sorted(f"{x:04d}"))) or 1000, lambda x: x),
+    24: (Fraction(1), lambda q: (lambda v: v / 2 if v >= 2 else v)(q * Fraction(3, 2)), lambda q: q),
+    31: (0.5, lambda x: 3.7 * x * (1 - x), lambda x: x), 32: (0.3, lambda x: 1.9 * min(x, 1 - x), lambda x: x),
+    33: (
+        (1.0, 1.0, 1.0),
+        lambda s: (s[0] + 10 * (s[1] - s[0]) * 0.01, s[1] + (s[0] * (28 - s[2]) - s[1]) * 0.01, s[2] + (s[0] * s[1] - 8 / 3 * s[2]) * 0.01),
+        lambda s: s[0]
+    ),
+    40: (0j, lambda z: (0 if abs(z) > 2 else z) ** 2 + complex(-0.7, 0.27), abs),
+    42: (220.0, lambda x: next(v for v in (x * PHI, x * PHI / 2) if v <= 440), lambda x: x),
+    66: (
+        (0.1, 0.0, 0),
+        lambda s: (lambda v: (s[0] + v * 0.05, v, s[2] + 1))(s[1] + (s[0] + s[0] ** 3 - 0.3 * s[1] + 0.5 * cos(1.2 * s[2] * 0.05)) * 0.05),
+        lambda s: s[0]
+    ),
     67: ((0.5, 0.5), lambda s: (s[0] + s[1] * 0.05, s[1] + (2.0 * (1 - s[0] ** 2) * s[1] - s[0]) * 0.05), lambda s: s[0]),
-    68: (tuple(pi * k / 5 for k in range(5)), lambda p: tuple(a + (w + 2.0 / 5 * sum(sin(b - a) for b in p)) * 0.1 for a, w in zip(p, (1.0, 1.2, 0.8, 1.5, 0.9))), lambda p: sum(p) / 5),
-    96: ((1, 2 * 2 / (1 * 3)), lambda s: (s[0] + 1, s[1] * ((2 * (s[0] + 1)) * (2 * (s[0] + 1)) / ((2 * (s[0] + 1) - 1) * (2 * (s[0] + 1) + 1)))), lambda s: s[1]),
+    68: (
+        tuple(pi * k / 5 for k in range(5)),
+        lambda p: tuple(a + (w + 2.0 / 5 * sum(sin(b - a) for b in p)) * 0.1 for a, w in zip(p, (1.0, 1.2, 0.8, 1.5, 0.9))), lambda p: sum(p) / 5
+    ),
+    96: (
+        (1, 2 * 2 / (1 * 3)), lambda s: (s[0] + 1, s[1] * ((2 * (s[0] + 1)) * (2 * (s[0] + 1)) / ((2 * (s[0] + 1) - 1) * (2 * (s[0] + 1) + 1)))),
+        lambda s: s[1]
+    ),
 }
 #: Tables that repeat, and by how much each round lifts them.
 CYCLES: dict[int, tuple[tuple, int]] = {
-    23: (tuple(map(Fraction, ("1", "9/8", "5/4", "4/3", "3/2", "5/3", "15/8", "2"))), 0), 41: ((0, 7, 2, 9, 4, 11, 6, 1, 8, 3, 10, 5), 0), 44: ((0, 2, 3, 5, 7, 9, 10), 12), 45: ((0, 2, 4, 7, 9), 12),
+    23: (tuple(map(Fraction, ("1", "9/8", "5/4", "4/3", "3/2", "5/3", "15/8", "2"))), 0), 41: ((0, 7, 2, 9, 4, 11, 6, 1, 8, 3, 10, 5), 0),
+    44: ((0, 2, 3, 5, 7, 9, 10), 12), 45: ((0, 2, 4, 7, 9), 12),
     47: ((0, 1, 0, 1, 1, 0, 1, 1), 0), 48: ((3, 3, 2), 0), 50: ((0, 11, 3, 4, 8, 7, 9, 5, 6, 1, 10, 2), 0),
 }
 
@@ -249,11 +281,19 @@ def _dice(n: int) -> list[int]:
 
 
 SPECIAL: dict[int, Callable[[int], object]] = {
-    11: _primes, 12: lambda n: [b - a for a, b in zip([0, *_primes(n)], _primes(n))], 17: _sieve, 18: lambda n: _self_reference(n, [0, 1], lambda g, i: 1 + g[i - g[g[i - 1]]], 2), 19: _recaman,
-    49: lambda n: [round(t, 4) for t in islice(accumulate(repeat(PHI), initial=0), n)], 52: _motzkin, 55: _bell, 59: _alternating, 60: lambda n: list(islice(_bits(), n)), 69: _delay, 71: lambda n: [2**p - 1 for p in (2, 3, 5, 7, 13, 17, 19, 31)][:n],
-    72: lambda n: [6, 28, 496, 8128, 33550336][:n], 76: lambda n: sorted({math.isqrt(a * a + b * b) for a in range(1, 10 * n) for b in range(a, 10 * n) if math.isqrt(a * a + b * b) ** 2 == a * a + b * b})[:n], 78: lambda n: [Fraction(1)][:n],
-    80: lambda n: sorted({Fraction(a, b) for b in range(1, 9) for a in range(b + 1)})[:n], 81: lambda n: _automaton(n, 30), 82: lambda n: _automaton(n, 90), 83: _life, 84: _sandpile, 85: _xorshift, 88: _distances, 89: _rewriting,
-    92: lambda n: _self_reference(n, [0, 1, 1], lambda q, i: q[i - q[i - 1]] + q[i - q[i - 2]], 3), 93: lambda n: _self_reference(n, [0], lambda g, i: i - g[g[i - 1]], 1), 94: _dice,
+    11: _primes, 12: lambda n: [b - a for a, b in zip([0, *_primes(n)], _primes(n))], 17: _sieve,
+    18: lambda n: _self_reference(n, [0, 1], lambda g, i: 1 + g[i - g[g[i - 1]]], 2), 19: _recaman,
+    49: lambda n: [round(t, 4) for t in islice(accumulate(repeat(PHI), initial=0), n)], 52: _motzkin, 55: _bell, 59: _alternating,
+    60: lambda n: list(islice(_bits(), n)), 69: _delay, 71: lambda n: [2**p - 1 for p in (2, 3, 5, 7, 13, 17, 19, 31)][:n],
+    72: lambda n: [6, 28, 496, 8128, 33550336][:n],
+    76: lambda n: sorted(
+        {math.isqrt(a * a + b * b) for a in range(1, 10 * n) for b in range(a, 10 * n) if math.isqrt(a * a + b * b) ** 2 == a * a + b * b}
+    )[:n],
+    78: lambda n: [Fraction(1)][:n],
+    80: lambda n: sorted({Fraction(a, b) for b in range(1, 9) for a in range(b + 1)})[:n], 81: lambda n: _automaton(n, 30),
+    82: lambda n: _automaton(n, 90), 83: _life, 84: _sandpile, 85: _xorshift, 88: _distances, 89: _rewriting,
+    92: lambda n: _self_reference(n, [0, 1, 1], lambda q, i: q[i - q[i - 1]] + q[i - q[i - 2]], 3),
+    93: lambda n: _self_reference(n, [0], lambda g, i: i - g[g[i - 1]], 1), 94: _dice,
     97: lambda n: islice(_convergents(lambda i: 2 if i == 0 else 2 * (i // 3 + 1) if i % 3 == 2 else 1), n), 98: _ant,
 }
 
@@ -292,17 +332,29 @@ def _double(v: object) -> float | None:
 
 
 def long_table(spark: SparkSession, n: int = 12, patterns: list[int] | None = None) -> DataFrame:
-    """(pattern_id, index, value, number) of all or some sequences: text and double of each value; the double is null beyond its range. One sequence is one unit of work. Sequence 9 doubles its digits with each term."""
+    """(pattern_id, index, value, number) of all or some sequences: text and double of each value; the double is null beyond its range. One
+    sequence is one unit of work. Sequence 9 doubles its digits with each term.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, i, str(float(v)) if isinstance(v, Fraction) else str(v), _double(v)) for p in batch.column(0).to_pylist() for i, v in enumerate(values(p, n))]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), pa.float64()))], ["pattern_id", "index", "value", "number"])
+            rows = [
+                (p, i, str(float(v)) if isinstance(v, Fraction) else str(v), _double(v)) for p in batch.column(0).to_pylist() for i,
+                v in enumerate(values(p, n))
+            ]
+            yield pa.record_batch(
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), pa.float64()))],
+                ["pattern_id", "index", "value", "number"]
+            )
 
     ids = spark.range(1, 101)
-    return (ids if patterns is None else ids.where(F.col("id").isin(*patterns))).mapInArrow(run, "pattern_id int, index int, value string, number double")
+    return (
+        ids if patterns is None else ids.where(F.col("id").isin(*patterns))
+    ).mapInArrow(run, "pattern_id int, index int, value string, number double")
 
 
 def wide_table(spark: SparkSession, n: int = 12) -> DataFrame:
     """(pattern_id, v0, v1, ...)."""
-    return long_table(spark, n).groupBy("pattern_id").pivot("index", list(range(n))).agg(F.first("value")).select("pattern_id", *[F.col(str(i)).alias(f"v{i}") for i in range(n)])
+    return long_table(spark, n).groupBy("pattern_id").pivot("index", list(range(n))).agg(F.first("value")).select(
+        "pattern_id", *[F.col(str(i)).alias(f"v{i}") for i in range(n)]
+    )

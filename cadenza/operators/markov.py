@@ -56,8 +56,12 @@ def smoothed(notes: DataFrame, state: Column) -> DataFrame:
     model = transitions(notes, state, ["piece_id"])
     states = notes.select("piece_id", state.alias("s")).distinct()
     n = states.groupBy("piece_id").agg(F.count("*").alias("n"))
-    dense = states.select("piece_id", F.col("s").alias("src")).join(states.select("piece_id", F.col("s").alias("dst")), "piece_id").join(n, "piece_id")
-    dense = dense.join(model.select("piece_id", "src", "dst", "count"), ["piece_id", "src", "dst"], "left").withColumn("c", F.coalesce("count", F.lit(0)))
+    dense = states.select("piece_id", F.col("s").alias("src")).join(
+        states.select("piece_id", F.col("s").alias("dst")), "piece_id"
+    ).join(n, "piece_id")
+    dense = dense.join(
+        model.select("piece_id", "src", "dst", "count"), ["piece_id", "src", "dst"], "left"
+    ).withColumn("c", F.coalesce("count", F.lit(0)))
     total = F.sum("c").over(Window.partitionBy("piece_id", "src"))
     return dense.select("piece_id", "src", "dst", F.when(total > 0, (F.col("c") + 1) / (total + F.col("n"))).otherwise(1.0 / F.col("n")).alias("p"))
 
@@ -79,19 +83,25 @@ def higher_order(notes: DataFrame, state: Column, order: int) -> DataFrame:
 
 
 def features(notes: DataFrame, least: int = 2) -> DataFrame:
-    """(piece_id, pitch_entropy, interval_entropy, predictability, pitch_states, common_transitions, top_share): a piece's chains of pitches and of steps in scalars."""
+    """(piece_id, pitch_entropy, interval_entropy, predictability, pitch_states, common_transitions, top_share): a piece's chains of pitches
+    and of steps in scalars.
+    """
     steps = notes.select("piece_id", "seq", (F.col("pitch") - F.lag("pitch").over(by_seq())).alias("step")).where("step IS NOT NULL")
     pitch, step = entropy_rate(smoothed(notes, F.col("pitch"))), entropy_rate(smoothed(steps, F.col("step")))
     named = pitch.select("piece_id", F.col("entropy").alias("pitch_entropy"), F.col("predictability").alias("_a"))
     named = named.join(step.select("piece_id", F.col("entropy").alias("interval_entropy"), F.col("predictability").alias("_b")), "piece_id")
     states = notes.groupBy("piece_id").agg(F.count_distinct("pitch").alias("pitch_states"))
-    common = common_transitions(notes, F.col("pitch"), least).groupBy("piece_id").agg(F.least(F.count("*"), F.lit(20)).alias("common_transitions"), F.max("share").alias("top_share"))
+    common = common_transitions(notes, F.col("pitch"), least).groupBy("piece_id").agg(
+        F.least(F.count("*"), F.lit(20)).alias("common_transitions"), F.max("share").alias("top_share")
+    )
     joined = named.join(states, "piece_id").join(common, "piece_id", "left").na.fill(0, ["common_transitions"]).na.fill(0.0, ["top_share"])
     return joined.withColumn("predictability", (F.col("_a") + F.col("_b")) / 2).drop("_a", "_b")
 
 
 def entropy_rate(dense: DataFrame, rounds: int = 200) -> DataFrame:
-    """(piece_id, entropy, predictability): rate of the stationary chain, by power iteration, and 1 - rate / log2(states), held to 0..1. A piece's states are few."""
+    """(piece_id, entropy, predictability): rate of the stationary chain, by power iteration, and 1 - rate / log2(states), held to 0..1. A
+    piece's states are few.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         p = rows.pivot(index="src", columns="dst", values="p").sort_index().sort_index(axis=1).to_numpy()
@@ -100,16 +110,23 @@ def entropy_rate(dense: DataFrame, rounds: int = 200) -> DataFrame:
             v = v @ p
         h = float(-(v[:, None] * p * np.log2(np.where(p > 0, p, 1))).sum())
         most = np.log2(len(p))
-        return pd.DataFrame([[rows["piece_id"].iloc[0], h, float(min(1, max(0, 1 - h / most))) if most > 0 else 1.0]], columns=["piece_id", "entropy", "predictability"])
+        return pd.DataFrame(
+            [[rows["piece_id"].iloc[0], h, float(min(1, max(0, 1 - h / most))) if most > 0 else 1.0]],
+            columns=["piece_id", "entropy", "predictability"]
+        )
 
     return dense.groupBy("piece_id").applyInPandas(run, "piece_id bigint, entropy double, predictability double")
 
 
 def common_transitions(notes: DataFrame, state: Column, least: int = 2) -> DataFrame:
-    """(piece_id, src, dst, count, share, surprise): transitions seen at least ``least`` times; share is of all the piece's transitions, surprise its -log2."""
+    """(piece_id, src, dst, count, share, surprise): transitions seen at least ``least`` times; share is of all the piece's transitions,
+    surprise its -log2.
+    """
     model = transitions(notes, state, ["piece_id"])
     share = F.col("count") / F.sum("count").over(Window.partitionBy("piece_id"))
-    return model.select("piece_id", "src", "dst", "count", share.alias("share")).where(F.col("count") >= least).withColumn("surprise", -F.log2("share"))
+    return model.select(
+        "piece_id", "src", "dst", "count", share.alias("share")
+    ).where(F.col("count") >= least).withColumn("surprise", -F.log2("share"))
 
 
 def rare_transitions(common: DataFrame, threshold: float = 0.1, top: int = 20) -> DataFrame:
@@ -127,4 +144,6 @@ def predict_next(model: DataFrame, top: int = 3, by: list[str] | None = None) ->
 def compare_models(a: DataFrame, b: DataFrame) -> DataFrame:
     """(src, dst, difference): absolute difference of probabilities; a missing transition has 0."""
     x, y = a.select("src", "dst", F.col("p").alias("x")), b.select("src", "dst", F.col("p").alias("y"))
-    return x.join(y, ["src", "dst"], "full_outer").select("src", "dst", F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))).alias("difference"))
+    return x.join(y, ["src", "dst"], "full_outer").select(
+        "src", "dst", F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))).alias("difference")
+    )

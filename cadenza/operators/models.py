@@ -16,7 +16,8 @@ from .features import CONSONANCE
 
 #: Per style the entropy band, least consonance, least step ratio, repetition target and fractal band.
 STYLES = {
-    "baroque": (1.8, 2.4, 0.7, 0.6, 0.5, 1.2, 1.6), "classical": (2.0, 2.6, 0.6, 0.5, 0.4, 1.3, 1.6), "romantic": (2.3, 3.0, 0.4, 0.4, 0.3, 1.4, 1.8), "late_romantic": (2.5, 3.2, 0.3, 0.35, 0.25, 1.5, 2.0),
+    "baroque": (1.8, 2.4, 0.7, 0.6, 0.5, 1.2, 1.6), "classical": (2.0, 2.6, 0.6, 0.5, 0.4, 1.3, 1.6), "romantic": (2.3, 3.0, 0.4, 0.4, 0.3, 1.4, 1.8),
+    "late_romantic": (2.5, 3.2, 0.3, 0.35, 0.25, 1.5, 2.0),
 }
 PHI = (1 + math.sqrt(5)) / 2
 #: Weights of the seven terms of a suggestion's score.
@@ -25,16 +26,33 @@ FIBONACCI = (1, 2, 3, 5, 8, 13)
 
 
 def check_styles(matrix: DataFrame) -> DataFrame:
-    """(piece_id, style, entropy_ok, consonance_ok, steps_ok, valid, distance): every piece against every style; styles are a constant of a few rows."""
-    styles = F.explode(F.array(*[F.struct(F.lit(s).alias("style"), *[F.lit(float(v)).alias(f"p{k}") for k, v in enumerate(p)]) for s, p in STYLES.items()])).alias("s")
+    """(piece_id, style, entropy_ok, consonance_ok, steps_ok, valid, distance): every piece against every style; styles are a constant of a few
+    rows.
+    """
+    styles = F.explode(
+        F.array(*[F.struct(F.lit(s).alias("style"), *[F.lit(float(v)).alias(f"p{k}") for k, v in enumerate(p)]) for s, p in STYLES.items()])
+    ).alias("s")
     c = F.col
-    rows = matrix.select("piece_id", "pitch_entropy", "consonance_score", "step_ratio", "repetition_index", "fractal_dimension", styles).select("*", "s.*")
-    checks = {"entropy_ok": c("pitch_entropy").between(c("p0"), c("p1")), "consonance_ok": c("consonance_score") >= c("p2"), "steps_ok": c("step_ratio") >= c("p3")}
-    distance = (F.abs(c("pitch_entropy") - (c("p0") + c("p1")) / 2) + F.abs(c("repetition_index") - c("p4")) + F.abs(c("fractal_dimension") - (c("p5") + c("p6")) / 2)) / 3
-    return rows.withColumns(checks).select("piece_id", "style", *checks, (c("entropy_ok") & c("consonance_ok") & c("steps_ok")).alias("valid"), distance.alias("distance"))
+    rows = matrix.select(
+        "piece_id", "pitch_entropy", "consonance_score", "step_ratio", "repetition_index", "fractal_dimension", styles
+    ).select("*", "s.*")
+    checks = {
+        "entropy_ok": c("pitch_entropy").between(c("p0"), c("p1")), "consonance_ok": c("consonance_score") >= c("p2"),
+        "steps_ok": c("step_ratio") >= c("p3")
+    }
+    distance = (
+        F.abs(c("pitch_entropy") - (c("p0") + c("p1")) / 2) + F.abs(c("repetition_index") - c("p4")) + F.abs(
+            c("fractal_dimension") - (c("p5") + c("p6")) / 2
+        )
+    ) / 3
+    return rows.withColumns(checks).select(
+        "piece_id", "style", *checks, (c("entropy_ok") & c("consonance_ok") & c("steps_ok")).alias("valid"), distance.alias("distance")
+    )
 
 
-def _suggest(pitches: np.ndarray, durations: np.ndarray, markov: np.ndarray, total: float, top: int, with_terms: bool = False) -> list[tuple] | tuple[list[tuple], list[dict[str, float]]]:
+def _suggest(
+    pitches: np.ndarray, durations: np.ndarray, markov: np.ndarray, total: float, top: int, with_terms: bool = False
+) -> list[tuple] | tuple[list[tuple], list[dict[str, float]]]:
     """(pitch, score, duration, tag) of the best next notes after a context of up to 16 notes; with_terms: and the seven terms of each."""
     recent, last = pitches[-16:], int(pitches[-1])
     level, variance = float(last), 1.0  # the filter starts at the last pitch and replays the context
@@ -44,7 +62,10 @@ def _suggest(pitches: np.ndarray, durations: np.ndarray, markov: np.ndarray, tot
         level, variance = level + gain * (x - level), (1 - gain) * variance
     candidates = np.arange(max(36, last - 24), min(97, last + 25))
     leap = np.abs(candidates - last)
-    terms = {"markov": markov[last % 12, candidates % 12], "kalman": np.exp(-0.5 * ((candidates - level) / 6) ** 2), "consonance": np.array(CONSONANCE)[leap % 12]}
+    terms = {
+        "markov": markov[last % 12, candidates % 12], "kalman": np.exp(-0.5 * ((candidates - level) / 6) ** 2),
+        "consonance": np.array(CONSONANCE)[leap % 12]
+    }
     position = len(pitches) / total if total > 0 else None
     eight = recent[-8:]
     if position is None:
@@ -72,8 +93,10 @@ def _suggest(pitches: np.ndarray, durations: np.ndarray, markov: np.ndarray, tot
     def tag(k: int) -> str:
         t = {name: float(v[k]) for name, v in terms.items()}
         rules = (
-            ("dramatic_tension", t["tension"] > 0.8 and t["consonance"] < 0.4), ("golden_harmony", t["consonance"] > 0.8 and t["fibonacci"] > 0.7), ("structural_climax", t["golden_position"] > 0.8),
-            ("natural_flow", t["beauty"] > 0.7 and t["markov"] > 0.3), ("peaceful_resolution", t["tension"] < 0.3 and t["consonance"] > 0.7), ("fibonacci_resonance", t["fibonacci"] > 0.8),
+            ("dramatic_tension", t["tension"] > 0.8 and t["consonance"] < 0.4), ("golden_harmony", t["consonance"] > 0.8 and t["fibonacci"] > 0.7),
+            ("structural_climax", t["golden_position"] > 0.8),
+            ("natural_flow", t["beauty"] > 0.7 and t["markov"] > 0.3), ("peaceful_resolution", t["tension"] < 0.3 and t["consonance"] > 0.7),
+            ("fibonacci_resonance", t["fibonacci"] > 0.8),
         )
         return next((name for name, holds in rules if holds), "neutral")
 
@@ -98,13 +121,21 @@ def suggest_next(notes: DataFrame, markov: np.ndarray, top: int = 5, total: floa
     def run(piece: pd.DataFrame) -> pd.DataFrame:
         piece = piece.sort_values("seq")
         rows = _suggest(piece["pitch"].to_numpy(), piece["duration"].to_numpy(), markov, total, top)
-        return pd.DataFrame([(piece["piece_id"].iloc[0], k + 1, *r) for k, r in enumerate(rows)], columns=["piece_id", "rank", "pitch", "score", "duration", "tag"])
+        return pd.DataFrame(
+            [(piece["piece_id"].iloc[0], k + 1, *r) for k, r in enumerate(rows)], columns=["piece_id", "rank", "pitch", "score", "duration", "tag"]
+        )
 
-    return notes.select("piece_id", "seq", "pitch", "duration").groupBy("piece_id").applyInPandas(run, "piece_id bigint, rank int, pitch int, score double, duration double, tag string")
+    return notes.select("piece_id", "seq", "pitch", "duration").groupBy("piece_id").applyInPandas(
+        run, "piece_id bigint, rank int, pitch int, score double, duration double, tag string"
+    )
 
 
-def generate(spark: SparkSession, markov: np.ndarray, samples: int = 20, length: int = 64, start: int = 60, temperature: float = 1.0, seed: int = 42) -> DataFrame:
-    """(sample, seq, pitch, duration): seeded walks of a pitch-class chain; each sample has a generator of its own. A class without moves goes anywhere. The octave is the one from 3 to 6 next to the note before."""
+def generate(
+    spark: SparkSession, markov: np.ndarray, samples: int = 20, length: int = 64, start: int = 60, temperature: float = 1.0, seed: int = 42
+) -> DataFrame:
+    """(sample, seq, pitch, duration): seeded walks of a pitch-class chain; each sample has a generator of its own. A class without moves goes
+    anywhere. The octave is the one from 3 to 6 next to the note before.
+    """
     p = markov ** (1 / temperature)
     p = np.where(p.sum(axis=1, keepdims=True) > 0, p, 1.0)
     p = p / p.sum(axis=1, keepdims=True)
@@ -117,14 +148,22 @@ def generate(spark: SparkSession, markov: np.ndarray, samples: int = 20, length:
                     rows.append((sample, k, pitch, float(rng.choice([0.25, 0.5, 1.0, 2.0], p=[0.2, 0.4, 0.3, 0.1]))))
                     step = int(rng.choice(12, p=p[pitch % 12]))
                     pitch = min((12 * (octave + 1) + step for octave in range(3, 7)), key=lambda x: abs(x - pitch))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["sample", "seq", "pitch", "duration"])
+                yield pa.record_batch(
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.float64()))],
+                    ["sample", "seq", "pitch", "duration"]
+                )
 
     return spark.range(samples).mapInArrow(run, "sample bigint, seq int, pitch int, duration double")
 
 
 def principal_components(df: DataFrame, columns: list[str], k: int = 2, scale: bool = True) -> DataFrame:
-    """df with pc1..pck: components of the population-scaled (or only centred) columns; the sign makes the largest loading positive. Only the covariance matrix, columns by columns, comes to the driver."""
-    moments = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)], *[F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]).first()
+    """df with pc1..pck: components of the population-scaled (or only centred) columns; the sign makes the largest loading positive. Only the
+    covariance matrix, columns by columns, comes to the driver.
+    """
+    moments = df.agg(
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],
+        *[F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
+    ).first()
     n = len(columns)
     mean, deviation = np.array([moments[f"m{i}"] for i in range(n)]), np.array([moments[f"s{i}"] for i in range(n)])
     deviation = np.where(scale & (deviation > 0), deviation, 1.0)
@@ -136,20 +175,31 @@ def principal_components(df: DataFrame, columns: list[str], k: int = 2, scale: b
     return df.withColumns({f"pc{j + 1}": score(j) for j in range(k)})
 
 
-def classify(df: DataFrame, columns: list[str], label: str, folds: int = 3, trees: int = 30, depth: int = 5, least: int = 8, seed: int = 42, id_col: str = "piece_id") -> DataFrame:
-    """(label, prediction, n): confusion counts of a random forest over hash folds; classes of fewer than ``least`` rows are left out before anything is fitted, and with no class left the result is empty."""
+def classify(
+    df: DataFrame, columns: list[str], label: str, folds: int = 3, trees: int = 30, depth: int = 5, least: int = 8, seed: int = 42,
+    id_col: str = "piece_id"
+) -> DataFrame:
+    """(label, prediction, n): confusion counts of a random forest over hash folds; classes of fewer than ``least`` rows are left out before
+    anything is fitted, and with no class left the result is empty.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 
-    kept = df.where(F.col(label).isNotNull()).join(df.groupBy(label).count().where(F.col("count") >= least).select(label), label, "left_semi").na.fill(0.0, columns)
+    kept = df.where(F.col(label).isNotNull()).join(
+        df.groupBy(label).count().where(F.col("count") >= least).select(label), label, "left_semi"
+    ).na.fill(0.0, columns)
     if kept.isEmpty():
         return kept.select(F.col(label).alias("label"), F.col(label).alias("predicted"), F.lit(0).cast("bigint").alias("n"))
     indexed = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(kept)
-    rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(indexed.transform(kept)).withColumn("_fold", F.pmod(F.xxhash64(id_col), F.lit(folds)))
+    rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(indexed.transform(kept)).withColumn(
+        "_fold", F.pmod(F.xxhash64(id_col), F.lit(folds))
+    )
     rows = stored(rows.select(label, "_y", "_x", "_fold"))
     back, out = IndexToString(inputCol="prediction", outputCol="_p", labels=indexed.labels), None
     for k in range(folds):
-        model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed).fit(rows.where(F.col("_fold") != k))
+        model = RandomForestClassifier(
+            featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed
+        ).fit(rows.where(F.col("_fold") != k))
         part = back.transform(model.transform(rows.where(F.col("_fold") == k))).select(F.col(label).alias("label"), F.col("_p").alias("predicted"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("label", "predicted").agg(F.count("*").alias("n"))

@@ -11,24 +11,42 @@ from ..functions.columns import by_seq
 
 
 def interval_ngrams(notes: DataFrame, lengths: tuple[int, ...] = (3,), least_support: int = 2) -> DataFrame:
-    """(piece_id, length, pattern, support, first_position): runs of intervals, comma-joined, that start at least ``least_support`` times in their piece. Windows of leads, then one aggregate: no piece is gathered."""
+    """(piece_id, length, pattern, support, first_position): runs of intervals, comma-joined, that start at least ``least_support`` times in
+    their piece. Windows of leads, then one aggregate: no piece is gathered.
+    """
     steps = notes.select("piece_id", "seq", (F.lead("pitch").over(by_seq()) - F.col("pitch")).alias("iv"))
     most = max(lengths)
     ahead = steps.select("piece_id", "seq", *[F.lead("iv", k).over(by_seq()).alias(f"v{k}") for k in range(most)])
-    grams = F.explode(F.array(*[F.struct(F.lit(n).alias("length"), F.when(F.col(f"v{n - 1}").isNotNull(), F.concat_ws(",", *[F.col(f"v{k}").cast("string") for k in range(n)])).alias("pattern")) for n in lengths]))
+    grams = F.explode(
+        F.array(
+            *[F.struct(F.lit(n).alias("length"), F.when(F.col(f"v{n - 1}").isNotNull(), F.concat_ws(",", *[F.col(f"v{k}").cast("string") for k in range(n)])).alias("pattern")) for n in lengths]
+        )
+    )
     rows = ahead.select("piece_id", "seq", grams.alias("g")).select("piece_id", "seq", "g.*").where(F.col("pattern").isNotNull())
-    return rows.groupBy("piece_id", "length", "pattern").agg(F.count("*").alias("support"), F.min("seq").alias("first_position")).where(F.col("support") >= least_support)
+    return rows.groupBy("piece_id", "length", "pattern").agg(
+        F.count("*").alias("support"), F.min("seq").alias("first_position")
+    ).where(F.col("support") >= least_support)
 
 
 def state_ngrams(notes: DataFrame, column: str = "pitch", least_length: int = 3, most_length: int = 19, least_support: int = 2) -> DataFrame:
     """(piece_id, length, pattern, support): repeated runs of states of up to half the piece."""
     n = F.count("*").over(Window.partitionBy("piece_id"))
     rows = notes.select("piece_id", "seq", n.alias("n"), *[F.lead(column, k).over(by_seq()).alias(f"v{k}") for k in range(most_length)])
-    grams = F.explode(F.array(*[F.struct(F.lit(k).alias("length"), F.when(F.col(f"v{k - 1}").isNotNull() & (F.lit(k) <= F.floor(F.col("n") / 2)), F.concat_ws(",", *[F.col(f"v{i}").cast("string") for i in range(k)])).alias("pattern")) for k in range(least_length, most_length + 1)]))
-    return rows.select("piece_id", grams.alias("g")).select("piece_id", "g.*").where(F.col("pattern").isNotNull()).groupBy("piece_id", "length", "pattern").agg(F.count("*").alias("support")).where(F.col("support") >= least_support)
-
-
-def mine(notes: DataFrame, least_length: int = 4, most_length: int = 12, least_support: int = 3, shuffles: int = 25, top: int | None = 500, seed: int = 42) -> DataFrame:
+    grams = F.explode(
+        F.array(
+            *[F.struct(F.lit(k).alias("length"), F.when(F.col(f"v{k - 1}").isNotNull() & (F.lit(k) <= F.floor(F.col("n") / 2)), F.concat_ws(",", *[F.col(f"v{i}").cast("string") for i in range(k)])).alias("pattern")) for k in range(least_length, most_length + 1)]
+        )
+    )
+    return rows.select("piece_id", grams.alias("g")).select("piece_id", "g.*").where(F.col("pattern").isNotNull()).groupBy(
+        "piece_id", "length", "pattern"
+    ).agg(F.count("*").alias("support")).where(
+        F.col("support") >= least_support
+    )
+
+
+def mine(
+    notes: DataFrame, least_length: int = 4, most_length: int = 12, least_support: int = 3, shuffles: int = 25, top: int | None = 500, seed: int = 42
+) -> DataFrame:
     """(piece_id, rank, pattern, length, support, z): motifs against shuffled intervals, best z first; all of them if ``top`` is None.
 
     One generator per piece shuffles one array on and on, over the patterns in order of length and first appearance, so results depend on
@@ -57,16 +75,23 @@ def mine(notes: DataFrame, least_length: int = 4, most_length: int = 12, least_s
                 rows.append((",".join(map(str, pattern)), n, support, float((support - mean) / deviation)))
         rows.sort(key=lambda r: -r[3])
         head = rows[:top]
-        out = pd.DataFrame([(piece["piece_id"].iloc[0], k + 1, *r) for k, r in enumerate(head)], columns=["piece_id", "rank", "pattern", "length", "support", "z"])
+        out = pd.DataFrame(
+            [(piece["piece_id"].iloc[0], k + 1, *r) for k, r in enumerate(head)], columns=["piece_id", "rank", "pattern", "length", "support", "z"]
+        )
         return out.astype({"piece_id": "int64", "rank": "int32", "pattern": "object", "length": "int32", "support": "int64", "z": "float64"})
 
-    return notes.select("piece_id", "seq", "pitch").groupBy("piece_id").applyInPandas(run, "piece_id bigint, rank int, pattern string, length int, support bigint, z double")
+    return notes.select("piece_id", "seq", "pitch").groupBy("piece_id").applyInPandas(
+        run, "piece_id bigint, rank int, pattern string, length int, support bigint, z double"
+    )
 
 
 def summary(mined: DataFrame) -> DataFrame:
     """(piece_id, top_pattern, top_length, top_support, top_z, num_patterns_z_ge_2) of pieces with any motif."""
     best = F.min_by(F.struct("pattern", "length", "support", "z"), "rank")
-    return mined.groupBy("piece_id").agg(best.alias("b"), F.count_if(F.col("z") >= 2).alias("num_patterns_z_ge_2")).select("piece_id", F.col("b.pattern").alias("top_pattern"), F.col("b.length").alias("top_length"), F.col("b.support").alias("top_support"), F.col("b.z").alias("top_z"), "num_patterns_z_ge_2")
+    return mined.groupBy("piece_id").agg(best.alias("b"), F.count_if(F.col("z") >= 2).alias("num_patterns_z_ge_2")).select(
+        "piece_id", F.col("b.pattern").alias("top_pattern"), F.col("b.length").alias("top_length"), F.col("b.support").alias("top_support"),
+        F.col("b.z").alias("top_z"), "num_patterns_z_ge_2"
+    )
 
 
 def merge_chunks(old: DataFrame, new: DataFrame, key: str = "piece_id") -> DataFrame:

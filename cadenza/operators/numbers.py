@@ -46,7 +46,8 @@ def _climax(aggregate: bool = True) -> list[Column]:
 def _prepared(notes: DataFrame) -> DataFrame:
     return with_steps(notes).withColumns({
         "top": F.max("pitch").over(by_piece()), "next_duration": F.lead("duration").over(by_seq()),
-        "total_pitch": F.sum("pitch").over(by_seq().rowsBetween(Window.unboundedPreceding, 0)), "size": F.abs(F.col("pitch") - F.lag("pitch").over(by_seq())),
+        "total_pitch": F.sum("pitch").over(by_seq().rowsBetween(Window.unboundedPreceding, 0)),
+        "size": F.abs(F.col("pitch") - F.lag("pitch").over(by_seq())),
     })
 
 
@@ -57,7 +58,10 @@ def _sections(n: Column, parts: int = 5) -> Column:
 
 
 def _golden_durations() -> Column:
-    return F.coalesce(F.avg(F.when(F.col("next_duration") != 0, F.when(F.abs(F.col("duration") / F.col("next_duration") - PHI) < 0.1, 1.0).otherwise(0.0))), F.lit(0.0))
+    return F.coalesce(
+        F.avg(F.when(F.col("next_duration") != 0, F.when(F.abs(F.col("duration") / F.col("next_duration") - PHI) < 0.1, 1.0).otherwise(0.0))),
+        F.lit(0.0)
+    )
 
 
 def golden_ratio_structure(notes: DataFrame) -> DataFrame:
@@ -66,7 +70,9 @@ def golden_ratio_structure(notes: DataFrame) -> DataFrame:
     sections = _sections(n)
     near = F.size(F.filter(sections, lambda x: is_fibonacci(x, 2))) / 5.0
     fib = F.count_if(F.col("size").isin(*FIBONACCI[:19]))
-    return _prepared(notes).groupBy("piece_id").agg(*_climax(), near.alias("fibonacci_section_ratio"), _golden_durations().alias("golden_ratio_in_durations"), fib.alias("fibonacci_intervals"))
+    return _prepared(notes).groupBy("piece_id").agg(
+        *_climax(), near.alias("fibonacci_section_ratio"), _golden_durations().alias("golden_ratio_in_durations"), fib.alias("fibonacci_intervals")
+    )
 
 
 def _sixteenths() -> Column:
@@ -83,9 +89,12 @@ def _phrases(notes: DataFrame, closed: bool) -> DataFrame:
 
 
 def prime_structure(notes: DataFrame) -> DataFrame:
-    """Shares of prime interval sizes and of durations that are a prime number of sixteenths, phrases of prime length, distinct interval sizes, notes."""
+    """Shares of prime interval sizes and of durations that are a prime number of sixteenths, phrases of prime length, distinct interval sizes,
+    notes.
+    """
     base = _prepared(notes).groupBy("piece_id").agg(
-        F.coalesce(share(is_prime(F.col("size"))), F.lit(0.0)).alias("interval_prime_density"), F.avg(F.when(is_prime(_sixteenths()), 1.0).otherwise(0.0)).alias("duration_prime_ratio"),
+        F.coalesce(share(is_prime(F.col("size"))), F.lit(0.0)).alias("interval_prime_density"),
+        F.avg(F.when(is_prime(_sixteenths()), 1.0).otherwise(0.0)).alias("duration_prime_ratio"),
         F.count_distinct("size").alias("unique_intervals"), F.count("*").alias("total_notes"),
     )
     phrases = _phrases(notes, closed=False).groupBy("piece_id").agg(F.count_if(is_prime(F.col("length"))).alias("num_prime_phrases"))
@@ -96,7 +105,11 @@ def prime_harmonics(notes: DataFrame, most: int = 20) -> DataFrame:
     """(piece_id, harmonic, amplitude): for each prime up to ``most``, the share of the pitch class it falls on."""
     primes = [p for p in range(2, most + 1) if all(p % d for d in range(2, p))]
     pc = F.pmod(F.col("pitch"), F.lit(12))
-    rows = notes.groupBy("piece_id").agg(F.array(*[F.struct(F.lit(p).alias("harmonic"), (F.count_if(pc == p % 12) / (F.count("*") + 1e-8)).alias("amplitude")) for p in primes]).alias("h"))
+    rows = notes.groupBy("piece_id").agg(
+        F.array(
+            *[F.struct(F.lit(p).alias("harmonic"), (F.count_if(pc == p % 12) / (F.count("*") + 1e-8)).alias("amplitude")) for p in primes]
+        ).alias("h")
+    )
     return rows.select("piece_id", F.explode("h").alias("x")).select("piece_id", "x.*")
 
 
@@ -111,10 +124,15 @@ def known_patterns(notes: DataFrame) -> DataFrame:
     part = lambda values: F.coalesce(share(size.isin(*values)), F.lit(0.0))
     position, distance, _ = _climax()
     base = _prepared(notes).groupBy("piece_id").agg(
-        F.coalesce(share(is_prime(size)), F.lit(0.0)).alias("interval_prime_density"), F.avg(F.when(is_prime(_sixteenths()), 1.0).otherwise(0.0)).alias("duration_prime_ratio"),
-        position, distance, F.when(_climax()[2], 1.0).otherwise(0.0).alias("climax_near_golden"), part(FIBONACCI).alias("fibonacci_interval_ratio"), part(LUCAS).alias("lucas_interval_ratio"),
-        part(PERFECT).alias("perfect_interval_ratio"), part(TRIANGULAR).alias("triangular_interval_ratio"), golden.alias("golden_section_ratio_score"),
-        F.coalesce(F.avg(F.when(F.col("next_duration").isNotNull(), F.when(close, 1.0).otherwise(0.0))), F.lit(0.0)).alias("pythagorean_duration_ratio"),
+        F.coalesce(share(is_prime(size)), F.lit(0.0)).alias("interval_prime_density"),
+        F.avg(F.when(is_prime(_sixteenths()), 1.0).otherwise(0.0)).alias("duration_prime_ratio"),
+        position, distance, F.when(_climax()[2], 1.0).otherwise(0.0).alias("climax_near_golden"), part(FIBONACCI).alias("fibonacci_interval_ratio"),
+        part(LUCAS).alias("lucas_interval_ratio"),
+        part(PERFECT).alias("perfect_interval_ratio"), part(TRIANGULAR).alias("triangular_interval_ratio"),
+        golden.alias("golden_section_ratio_score"),
+        F.coalesce(
+            F.avg(F.when(F.col("next_duration").isNotNull(), F.when(close, 1.0).otherwise(0.0))), F.lit(0.0)
+        ).alias("pythagorean_duration_ratio"),
         F.avg(F.when(is_prime(F.col("total_pitch")), 1.0).otherwise(0.0)).alias("cumulative_prime_ratio"), n.alias("_n"),
     )
     phrases = _phrases(notes, closed=True).groupBy("piece_id").agg(F.avg(F.when(F.col("length").isin(*FIBONACCI), 1.0).otherwise(0.0)).alias("p"))
@@ -122,14 +140,23 @@ def known_patterns(notes: DataFrame) -> DataFrame:
 
 
 def numeric_patterns(notes: DataFrame, most_lag: int = 12) -> DataFrame:
-    """Prime running sums, density around golden positions, and mean absolute autocorrelation of intervals at lags below min(most_lag, intervals / 2)."""
+    """Prime running sums, density around golden positions, and mean absolute autocorrelation of intervals at lags below min(most_lag,
+    intervals / 2).
+    """
     base = _prepared(notes)
     n = F.count("*")
     half = F.least(F.greatest(F.lit(1), (n * 0.03).cast("int")), F.lit(32))
     # positions f * (n - 1), half to even, for the four golden fractions, of which two pairs coincide up to rounding
     spots = [F.rint(F.lit(f) * (n - 1)) for f in (1 / PHI, 1 / PHI**2, 1 - 1 / PHI, 1 - 1 / PHI**2)]
-    spans = F.array_distinct(F.flatten(F.array(*[F.sequence(F.greatest(F.lit(0), (s - half).cast("int")), F.least(n - 1, (s + half).cast("bigint")).cast("int")) for s in spots])))
-    first = base.groupBy("piece_id").agg(n.alias("n_notes"), F.avg("pitch").alias("pitch_mean"), F.stddev_pop("pitch").alias("pitch_std"), F.avg(F.when(is_prime(F.col("total_pitch")), 1.0).otherwise(0.0)).alias("prime_sum_ratio"), (F.size(spans) / n).alias("phi_density_ratio"))
+    spans = F.array_distinct(
+        F.flatten(
+            F.array(*[F.sequence(F.greatest(F.lit(0), (s - half).cast("int")), F.least(n - 1, (s + half).cast("bigint")).cast("int")) for s in spots])
+        )
+    )
+    first = base.groupBy("piece_id").agg(
+        n.alias("n_notes"), F.avg("pitch").alias("pitch_mean"), F.stddev_pop("pitch").alias("pitch_std"),
+        F.avg(F.when(is_prime(F.col("total_pitch")), 1.0).otherwise(0.0)).alias("prime_sum_ratio"), (F.size(spans) / n).alias("phi_density_ratio")
+    )
     iv = with_steps(notes).where(F.col("iv").isNotNull())
     w = by_piece()
     z = iv.select("piece_id", "seq", ((F.col("iv") - F.avg("iv").over(w)) / F.stddev_pop("iv").over(w)).alias("z"), F.count("*").over(w).alias("n"))
@@ -137,4 +164,6 @@ def numeric_patterns(notes: DataFrame, most_lag: int = 12) -> DataFrame:
     lags = [F.when(F.lit(k) < F.least(F.lit(most_lag), F.floor(F.max("n") / 2)), F.abs(F.avg(f"l{k}"))) for k in range(1, most_lag)]
     alike = lagged.groupBy("piece_id").agg(F.array_compact(F.array(*lags)).alias("a"))
     mean = F.when(F.size("a") > 0, F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x) / F.size("a")).otherwise(0.0)
-    return first.join(alike.select("piece_id", mean.alias("interval_self_similarity")), "piece_id", "left").withColumn("interval_self_similarity", F.coalesce("interval_self_similarity", F.lit(0.0)))
+    return first.join(
+        alike.select("piece_id", mean.alias("interval_self_similarity")), "piece_id", "left"
+    ).withColumn("interval_self_similarity", F.coalesce("interval_self_similarity", F.lit(0.0)))

@@ -23,7 +23,9 @@ def _frame(rows: list[tuple], columns: dict[str, str]) -> pd.DataFrame:
 
 
 def nonrandomness(notes: DataFrame, most_lag: int = 8, shuffles: int = 20, seed: int = 42) -> DataFrame:
-    """(piece_id, rw_corr_mean, rw_corr_z): mean absolute autocorrelation of z-scored intervals at lags up to most_lag, and its z-score against shuffled copies, seeded for each piece alike; 0 without variation or for fewer than six notes."""
+    """(piece_id, rw_corr_mean, rw_corr_z): mean absolute autocorrelation of z-scored intervals at lags up to most_lag, and its z-score against
+    shuffled copies, seeded for each piece alike; 0 without variation or for fewer than six notes.
+    """
 
     def measure(z: np.ndarray, lags: int) -> float:
         return float(np.mean([abs(np.dot(z[:-k], z[k:]) / (len(z) - k)) for k in range(1, lags + 1)]))
@@ -54,7 +56,9 @@ def _polygon(points: np.ndarray) -> tuple[float, np.ndarray]:
 
 
 def shapes(notes: DataFrame, tolerance: float = 0.1, star_tolerance: float = 0.15, most: int = 10, most_stars: int = 5) -> DataFrame:
-    """(piece_id, shape, start, corners, confidence): regular polygons of successive notes on the pitch circle, surest first and without shared notes, and the first stars, whose corners are taken two apart."""
+    """(piece_id, shape, start, corners, confidence): regular polygons of successive notes on the pitch circle, surest first and without shared
+    notes, and the first stars, whose corners are taken two apart.
+    """
 
     def run(piece: pd.DataFrame) -> pd.DataFrame:
         pitch = piece.sort_values("seq")["pitch"].to_numpy()
@@ -80,15 +84,22 @@ def shapes(notes: DataFrame, tolerance: float = 0.1, star_tolerance: float = 0.1
         rows = [(piece["piece_id"].iloc[0], *s) for s in kept[:most] + stars[:most_stars]]
         return _frame(rows, {"piece_id": "int64", "shape": "object", "start": "int32", "corners": "int32", "confidence": "float64"})
 
-    return notes.select("piece_id", "seq", "pitch").groupBy("piece_id").applyInPandas(run, "piece_id bigint, shape string, start int, corners int, confidence double")
+    return notes.select("piece_id", "seq", "pitch").groupBy("piece_id").applyInPandas(
+        run, "piece_id bigint, shape string, start int, corners int, confidence double"
+    )
 
 
 def mandala(notes: DataFrame, layers: int = 3, points: int = 12, radius: float = 100.0) -> DataFrame:
-    """(piece_id, layer, radius, num_points, symmetry_order): up to ``points`` notes from each third of a piece of at least 12; symmetry is the smallest divisor of the count from two to its half, or the count."""
+    """(piece_id, layer, radius, num_points, symmetry_order): up to ``points`` notes from each third of a piece of at least 12; symmetry is the
+    smallest divisor of the count from two to its half, or the count.
+    """
     n = notes.groupBy("piece_id").agg(F.count("*").alias("n")).where("n >= 12")
     rows = n.select("piece_id", "n", F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).alias("layer"))
     count = F.least(F.lit(points), F.col("n") - F.col("layer") * F.floor(F.col("n") / layers)).cast("int")
-    divisors = F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.floor(F.col("num_points") / 2).cast("int"))), lambda d: (F.col("num_points") % d == 0) & (d <= F.col("num_points") / 2))
+    divisors = F.filter(
+        F.sequence(F.lit(2), F.greatest(F.lit(2), F.floor(F.col("num_points") / 2).cast("int"))),
+        lambda d: (F.col("num_points") % d == 0) & (d <= F.col("num_points") / 2)
+    )
     rows = rows.select("piece_id", "layer", ((F.col("layer") + 1) * radius / layers).alias("radius"), count.alias("num_points"))
     return rows.withColumn("symmetry_order", F.coalesce(F.get(divisors, F.lit(0)), F.col("num_points")))
 
@@ -106,7 +117,9 @@ def geometric_complexity(notes: DataFrame) -> DataFrame:
 
 
 def chroma_geometry(frames: DataFrame) -> DataFrame:
-    """(piece_id, variance, eccentricity, circularity): mean variance of the twelve energies over a piece's frames, and how elongated they lie: from the two largest eigenvalues of their covariance, by moments alone."""
+    """(piece_id, variance, eccentricity, circularity): mean variance of the twelve energies over a piece's frames, and how elongated they lie:
+    from the two largest eigenvalues of their covariance, by moments alone.
+    """
     e = lambda k: F.col("energy")[k]
     pairs = [(i, j) for i in range(12) for j in range(i, 12)]
     moments = frames.groupBy("piece_id").agg(F.count("*").alias("n"), *[F.covar_pop(e(i), e(j)).alias(f"c{i}_{j}") for i, j in pairs])
@@ -140,8 +153,13 @@ def _key(energy: np.ndarray) -> tuple[str, float]:
 
 
 def key_segments(frames: DataFrame, window: int = 8, step: int = 2, least: int = 2, seconds: float = 4.0) -> DataFrame:
-    """(piece_id, segment, start_frame, end_frame, start_time, key, strength): a window's key, grown by ``step`` frames while they have the same key and a strength over 0.3. Windows are in frames; missing frames are silent."""
-    columns = {"piece_id": "int64", "segment": "int32", "start_frame": "int32", "end_frame": "int32", "start_time": "float64", "key": "object", "strength": "float64"}
+    """(piece_id, segment, start_frame, end_frame, start_time, key, strength): a window's key, grown by ``step`` frames while they have the
+    same key and a strength over 0.3. Windows are in frames; missing frames are silent.
+    """
+    columns = {
+        "piece_id": "int64", "segment": "int32", "start_frame": "int32", "end_frame": "int32", "start_time": "float64", "key": "object",
+        "strength": "float64"
+    }
 
     def run(piece: pd.DataFrame) -> pd.DataFrame:
         chroma = np.zeros((int(piece["frame"].max()) + 1, 12))
@@ -161,20 +179,34 @@ def key_segments(frames: DataFrame, window: int = 8, step: int = 2, least: int =
             at = end
         return _frame(rows, columns)
 
-    return frames.groupBy("piece_id").applyInPandas(run, "piece_id bigint, segment int, start_frame int, end_frame int, start_time double, key string, strength double")
+    return frames.groupBy("piece_id").applyInPandas(
+        run, "piece_id bigint, segment int, start_frame int, end_frame int, start_time double, key string, strength double"
+    )
 
 
 def modulations(segments: DataFrame) -> DataFrame:
-    """(piece_id, time, from_key, to_key, distance, kind, confidence): changes of key between successive segments; up to one step on the circle of fifths is diatonic, up to three chromatic, else distant."""
+    """(piece_id, time, from_key, to_key, distance, kind, confidence): changes of key between successive segments; up to one step on the circle
+    of fifths is diatonic, up to three chromatic, else distant.
+    """
     order = Window.partitionBy("piece_id").orderBy("segment")
-    steps = segments.select("piece_id", F.col("key").alias("from_key"), "strength", *[F.lead(c).over(order).alias(n) for c, n in (("key", "to_key"), ("start_time", "time"), ("strength", "next"))]).where(F.col("to_key") != F.col("from_key"))
+    steps = segments.select(
+        "piece_id", F.col("key").alias("from_key"), "strength",
+        *[F.lead(c).over(order).alias(n) for c, n in (("key", "to_key"), ("start_time", "time"), ("strength", "next"))]
+    ).where(F.col("to_key") != F.col("from_key"))
     root = lambda c: F.array_position(F.array(*[F.lit(n) for n in NAMES]), F.substring_index(c, " ", 1)) - 1
     rows = steps.withColumn("distance", fifths_distance(root("from_key"), root("to_key")).cast("int"))
-    return rows.select("piece_id", "time", "from_key", "to_key", "distance", F.when(F.col("distance") <= 1, "diatonic").when(F.col("distance") <= 3, "chromatic").otherwise("distant").alias("kind"), ((F.col("strength") + F.col("next")) / 2).alias("confidence"))
+    return rows.select(
+        "piece_id", "time", "from_key", "to_key", "distance",
+        F.when(F.col("distance") <= 1, "diatonic").when(F.col("distance") <= 3, "chromatic").otherwise("distant").alias("kind"),
+        ((F.col("strength") + F.col("next")) / 2).alias("confidence")
+    )
 
 
 def chroma_cycles(frames: DataFrame, seconds: float = 4.0, most: int = 10) -> DataFrame:
-    """(piece_id, kind, number, frame, value): in order of length and start, at most ``most`` of each kind: adjacent blocks of Fibonacci length with a cosine over 0.8, prime gaps between frames with a peak over 0.5, and large changes of mean energy within 5 % of a golden position (at most five)."""
+    """(piece_id, kind, number, frame, value): in order of length and start, at most ``most`` of each kind: adjacent blocks of Fibonacci length
+    with a cosine over 0.8, prime gaps between frames with a peak over 0.5, and large changes of mean energy within 5 % of a golden position
+    (at most five).
+    """
 
     def run(piece: pd.DataFrame) -> pd.DataFrame:
         chroma = np.zeros((int(piece["frame"].max()) + 1, 12))
@@ -198,10 +230,14 @@ def chroma_cycles(frames: DataFrame, seconds: float = 4.0, most: int = 10) -> Da
 
 
 def generation_quality(matrix_like: DataFrame, low: float = 2.0, high: float = 2.6) -> DataFrame:
-    """(piece_id, quality, passes): entropy in a band, variety of interval sizes out of 13 and a range of one to three octaves, weighted .3, .25 and .45; 0.65 passes. Input: notes."""
+    """(piece_id, quality, passes): entropy in a band, variety of interval sizes out of 13 and a range of one to three octaves, weighted .3,
+    .25 and .45; 0.65 passes. Input: notes.
+    """
     from .features import _pitch, with_steps
 
-    rows = with_steps(matrix_like).groupBy("piece_id").agg(_pitch()[0], (F.max("pitch") - F.min("pitch")).alias("r"), F.count_distinct(F.abs("iv")).alias("v"))
+    rows = with_steps(matrix_like).groupBy("piece_id").agg(
+        _pitch()[0], (F.max("pitch") - F.min("pitch")).alias("r"), F.count_distinct(F.abs("iv")).alias("v")
+    )
     e = F.col("pitch_entropy")
     inside = F.when((e >= low) & (e <= high), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.least(F.abs(e - low), F.abs(e - high)) / 0.5))
     reach = F.when(F.col("r").between(12, 36), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(F.col("r") - 24) / 24))

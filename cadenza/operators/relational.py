@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 #: Words that paths are searched for, in this order, and the composers they stand for.
 COMPOSERS = (
-    (("bach",), "Bach"), (("mozart", "mz_"), "Mozart"), (("chopin", "chpn"), "Chopin"), (("deb",), "Debussy"), (("beethoven", "mond_", "appass"), "Beethoven"), (("liszt", "liz_"), "Liszt"),
+    (("bach",), "Bach"), (("mozart", "mz_"), "Mozart"), (("chopin", "chpn"), "Chopin"), (("deb",), "Debussy"),
+    (("beethoven", "mond_", "appass"), "Beethoven"), (("liszt", "liz_"), "Liszt"),
     (("schubert", "schu"), "Schubert"), (("brahms", "br_"), "Brahms"), (("haydn", "hay_"), "Haydn"), (("schumann", "scn"), "Schumann"),
 )
 #: Eras of composers, by short and by full name.
 ERAS = {
-    "Bach": "Baroque", "Mozart": "Classical", "Haydn": "Classical", "Beethoven": "Classical", "Chopin": "Romantic", "Schubert": "Romantic", "Brahms": "Romantic", "Schumann": "Romantic", "Liszt": "Romantic", "Debussy": "Late Romantic",
-    "Johann Sebastian Bach": "Baroque", "Antonio Vivaldi": "Baroque", "George Frideric Handel": "Baroque", "Wolfgang Amadeus Mozart": "Classical", "Joseph Haydn": "Classical", "Ludwig van Beethoven": "Classical",
-    "Franz Schubert": "Romantic", "Frédéric Chopin": "Romantic", "Robert Schumann": "Romantic", "Johannes Brahms": "Romantic", "Pyotr Ilyich Tchaikovsky": "Romantic", "Franz Liszt": "Romantic",
+    "Bach": "Baroque", "Mozart": "Classical", "Haydn": "Classical", "Beethoven": "Classical", "Chopin": "Romantic", "Schubert": "Romantic",
+    "Brahms": "Romantic", "Schumann": "Romantic", "Liszt": "Romantic", "Debussy": "Late Romantic",
+    "Johann Sebastian Bach": "Baroque", "Antonio Vivaldi": "Baroque", "George Frideric Handel": "Baroque", "Wolfgang Amadeus Mozart": "Classical",
+    "Joseph Haydn": "Classical", "Ludwig van Beethoven": "Classical",
+    "Franz Schubert": "Romantic", "Frédéric Chopin": "Romantic", "Robert Schumann": "Romantic", "Johannes Brahms": "Romantic",
+    "Pyotr Ilyich Tchaikovsky": "Romantic", "Franz Liszt": "Romantic",
     "Claude Debussy": "Late Romantic", "Sergei Rachmaninoff": "Late Romantic", "Maurice Ravel": "Late Romantic",
 }
 
@@ -27,10 +31,14 @@ def keep_last(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame
 
 
 def near_in_time(events: DataFrame, seconds: float, by: str = "user_id") -> DataFrame:
-    """(by, a, b): pairs of a key's events that are less than ``seconds`` apart, a before b. Events meet in time buckets and their neighbours, so the join is on equality; in a burst of n events of one key within the time, all n * (n - 1) / 2 pairs are the result."""
+    """(by, a, b): pairs of a key's events that are less than ``seconds`` apart, a before b. Events meet in time buckets and their neighbours,
+    so the join is on equality; in a burst of n events of one key within the time, all n * (n - 1) / 2 pairs are the result.
+    """
     t = F.col("ts").cast("timestamp").cast("double")
     rows = events.select(F.col(by), F.col("event_id"), t.alias("t"), F.floor(t / seconds).cast("long").alias("bucket"))
-    other = rows.select(F.col(by), F.col("event_id").alias("b"), F.col("t").alias("tb"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"))
+    other = rows.select(
+        F.col(by), F.col("event_id").alias("b"), F.col("t").alias("tb"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket")
+    )
     met = rows.select(F.col(by), F.col("event_id").alias("a"), F.col("t").alias("ta"), "bucket").join(other, [by, "bucket"])
     later = (F.col("tb") > F.col("ta")) | ((F.col("tb") == F.col("ta")) & (F.col("b") > F.col("a")))
     return met.where(later & (F.col("tb") - F.col("ta") < seconds)).select(by, "a", "b")
@@ -112,5 +120,8 @@ def pitch_time_grid(notes: DataFrame, columns: int = 50, lowest: int = 21, keys:
     total = F.max(F.col("start") + F.col("duration")).over(w)
     at = lambda t: F.least(F.floor(t / F.col("total") * columns), F.lit(columns - 1)).cast("int")
     rows = notes.withColumn("total", total).where(F.col("pitch").between(lowest, lowest + keys - 1))
-    cells = rows.select("piece_id", (F.col("pitch") - lowest).alias("key"), F.explode(F.sequence(at(F.col("start")), at(F.col("start") + F.col("duration")))).alias("column"))
+    cells = rows.select(
+        "piece_id", (F.col("pitch") - lowest).alias("key"),
+        F.explode(F.sequence(at(F.col("start")), at(F.col("start") + F.col("duration")))).alias("column")
+    )
     return cells.groupBy("piece_id", "key", "column").agg(F.count("*").alias("n"))

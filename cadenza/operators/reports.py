@@ -15,7 +15,8 @@ PHI = (1 + math.sqrt(5)) / 2
 FIBONACCI = (1, 2, 3, 5, 8, 13)
 #: Scales by key, from their tonic.
 SCALES = {
-    "C_major": (0, 2, 4, 5, 7, 9, 11), "G_major": (7, 9, 11, 0, 2, 4, 6), "F_major": (5, 7, 9, 10, 0, 2, 4), "A_minor": (9, 11, 0, 2, 4, 5, 7), "D_minor": (2, 4, 5, 7, 9, 10, 0),
+    "C_major": (0, 2, 4, 5, 7, 9, 11), "G_major": (7, 9, 11, 0, 2, 4, 6), "F_major": (5, 7, 9, 10, 0, 2, 4), "A_minor": (9, 11, 0, 2, 4, 5, 7),
+    "D_minor": (2, 4, 5, 7, 9, 10, 0),
 }
 #: Eras that a report gives confidences for.
 ERAS = ("Baroque", "Classical", "Romantic", "Late Romantic")
@@ -55,29 +56,37 @@ def impact(notes: DataFrame, width: int = 8) -> DataFrame:
     climax = F.min_by("start", F.struct(-F.col("pitch"), F.col("seq")))
     end, first = F.max_by(F.col("start") + F.col("duration"), "seq"), F.min_by("start", "seq")
     rows = _steps(notes).groupBy("piece_id").agg(
-        F.avg(fibonacci).alias("fibonacci_ratio"), F.avg(_consonance(iv)).alias("mean_consonance"), climax.alias("_climax"), end.alias("_end"), first.alias("_first"), F.count("*").alias("_n"),
+        F.avg(fibonacci).alias("fibonacci_ratio"), F.avg(_consonance(iv)).alias("mean_consonance"), climax.alias("_climax"), end.alias("_end"),
+        first.alias("_first"), F.count("*").alias("_n"),
     ).where("_n > 1")
     total = F.col("_end") - F.col("_first")
     golden = F.when(total > 0, F.abs((F.col("_climax") - F.col("_first")) / total - 1 / PHI)).otherwise(1.0)
-    rows = rows.withColumn("golden_climax_distance", golden).join(tension_curve(notes, width).groupBy("piece_id").agg(F.max("tension").alias("peak_tension")), "piece_id")
+    rows = rows.withColumn("golden_climax_distance", golden).join(
+        tension_curve(notes, width).groupBy("piece_id").agg(F.max("tension").alias("peak_tension")), "piece_id"
+    )
     f, c, g, t = (F.col(x) for x in ("fibonacci_ratio", "mean_consonance", "golden_climax_distance", "peak_tension"))
     score = 0.25 * f + 0.25 * c + 0.25 * F.greatest(F.lit(0.0), 1 - g * 3) + 0.25 * (1 - F.abs(c - 0.65) * 2)
     profile = (
-        F.when((f > 0.4) & (g < 0.1), "mathematically_sublime").when((c > 0.75) & (t < 0.4), "serene_contemplative").when(t > 0.7, "dramatic_passionate")
+        F.when(
+            (f > 0.4) & (g < 0.1), "mathematically_sublime"
+        ).when((c > 0.75) & (t < 0.4), "serene_contemplative").when(t > 0.7, "dramatic_passionate")
         .when(c < 0.4, "dark_dissonant").when(f > 0.3, "naturally_flowing").otherwise("balanced_classical")
     )
     return rows.select("piece_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("impact_score"), f, c, g, t, profile.alias("profile"))
 
 
 def impact_segments(notes: DataFrame) -> DataFrame:
-    """(piece_id, segment, position, tension, consonance, fibonacci_ratio, notes): quarters of a piece (and what is left over), of two notes or more."""
+    """(piece_id, segment, position, tension, consonance, fibonacci_ratio, notes): quarters of a piece (and what is left over), of two notes or
+    more.
+    """
     n, first = F.count("*").over(by_piece()), F.min("start").over(by_piece())
     end = F.max(F.col("start") + F.col("duration")).over(by_piece())
     placed = _steps(notes).withColumns({"_size": F.greatest(F.lit(1), F.floor(n / 4)), "_first": first, "_total": end - first})
     placed = placed.withColumn("segment", F.floor(F.col("seq") / F.col("_size")))
     inside = F.when(F.col("seq") % F.col("_size") != 0, F.col("iv"))
     rows = placed.groupBy("piece_id", "segment").agg(
-        ((F.min("start") - F.first("_first")) / F.greatest(F.first("_total"), F.lit(1.0))).alias("position"), (F.avg(inside) / 12).alias("tension"), F.avg(_consonance(inside)).alias("consonance"),
+        ((F.min("start") - F.first("_first")) / F.greatest(F.first("_total"), F.lit(1.0))).alias("position"), (F.avg(inside) / 12).alias("tension"),
+        F.avg(_consonance(inside)).alias("consonance"),
         F.avg(F.when(inside.isin(*FIBONACCI), 1.0).when(inside.isNotNull(), 0.0)).alias("fibonacci_ratio"), F.count("*").alias("notes"),
     )
     return rows.where("notes > 1")
@@ -89,7 +98,10 @@ def interpretations(matrix: DataFrame) -> DataFrame:
     def read(name: str) -> Column:
         feature, low, high, a, b, levels = MEASURES[name]
         value = F.least(F.greatest((F.col(feature) - low) / (high - low), F.lit(0.0)), F.lit(1.0))
-        return F.struct(F.lit(name).alias("measure"), value.alias("value"), F.when(value < a, levels[0]).when(value < b, levels[1]).otherwise(levels[2]).alias("level"))
+        return F.struct(
+            F.lit(name).alias("measure"), value.alias("value"),
+            F.when(value < a, levels[0]).when(value < b, levels[1]).otherwise(levels[2]).alias("level")
+        )
 
     return matrix.select("piece_id", F.inline(F.array(*[read(m) for m in MEASURES])))
 
@@ -98,14 +110,20 @@ def era_confidences(pieces: DataFrame, era: Column) -> DataFrame:
     """(piece_id, era, confidence): 0.85 for a piece's own era where it is one of ERAS, else 0.4 for none; the rest is shared among the others."""
     known = F.coalesce(era.isin(*ERAS), F.lit(False))
     own = F.when(known, 0.85).otherwise(0.4)
-    each = F.array(*[F.struct(F.lit(e).alias("era"), F.when(F.coalesce(era == e, F.lit(False)), own).otherwise((1 - own) / 3).alias("confidence")) for e in ERAS])
+    each = F.array(
+        *[F.struct(F.lit(e).alias("era"), F.when(F.coalesce(era == e, F.lit(False)), own).otherwise((1 - own) / 3).alias("confidence")) for e in ERAS]
+    )
     return pieces.select("piece_id", F.inline(each))
 
 
 def track_report(matrix: DataFrame) -> DataFrame:
     """(piece_id, report): composer, era and all interpretations of a piece as one JSON object."""
-    levels = interpretations(matrix).groupBy("piece_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("measure", "level")))).alias("levels"))
-    return matrix.select("piece_id", "composer", "era").join(levels, "piece_id").select("piece_id", F.to_json(F.struct("composer", "era", "levels")).alias("report"))
+    levels = interpretations(matrix).groupBy("piece_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("measure", "level")))).alias("levels")
+    )
+    return matrix.select("piece_id", "composer", "era").join(levels, "piece_id").select(
+        "piece_id", F.to_json(F.struct("composer", "era", "levels")).alias("report")
+    )
 
 
 def is_diatonic(pitch: Column, key: str = "C_major") -> Column:
@@ -116,7 +134,9 @@ def diatonic_shares(notes: DataFrame) -> DataFrame:
     """(piece_id, key, share, ends_on_tonic) for each key of SCALES: notes within the scale, and whether the last note is the key's tonic."""
     shares = [F.avg(F.when(is_diatonic(F.col("pitch"), k), 1.0).otherwise(0.0)) for k in SCALES]
     last = F.pmod(F.max_by("pitch", "seq"), F.lit(12))
-    each = F.array(*[F.struct(F.lit(k).alias("key"), s.alias("share"), (last == SCALES[k][0]).alias("ends_on_tonic")) for k, s in zip(SCALES, shares)])
+    each = F.array(
+        *[F.struct(F.lit(k).alias("key"), s.alias("share"), (last == SCALES[k][0]).alias("ends_on_tonic")) for k, s in zip(SCALES, shares)]
+    )
     return notes.groupBy("piece_id").agg(each.alias("x")).select("piece_id", F.inline("x"))
 
 
@@ -135,7 +155,9 @@ def _rgb(colour: str) -> tuple[int, int, int]:
 
 
 def palette_colours(series: DataFrame, palette: tuple[str, ...] = PALETTE) -> DataFrame:
-    """(piece_id, seq, weight, red, green, blue): a value from 0 to 1 placed along a palette (weight from 0 to its last colour) and blended, truncating."""
+    """(piece_id, seq, weight, red, green, blue): a value from 0 to 1 placed along a palette (weight from 0 to its last colour) and blended,
+    truncating.
+    """
     last = len(palette) - 1
     place = F.least(F.greatest(F.col("value"), F.lit(0.0)), F.lit(1.0)) * last
     low = F.least(F.floor(place), F.lit(last)).cast("int")
@@ -150,14 +172,22 @@ def instrument_impacts(changes: DataFrame) -> DataFrame:
     entering, exiting, kind, change = (F.col(c) for c in ("entering", "exiting", "kind", "velocity_change"))
     only_in, only_out = (entering > 0) & (exiting == 0), (exiting > 0) & (entering == 0)
     what = F.when(only_in, "entrance").when(only_out, "exit").otherwise("transition")
-    said = F.when(kind == "solo_to_tutti", "solo to full ensemble").when(kind == "tutti_to_solo", "full ensemble to solo").when(only_in, "new instruments").when(only_out, "instruments leave").otherwise("change")
+    said = F.when(
+        kind == "solo_to_tutti", "solo to full ensemble"
+    ).when(kind == "tutti_to_solo", "full ensemble to solo").when(only_in, "new instruments").when(only_out, "instruments leave").otherwise("change")
     factors = F.array_compact(F.array(
-        F.when(F.col("impact") > 0.7, "high impact"), F.when(kind == "solo_to_tutti", "building").when(kind == "tutti_to_solo", "intimate"), F.when(change > 0.2, "louder").when(change < -0.2, "softer"),
+        F.when(F.col("impact") > 0.7, "high impact"), F.when(kind == "solo_to_tutti", "building").when(kind == "tutti_to_solo", "intimate"),
+        F.when(change > 0.2, "louder").when(change < -0.2, "softer"),
     ))
     return changes.select("piece_id", "time", what.alias("impact_type"), said.alias("description"), F.array_join(factors, ",").alias("factors"))
 
 
 def instrument_family(program: Column) -> Column:
     """The family of a General MIDI program: sixteen families of eight programs each; other numbers are unknown."""
-    families = ("piano", "chromatic_percussion", "organ", "guitar", "bass", "strings", "ensemble", "brass", "reed", "pipe", "synth_lead", "synth_pad", "synth_effects", "ethnic", "percussive", "sound_effects")
-    return F.coalesce(F.get(F.array(*[F.lit(f) for f in families]), F.when(program.between(0, 127), F.floor(program / 8).cast("int"))), F.lit("unknown"))
+    families = (
+        "piano", "chromatic_percussion", "organ", "guitar", "bass", "strings", "ensemble", "brass", "reed", "pipe", "synth_lead", "synth_pad",
+        "synth_effects", "ethnic", "percussive", "sound_effects"
+    )
+    return F.coalesce(
+        F.get(F.array(*[F.lit(f) for f in families]), F.when(program.between(0, 127), F.floor(program / 8).cast("int"))), F.lit("unknown")
+    )

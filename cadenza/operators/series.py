@@ -16,9 +16,13 @@ from pyspark.sql import functions as F
 from ..functions.columns import by_piece, by_seq
 
 
-def _fold(df: DataFrame, column: str, start: Callable[[Column], Column], step: Callable[[Column, Column], Column], emit: Callable[[Column], Column]) -> DataFrame:
+def _fold(
+    df: DataFrame, column: str, start: Callable[[Column], Column], step: Callable[[Column, Column], Column], emit: Callable[[Column], Column]
+) -> DataFrame:
     """A fold over the ordered values of a piece; the state carries the list of what each step emits. start makes the first state."""
-    ordered = df.groupBy("piece_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(column).cast("double").alias("x")))), lambda p: p["x"]).alias("xs"))
+    ordered = df.groupBy("piece_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(column).cast("double").alias("x")))), lambda p: p["x"]).alias("xs")
+    )
     first = F.struct(start(F.col("xs")[0]).alias("s"), F.array(F.col("xs")[0]).alias("out"))
 
     def move(acc: Column, x: Column) -> Column:
@@ -103,15 +107,24 @@ def wiener(df: DataFrame, column: str = "pitch", size: int = 5) -> DataFrame:
     """Adaptive filter: towards the local mean where the local variance is below the mean local variance. Values beyond the ends count as 0."""
     half, x = size // 2, F.col(column).cast("double")
     frame = by_seq().rowsBetween(-half, half)
-    local = df.select("piece_id", "seq", x.alias("x"), (F.sum(x).over(frame) / size).alias("m"), (F.sum(x * x).over(frame) / size).alias("mm")).withColumn("v", F.col("mm") - F.col("m") * F.col("m"))
+    local = df.select(
+        "piece_id", "seq", x.alias("x"), (F.sum(x).over(frame) / size).alias("m"), (F.sum(x * x).over(frame) / size).alias("mm")
+    ).withColumn("v", F.col("mm") - F.col("m") * F.col("m"))
     noise = local.withColumn("noise", F.avg("v").over(by_piece()))
-    return noise.select("piece_id", "seq", F.when(F.col("v") < F.col("noise"), F.col("m")).otherwise(F.col("m") + (F.col("x") - F.col("m")) * (1 - F.col("noise") / F.col("v"))).alias("smoothed"))
+    return noise.select(
+        "piece_id", "seq",
+        F.when(F.col("v") < F.col("noise"), F.col("m")).otherwise(
+            F.col("m") + (F.col("x") - F.col("m")) * (1 - F.col("noise") / F.col("v"))
+        ).alias("smoothed")
+    )
 
 
 #: Smoothers by id, with their parameters and defaults.
 REGISTRY: dict[str, tuple[Callable[..., DataFrame], dict[str, float]]] = {
-    "kalman": (kalman, {"process_var": 0.01, "measure_var": 0.1}), "ema": (ema, {"alpha": 0.3}), "gaussian": (gaussian_smooth, {"size": 5}), "savitzky_golay": (savitzky_golay, {"size": 5, "order": 2}),
-    "rolling_median": (rolling_median, {"size": 5}), "double_exponential": (double_exponential, {"alpha": 0.3, "beta": 0.1}), "wiener": (wiener, {"size": 5}),
+    "kalman": (kalman, {"process_var": 0.01, "measure_var": 0.1}), "ema": (ema, {"alpha": 0.3}), "gaussian": (gaussian_smooth, {"size": 5}),
+    "savitzky_golay": (savitzky_golay, {"size": 5, "order": 2}),
+    "rolling_median": (rolling_median, {"size": 5}), "double_exponential": (double_exponential, {"alpha": 0.3, "beta": 0.1}),
+    "wiener": (wiener, {"size": 5}),
 }
 
 

@@ -32,25 +32,37 @@ def spiral(notes: DataFrame, kind: str = "fibonacci") -> DataFrame:
 
 
 def spiral_pattern(notes: DataFrame) -> DataFrame:
-    """(piece_id, increasing, correlation, is_spiral): share of steps that move away from the centroid of the pitch circle, and correlation of angle and log radius."""
+    """(piece_id, increasing, correlation, is_spiral): share of steps that move away from the centroid of the pitch circle, and correlation of
+    angle and log radius.
+    """
     w = Window.partitionBy("piece_id")
     at = circle(notes).withColumns({"dx": F.col("x") - F.avg("x").over(w), "dy": F.col("y") - F.avg("y").over(w)})
     polar = at.select("piece_id", "seq", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2).alias("r"), F.atan2("dy", "dx").alias("theta"))
-    polar = polar.withColumn("up", F.when(F.lag("r").over(by_seq()).isNotNull(), F.when(F.col("r") > F.lag("r").over(by_seq()) + 1e-12, 1.0).otherwise(0.0)))
-    out = polar.groupBy("piece_id").agg(F.avg("up").alias("increasing"), F.coalesce(correlated(F.col("theta"), F.when(F.col("r") > 0, F.log("r")).otherwise(0.0)), F.lit(0.0)).alias("correlation"), F.count("*").alias("n"))
+    polar = polar.withColumn(
+        "up", F.when(F.lag("r").over(by_seq()).isNotNull(), F.when(F.col("r") > F.lag("r").over(by_seq()) + 1e-12, 1.0).otherwise(0.0))
+    )
+    out = polar.groupBy("piece_id").agg(
+        F.avg("up").alias("increasing"),
+        F.coalesce(correlated(F.col("theta"), F.when(F.col("r") > 0, F.log("r")).otherwise(0.0)), F.lit(0.0)).alias("correlation"),
+        F.count("*").alias("n")
+    )
     return out.select("piece_id", "increasing", "correlation", ((F.col("n") >= 10) & (F.col("increasing") >= 0.7)).alias("is_spiral"))
 
 
 def chroma(notes: DataFrame, seconds: float = 4.0) -> DataFrame:
     """(piece_id, frame, energy): array of 12, the time that each pitch class starts to sound within a frame."""
     pc = F.pmod("pitch", F.lit(12))
-    return notes.groupBy("piece_id", F.floor(F.col("start") / seconds).cast("int").alias("frame")).agg(F.array(*[F.sum(F.when(pc == k, F.col("duration")).otherwise(0.0)) for k in range(12)]).alias("energy"))
+    return notes.groupBy("piece_id", F.floor(F.col("start") / seconds).cast("int").alias("frame")).agg(
+        F.array(*[F.sum(F.when(pc == k, F.col("duration")).otherwise(0.0)) for k in range(12)]).alias("energy")
+    )
 
 
 def fold_bins(bins: DataFrame, chroma_bins: int = 12) -> DataFrame:
     """(frame, pc, energy) from (frame, bin, magnitude): every 12th bin summed, each frame normalised to 1."""
     total = F.sum("e").over(Window.partitionBy("frame"))
-    return bins.groupBy("frame", (F.col("bin") % chroma_bins).alias("pc")).agg(F.sum("magnitude").alias("e")).select("frame", "pc", F.when(total > 0, F.col("e") / total).otherwise(0.0).alias("energy"))
+    return bins.groupBy("frame", (F.col("bin") % chroma_bins).alias("pc")).agg(F.sum("magnitude").alias("e")).select(
+        "frame", "pc", F.when(total > 0, F.col("e") / total).otherwise(0.0).alias("energy")
+    )
 
 
 def bin_frequencies(bins: int = 84, per_octave: int = 12, lowest: float = 27.5) -> list[float]:
@@ -69,8 +81,13 @@ def _mean_energy():
 def harmonic_entropy(frames: DataFrame, seconds: float = 4.0) -> DataFrame:
     """(piece_id, global_entropy, local_entropy_mean, local_entropy_std, information_rate, complexity_score)."""
     rows = frames.withColumn("h", _entropy(F.col("energy")))
-    out = rows.groupBy("piece_id").agg(_mean_energy().alias("m"), F.avg("h").alias("local_entropy_mean"), F.stddev_pop("h").alias("local_entropy_std"))
-    return out.select("piece_id", _entropy(F.col("m")).alias("global_entropy"), "local_entropy_mean", "local_entropy_std", (F.col("local_entropy_mean") / seconds).alias("information_rate"), (F.col("local_entropy_mean") / math.log2(12)).alias("complexity_score"))
+    out = rows.groupBy("piece_id").agg(
+        _mean_energy().alias("m"), F.avg("h").alias("local_entropy_mean"), F.stddev_pop("h").alias("local_entropy_std")
+    )
+    return out.select(
+        "piece_id", _entropy(F.col("m")).alias("global_entropy"), "local_entropy_mean", "local_entropy_std",
+        (F.col("local_entropy_mean") / seconds).alias("information_rate"), (F.col("local_entropy_mean") / math.log2(12)).alias("complexity_score")
+    )
 
 
 def keys() -> list[tuple[str, list[float]]]:
@@ -87,10 +104,25 @@ def keys() -> list[tuple[str, list[float]]]:
 def estimate_key(frames: DataFrame) -> DataFrame:
     """(piece_id, key, strength): the key whose profile correlates most with the mean chroma; ties by the order major, minor and tonic."""
     means = frames.groupBy("piece_id").agg(_mean_energy().alias("m"))
-    centred = means.withColumn("a", F.aggregate("m", F.lit(0.0), lambda s, x: s + x) / 12).withColumn("c", F.zip_with("m", F.array_repeat("a", 12), lambda x, a: x - a))
+    centred = means.withColumn("a", F.aggregate("m", F.lit(0.0), lambda s, x: s + x) / 12).withColumn(
+        "c", F.zip_with("m", F.array_repeat("a", 12), lambda x, a: x - a)
+    )
     length = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x))
-    scores = [F.struct(F.round(F.aggregate(F.zip_with("c", F.array(*[F.lit(v) for v in p]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / F.when(length > 0, length), 9).alias("s"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, p) in enumerate(keys())]
-    return centred.withColumn("best", F.array_max(F.array(*scores))).select("piece_id", F.col("best.name").alias("key"), F.coalesce("best.s", F.lit(0.0)).alias("strength"))
+    scores = [
+        F.struct(
+            F.round(
+                F.aggregate(
+                    F.zip_with("c", F.array(*[F.lit(v) for v in p]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x
+                ) / F.when(length > 0, length),
+                9
+            ).alias("s"),
+            F.lit(-k).alias("k"), F.lit(name).alias("name")
+        ) for k,
+        (name, p) in enumerate(keys())
+    ]
+    return centred.withColumn("best", F.array_max(F.array(*scores))).select(
+        "piece_id", F.col("best.name").alias("key"), F.coalesce("best.s", F.lit(0.0)).alias("strength")
+    )
 
 
 def tonal_gravity(frames: DataFrame) -> DataFrame:

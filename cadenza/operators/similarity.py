@@ -25,7 +25,10 @@ BANDS, BAND_BITS = 64, 6
 def _in_blocks(queries: DataFrame, id_col: str, most_queries: int, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The union of what ``found`` gives for each block of the queries."""
     blocks = max(1, -(-queries.count() // most_queries))
-    return reduce(DataFrame.unionByName, [found(queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == k) if blocks > 1 else queries) for k in range(blocks)])
+    return reduce(
+        DataFrame.unionByName,
+        [found(queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == k) if blocks > 1 else queries) for k in range(blocks)]
+    )
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -35,12 +38,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot(a, b) / F.when(norms > 0, norms), F.lit(0.0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", most_queries: int = MOST_QUERIES) -> DataFrame:
+def nearest(
+    vectors: DataFrame, queries: DataFrame, top: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", most_queries: int = MOST_QUERIES
+) -> DataFrame:
     """(query, neighbour, rank, score): exact cosine neighbours of each query among all other rows. Queries go in blocks of about ``most_queries``."""
 
     def found(block: DataFrame) -> DataFrame:
         q = block.select(F.col(id_col).alias("query"), F.col(vector_col).alias("qv"))
-        scored = vectors.select(F.col(id_col).alias("neighbour"), F.col(vector_col).alias("v")).join(F.broadcast(q), F.col("neighbour") != F.col("query")).select("query", "neighbour", F.round(cosine(F.col("qv"), F.col("v")), 9).alias("score"))
+        scored = vectors.select(
+            F.col(id_col).alias("neighbour"), F.col(vector_col).alias("v")
+        ).join(F.broadcast(q), F.col("neighbour") != F.col("query")).select(
+            "query", "neighbour", F.round(cosine(F.col("qv"), F.col("v")), 9).alias("score")
+        )
         order = Window.partitionBy("query").orderBy(F.desc("score"), "neighbour")
         return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
@@ -48,7 +57,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, id_col: str =
 
 
 def pearson_to(notes: DataFrame, queries: DataFrame, column: str = "pitch", most_queries: int = 500) -> DataFrame:
-    """(query, piece_id, r, similarity) of every other piece with each piece in ``queries``, over the places that both have; (r + 1) / 2, and r = 0 without variation."""
+    """(query, piece_id, r, similarity) of every other piece with each piece in ``queries``, over the places that both have; (r + 1) / 2, and r
+    = 0 without variation.
+    """
     x = F.col(column).cast("double")
 
     def found(block: DataFrame) -> DataFrame:
@@ -115,8 +126,12 @@ def compare(notes: DataFrame, first: int, second: int) -> DataFrame:
     """One row: all measures of two pieces, and their common subsequence within a semitone."""
     mine, other = notes.where(F.col("piece_id") == second), notes.where(F.col("piece_id") == first)
     aligned = align_to(mine, other, least_notes=1).join(pearson_to(mine, other), ["query", "piece_id"], "left")
-    pair = notes.where(F.col("piece_id").isin(first, second)).groupBy("piece_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "pitch"))), lambda x: x["pitch"]).alias("v"))
-    both = pair.groupBy().agg(F.max(F.when(F.col("piece_id") == second, F.col("v"))).alias("a"), F.max(F.when(F.col("piece_id") == first, F.col("v"))).alias("b"))
+    pair = notes.where(F.col("piece_id").isin(first, second)).groupBy("piece_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "pitch"))), lambda x: x["pitch"]).alias("v")
+    )
+    both = pair.groupBy().agg(
+        F.max(F.when(F.col("piece_id") == second, F.col("v"))).alias("a"), F.max(F.when(F.col("piece_id") == first, F.col("v"))).alias("b")
+    )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -125,8 +140,12 @@ def compare(notes: DataFrame, first: int, second: int) -> DataFrame:
     return aligned.crossJoin(F.broadcast(both.mapInPandas(run, "common array<int>")))
 
 
-def resolve_series(spark: SparkSession, kind: str, source: DataFrame | list[float] | int | None, name: str | None = None, most: int = 512) -> DataFrame:
-    """(index, value): a series by its kind: "custom" (numbers), "pattern" (the number of a sequence) or "track" (a row of features, and the name of one or none for all)."""
+def resolve_series(
+    spark: SparkSession, kind: str, source: DataFrame | list[float] | int | None, name: str | None = None, most: int = 512
+) -> DataFrame:
+    """(index, value): a series by its kind: "custom" (numbers), "pattern" (the number of a sequence) or "track" (a row of features, and the
+    name of one or none for all).
+    """
     if kind == "track":
         names = [name] if name else [f.name for f in source.schema.fields if f.dataType.simpleString() == "double"]
         return source.limit(1).select(F.posexplode(F.array(*[F.col(n).cast("double") for n in names])).alias("index", "value"))
@@ -140,7 +159,9 @@ def resolve_series(spark: SparkSession, kind: str, source: DataFrame | list[floa
 
 
 def align_to(notes: DataFrame, queries: DataFrame, least_notes: int = 10, most_queries: int = 500) -> DataFrame:
-    """(query, piece_id, dtw_distance, dtw_similarity, lcs_length, lcs_similarity): every piece of at least ``least_notes`` notes against each other piece in ``queries``; warping on intervals, subsequences on pitches within one semitone."""
+    """(query, piece_id, dtw_distance, dtw_similarity, lcs_length, lcs_similarity): every piece of at least ``least_notes`` notes against each
+    other piece in ``queries``; warping on intervals, subsequences on pitches within one semitone.
+    """
 
     def series(n: DataFrame) -> DataFrame:
         return n.groupBy("piece_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "pitch"))), lambda x: x["pitch"]).alias("x"))
@@ -155,13 +176,17 @@ def align_to(notes: DataFrame, queries: DataFrame, least_notes: int = 10, most_q
 
     def found(block: DataFrame) -> DataFrame:
         mine = F.broadcast(block.select(F.col("piece_id").alias("query"), F.col("x").alias("q")))
-        return pieces.join(mine, F.col("piece_id") != F.col("query")).mapInPandas(run, "query bigint, piece_id bigint, dtw_distance double, dtw_similarity double, lcs_length int, lcs_similarity double")
+        return pieces.join(mine, F.col("piece_id") != F.col("query")).mapInPandas(
+            run, "query bigint, piece_id bigint, dtw_distance double, dtw_similarity double, lcs_length int, lcs_similarity double"
+        )
 
     pieces = series(notes).where(F.size("x") >= least_notes)
     return _in_blocks(series(queries), "piece_id", most_queries, found)
 
 
-def lsh_buckets(vectors: DataFrame, bands: int = BANDS, bits: int = BAND_BITS, seed: int = 42, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def lsh_buckets(
+    vectors: DataFrame, bands: int = BANDS, bits: int = BAND_BITS, seed: int = 42, id_col: str = "vec_id", vector_col: str = "embedding"
+) -> DataFrame:
     """(id, band, bucket): the signs of ``bits`` random projections in each band. Rows without a vector have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,29 +198,45 @@ def lsh_buckets(vectors: DataFrame, bands: int = BANDS, bits: int = BAND_BITS, s
             planes = np.random.default_rng(seed).standard_normal((x.shape[1], bands * bits))  # row by row, so that each coordinate has its own at any length
             buckets = (x @ planes > 0).reshape(len(x), bands, bits) @ (1 << np.arange(bits))
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(x)), bands)))
-            yield pa.record_batch([ids, pa.array(np.tile(np.arange(bands), len(x)), pa.int32()), pa.array(buckets.ravel(), pa.int64())], ["id", "band", "bucket"])
+            yield pa.record_batch(
+                [ids, pa.array(np.tile(np.arange(bands), len(x)), pa.int32()), pa.array(buckets.ravel(), pa.int64())], ["id", "band", "bucket"]
+            )
 
     kind = vectors.schema[id_col].dataType.simpleString()
-    return vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull()).mapInArrow(run, f"id {kind}, band int, bucket bigint")
+    return vectors.select(
+        F.col(id_col).alias("id"), F.col(vector_col).alias("v")
+    ).where(F.col("v").isNotNull()).mapInArrow(run, f"id {kind}, band int, bucket bigint")
 
 
 def lsh_search(vectors: DataFrame, queries: DataFrame, top: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query, neighbour, rank, score): candidates share a bucket with a query; ranked by cosine."""
     q = lsh_buckets(queries, id_col=id_col, vector_col=vector_col).withColumnRenamed("id", "query")
-    pairs = lsh_buckets(vectors, id_col=id_col, vector_col=vector_col).withColumnRenamed("id", "neighbour").join(q, ["band", "bucket"]).where("query <> neighbour").select("query", "neighbour").distinct()
-    a, b = queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("qv")), vectors.select(F.col(id_col).alias("neighbour"), F.col(vector_col).alias("v"))
+    pairs = lsh_buckets(
+        vectors, id_col=id_col, vector_col=vector_col
+    ).withColumnRenamed("id", "neighbour").join(q, ["band", "bucket"]).where("query <> neighbour").select("query", "neighbour").distinct()
+    a, b = queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("qv")), vectors.select(
+        F.col(id_col).alias("neighbour"), F.col(vector_col).alias("v")
+    )
     scored = pairs.join(a, "query").join(b, "neighbour").select("query", "neighbour", F.round(cosine(F.col("qv"), F.col("v")), 9).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "neighbour"))).where(F.col("rank") <= top)
+    return scored.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "neighbour"))
+    ).where(F.col("rank") <= top)
 
 
 def normalized(notes: DataFrame, column: str = "pitch", method: str = "minmax") -> DataFrame:
     """(piece_id, seq, value): min-max, z-score or share of the largest absolute value within a piece; constants give 0."""
     w, x = Window.partitionBy("piece_id"), F.col(column).cast("double")
-    span = {"minmax": (x - F.min(x).over(w), F.max(x).over(w) - F.min(x).over(w)), "zscore": (x - F.avg(x).over(w), F.stddev_pop(x).over(w)), "max": (x, F.max(F.abs(x)).over(w))}[method]
+    span = {
+        "minmax": (x - F.min(x).over(w), F.max(x).over(w) - F.min(x).over(w)), "zscore": (x - F.avg(x).over(w), F.stddev_pop(x).over(w)),
+        "max": (x, F.max(F.abs(x)).over(w))
+    }[method]
     return notes.select("piece_id", "seq", F.coalesce(span[0] / F.when(span[1] != 0, span[1]), F.lit(0.0)).alias("value"))
 
 
 def sequence_of(notes: DataFrame, feature: str = "pitch") -> DataFrame:
     """(piece_id, seq, value) of pitch, duration, interval or velocity; notes without velocity have 64."""
-    value = {"pitch": F.col("pitch"), "duration": F.col("duration"), "interval": F.col("pitch") - F.lag("pitch").over(by_seq()), "velocity": F.coalesce(F.col("velocity"), F.lit(64)) if "velocity" in notes.columns else F.lit(64)}[feature]
+    value = {
+        "pitch": F.col("pitch"), "duration": F.col("duration"), "interval": F.col("pitch") - F.lag("pitch").over(by_seq()),
+        "velocity": F.coalesce(F.col("velocity"), F.lit(64)) if "velocity" in notes.columns else F.lit(64)
+    }[feature]
     return notes.select("piece_id", "seq", value.cast("double").alias("value")).where(F.col("value").isNotNull())

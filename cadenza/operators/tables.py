@@ -11,15 +11,22 @@ from pyspark.sql import functions as F
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: list[str], order: str) -> DataFrame:
-    """left, each row with ``columns`` of the last row of ``right`` with its key at or before its time (the greatest ``order`` of equal times), else nulls.
+    """left, each row with ``columns`` of the last row of ``right`` with its key at or before its time (the greatest ``order`` of equal times),
+    else nulls.
 
     One sort by (key, time) of both sides together and a running last value, so that no row meets more than one other.
     """
     none = [F.lit(None).cast(right.schema[c].dataType).alias(f"_{c}") for c in columns]
     seen = F.struct(*[F.col(f"_{c}") for c in columns])
-    a = left.select(F.struct(*left.columns).alias("_row"), F.col(key).alias("_key"), F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[order].dataType).alias("_order"), *none)
+    a = left.select(
+        F.struct(*left.columns).alias("_row"), F.col(key).alias("_key"), F.col(left_time).alias("_time"), F.lit(1).alias("_side"),
+        F.lit(None).cast(right.schema[order].dataType).alias("_order"), *none
+    )
     row = F.lit(None).cast(a.schema["_row"].dataType).alias("_row")
-    b = right.select(row, F.col(key).alias("_key"), F.col(right_time).alias("_time"), F.lit(0).alias("_side"), F.col(order).alias("_order"), *[F.col(c).alias(f"_{c}") for c in columns])
+    b = right.select(
+        row, F.col(key).alias("_key"), F.col(right_time).alias("_time"), F.lit(0).alias("_side"), F.col(order).alias("_order"),
+        *[F.col(c).alias(f"_{c}") for c in columns]
+    )
     w = Window.partitionBy("_key").orderBy("_time", "_side", "_order").rowsBetween(Window.unboundedPreceding, 0)
     met = a.unionByName(b).withColumn("_last", F.last(F.when(F.col("_side") == 0, seen), True).over(w)).where("_side = 1")
     return met.select("_row.*", *[F.col("_last")[f"_{c}"].alias(c) for c in columns])
@@ -43,7 +50,9 @@ def shuffled_sample(df: DataFrame, by: str, id_col: str, rows: int, seed: int =
 
 
 def geometric_mean(df: DataFrame, by: str, column: str) -> DataFrame:
-    """(by, geometric_mean) by a grouped-aggregate function in Python, for measures that SQL lacks; rows of a group are in one task, so take what SQL has where it has it."""
+    """(by, geometric_mean) by a grouped-aggregate function in Python, for measures that SQL lacks; rows of a group are in one task, so take
+    what SQL has where it has it.
+    """
 
     @F.pandas_udf("double")
     def mean(x: pd.Series) -> float:

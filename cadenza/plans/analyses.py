@@ -31,14 +31,21 @@ def _vectors(spark, sf_dir):
 
 
 QUERIES = {
-    "iterated_game_payoffs": _n(games.iterated_payoffs), "minimax_score": _n(games.minimax), "tension_resolution": _n(games.tension_resolution), "evolutionary_stability": _n(games.evolutionary_stability), "nash_distance": _n(games.nash_distance),
+    "iterated_game_payoffs": _n(games.iterated_payoffs), "minimax_score": _n(games.minimax), "tension_resolution": _n(games.tension_resolution),
+    "evolutionary_stability": _n(games.evolutionary_stability), "nash_distance": _n(games.nash_distance),
     "shapley_pitch_values": _n(games.shapley), "game_theory": _n(games.analyze),
     "chords": lambda s, d: rounded(forms.chords(views.motes(s, d).withColumn("start", F.floor(F.col("start") / 2) * 2))),
-    "progression_patterns": lambda s, d: rounded(forms.progression_patterns(forms.chords(views.notes(s, d).withColumn("start", F.floor(F.col("start") / 4) * 4)))),
-    "palindromes": _m(forms.palindromes), "structural_mirrors": _m(lambda n: forms.structural_mirrors(n, threshold=0.75)), "retrograde_motion": _m(lambda n: forms.retrograde_motion(n, 3)), "symmetry_score": _m(forms.symmetry_score),
+    "progression_patterns": lambda s, d: rounded(
+        forms.progression_patterns(forms.chords(views.notes(s, d).withColumn("start", F.floor(F.col("start") / 4) * 4)))
+    ),
+    "palindromes": _m(forms.palindromes), "structural_mirrors": _m(lambda n: forms.structural_mirrors(n, threshold=0.75)),
+    "retrograde_motion": _m(lambda n: forms.retrograde_motion(n, 3)), "symmetry_score": _m(forms.symmetry_score),
     "phase_space_embedding": _n(chaos.embedding), "chaos": _n(chaos.analyze),
-    "cosine_neighbours": lambda s, d: rounded(sim.nearest(v := _vectors(s, d), v.where("vec_id % 20 = 0"))), "pearson_similarity": _n(lambda n: sim.pearson_to(n, n.where("piece_id % 20 = 0"))), "alignment_similarity": _n(lambda n: sim.align_to(n, n.where("piece_id % 20 = 0"))),
-    "lsh_search": lambda s, d: rounded(sim.lsh_search(v := _vectors(s, d), v.where("vec_id % 20 = 0"))), "normalized_series": _n(sim.normalized), "interval_series": _n(lambda n: sim.sequence_of(n, "interval")),
+    "cosine_neighbours": lambda s, d: rounded(sim.nearest(v := _vectors(s, d), v.where("vec_id % 20 = 0"))),
+    "pearson_similarity": _n(lambda n: sim.pearson_to(n, n.where("piece_id % 20 = 0"))),
+    "alignment_similarity": _n(lambda n: sim.align_to(n, n.where("piece_id % 20 = 0"))),
+    "lsh_search": lambda s, d: rounded(sim.lsh_search(v := _vectors(s, d), v.where("vec_id % 20 = 0"))), "normalized_series": _n(sim.normalized),
+    "interval_series": _n(lambda n: sim.sequence_of(n, "interval")),
 }
 ORACLE_SQL = {
     "iterated_game_payoffs": f"""WITH {_GAME} SELECT piece_id, {R("avg(pay)", "mean_payoff")}, {R(_if("pay > 0"), "cooperation_rate")}, {R(_if("pay < 0"), "defection_rate")},

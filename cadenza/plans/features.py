@@ -70,14 +70,17 @@ def _sql(ctes: str, source: str, names: list[str]) -> str:
 
 QUERIES = {
     "note_view": lambda spark, sf_dir: rounded(views.notes(spark, sf_dir).select("piece_id", "seq", "pitch", "duration", "start")),
-    "pitch_features": _on_notes(op.pitch_features), "interval_features": _on_notes(op.interval_features), "harmony_features": _on_notes(op.harmony_features), "rhythm_features": _on_notes(op.rhythm_features),
+    "pitch_features": _on_notes(op.pitch_features), "interval_features": _on_notes(op.interval_features),
+    "harmony_features": _on_notes(op.harmony_features), "rhythm_features": _on_notes(op.rhythm_features),
     "structural_features": _on_notes(op.structural_features), "spectral_features": _on_notes(op.spectral_features),
     "feature_matrix": lambda spark, sf_dir: rounded(matrix(spark, sf_dir)),
 }
 ORACLE_SQL = {
     "note_view": f"WITH {NOTES_SQL} SELECT piece_id, seq, pitch, {R('duration', 'duration')}, {R('start', 'start')} FROM notes",
-    "pitch_features": _sql(f"{NOTES_SQL}, {PITCH_SQL}", "f_pitch", PITCH), "interval_features": _sql(f"{STEPS_SQL}, {INTERVAL_SQL}", "f_interval", INTERVAL),
-    "harmony_features": _sql(f"{STEPS_SQL}, {HARMONY_SQL}", "f_harmony", HARMONY), "rhythm_features": _sql(f"{STEPS_SQL}, {RHYTHM_SQL}", "f_rhythm", RHYTHM),
+    "pitch_features": _sql(f"{NOTES_SQL}, {PITCH_SQL}", "f_pitch", PITCH),
+    "interval_features": _sql(f"{STEPS_SQL}, {INTERVAL_SQL}", "f_interval", INTERVAL),
+    "harmony_features": _sql(f"{STEPS_SQL}, {HARMONY_SQL}", "f_harmony", HARMONY),
+    "rhythm_features": _sql(f"{STEPS_SQL}, {RHYTHM_SQL}", "f_rhythm", RHYTHM),
     "structural_features": _sql(MATRIX_SQL, "matrix", STRUCTURAL), "spectral_features": _sql(f"{NOTES_SQL}, {SPECTRAL_SQL}", "f_spectral", SPECTRAL),
     "feature_matrix": f"WITH {MATRIX_SQL} SELECT piece_id, composer, era, {', '.join(R(n, n) for n in MATRIX)} FROM matrix",
 }

@@ -31,19 +31,33 @@ def _frames(s, d):
 
 def _vectors(s, d):
     v = views.table(s, d, "embeddings")
-    return v.select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(_DIMENSIONS)])
+    return v.select(
+        "vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(_DIMENSIONS)]
+    )
 
 
 QUERIES = {
-    "pitch_circle": lambda s, d: rounded(sh.circle(views.notes(s, d))), "pitch_spiral": lambda s, d: rounded(sh.spiral(views.notes(s, d))), "archimedean_spiral": lambda s, d: rounded(sh.spiral(views.notes(s, d), "archimedean")),
-    "spiral_pattern": lambda s, d: rounded(sh.spiral_pattern(views.notes(s, d))), "harmonic_entropy": lambda s, d: rounded(sh.harmonic_entropy(_frames(s, d))), "key_estimate": lambda s, d: rounded(sh.estimate_key(_frames(s, d))),
+    "pitch_circle": lambda s, d: rounded(sh.circle(views.notes(s, d))), "pitch_spiral": lambda s, d: rounded(sh.spiral(views.notes(s, d))),
+    "archimedean_spiral": lambda s, d: rounded(sh.spiral(views.notes(s, d), "archimedean")),
+    "spiral_pattern": lambda s, d: rounded(sh.spiral_pattern(views.notes(s, d))),
+    "harmonic_entropy": lambda s, d: rounded(sh.harmonic_entropy(_frames(s, d))),
+    "key_estimate": lambda s, d: rounded(sh.estimate_key(_frames(s, d))),
     "tonal_gravity": lambda s, d: rounded(sh.tonal_gravity(_frames(s, d))), "style_checks": lambda s, d: rounded(mo.check_styles(matrix(s, d))),
-    "next_notes": lambda s, d: rounded(mo.suggest_next(n := views.notes(s, d), mo.markov_matrix(n))), "generated_notes": lambda s, d: rounded(mo.generate(s, mo.markov_matrix(views.notes(s, d)))),
-    "nonrandomness": lambda s, d: rounded(pt.nonrandomness(views.notes(s, d))), "circle_shapes": lambda s, d: rounded(pt.shapes(views.motes(s, d))), "mandala_layers": lambda s, d: rounded(pt.mandala(views.notes(s, d))),
-    "key_segments": lambda s, d: rounded(pt.key_segments(_frames(s, d))), "modulations": lambda s, d: rounded(pt.modulations(pt.key_segments(_frames(s, d)))), "chroma_cycles": lambda s, d: rounded(pt.chroma_cycles(_frames(s, d))),
+    "next_notes": lambda s, d: rounded(mo.suggest_next(n := views.notes(s, d), mo.markov_matrix(n))),
+    "generated_notes": lambda s, d: rounded(mo.generate(s, mo.markov_matrix(views.notes(s, d)))),
+    "nonrandomness": lambda s, d: rounded(pt.nonrandomness(views.notes(s, d))), "circle_shapes": lambda s, d: rounded(pt.shapes(views.motes(s, d))),
+    "mandala_layers": lambda s, d: rounded(pt.mandala(views.notes(s, d))),
+    "key_segments": lambda s, d: rounded(pt.key_segments(_frames(s, d))),
+    "modulations": lambda s, d: rounded(pt.modulations(pt.key_segments(_frames(s, d)))),
+    "chroma_cycles": lambda s, d: rounded(pt.chroma_cycles(_frames(s, d))),
     "generation_quality": lambda s, d: rounded(pt.generation_quality(views.notes(s, d))),
-    "principal_components": lambda s, d: rounded(mo.principal_components(matrix(s, d), _COLUMNS).select("piece_id", "composer", "era", "pc1", "pc2"), 5),
-    "era_classification": lambda s, d: mo.classify(matrix(s, d), _COLUMNS, "era", folds=5, trees=300, depth=30), "vector_classification": lambda s, d: mo.classify(_vectors(s, d), [f"e{k}" for k in range(_DIMENSIONS)], "label", folds=5, trees=300, depth=30, id_col="vec_id"),
+    "principal_components": lambda s, d: rounded(
+        mo.principal_components(matrix(s, d), _COLUMNS).select("piece_id", "composer", "era", "pc1", "pc2"), 5
+    ),
+    "era_classification": lambda s, d: mo.classify(matrix(s, d), _COLUMNS, "era", folds=5, trees=300, depth=30),
+    "vector_classification": lambda s, d: mo.classify(
+        _vectors(s, d), [f"e{k}" for k in range(_DIMENSIONS)], "label", folds=5, trees=300, depth=30, id_col="vec_id"
+    ),
 }
 ORACLE_SQL = {
     "pitch_circle": f"WITH {NOTES_SQL} SELECT piece_id, seq, {R('cos((pitch % 12) / 12.0 * 2 * pi() - pi() / 2)', 'x')}, {R('sin((pitch % 12) / 12.0 * 2 * pi() - pi() / 2)', 'y')} FROM notes",

@@ -28,7 +28,9 @@ def _interpreted(name):
 
 def _confidences():
     own = "CASE WHEN era IN (" + ", ".join(f"'{e}'" for e in op.ERAS) + ") THEN 0.85 ELSE 0.4 END"
-    each = [f"SELECT piece_id, '{e}' AS era, {R(f'CASE WHEN era = {chr(39)}{e}{chr(39)} THEN {own} ELSE (1 - {own}) / 3 END', 'confidence')} FROM named" for e in op.ERAS]
+    each = [
+        f"SELECT piece_id, '{e}' AS era, {R(f'CASE WHEN era = {chr(39)}{e}{chr(39)} THEN {own} ELSE (1 - {own}) / 3 END', 'confidence')} FROM named" for e in op.ERAS
+    ]
     return f"WITH {PIECES_SQL}, named AS (SELECT piece_id, {_ERA_SQL} AS era FROM pieces) " + " UNION ALL ".join(each)
 
 
@@ -55,7 +57,10 @@ def _listing(s, d):
     """A catalogue made of the parts: every fourth is no MIDI file."""
     names = F.array(*[F.lit(n) for n in ("Johann Sebastian Bach", " Franz Liszt", "Nobody")])
     name = F.when(F.col("p_partkey") % 4 == 3, F.concat("p_name", F.lit(".txt"))).otherwise(F.concat("p_name", F.lit(".midi")))
-    return views.table(s, d, "part").select(name.alias("midi_filename"), F.get(names, (F.col("p_partkey") % 3).cast("int")).alias("canonical_composer"), F.col("p_size").cast("int").alias("year"), F.lit(1.5).alias("duration"))
+    return views.table(s, d, "part").select(
+        name.alias("midi_filename"), F.get(names, (F.col("p_partkey") % 3).cast("int")).alias("canonical_composer"),
+        F.col("p_size").cast("int").alias("year"), F.lit(1.5).alias("duration")
+    )
 
 
 QUERIES = {
@@ -77,11 +82,24 @@ QUERIES = {
     "emotion_cells": lambda s, d: rounded(grids.emotion_cells(views.notes(s, d))),
     "spectrogram_cells": lambda s, d: rounded(grids.spectrogram_cells(views.notes(s, d))),
     "smoothed_bars": lambda s, d: rounded(grids.smoothed_bars(views.notes(s, d))),
-    "json_documents": lambda s, d: rounded(files.from_documents(files.to_documents(m := matrix(s, d).select("piece_id", "composer", "pitch_mean", "total_notes"), "piece_id"), "piece_id", "composer string, pitch_mean double, total_notes double")),
-    "catalogue_metadata": lambda s, d: files.catalogue_metadata(_listing(s, d)).select("file_path", "composer", "era", "composition_year", "instrumentation", "quality_flag"),
+    "json_documents": lambda s, d: rounded(
+        files.from_documents(
+            files.to_documents(m := matrix(s, d).select("piece_id", "composer", "pitch_mean", "total_notes"), "piece_id"), "piece_id",
+            "composer string, pitch_mean double, total_notes double"
+        )
+    ),
+    "catalogue_metadata": lambda s, d: files.catalogue_metadata(_listing(s, d)).select(
+        "file_path", "composer", "era", "composition_year", "instrumentation", "quality_flag"
+    ),
     "track_series": lambda s, d: rounded(sim.resolve_series(s, "track", matrix(s, d).where("piece_id = 3"), "pitch_entropy")),
     "frequency_bins": lambda s, d: rounded(s.createDataFrame(list(enumerate(shapes.bin_frequencies())), "bin int, hertz double")),
-    "bins_to_chroma": lambda s, d: rounded(shapes.fold_bins(views.notes(s, d).groupBy((F.col("piece_id") * 1000 + F.floor(F.col("start") / 4)).alias("frame"), (F.col("pitch") - 24).alias("bin")).agg(F.sum("duration").alias("magnitude")))),
+    "bins_to_chroma": lambda s, d: rounded(
+        shapes.fold_bins(
+            views.notes(s, d).groupBy(
+                (F.col("piece_id") * 1000 + F.floor(F.col("start") / 4)).alias("frame"), (F.col("pitch") - 24).alias("bin")
+            ).agg(F.sum("duration").alias("magnitude"))
+        )
+    ),
 }
 ORACLE_SQL = {
     "sequence_impact": f"""WITH {_STEPS}, {_TENSION}, r AS (SELECT piece_id, {_share(f'iv IN {_FIB} OR iv % 12 IN {_FIB}')} FILTER (WHERE iv IS NOT NULL) AS f, avg({_CONS}[CAST(iv % 12 AS INTEGER) + 1]) AS c,
@@ -98,7 +116,10 @@ SELECT piece_id, CAST(segment AS BIGINT) AS segment, {R('(min(start) - any_value
     "track_report": f"WITH {MATRIX_SQL}, i AS (" + " UNION ALL ".join(_interpreted(m) for m in op.MEASURES) + """), l AS (SELECT piece_id, string_agg('"' || measure || '":"' || level || '"', ',' ORDER BY measure) AS x FROM i GROUP BY piece_id)
 SELECT piece_id, '{"composer":"' || composer || '","era":"' || era || '","levels":{' || x || '}}' AS report FROM matrix JOIN l USING (piece_id)""",
     "era_confidences": _confidences(),
-    "diatonic_shares": f"WITH {NOTES_SQL} " + " UNION ALL ".join(f"SELECT piece_id, '{k}' AS key, {R(_share(f'pitch % 12 IN {v}'), 'share')}, arg_max(pitch, seq) % 12 = {v[0]} AS ends_on_tonic FROM notes GROUP BY piece_id" for k, v in op.SCALES.items()),
+    "diatonic_shares": f"WITH {NOTES_SQL} " + " UNION ALL ".join(
+        f"SELECT piece_id, '{k}' AS key, {R(_share(f'pitch % 12 IN {v}'), 'share')}, arg_max(pitch, seq) % 12 = {v[0]} AS ends_on_tonic FROM notes GROUP BY piece_id" for k,
+        v in op.SCALES.items()
+    ),
     "diatonic_boost": f"WITH {_MODEL_SQL}, b AS (SELECT src, dst, p * CASE WHEN dst IN {op.SCALES['C_major']} THEN 1.5::DOUBLE ELSE 1 END AS b FROM mp) SELECT src, dst, {R('b / sum(b) OVER (PARTITION BY src)', 'p')} FROM b",
     "palette_colours": f"""WITH {NOTES_SQL}, v AS (SELECT piece_id, seq, coalesce((pitch - min(pitch) OVER w) / nullif(CAST(max(pitch) OVER w - min(pitch) OVER w AS DOUBLE), 0), 0) * 4 AS place FROM notes WINDOW w AS (PARTITION BY piece_id)),
 q AS (SELECT *, CAST(least(floor(place), 4) AS INTEGER) AS lo FROM v) SELECT piece_id, seq, {R('place', 'weight')}, {_blend(0, 'red')}, {_blend(1, 'green')}, {_blend(2, 'blue')} FROM q""",

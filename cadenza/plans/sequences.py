@@ -79,8 +79,12 @@ QUERIES = {
     "markov_duration_names": lambda s, d: rounded(mk.transitions(views.notes(s, d), mk.duration_name(), ["piece_id"])),
     "interval_transition_matrix": lambda s, d: rounded(mk.transitions(views.notes(s, d), _pc_(), ["piece_id"])),
     "markov_transition_entropy": lambda s, d: rounded(mk.transition_entropy(mk.transitions(views.notes(s, d), _pc_(), ["piece_id"]), ["piece_id"])),
-    "markov_similarity": lambda s, d: rounded(mk.model_similarity(mk.transitions(_era(s, d, "ASIA"), _pc_()), mk.transitions(_era(s, d, "EUROPE"), _pc_()))),
-    "markov_compare": lambda s, d: rounded(mk.compare_models(mk.transitions(_era(s, d, "ASIA"), _pc_()), mk.transitions(_era(s, d, "EUROPE"), _pc_()))),
+    "markov_similarity": lambda s, d: rounded(
+        mk.model_similarity(mk.transitions(_era(s, d, "ASIA"), _pc_()), mk.transitions(_era(s, d, "EUROPE"), _pc_()))
+    ),
+    "markov_compare": lambda s, d: rounded(
+        mk.compare_models(mk.transitions(_era(s, d, "ASIA"), _pc_()), mk.transitions(_era(s, d, "EUROPE"), _pc_()))
+    ),
     "markov_smoothed": lambda s, d: rounded(mk.smoothed(views.motes(s, d), F.col("pitch"))),
     "markov_entropy_rate": lambda s, d: rounded(mk.entropy_rate(mk.smoothed(views.motes(s, d), F.col("pitch")))),
     "common_transitions": lambda s, d: rounded(mk.common_transitions(views.motes(s, d), F.col("pitch"))),

@@ -11,7 +11,9 @@ from ..sources import views
 from .features import HARMONY, INTERVAL, MATRIX_SQL, PITCH, RHYTHM, matrix
 
 COLUMNS = [*PITCH[:6], *INTERVAL, *HARMONY, *RHYTHM]
-_Z = ", ".join(f"CASE WHEN stddev_pop({c}) OVER () > 1e-12 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END AS z_{c}" for c in op.SIGNATURE_INPUTS)
+_Z = ", ".join(
+    f"CASE WHEN stddev_pop({c}) OVER () > 1e-12 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END AS z_{c}" for c in op.SIGNATURE_INPUTS
+)
 SIG_SQL = f"""{MATRIX_SQL},
 zed AS (SELECT piece_id, composer, era, {_Z} FROM matrix),
 sig AS (SELECT piece_id, composer, era, (z_pitch_range + z_pitch_std) / 2 AS sig_melodic_volatility, z_repetition_index AS sig_motif_repetition, z_consonance_score - z_dissonance_index AS sig_consonance_balance,
@@ -22,7 +24,10 @@ _PROFILE = f"{MATRIX_SQL}, {_LONG}, prof AS (SELECT composer, feature, avg(value
 
 def _responses(spark, sf_dir):
     labels, docs = views.table(spark, sf_dir, "labels"), views.table(spark, sf_dir, "documents")
-    return labels.join(docs.select("doc_id", "lang", "n_chars"), "doc_id").select("doc_id", F.col("lang").alias("condition"), F.col("quality").cast("double").alias("likability"), F.col("n_chars").cast("double").alias("feature"))
+    return labels.join(docs.select("doc_id", "lang", "n_chars"), "doc_id").select(
+        "doc_id", F.col("lang").alias("condition"), F.col("quality").cast("double").alias("likability"),
+        F.col("n_chars").cast("double").alias("feature")
+    )
 
 
 _RESP = "resp AS (SELECT doc_id, lang AS condition, CAST(quality AS DOUBLE) AS likability, CAST(n_chars AS DOUBLE) AS feature FROM labels JOIN documents USING (doc_id))"
@@ -32,13 +37,17 @@ def _aesthetic(spark, sf_dir, walk):
     """The index over the random-walk score, or over interval self-similarity, which SQL can check."""
     notes = views.notes(spark, sf_dir)
     base = numbers.numeric_patterns(notes)
-    return op.aesthetic_index(base.join(patterns.nonrandomness(notes), "piece_id") if walk else base, third="rw_corr_z" if walk else "interval_self_similarity")
+    return op.aesthetic_index(
+        base.join(patterns.nonrandomness(notes), "piece_id") if walk else base, third="rw_corr_z" if walk else "interval_self_similarity"
+    )
 
 
 from .numbers import ORACLE_SQL as _NUMBERS  # noqa: E402
 
 _AES = _NUMBERS["numeric_patterns"]
-_NUM = _AES[: _AES.rindex("SELECT piece_id, n_notes")] + ", num AS (SELECT piece_id, cp AS prime_sum_ratio, d AS phi_density_ratio, coalesce(s, 0) AS interval_self_similarity FROM base JOIN phi USING (piece_id) LEFT JOIN ac USING (piece_id))"
+_NUM = _AES[
+    : _AES.rindex("SELECT piece_id, n_notes")
+] + ", num AS (SELECT piece_id, cp AS prime_sum_ratio, d AS phi_density_ratio, coalesce(s, 0) AS interval_self_similarity FROM base JOIN phi USING (piece_id) LEFT JOIN ac USING (piece_id))"
 _zc = lambda c: f"CASE WHEN stddev_pop({c}) OVER () > 1e-12 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END"
 
 QUERIES = {
@@ -56,7 +65,9 @@ QUERIES = {
     "preference_correlation": lambda s, d: rounded(op.correlation(_responses(s, d), "likability", "feature")),
     "experiment_summary": lambda s, d: rounded(op.group_summary(_responses(s, d), "condition", ("likability",), 1)),
     "experiment_anova": lambda s, d: rounded(op.anova(_responses(s, d), "condition", "likability")),
-    "kl_of_eras": lambda s, d: rounded(op.kl_divergence((m := stored(matrix(s, d))).where("era = 'ASIA'"), m.where("era = 'EUROPE'"), "pitch_mean"), 5),
+    "kl_of_eras": lambda s, d: rounded(
+        op.kl_divergence((m := stored(matrix(s, d))).where("era = 'ASIA'"), m.where("era = 'EUROPE'"), "pitch_mean"), 5
+    ),
     "impact_score": lambda s, d: rounded(op.impact_score(matrix(s, d))),
 }
 

@@ -45,7 +45,9 @@ def _kept_profiles(s, d):
 def _through_midi(s, d):
     """The notes, as MIDI files and back."""
     made = midi.files_of(views.notes(s, d).withColumn("program", F.lit(7)))
-    return rounded(midi.notes_of(made, "piece_id").select(F.col("file").cast("bigint").alias("piece_id"), "program", "pitch", "velocity", "start", "duration"))
+    return rounded(
+        midi.notes_of(made, "piece_id").select(F.col("file").cast("bigint").alias("piece_id"), "program", "pitch", "velocity", "start", "duration")
+    )
 
 
 def _clean(s, d):
@@ -57,7 +59,10 @@ def _clean(s, d):
 def _as_of(s, d):
     events = table(s, d, "events").select("user_id", "ts", "event_id", "event_type")
     errors = events.where("event_type = 'error'").select("user_id", F.col("ts").alias("since"), F.col("event_id").alias("error_id"))
-    return op.as_of(events, errors, "user_id", "ts", "since", ["error_id", "since"], "error_id").select("event_id", F.coalesce("error_id", F.lit(-1)).alias("error_id"), F.coalesce(F.unix_micros(F.col("since").cast("timestamp")), F.lit(-1)).alias("since_us"))
+    return op.as_of(events, errors, "user_id", "ts", "since", ["error_id", "since"], "error_id").select(
+        "event_id", F.coalesce("error_id", F.lit(-1)).alias("error_id"),
+        F.coalesce(F.unix_micros(F.col("since").cast("timestamp")), F.lit(-1)).alias("since_us")
+    )
 
 
 def _streamed(make):
@@ -74,25 +79,52 @@ def _streamed(make):
 _CUSTOMER = "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal + 1.3e-9, 4) + 0.0 AS c_acctbal, c_mktsegment FROM customer"
 
 QUERIES = {
-    "set_intersect": lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(s, d, "supplier").select(F.col("s_nationkey").alias("nation"))),
+    "set_intersect": lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("nation")).intersect(
+        table(s, d, "supplier").select(F.col("s_nationkey").alias("nation"))
+    ),
     "set_difference": lambda s, d: table(s, d, "documents").select("doc_id").subtract(table(s, d, "labels").select("doc_id")),
-    "cube_counts": lambda s, d: views.pieces(s, d).cube("era", "composer").agg(F.count("*").alias("pieces"), F.grouping_id().cast("int").alias("level")),
-    "grouping_sets": lambda s, d: rounded(_ord(s, d).groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("orders"), F.avg("o_totalprice").alias("mean_price")), 4),
+    "cube_counts": lambda s, d: views.pieces(s, d).cube("era", "composer").agg(
+        F.count("*").alias("pieces"), F.grouping_id().cast("int").alias("level")
+    ),
+    "grouping_sets": lambda s, d: rounded(
+        _ord(s, d).groupingSets(
+            [["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority"
+        ).agg(F.count("*").alias("orders"), F.avg("o_totalprice").alias("mean_price")),
+        4
+    ),
     "as_of_join": _as_of,
-    "full_join": lambda s, d: table(s, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers")).join(table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers")), "nation", "full_outer"),
-    "right_join": lambda s, d: _ord(s, d).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_orderkey").alias("keys")).join(table(s, d, "customer").select("c_custkey"), "c_custkey", "right"),
-    "sort_merge_join": lambda s, d: _ord(s, d).hint("merge").join(table(s, d, "lineitem").hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("lines")),
-    "shuffle_hash_join": lambda s, d: table(s, d, "lineitem").join(_ord(s, d).hint("shuffle_hash"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderstatus").agg(F.count("*").alias("lines")),
-    "date_parts": lambda s, d: _ord(s, d).groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.date_format(F.date_trunc("quarter", "o_orderdate"), "yyyy-MM-dd").alias("quarter"), F.weekday("o_orderdate").alias("weekday")).agg(
+    "full_join": lambda s, d: table(s, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers")).join(
+        table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers")), "nation", "full_outer"
+    ),
+    "right_join": lambda s, d: _ord(s, d).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_orderkey").alias("keys")).join(
+        table(s, d, "customer").select("c_custkey"), "c_custkey", "right"
+    ),
+    "sort_merge_join": lambda s, d: _ord(s, d).hint("merge").join(
+        table(s, d, "lineitem").hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")
+    ).groupBy("o_orderpriority").agg(F.count("*").alias("lines")),
+    "shuffle_hash_join": lambda s, d: table(s, d, "lineitem").join(
+        _ord(s, d).hint("shuffle_hash"), F.col("o_orderkey") == F.col("l_orderkey")
+    ).groupBy("o_orderstatus").agg(F.count("*").alias("lines")),
+    "date_parts": lambda s, d: _ord(s, d).groupBy(
+        F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"),
+        F.date_format(F.date_trunc("quarter", "o_orderdate"), "yyyy-MM-dd").alias("quarter"), F.weekday("o_orderdate").alias("weekday")
+    ).agg(
         F.count("*").alias("orders"), F.max(F.date_diff(F.last_day("o_orderdate"), F.to_date("o_orderdate"))).alias("days_left")),
-    "null_values": lambda s, d: _ord(s, d).select("o_orderkey", F.nullif("o_orderstatus", F.lit("O")).alias("status")).na.drop(subset=["status"]).union(_ord(s, d).where("o_orderstatus = 'O'").select("o_orderkey", F.nvl(F.nullif("o_orderstatus", F.lit("O")), F.lit("open")).alias("status"))),
-    "approximate_distinct": lambda s, d: _ord(s, d).groupBy("o_orderstatus").agg((F.abs(F.approx_count_distinct("o_custkey", 0.02) - F.count_distinct("o_custkey")) <= 0.1 * F.count_distinct("o_custkey")).alias("close")),
+    "null_values": lambda s, d: _ord(s, d).select(
+        "o_orderkey", F.nullif("o_orderstatus", F.lit("O")).alias("status")
+    ).na.drop(subset=["status"]).union(
+        _ord(s, d).where("o_orderstatus = 'O'").select("o_orderkey", F.nvl(F.nullif("o_orderstatus", F.lit("O")), F.lit("open")).alias("status"))
+    ),
+    "approximate_distinct": lambda s, d: _ord(s, d).groupBy("o_orderstatus").agg(
+        (F.abs(F.approx_count_distinct("o_custkey", 0.02) - F.count_distinct("o_custkey")) <= 0.1 * F.count_distinct("o_custkey")).alias("close")
+    ),
     "train_test_split": lambda s, d: op.split(views.pieces(s, d).select("piece_id"), "piece_id"),
     "random_sample": lambda s, d: op.shuffled_sample(_ord(s, d).select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 10),
     "sorted_rows": lambda s, d: table(s, d, "supplier").orderBy(F.desc_nulls_last("s_acctbal"), "s_suppkey").select("s_suppkey", "s_name"),
     "csv_files": _through(files.write_csv, files.read_csv), "json_files": _through(files.write_json, files.read_json),
     "stored_markov_model": _kept_markov, "stored_profiles": _kept_profiles,
-    "python_aggregate": lambda s, d: rounded(op.geometric_mean(_ord(s, d), "o_orderpriority", "o_totalprice"), 2), "python_table_function": lambda s, d: op.triples(views.notes(s, d)),
+    "python_aggregate": lambda s, d: rounded(op.geometric_mean(_ord(s, d), "o_orderpriority", "o_totalprice"), 2),
+    "python_table_function": lambda s, d: op.triples(views.notes(s, d)),
     "stream_counts": _streamed(lambda e: stream.windowed_counts(e).select(F.unix_seconds("window.start").alias("hour"), "event_type", "n", "total")),
     "stream_sessions": _streamed(lambda e: stream.sessions(e).select("user_id", F.unix_micros("session_window.start").alias("begin_us"), "n")),
     "midi_files": _through_midi, "clean_dataset": _clean,

@@ -59,7 +59,9 @@ def load_model(spark: SparkSession, path: str) -> DataFrame:
 
 def metadata_template(spark: SparkSession, folder: str, pattern: str = "*.mid") -> DataFrame:
     """One row of METADATA for each file under a folder, with a good quality flag and nothing else known. Contents are not read."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("file_path"))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select(
+        F.col("path").alias("file_path")
+    )
     fields = T.StructType.fromDDL(METADATA).fields
     defaults = {"quality_flag": F.lit(1), **{f.name: F.lit("") for f in fields if isinstance(f.dataType, T.StringType)}}
     return listed.select("file_path", *[defaults.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields[1:]])
@@ -74,13 +76,17 @@ RESPONSES = (
 
 
 def catalogue_metadata(listing: DataFrame, source: str = "maestro", instrumentation: str = "solo_piano") -> DataFrame:
-    """METADATA of a recording catalogue (midi_filename, canonical_composer, year, duration), MIDI files only; eras by composer, Other for those unknown."""
+    """METADATA of a recording catalogue (midi_filename, canonical_composer, year, duration), MIDI files only; eras by composer, Other for
+    those unknown.
+    """
     from ..operators.relational import era_of
 
     path, composer = F.trim("midi_filename"), F.trim(F.coalesce("canonical_composer", F.lit("Unknown")))
     known = {
-        "file_path": path, "composer": composer, "full_name": composer, "birth_year": F.lit(0), "death_year": F.lit(0), "era": era_of(composer), "composition_year": F.coalesce("year", F.lit(0)),
-        "instrumentation": F.lit(instrumentation), "duration_seconds": F.coalesce("duration", F.lit(0.0)), "total_notes": F.lit(0), "source": F.lit(source), "quality_flag": F.lit(1),
+        "file_path": path, "composer": composer, "full_name": composer, "birth_year": F.lit(0), "death_year": F.lit(0), "era": era_of(composer),
+        "composition_year": F.coalesce("year", F.lit(0)),
+        "instrumentation": F.lit(instrumentation), "duration_seconds": F.coalesce("duration", F.lit(0.0)), "total_notes": F.lit(0),
+        "source": F.lit(source), "quality_flag": F.lit(1),
     }
     rows = listing.where(path.endswith(".mid") | path.endswith(".midi"))
     return rows.select(*[known.get(f.name, F.lit("")).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(METADATA).fields])

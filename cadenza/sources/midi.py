@@ -100,11 +100,16 @@ def parse(data: bytes) -> list[tuple[int, int, int, int, int, float, float]]:
 def tempi(data: bytes) -> list[tuple[float, float]]:
     """(time, beats a minute) of each tempo mark."""
     division, tracks = _tracks(data)
-    return [(tick / division, _MICROSECONDS / int.from_bytes(body[1:], "big")) for t in tracks for tick, status, body in _events(t) if status == 0xFF and body[:1] == b"\x51"]
+    return [
+        (tick / division, _MICROSECONDS / int.from_bytes(body[1:], "big")) for t in tracks for tick, status,
+        body in _events(t) if status == 0xFF and body[:1] == b"\x51"
+    ]
 
 
 def write(notes: list[tuple[int, float, float, int, int]], bpm: float = 120.0) -> bytes:
-    """A file of one track from (pitch, start, duration, velocity, program) in quarters; a channel for each program, of which there are sixteen at most."""
+    """A file of one track from (pitch, start, duration, velocity, program) in quarters; a channel for each program, of which there are sixteen
+    at most.
+    """
     programs = {p: c for c, p in enumerate(sorted({n[4] for n in notes}))}
     if len(programs) > 16:
         raise ValueError("more than sixteen programs")
@@ -154,12 +159,21 @@ def files_of(notes: DataFrame, by: str = "piece_id", bpm: float = 120.0) -> Data
     """(by, content): a MIDI file for each group of notes (pitch, start, duration, and velocity and program where there are such columns)."""
     velocity = F.col("velocity").cast("int") if "velocity" in notes.columns else F.lit(64)
     program = F.col("program").cast("int") if "program" in notes.columns else F.lit(0)
-    listed = F.array_sort(F.collect_list(F.struct(F.col("start").cast("double").alias("start"), "pitch", F.col("duration").cast("double").alias("duration"), velocity.alias("velocity"), program.alias("program")))).alias("notes")
+    listed = F.array_sort(
+        F.collect_list(
+            F.struct(
+                F.col("start").cast("double").alias("start"), "pitch", F.col("duration").cast("double").alias("duration"), velocity.alias("velocity"),
+                program.alias("program")
+            )
+        )
+    ).alias("notes")
     kind = notes.schema[by].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            made = [write([(int(n["pitch"]), n["start"], n["duration"], int(n["velocity"]), int(n["program"])) for n in ns], bpm) for ns in frame["notes"]]
+            made = [
+                write([(int(n["pitch"]), n["start"], n["duration"], int(n["velocity"]), int(n["program"])) for n in ns], bpm) for ns in frame["notes"]
+            ]
             yield pd.DataFrame({by: frame[by], "content": made})
 
     return notes.groupBy(by).agg(listed).mapInPandas(run, f"{by} {kind}, content binary")

@@ -22,7 +22,10 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     events = events.withColumn("seq", F.row_number().over(order) - 1)
     before = F.sum("duration").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return events.select("piece_id", "seq", (F.floor("value").cast("int") % 61 + 36).alias("pitch"), "duration", F.coalesce(before, F.lit(0.0)).alias("start"), "event_type", "value")
+    return events.select(
+        "piece_id", "seq", (F.floor("value").cast("int") % 61 + 36).alias("pitch"), "duration", F.coalesce(before, F.lit(0.0)).alias("start"),
+        "event_type", "value"
+    )
 
 
 def motes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,14 +39,19 @@ def motes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(piece_id, composer, era): composer and era by nation and region, which are broadcast as they are fixed tables of 25 and 5 rows."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    who = nation.join(F.broadcast(region), nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_nationkey").cast("bigint").alias("_k"), F.col("n_name").alias("composer"), F.col("r_name").alias("era"))
+    who = nation.join(F.broadcast(region), nation["n_regionkey"] == region["r_regionkey"]).select(
+        F.col("n_nationkey").cast("bigint").alias("_k"), F.col("n_name").alias("composer"), F.col("r_name").alias("era")
+    )
     ids = table(spark, sf_dir, "events").select(F.col("user_id").alias("piece_id")).distinct()
     return ids.join(F.broadcast(who), F.col("piece_id") % 25 == F.col("_k")).select("piece_id", "composer", "era")
 
 
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(piece_id, event_type, entry, exit, note_count, velocity): one interval per piece and event type, from its first event to its last."""
-    return notes(spark, sf_dir).groupBy("piece_id", "event_type").agg(F.min("start").alias("entry"), F.max(F.col("start") + F.col("duration")).alias("exit"), F.count("*").alias("note_count"), F.avg("value").alias("velocity"))
+    return notes(spark, sf_dir).groupBy("piece_id", "event_type").agg(
+        F.min("start").alias("entry"), F.max(F.col("start") + F.col("duration")).alias("exit"), F.count("*").alias("note_count"),
+        F.avg("value").alias("velocity")
+    )
 
 
 #: The same views in SQL.

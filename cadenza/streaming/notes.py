@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
     """A stream of the Parquet files in a folder; ts becomes a timestamp that watermarks accept."""
     schema = spark.read.parquet(folder).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option(
+        "maxFilesPerTrigger", files_per_trigger
+    ).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "30 minutes") -> DataFrame:
@@ -48,12 +50,16 @@ def kalman(events: DataFrame, process_var: float = 0.01, measure_var: float = 0.
 
 
 def run_to_end(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
-    """What a stream gives once it has read all that is there: each batch writes the whole result, open windows included, and the last one is read back."""
+    """What a stream gives once it has read all that is there: each batch writes the whole result, open windows included, and the last one is
+    read back.
+    """
     spark, name = stream.sparkSession, f"cadenza_{checkpoint.rpartition('-')[2]}"
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(folder)
 
-    query = stream.writeStream.queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(keep).start()
+    query = stream.writeStream.queryName(name).outputMode("complete").trigger(availableNow=True).option(
+        "checkpointLocation", checkpoint
+    ).foreachBatch(keep).start()
     query.awaitTermination()
     return spark.read.parquet(folder)

@@ -28,8 +28,14 @@ def rows_of(frame, *columns):
 def plain_palindromes(notes):
     pitch, length = [n[0] for n in notes], [n[1] for n in notes]
     out = []
-    for kind, same in (("melodic", lambda a, b: pitch[a] == pitch[b]), ("rhythmic", lambda a, b: abs(length[a] - length[b]) <= 0.1 * max(length[a], length[b]))):
-        found = [(s, n) for n in range(4, min(len(pitch), 49) + 1) for s in range(len(pitch) - n + 1) if all(same(s + k, s + n - 1 - k) for k in range(n // 2))]
+    for kind, same in (
+        ("melodic", lambda a, b: pitch[a] == pitch[b]), ("rhythmic", lambda a, b: abs(length[a] - length[b]) <= 0.1 * max(length[a], length[b]))
+    ):
+        found = [
+            (s, n) for n in range(4, min(len(pitch), 49) + 1) for s in range(len(pitch) - n + 1) if all(
+                same(s + k, s + n - 1 - k) for k in range(n // 2)
+            )
+        ]
         used, kept = set(), []
         for s, n in sorted(found, key=lambda m: -m[1]):
             if not used & set(range(s, s + n)):
@@ -37,12 +43,21 @@ def plain_palindromes(notes):
                 kept.append((kind, s, n))
         out += kept[:20]
     steps = [b - a for a, b in zip(pitch, pitch[1:])]
-    answers = [("intervallic", s, n + 1) for n in range(3, min(len(steps), 29) + 1) for s in range(len(steps) - n + 1) if all(steps[s + k] == -steps[s + n - 1 - k] for k in range(n // 2))]
+    answers = [
+        ("intervallic", s, n + 1) for n in range(3, min(len(steps), 29) + 1) for s in range(len(steps) - n + 1) if all(
+            steps[s + k] == -steps[s + n - 1 - k] for k in range(n // 2)
+        )
+    ]
     return out + answers[:15]
 
 
 def plain_mirrors(x, threshold):
-    found = [(round(sum(x[a + k] == x[b + k] for k in range(n)) / n, 3), a, b, n) for n in range(8, min(len(x) // 2, 99) + 1) for a in range(len(x) - 2 * n + 1) for b in range(a + n, len(x) - n + 1) if sum(x[a + k] == x[b + k] for k in range(n)) / n >= threshold]
+    found = [
+        (
+            round(sum(x[a + k] == x[b + k] for k in range(n)) / n, 3), a, b, n
+        ) for n in range(8, min(len(x) // 2, 99) + 1) for a in range(len(x) - 2 * n + 1) for b in range(a + n,
+        len(x) - n + 1) if sum(x[a + k] == x[b + k] for k in range(n)) / n >= threshold
+    ]
     used, out = set(), []
     for score, a, b, n in sorted(found, key=lambda m: -m[0]):
         if not used & set(range(b, b + n)):
@@ -53,7 +68,9 @@ def plain_mirrors(x, threshold):
 
 def test_palindromes_mirrors_and_their_features(spark, sf_dir, pieces):
     want = {p: plain_palindromes(n) for p, n in pieces["motes"].items()}
-    assert rows_of(catalog.QUERIES["palindromes"](spark, sf_dir), "piece_id", "kind", "start", "length") == sorted((p, *r) for p, rs in want.items() for r in rs)
+    assert rows_of(
+        catalog.QUERIES["palindromes"](spark, sf_dir), "piece_id", "kind", "start", "length"
+    ) == sorted((p, *r) for p, rs in want.items() for r in rs)
     some = dict(list(pieces["motes"].items())[:5])
     mirrors = {p: plain_mirrors([x[0] for x in n], 0.75) for p, n in some.items()}
     got = rows_of(forms.structural_mirrors(views.motes(spark, sf_dir), threshold=0.75), "piece_id", "a_start", "b_start", "length", "similarity")
@@ -65,7 +82,9 @@ def test_palindromes_mirrors_and_their_features(spark, sf_dir, pieces):
         assert r.melodic_count == sum(f[0] == "melodic" for f in found) and abs(r.density - sum(covered.values()) / n) < 1e-6
         assert r.longest_rhythmic == max((f[2] for f in found if f[0] == "rhythmic"), default=0)
         if r.piece_id in some:
-            score = (covered["melodic"] * 0.3 + covered["rhythmic"] * 0.25 + covered["intervallic"] * 0.25) / n + min(strict[r.piece_id] * 0.1, 0.2) * 0.2
+            score = (
+                covered["melodic"] * 0.3 + covered["rhythmic"] * 0.25 + covered["intervallic"] * 0.25
+            ) / n + min(strict[r.piece_id] * 0.1, 0.2) * 0.2
             assert r.mirror_count == strict[r.piece_id] and abs(r.symmetry - min(1.0, score)) < 1e-6
 
 
@@ -142,7 +161,9 @@ def test_chroma_geometry_is_that_of_the_covariance(spark, sf_dir, pieces):
         notes = pieces["notes"][r.piece_id]
         x = np.array([f for k, f in enumerate(frames_of(notes)) if any(int(s // 4) == k for _, _, s in notes)])
         second, first = np.linalg.svd(x - x.mean(axis=0), compute_uv=False)[1::-1] ** 2
-        assert abs(r.variance - x.var(axis=0).mean()) < 1e-9 and abs(r.eccentricity - math.sqrt(1 - (second / first) ** 2)) < 1e-6 and abs(r.circularity + r.eccentricity - 1) < 1e-12
+        assert abs(r.variance - x.var(axis=0).mean()) < 1e-9 and abs(
+            r.eccentricity - math.sqrt(1 - (second / first) ** 2)
+        ) < 1e-6 and abs(r.circularity + r.eccentricity - 1) < 1e-12
 
 
 def test_motifs_and_their_null_models(spark, sf_dir, pieces):
@@ -326,9 +347,12 @@ def test_markov_features_are_made_of_their_parts(spark, sf_dir, pieces):
 
 #: First terms worked out by hand from the definitions; 12 begins with a prime, 17 sieves by its second number first, 19 steps by 0 first, 52 rounds down.
 KNOWN = {
-    1: [1, 1, 2, 3, 5, 8, 13, 21], 2: [2, 1, 3, 4, 7, 11, 18, 29], 5: [0, 1, 2, 5, 12, 29, 70, 169], 6: [0, 1, 1, 3, 5, 11, 21, 43], 10: [1, 1, 2, 5, 14, 42, 132, 429],
-    11: [2, 3, 5, 7, 11, 13, 17, 19], 12: [2, 1, 2, 2, 4, 2, 4, 2], 16: [1, 1, 2, 2, 4, 2, 6, 4], 17: [1, 3, 5, 7, 11, 13, 17, 21], 18: [1, 2, 2, 3, 3, 4, 4, 4], 19: [0, 0, 1, 3, 6, 2, 7, 13],
-    38: [0, 1, 1, 0, 1, 0, 0, 1], 52: [1, 1, 1, 2, 4, 9, 20, 48], 55: [1, 1, 2, 5, 15, 52, 203, 877], 56: [0, 1, 3, 2, 6, 7, 5, 4], 57: [1, 1, 1, -1, 1, 1, -1, 1], 73: [1, -1, -1, 1, -1, 1, -1, -1],
+    1: [1, 1, 2, 3, 5, 8, 13, 21], 2: [2, 1, 3, 4, 7, 11, 18, 29], 5: [0, 1, 2, 5, 12, 29, 70, 169], 6: [0, 1, 1, 3, 5, 11, 21, 43],
+    10: [1, 1, 2, 5, 14, 42, 132, 429],
+    11: [2, 3, 5, 7, 11, 13, 17, 19], 12: [2, 1, 2, 2, 4, 2, 4, 2], 16: [1, 1, 2, 2, 4, 2, 6, 4], 17: [1, 3, 5, 7, 11, 13, 17, 21],
+    18: [1, 2, 2, 3, 3, 4, 4, 4], 19: [0, 0, 1, 3, 6, 2, 7, 13],
+    38: [0, 1, 1, 0, 1, 0, 0, 1], 52: [1, 1, 1, 2, 4, 9, 20, 48], 55: [1, 1, 2, 5, 15, 52, 203, 877], 56: [0, 1, 3, 2, 6, 7, 5, 4],
+    57: [1, 1, 1, -1, 1, 1, -1, 1], 73: [1, -1, -1, 1, -1, 1, -1, -1],
     74: [1, -1, -1, 0, -1, 1, -1, 0], 75: [1, 3, 4, 7, 6, 12, 8, 15], 92: [1, 1, 2, 3, 3, 4, 5, 5], 99: [0, 0, 0, 0, 1, 0, 0, 0],
 }
 
@@ -350,7 +374,10 @@ def test_files_in_and_out(spark, tmp_path):
     for name in ("a.mid", "sub/b.mid", "c.txt"):
         (tmp_path / "m" / name).write_bytes(b"x")
     template = files.metadata_template(spark, f"{tmp_path}/m").collect()
-    assert sorted(r.file_path.rpartition("/")[2] for r in template) == ["a.mid", "b.mid"] and {r.quality_flag for r in template} == {1} and template[0].asDict().keys() == {c.split()[0] for c in files.METADATA.split(", ")}
+    assert sorted(
+        r.file_path.rpartition("/")[2] for r in template
+    ) == ["a.mid",
+    "b.mid"] and {r.quality_flag for r in template} == {1} and template[0].asDict().keys() == {c.split()[0] for c in files.METADATA.split(", ")}
     (tmp_path / "config.json").write_text('{"seed": 7}')
     assert files.load_config(spark, f"{tmp_path}/config.json") == files.Config(seed=7) and files.load_config(spark) == files.Config()
     assert [r.value for r in similarity.resolve_series(spark, "pattern", 1, most=6).orderBy("index").collect()] == [1.0, 1.0, 2.0, 3.0, 5.0, 8.0]

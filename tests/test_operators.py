@@ -76,7 +76,9 @@ def test_chords_keys_and_palindromes(spark):
     assert forms.key_of([0, 7, 0, 5]) == (0, False) and forms.key_of([]) == (0, False)
     n = notes(spark, [ones(60, 62, 64, 62, 60), ones(1, 2, 3, 4)])
     found = {(r.kind, r.start, r.length) for r in forms.palindromes(n).where("piece_id = 0").collect()}
-    assert ("melodic", 0, 5) in found and {x for x in found if x[0] == "intervallic"} == {("intervallic", 0, 4), ("intervallic", 1, 4), ("intervallic", 0, 5)}
+    assert ("melodic", 0, 5) in found and {x for x in found if x[0] == "intervallic"} == {
+        ("intervallic", 0, 4), ("intervallic", 1, 4), ("intervallic", 0, 5)
+    }
     mirrored = notes(spark, [ones(*range(60, 68), *reversed(range(60, 68))), ones(*range(60, 76))])
     assert {r.piece_id: r.has_retrograde for r in forms.retrograde_motion(mirrored).collect()} == {0: True, 1: False}
 
@@ -110,7 +112,9 @@ def test_p_values():
 
 def test_sequences():
     assert generators.values(1, 8) == [1, 1, 2, 3, 5, 8, 13, 21] and generators.values(8, 8) == [1, 1, 2, 1, 3, 2, 3, 1] and generators.values(19, 6) == [0, 0, 1, 3, 6, 2]
-    assert generators.values(9, 4) == [2, 3, 7, 43] and len(str(generators.values(9, 12)[-1])) == 417 and generators.values(47, 8) == [0, 1, 0, 1, 1, 0, 1, 1]
+    assert generators.values(9, 4) == [2, 3, 7, 43] and len(
+        str(generators.values(9, 12)[-1])
+    ) == 417 and generators.values(47, 8) == [0, 1, 0, 1, 1, 0, 1, 1]
     assert all(len(generators.values(k, 12)) == 12 for k in range(1, 101) if k not in (71, 72, 78))
     assert generators.values(97, 12)[-1] == pytest.approx(math.e, abs=1e-6)
 
@@ -118,7 +122,9 @@ def test_sequences():
 def test_suggestions_generation_and_components(spark):
     n = notes(spark, [ones(60, 62, 64, 65, 67)])
     first = models.suggest_next(n, models.markov_matrix(n)).collect()
-    assert [r.rank for r in first] == [1, 2, 3, 4, 5] and all(36 <= r.pitch < 97 for r in first) and [r.score for r in first] == sorted((r.score for r in first), reverse=True)
+    assert [r.rank for r in first] == [1, 2, 3, 4, 5] and all(36 <= r.pitch < 97 for r in first) and [r.score for r in first] == sorted(
+        (r.score for r in first), reverse=True
+    )
     walk = models.generate(spark, np.zeros((12, 12)), 2, 10).collect()
     assert walk == models.generate(spark, np.zeros((12, 12)), 2, 10).collect() and len(walk) == 20
     rng = np.random.default_rng(1)

@@ -24,7 +24,10 @@ def test_registered_searches_take_every_twentieth_row(spark, sf_dir):
 
 def test_alignment_in_blocks_equals_each_query_by_itself(spark):
     rng = np.random.default_rng(2)
-    notes = spark.createDataFrame([(p, k, int(x)) for p, n in ((0, 12), (1, 15), (2, 9), (20, 11)) for k, x in enumerate(rng.integers(50, 70, n))], "piece_id long, seq int, pitch int")
+    notes = spark.createDataFrame(
+        [(p, k, int(x)) for p, n in ((0, 12), (1, 15), (2, 9), (20, 11)) for k, x in enumerate(rng.integers(50, 70, n))],
+        "piece_id long, seq int, pitch int"
+    )
     rows = lambda q, n: sorted(tuple(r) for r in sim.align_to(notes, notes.where(q), most_queries=n).collect())
     both = rows("piece_id % 20 = 0", 1)
     assert both == rows("piece_id % 20 = 0", 100) == sorted(rows("piece_id = 0", 9) + rows("piece_id = 20", 9))

@@ -18,6 +18,8 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
     counts = _run(stream.windowed_counts(source, "1 day", "3650 days"), spark, "counted", "complete")
     want = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
     assert {(r.window.start, r.event_type): r.n for r in counts.collect()} == {(r.window.start, r.event_type): r.n for r in want.collect()}
-    levels = _run(stream.kalman(source), spark, "levels", "update").groupBy("user_id").agg(F.max_by("level", "n").alias("level"), F.max("n").alias("n"))
+    levels = _run(stream.kalman(source), spark, "levels", "update").groupBy("user_id").agg(
+        F.max_by("level", "n").alias("level"), F.max("n").alias("n")
+    )
     totals = {r.user_id: r["count"] for r in events.groupBy("user_id").count().collect()}
     assert {r.user_id: r.n for r in levels.collect()} == totals
