@@ -137,7 +137,9 @@ class Coder:
 
     @staticmethod
     def _byte_letters() -> dict[int, str]:
-        """The printable character that byte-level vocabularies write for each byte: itself if it is a visible Latin-1 character, else the next from U+0100."""
+        """The printable character that byte-level vocabularies write for each byte: itself if it is a visible Latin-1 character, else the next
+        from U+0100.
+        """
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
         return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
@@ -198,7 +200,9 @@ class Coder:
         splits = self.splits(text)
         begins = [0, *(end for end, _ in splits)]
         tokens = [self._tokens(text, begin, end, what) for begin, (end, what) in zip(begins, splits)]
-        return Part(text, np.array(begins[1:], np.int64), np.array([len(t) for t in tokens], np.int64), np.array([i for t in tokens for i in t], np.uint32))
+        return Part(
+            text, np.array(begins[1:], np.int64), np.array([len(t) for t in tokens], np.int64), np.array([i for t in tokens for i in t], np.uint32)
+        )
 
     def join(self, a: Part, b: Part) -> Part:
         """The encoding of two stretches as one. Only a window around the join is split and encoded anew."""
@@ -304,7 +308,9 @@ def coder(path: str) -> Coder:
 
 
 def _pieces(docs: DataFrame, folder: str, piece_chars: int) -> DataFrame:
-    """(n, id, piece, text): the long texts (id, text) as rows of pieces, written in the shared folder, where n numbers their rows once and for all."""
+    """(n, id, piece, text): the long texts (id, text) as rows of pieces, written in the shared folder, where n numbers their rows once and for
+    all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,7 +318,9 @@ def _pieces(docs: DataFrame, folder: str, piece_chars: int) -> DataFrame:
                 text = batch.column(2)[row].as_py()
                 pieces = [text[x : x + piece_chars] for x in range(0, len(text), piece_chars)]
                 same = batch.slice(row, 1).select([0, 1]).take(pa.array([0] * len(pieces)))
-                yield pa.record_batch([*same.columns, pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.string())], ["n", "id", "piece", "text"])
+                yield pa.record_batch(
+                    [*same.columns, pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.string())], ["n", "id", "piece", "text"]
+                )
 
     numbered = docs.select(F.monotonically_increasing_id().alias("n"), "id", "text")
     kind = docs.schema["id"].dataType.simpleString()
@@ -378,8 +386,12 @@ def decode(encoded: DataFrame, id_col: str = "id", ids_col: str = "ids", path: s
     return map_batches(encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")), run, f"id {kind}, text string")
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep_ids: bool = False, **sizes: int) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the ids): encodes each whole text, decodes the ids again, and keeps the digests of both."""
+def round_trip(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep_ids: bool = False, **sizes: int
+) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the ids): encodes each whole text, decodes the ids again, and keeps the
+    digests of both.
+    """
     path = path or vocabulary_path()
 
     def columns(ids: list[np.ndarray]) -> list[pa.Array]:

@@ -87,7 +87,10 @@ LAYOUTS = (
     Layout("question_answer", ("question", "answer"), _pair("{question}", "{answer}")),
     Layout("instruction_output", ("instruction", "output"), _pair("{instruction}", "{output}")),
     Layout("instruction_input_output", ("instruction", "input", "output"), _pair(_WITH_INPUT, "{output}")),
-    Layout("system_prompt_response", ("system", "prompt", "response"), "concat(array(struct('system' as role, {system} as text)), " + _pair("{prompt}", "{response}") + ")"),
+    Layout(
+        "system_prompt_response", ("system", "prompt", "response"),
+        "concat(array(struct('system' as role, {system} as text)), " + _pair("{prompt}", "{response}") + ")"
+    ),
 )
 
 
@@ -98,7 +101,9 @@ def _canonical(turns: Column) -> Column:
 
 
 def table_layout(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, extra: tuple[str, ...] = ()) -> Layout:
-    """The layout of a table: of the exact fingerprint, else the one with the most paths that are all there. Columns named in ``extra`` do not count."""
+    """The layout of a table: of the exact fingerprint, else the one with the most paths that are all there. Columns named in ``extra`` do not
+    count.
+    """
     paths = [p for p in field_paths(df.schema) if p.split(".")[0].split("[")[0] not in extra]
     by_print = {x.fingerprint: x for x in layouts}
     if (found := by_print.get(fingerprint(paths))) is not None:
@@ -111,12 +116,23 @@ def table_layout(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, extra: tu
 
 def from_table(df: DataFrame, id_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(id, turns): canonical turns of a table in any of the layouts."""
-    layout = table_layout(df, layouts, () if any(x.rows and id_col in x.paths for x in layouts) and id_col in df.columns and {"turn", "role", "text"} <= set(df.columns) else (id_col,))
+    layout = table_layout(
+        df, layouts,
+        () if any(
+            x.rows and id_col in x.paths for x in layouts
+        ) and id_col in df.columns and {"turn", "role", "text"} <= set(df.columns) else (id_col,)
+    )
     if layout.rows:
         conversation, turn, role, text = layout.rows
-        rows = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("n"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))))
+        rows = F.sort_array(
+            F.collect_list(
+                F.struct(F.col(turn).alias("n"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+            )
+        )
         grouped = df.groupBy(F.col(conversation).alias("id")).agg(rows.alias("rows"))
-        return grouped.select("id", F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))  # roles as they are
+        return grouped.select(
+            "id", F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")
+        )  # roles as they are
     return df.select(F.col(id_col).alias("id"), _canonical(layout.expression()).alias("turns"))
 
 
@@ -159,7 +175,9 @@ def from_json(df: DataFrame, id_col: str, json_col: str, layouts: tuple[Layout,
         for p in layout.paths:
             head, _, rest = p.partition("[].")
             fields.setdefault(head, []).extend([rest] if rest else [])
-        schema = ", ".join(f"`{h}` array<struct<{', '.join(f'`{x}`: string' for x in rest)}>>" if rest else f"`{h}` string" for h, rest in fields.items())
+        schema = ", ".join(
+            f"`{h}` array<struct<{', '.join(f'`{x}`: string' for x in rest)}>>" if rest else f"`{h}` string" for h, rest in fields.items()
+        )
         parsed = F.transform(F.array(F.from_json("raw", schema)), lambda r: r)[0]
         column = f"_{layout.name}"
         within = F.col("v").isNotNull() & F.forall(F.array(*[F.lit(h) for h in fields]), lambda h: F.array_contains("keys", h))
@@ -199,19 +217,29 @@ def _role_in(role: Column) -> Column:
 
 
 def render(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """(id, formatted, loss): the formatted conversation and its loss mask, as (begin, length) spans in characters from 0, which cover the texts of loss_role."""
+    """(id, formatted, loss): the formatted conversation and its loss mask, as (begin, length) spans in characters from 0, which cover the
+    texts of loss_role.
+    """
     heads = F.transform("turns", lambda t: F.concat(F.lit(START), _role_out(t["role"]), F.lit("\n")))
     bodies = F.transform("turns", lambda t: escape(t["text"]))
     parts = turns.select("id", F.col("turns.role").alias("roles"), heads.alias("heads"), bodies.alias("bodies"))
     tail = f"{END}\n"
     formatted = F.array_join(F.zip_with("heads", "bodies", lambda h, b: F.concat(h, b, F.lit(tail))), "")
-    sizes = F.zip_with(F.zip_with("heads", "bodies", lambda h, b: F.struct(F.char_length(h).alias("h"), F.char_length(b).alias("b"))), "roles", lambda s, r: F.struct(s["h"].alias("h"), s["b"].alias("b"), r.alias("r")))
+    sizes = F.zip_with(
+        F.zip_with("heads", "bodies", lambda h, b: F.struct(F.char_length(h).alias("h"), F.char_length(b).alias("b"))), "roles",
+        lambda s, r: F.struct(s["h"].alias("h"), s["b"].alias("b"), r.alias("r"))
+    )
     # running sums by doubling: after k rounds, each place holds the sum of the 2 ** k totals up to it
     ends = F.transform(sizes, lambda s: s["h"] + s["b"] + len(tail))
     rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size("bodies") + F.lit(1))).cast("int"))
-    ends = F.aggregate(rounds, ends, lambda sums, k: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.pow(F.lit(2), k).cast("int")), F.lit(0))))
+    ends = F.aggregate(
+        rounds, ends, lambda sums, k: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.pow(F.lit(2), k).cast("int")), F.lit(0)))
+    )
     spans = F.zip_with(sizes, "ends", lambda s, e: F.struct((e - len(tail) - s["b"]).alias("begin"), s["b"].alias("length"), s["r"].alias("r")))
-    masked = F.transform(F.filter(spans, lambda s: s["r"] == loss_role), lambda s: F.struct(s["begin"].cast("int").alias("begin"), s["length"].cast("int").alias("length")))
+    masked = F.transform(
+        F.filter(spans, lambda s: s["r"] == loss_role),
+        lambda s: F.struct(s["begin"].cast("int").alias("begin"), s["length"].cast("int").alias("length"))
+    )
     return parts.select("*", ends.alias("ends")).select("id", formatted.alias("formatted"), masked.alias("loss"))
 
 
@@ -238,9 +266,14 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(PROBE).alias("text")
+    )
     out = render(from_table(rows.unionByName(probe), "conv_id"))
-    back = out.select("id", "formatted", "loss", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss")).alias("loss_text"))
+    back = out.select(
+        "id", "formatted", "loss", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss")).alias("loss_text")
+    )
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         F.col("id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),

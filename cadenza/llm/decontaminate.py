@@ -56,7 +56,10 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 terms, counts, steps = _postings(words)
                 binary = [words.first[:-1] + np.arange(j - i), words.counts(), terms, counts.astype(np.uint32), steps.astype(np.uint32)]
                 ids = batch.column(0).slice(i, j - i)
-                yield pa.record_batch([pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in binary)], ["shard", "ids", "first", "n_words", "terms", "counts", "steps"])
+                yield pa.record_batch(
+                    [pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in binary)],
+                    ["shard", "ids", "first", "n_words", "terms", "counts", "steps"]
+                )
 
     schema = _SHARD.format(kind=docs.schema[id_col].dataType.simpleString())
     rows = map_batches(packed(docs, docs.count()).select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), run, schema)
@@ -133,7 +136,9 @@ class Block:
         for item, (end, h) in enumerate(zip(ends.tolist(), hashes)):
             width = min(window, len(h))
             by_width.setdefault(width, []).append((item, np.lib.stride_tricks.sliding_window_view(number[end - len(h) : end], width)))
-        self.windows = {w: (np.concatenate([m for _, m in found]), np.repeat([i for i, _ in found], [len(m) for _, m in found])) for w, found in by_width.items()}
+        self.windows = {
+            w: (np.concatenate([m for _, m in found]), np.repeat([i for i, _ in found], [len(m) for _, m in found])) for w, found in by_width.items()
+        }
 
     def matches(self, shard: Shard, slop: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """(items, places, length) by width: different places at which windows of the items are found."""
@@ -209,8 +214,13 @@ def search(
     return spark.read.schema(schema).parquet(folder)
 
 
-def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, n_words, n_hit, items, contaminated) of every document: hit words lie in an occurring window; contaminated from a twentieth of the words on."""
+def judge(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = WINDOW
+) -> DataFrame:
+    """(id, n_words, n_hit, items, contaminated) of every document: hit words lie in an occurring window; contaminated from a twentieth of the
+    words on.
+    """
     spark = docs.sparkSession
     path, matches = shared_dir(spark), shared_dir(spark)
     build_index(docs, path, id_col, text_col)
@@ -221,7 +231,10 @@ def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for row in range(batch.num_rows):
                 n = np.frombuffer(batch.column(2)[row].as_py(), np.int64)
-                yield pa.record_batch([pa.array([batch.column(0)[row].as_py()] * len(n)), pa.array(np.arange(len(n)), pa.int32()), batch.column(1).slice(row, 1).flatten(), pa.array(n)], ["shard", "k", "id", "n_words"])
+                yield pa.record_batch(
+                    [pa.array([batch.column(0)[row].as_py()] * len(n)), pa.array(np.arange(len(n)), pa.int32()), batch.column(1).slice(row, 1).flatten(), pa.array(n)],
+                    ["shard", "k", "id", "n_words"]
+                )
 
     all_texts = map_batches(spark.read.parquet(path).select("shard", "ids", "n_words"), texts, f"shard string, k int, id {kind}, n_words bigint")
     spans = F.array_sort(F.collect_list(F.struct("at", "length")))
@@ -233,7 +246,10 @@ def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     per_text = hits.groupBy("shard", "k").agg(spans.alias("spans"), F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
     per_text = per_text.select("shard", "k", F.aggregate("spans", zero, step, lambda acc: acc["n"]).alias("n_hit"), "items")
-    out = all_texts.join(per_text, ["shard", "k"], "left").select("id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = all_texts.join(per_text, ["shard", "k"], "left").select(
+        "id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    )
 
 
     judged = cut(out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))), docs.count())

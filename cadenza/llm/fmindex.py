@@ -59,7 +59,9 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """symbols: texts one after another, each followed by symbol 0, which no text has. owner: a number for each position; a search asks for occurrences whose owner is below a bound."""
+    """symbols: texts one after another, each followed by symbol 0, which no text has. owner: a number for each position; a search asks for
+    occurrences whose owner is below a bound.
+    """
 
     def __init__(self, symbols: np.ndarray, owner: np.ndarray, doublings: int = 7):
         self.symbols, self.n, self.longest = symbols, len(symbols), 1 << doublings
@@ -88,7 +90,8 @@ class FMIndex:
         return np.minimum(self.least[k, low], self.least[k, high - (1 << k)])
 
     def matching_statistics(self, patterns: list[np.ndarray], bound: np.ndarray) -> list[np.ndarray]:
-        """For each symbol of each pattern, the length of the longest match that ends there with an owner below bound[q], up to 2 ** doublings symbols.
+        """For each symbol of each pattern, the length of the longest match that ends there with an owner below bound[q], up to 2 ** doublings
+        symbols.
 
         All of a pattern's ends are searched backwards in step. Symbols that the index does not have match nothing.
         """
@@ -111,7 +114,8 @@ class FMIndex:
         return np.split(lengths, ends[1:-1])
 
     def windows_found(self, first: np.ndarray, last: np.ndarray, bound: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows of ``width`` symbols that start at positions first[q] to last[q]: (query, from, to) runs of those that occur with an owner below bound[q].
+        """Of the windows of ``width`` symbols that start at positions first[q] to last[q]: (query, from, to) runs of those that occur with an
+        owner below bound[q].
 
         These are the runs of ends whose matching statistic is ``width`` or more, found without the statistics of all other ends. A search goes backwards from the end of one window of a range. Where T[f..e] has no such occurrence, no window around it has; where
         T[f + 1..e] has one, so have all windows inside. What stays open is searched again, split, until every window is decided.

@@ -28,7 +28,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, rows: int | None = None, most_rounds: int = 60) -> DataFrame:
-    """edges: (u, v) of one ordered type, about ``rows`` of them. Returns (node, root) for each node that has a link; root is the least node reachable.
+    """edges: (u, v) of one ordered type, about ``rows`` of them. Returns (node, root) for each node that has a link; root is the least node
+    reachable.
 
     Every round is cut in the shared folder. Rounds grow with the logarithm of the node count; running out of them is an error, never a
     partial answer.
@@ -39,7 +40,9 @@ def components(edges: DataFrame, rows: int | None = None, most_rounds: int = 60)
         edges = cut(_star(_star(edges, large=True), large=False), n)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            )
         before, n = state, state["n"]
     if not n:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -11,8 +11,12 @@ NAMES: dict[str, tuple[str, ...]] = {
     "MIT": ("MIT License", "MIT"),
     "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache 2.0 license", "Apache License"),
     "GPL": ("GNU General Public License", "GNU General Public License, version 3", "GPL version 2 or later", "GPL-3.0-or-later", "GNU GPL", "GPL"),
-    "LGPL": ("GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "LGPL version 3", "LGPL-2.1-only", "GNU LGPL", "LGPL"),
-    "AGPL": ("GNU Affero General Public License", "GNU Affero General Public License, version 3", "AGPL version 3", "AGPL-3.0-only", "GNU AGPL", "AGPL"),
+    "LGPL": (
+        "GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "LGPL version 3", "LGPL-2.1-only", "GNU LGPL", "LGPL"
+    ),
+    "AGPL": (
+        "GNU Affero General Public License", "GNU Affero General Public License, version 3", "AGPL version 3", "AGPL-3.0-only", "GNU AGPL", "AGPL"
+    ),
     "BSD": ("BSD 3-Clause License", "2-clause BSD license", "BSD-3-Clause", "BSD license", "New BSD License", "BSD"),
     "MPL": ("Mozilla Public License, Version 2.0", "Mozilla Public License", "MPL-2.0", "MPL version 2.0", "MPL"),
     "ISC": ("ISC License", "ISC"),
@@ -20,21 +24,34 @@ NAMES: dict[str, tuple[str, ...]] = {
     "EUPL": ("European Union Public Licence", "EUPL, Version 1.2", "EUPL-1.2", "EUPL"),
     "EPL": ("Eclipse Public License 2.0", "Eclipse Public License", "EPL-2.0", "EPL"),
     "Zlib": ("zlib license", "zlib", "zlib/libpng license"),
-    "CC-BY": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution license", "CC-BY-4.0", "CC BY 3.0"),
-    "CC-BY-SA": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution ShareAlike license", "CC-BY-SA-4.0", "CC BY-SA 3.0"),
-    "CC-BY-NC": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution NonCommercial license", "CC-BY-NC-4.0", "CC BY-NC 3.0"),
+    "CC-BY": (
+        "CC BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution license", "CC-BY-4.0", "CC BY 3.0"
+    ),
+    "CC-BY-SA": (
+        "CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution ShareAlike license",
+        "CC-BY-SA-4.0", "CC BY-SA 3.0"
+    ),
+    "CC-BY-NC": (
+        "CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution NonCommercial license",
+        "CC-BY-NC-4.0", "CC BY-NC 3.0"
+    ),
     "Public-Domain": ("CC0 1.0", "CC0 1.0 Universal", "CC0", "Unlicense", "CC0-1.0", "public domain dedication"),
 }
 #: Names of what is no licence of works, for the same phrases.
 OTHER_NAMES = (
-    "old name of the town", "bridge", "rules of the county", "new management", "fishing rules of the lake", "liquor act", "harbour law", "general rules of the house", "name of his sister", "public eye",
-    "creative direction of the theatre", "age of ten", "common roof of the market", "attribution of the painting", "version of the story", "first boost of the season",
+    "old name of the town", "bridge", "rules of the county", "new management", "fishing rules of the lake", "liquor act", "harbour law",
+    "general rules of the house", "name of his sister", "public eye",
+    "creative direction of the theatre", "age of ten", "common roof of the market", "attribution of the painting", "version of the story",
+    "first boost of the season",
 )
 #: Phrases that name a licence.
 PHRASES = (
-    "Licensed under the {}.", "Released under the {}.", "This project is licensed under the {}.", "Distributed under the terms of the {}.", "SPDX-License-Identifier: {}",
-    "This work is licensed under a {}.", "Available under {}, see the file LICENSE.", "The code is made available under the {}.", "License: {}", "Text is available under {}.",
-    "Copyright 2020 by the authors. Published under {}.", "This library is licensed under {}.", "Use of this is governed by the {} that can be found in the file.",
+    "Licensed under the {}.", "Released under the {}.", "This project is licensed under the {}.", "Distributed under the terms of the {}.",
+    "SPDX-License-Identifier: {}",
+    "This work is licensed under a {}.", "Available under {}, see the file LICENSE.", "The code is made available under the {}.", "License: {}",
+    "Text is available under {}.",
+    "Copyright 2020 by the authors. Published under {}.", "This library is licensed under {}.",
+    "Use of this is governed by the {} that can be found in the file.",
 )
 #: Short notices, and the paragraphs of the licences' own texts and of the notices that they ask for.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -187,12 +204,21 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 #: Paragraphs that have a licence's words but grant nothing.
 OTHERS = (
-    "He renewed his driving license at the county office last week.", "The pilot lost her licence after the hearing.", "The license plate of the van was covered in mud.", "You need a licence to keep a dog in this town.",
-    "The course on copyright law begins in spring.", "She asked permission to leave the table early.", "The warranty of the new washing machine lasts two years.", "A warrant was issued for his arrest.",
-    "The poem has long been in the public domain, says the museum.", "Food was redistributed among the villages after the flood.", "Poetic license let the author move the battle to the coast.", "The teacher gave the class permission to read the work in the garden.",
-    "The apache helicopters crossed the valley at dawn.", "Students of the mit campus walked along the river.", "The general public may visit the library on sundays.", "A version of the story was released in the spring.",
-    "The council voted to reserve all seats for residents of the district.", "Fishing without a license is fined under the local rules.", "The bar lost its liquor licence and closed.", "The creative class left the commons to the sheep.",
-    "The contract was terminated and the parties agreed to the conditions of the notice.", "Damages were awarded to the author of the book by the court in the action.", "The software was slow and the documentation of the program was a copy of an older file.",
-    "The names of the contributors appear in the list at the end of the book.", "Any person may use the path for any purpose, with or without a dog.", "The foundation published the terms of the prize, and the notice was included in all the papers.",
-    "The boost in sales was seen by the european commission in the union budget.", "The eclipse was seen by the public, and materials were made available to the school.",
+    "He renewed his driving license at the county office last week.", "The pilot lost her licence after the hearing.",
+    "The license plate of the van was covered in mud.", "You need a licence to keep a dog in this town.",
+    "The course on copyright law begins in spring.", "She asked permission to leave the table early.",
+    "The warranty of the new washing machine lasts two years.", "A warrant was issued for his arrest.",
+    "The poem has long been in the public domain, says the museum.", "Food was redistributed among the villages after the flood.",
+    "Poetic license let the author move the battle to the coast.", "The teacher gave the class permission to read the work in the garden.",
+    "The apache helicopters crossed the valley at dawn.", "Students of the mit campus walked along the river.",
+    "The general public may visit the library on sundays.", "A version of the story was released in the spring.",
+    "The council voted to reserve all seats for residents of the district.", "Fishing without a license is fined under the local rules.",
+    "The bar lost its liquor licence and closed.", "The creative class left the commons to the sheep.",
+    "The contract was terminated and the parties agreed to the conditions of the notice.",
+    "Damages were awarded to the author of the book by the court in the action.",
+    "The software was slow and the documentation of the program was a copy of an older file.",
+    "The names of the contributors appear in the list at the end of the book.", "Any person may use the path for any purpose, with or without a dog.",
+    "The foundation published the terms of the prize, and the notice was included in all the papers.",
+    "The boost in sales was seen by the european commission in the union budget.",
+    "The eclipse was seen by the public, and materials were made available to the school.",
 )

@@ -86,7 +86,8 @@ def _wordings(without: tuple[str, ...]) -> dict[str, list[str]]:
 
 @cache
 def train(copies: int = 2, held_out: int = 1, rounds: int = 300, l1: float = 4e-5, seed: int = 5, without: tuple[str, ...] = ()) -> Model:
-    """Multinomial logistic regression over binary n-grams by proximal gradient steps, which keep it sparse; its temperature is chosen on held-out copies.
+    """Multinomial logistic regression over binary n-grams by proximal gradient steps, which keep it sparse; its temperature is chosen on
+    held-out copies.
 
     without: texts, phrases or names of families that are left out, for tests on what training has not seen.
     """
@@ -111,7 +112,9 @@ def train(copies: int = 2, held_out: int = 1, rounds: int = 300, l1: float = 4e-
     # a long wording weighs no more than a short one; families, and what is none, weigh alike
     weight = np.sqrt(_USUAL_GRAMS / np.maximum(x.counts, _USUAL_GRAMS)) / np.bincount(y, minlength=len(families))[y]
     weight = (weight / weight.sum()).astype(np.float32)[:, None]
-    w, b, slope = np.zeros((len(index) + 1, len(families)), np.float32), np.zeros(len(families), np.float32), np.zeros((len(index) + 1, len(families)), np.float32)
+    w, b, slope = np.zeros(
+        (len(index) + 1, len(families)), np.float32
+    ), np.zeros(len(families), np.float32), np.zeros((len(index) + 1, len(families)), np.float32)
     pace, bias_pace = np.full_like(w, 1e-8), np.full_like(b, 1e-8)
     for _ in range(rounds):  # steps by how much each weight's slope has been so far
         error = weight * (softmax(x.times(w) + b) - hot)
@@ -212,7 +215,9 @@ def classify(paragraph: Column, model: Model | None = None, threshold: float = T
             def compared(grams: Column) -> Column:
                 def shares(t: Column) -> Column:
                     fewer = F.greatest(F.least(F.size(t), F.size(grams)), F.lit(1))
-                    return _let(F.size(F.array_intersect(grams, t)), lambda n: F.struct((n / fewer).alias("share"), (n >= WHOLE * F.size(t)).alias("whole")))
+                    return _let(
+                        F.size(F.array_intersect(grams, t)), lambda n: F.struct((n / fewer).alias("share"), (n >= WHOLE * F.size(t)).alias("whole"))
+                    )
 
                 return F.array_max(F.transform(F.coalesce(templates[family], F.array().cast("array<array<string>>")), shares))
 
@@ -225,7 +230,9 @@ def classify(paragraph: Column, model: Model | None = None, threshold: float = T
 
             return _let(_let(F.array_distinct(F.concat(words, _grams(words, 2), _grams(words, 3))), compared), verdict)
 
-        return _let(F.array_max(p), lambda best: _let(F.element_at(families, F.array_position(p, best).cast("int")), lambda family: judged(best, family)))
+        return _let(
+            F.array_max(p), lambda best: _let(F.element_at(families, F.array_position(p, best).cast("int")), lambda family: judged(best, family))
+        )
 
     families = F.array(*[F.lit(f) for f in m.families])
     in_words = lambda w: _let(F.array_intersect(F.array_distinct(F.concat(w, _grams(w, 2), _grams(w, 3))), features), lambda g: _let(score(g), lambda z: _let(probabilities(z), lambda p: named(w, p))))
@@ -251,7 +258,9 @@ def _found(paragraph: Column, threshold: float, agreement: float) -> Column:
     def chosen(judged: Column) -> Column:
         whole = F.filter(F.slice(judged, 1, wrapped), known)
         lines = F.filter(F.slice(judged, wrapped + 1, F.size(judged)), known)
-        return _let(F.filter(lines, lambda c: c["whole"]), lambda sure: F.when(F.size(sure) > 0, sure).when(F.size(whole) > 0, whole).otherwise(lines))
+        return _let(
+            F.filter(lines, lambda c: c["whole"]), lambda sure: F.when(F.size(sure) > 0, sure).when(F.size(whole) > 0, whole).otherwise(lines)
+        )
 
     return _let(F.transform(units, lambda x: classify(x, None, threshold, agreement)), chosen)
 
@@ -263,8 +272,12 @@ def _marked(text: Column, threshold: float) -> Column:
     return F.when(_tells(text, threshold), F.filter(numbered, lambda p: _tells(p["text"], threshold))).otherwise(none)
 
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, agreement: float = AGREEMENT) -> DataFrame:
-    """(id, paragraph, text, family, probability, agreement), a row for each family of a paragraph that carries a known licence; paragraph counts from 0."""
+def paragraphs(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, agreement: float = AGREEMENT
+) -> DataFrame:
+    """(id, paragraph, text, family, probability, agreement), a row for each family of a paragraph that carries a known licence; paragraph
+    counts from 0.
+    """
     rows = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("t")).where(_tells(F.col("t"), threshold))
     marked = rows.select("id", F.explode(_marked(F.col("t"), threshold)).alias("p")).select("id", "p.*")
     best = marked.withColumn("c", F.explode(_found(F.col("text"), threshold, agreement))).select("id", "paragraph", "text", "c.*")
@@ -282,11 +295,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     begins = F.lit(r"(?:\A|\n[^\S\n]*\n)\s*\S")
     rows = docs.select(docs[f"`{id_col}`"].alias("id"), text.alias("t"), F.regexp_count(text, begins).cast("long").alias("n_paragraphs"))
     per_paragraph = F.filter(F.transform("marked", lambda p: _found(p["text"], threshold, agreement)), lambda cs: F.size(cs) > 0)
-    rows = rows.select("id", "n_paragraphs", _marked(F.col("t"), threshold).alias("marked")).select("id", "n_paragraphs", per_paragraph.alias("licensed"))
+    rows = rows.select(
+        "id", "n_paragraphs", _marked(F.col("t"), threshold).alias("marked")
+    ).select("id", "n_paragraphs", per_paragraph.alias("licensed"))
     rows = rows.select("id", "n_paragraphs", F.size("licensed").cast("long").alias("n_licensed"), F.flatten("licensed").alias("found"))
     best = F.array_max(F.transform("found", lambda c: F.struct(c["probability"].alias("p"), c["family"].alias("f"))))
     return rows.select(
-        "id", "n_paragraphs", "n_licensed", F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda c: c["family"]))), ",").alias("families"),
+        "id", "n_paragraphs", "n_licensed",
+        F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda c: c["family"]))), ",").alias("families"),
         F.coalesce(best["f"], F.lit(UNKNOWN)).alias("family"), F.round(F.coalesce(best["p"], F.lit(0.0)), 6).alias("probability"),
     )
 

@@ -128,7 +128,10 @@ BASE_RULES = (
 )
 RULES = (
     Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words, "10 * n_symbols > n_words"),
-    Rule("word_length", lambda t: (t.word_chars < 2 * t.n_words) | (t.word_chars > 20 * t.n_words), "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
+    Rule(
+        "word_length", lambda t: (t.word_chars < 2 * t.n_words) | (t.word_chars > 20 * t.n_words),
+        "word_chars < 2 * n_words OR word_chars > 20 * n_words"
+    ),
     Rule("bangs", lambda t: 2 * t.n_bangs > t.n_words, "2 * n_bangs > n_words"),
     Rule("shouting", lambda t: (t.n_letters > 0) & (10 * t.n_upper > 7 * t.n_letters), "n_letters > 0 AND 10 * n_upper > 7 * n_letters"),
     Rule("repeated_lines", lambda t: 10 * t.n_dup_lines > t.n_words, "10 * n_dup_lines > n_words"),
@@ -176,8 +179,12 @@ def cascade(texts: Texts, rules: Sequence[Rule]) -> np.ndarray:
 _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: Sequence[Rule] = BASE_RULES, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """(id, the five measures, base_failed, kept, rejected_by) of every row. Measures are of all texts; the rules beyond the base run as a cascade on those that pass it."""
+def judge(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: Sequence[Rule] = BASE_RULES, rules: Sequence[Rule] = RULES
+) -> DataFrame:
+    """(id, the five measures, base_failed, kept, rejected_by) of every row. Measures are of all texts; the rules beyond the base run as a
+    cascade on those that pass it.
+    """
     ordered = plan(docs, rules, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -190,7 +197,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
                 verdict = np.full(len(texts), -1)
                 verdict[passed] = cascade(texts.only(passed), ordered)
                 names = [base[b].name if b >= 0 else ordered[v].name if v >= 0 else None for b, v in zip(base_verdict, verdict)]
-                columns = [batch.column(0).slice(i, j - i), *(pa.array(getattr(texts, m), pa.int64()) for m in _MEASURES), pa.array(~passed), pa.array(passed & (verdict < 0)), pa.array(names, pa.string())]
+                columns = [
+                    batch.column(0).slice(i, j - i), *(pa.array(getattr(texts, m), pa.int64()) for m in _MEASURES), pa.array(~passed),
+                    pa.array(passed & (verdict < 0)), pa.array(names, pa.string())
+                ]
                 yield pa.record_batch(columns, ["id", *_MEASURES, "base_failed", "kept", "rejected_by"])
 
     schema = f"id {kind}, {', '.join(f'{m} bigint' for m in _MEASURES)}, base_failed boolean, kept boolean, rejected_by string"

@@ -34,7 +34,9 @@ _EARLIER = (Window.unboundedPreceding, -1)
 
 
 def _dealt(rows: DataFrame, strata: list[str], order: list[str], tie: str, bucket_rows: int) -> DataFrame:
-    """Adds _first and _deal, by which an overfull bucket falls apart: its rows stay in the order of ``order[0]``, and equal ones are dealt by ``tie``."""
+    """Adds _first and _deal, by which an overfull bucket falls apart: its rows stay in the order of ``order[0]``, and equal ones are dealt by
+    ``tie``.
+    """
     at = [*strata, "_bucket"]
     sizes = rows.groupBy(*at).agg(F.count("*").alias("_n")).where(F.col("_n") > OVERFULL * bucket_rows)
     full = cut(sizes.select(*at, F.ceil(F.col("_n") / bucket_rows).alias("_parts")))
@@ -48,8 +50,11 @@ def _dealt(rows: DataFrame, strata: list[str], order: list[str], tie: str, bucke
     return rows.withColumns({"_first": first, "_deal": deal}).drop("_parts")
 
 
-def _positions(rows: DataFrame, strata: list[str], bucket: Column, order: list[str], tie: str, name: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds each row's exact position from 0 in its stratum, in the order of ``order`` and then ``tie``; rows equal in ``order[0]`` may stand in any order.
+def _positions(
+    rows: DataFrame, strata: list[str], bucket: Column, order: list[str], tie: str, name: str, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """Adds each row's exact position from 0 in its stratum, in the order of ``order`` and then ``tie``; rows equal in ``order[0]`` may stand
+    in any order.
 
     ``bucket`` is a column of integers from 0 that rises with ``order[0]``; ``tie`` is a column of integers from 0 that differ within a stratum.
     """
@@ -134,7 +139,8 @@ def write_shards(
     docs: DataFrame, path: str, shards: int, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     file_rows: int = 200_000,
 ) -> None:
-    """Writes docs, all columns, as Parquet in folders _shard=k (underscores added at the end if docs has that column), in files of about ``file_rows`` rows.
+    """Writes docs, all columns, as Parquet in folders _shard=k (underscores added at the end if docs has that column), in files of about
+    ``file_rows`` rows.
 
     Files of a folder hold runs of slots, in order of their names. The rows are numbered in a copy in the shared folder, by which they are
     put in place, so that no ids are needed that tell them apart.

@@ -111,7 +111,9 @@ LOWER[0x41:0x5B] += 32
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Splits a string column into runs of rows [i, j) of about ``most`` bytes: i, j, the bytes, and the j - i + 1 offsets into them. A null text is empty."""
+    """Splits a string column into runs of rows [i, j) of about ``most`` bytes: i, j, the bytes, and the j - i + 1 offsets into them. A null
+    text is empty.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:

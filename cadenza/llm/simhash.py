@@ -101,7 +101,9 @@ def close_pairs(prints: DataFrame, distance: int = 2, block_members: int = BLOCK
     """
     if distance not in (1, 2):
         raise ValueError("distance must be 1 or 2")
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(_block_keys(distance))])).alias("b")
+    keys = F.explode(
+        F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(_block_keys(distance))])
+    ).alias("b")
     blocks = prints.select("fp", keys).select("fp", "b.t", "b.k")
     sizes = blocks.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(blocks.join(sizes, ["t", "k"]).select("t", "k", "fp", "n"), len(_block_keys(distance)) * prints.count())
@@ -112,7 +114,9 @@ def close_pairs(prints: DataFrame, distance: int = 2, block_members: int = BLOCK
     many = members.where(F.col("n") > block_members).select("fp").distinct()
     if distance == 1:  # values at distance one of each other meet in a value of one of them
         near = many.select("fp", flips)
-        chained = near.join(many.select(F.col("fp").alias("near")), "near").where("fp < near").select(F.col("fp").alias("u"), F.col("near").alias("v"))
+        chained = near.join(many.select(F.col("fp").alias("near")), "near").where("fp < near").select(
+            F.col("fp").alias("u"), F.col("near").alias("v")
+        )
     else:
         lists = many.select("fp", flips).groupBy("near").agg(F.min("fp").alias("u"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
         chained = lists.select("u", F.explode("all").alias("v")).where("u <> v")
@@ -137,7 +141,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Bits of the wide fingerprints, as so many 64-bit planes.
 PLANES = 8
-#: Candidates share a band: so many least hashes of their shingles. Two texts of similarity j miss each other with (1 - j ** rows) ** bands, 3e-5 at 0.8.
+#: Candidates share a band: so many least hashes of their shingles. Two texts of similarity j miss each other with (1 - j ** rows) ** bands,
+#: 3e-5 at 0.8.
 BANDS, BAND_ROWS = 20, 4
 #: A block's members are joined in pairs up to this many; a fuller block goes to tasks that compare all of up to twice TASK_MEMBERS.
 SIMILAR_BLOCK_MEMBERS, TASK_MEMBERS = 64, 1 << 16
@@ -199,7 +204,9 @@ def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 short = (hashes >> np.uint64(32)).astype(np.uint32)
                 sets = [short[x:y].tobytes() for x, y in zip((ends - n).tolist(), ends.tolist())]
                 wide = np.stack([majority(_plane_hashes(hashes, p), n) for p in range(planes)], axis=1)
-                columns = [batch.column(0).slice(i, j - i), pa.array(keys, pa.binary()), longs(_bands(hashes, n)), longs(wide), pa.array(sets, pa.binary())]
+                columns = [
+                    batch.column(0).slice(i, j - i), pa.array(keys, pa.binary()), longs(_bands(hashes, n)), longs(wide), pa.array(sets, pa.binary())
+                ]
                 yield pa.record_batch(columns, ["id", "key", "b", "s", "shingles"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -275,7 +282,9 @@ def _by_task(members: DataFrame, block: list[str], parts: Column) -> DataFrame:
     """Deals the members of each block to ``parts`` parts, and adds task, one for each two parts of a block, or for a block of one part."""
     mine, other = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     dealt = members.withColumn("parts", parts.cast("int")).withColumn("mine", mine).select("*", other).where("other <> mine or parts = 1")
-    return dealt.withColumn("task", F.struct(*block, F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))).drop("parts", "mine", "other")
+    return dealt.withColumn(
+        "task", F.struct(*block, F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+    ).drop("parts", "mine", "other")
 
 
 def _planes_of(task: pa.Table, planes: int) -> np.ndarray:
@@ -294,7 +303,9 @@ def _full_block_links(members: DataFrame, most: int, planes: int, task_members:
     return apply_groups(tasks, "task", run, "u binary, v binary")
 
 
-def candidate_links(prints: DataFrame, most: int, planes: int = PLANES, block_members: int = SIMILAR_BLOCK_MEMBERS, task_members: int = TASK_MEMBERS) -> DataFrame:
+def candidate_links(
+    prints: DataFrame, most: int, planes: int = PLANES, block_members: int = SIMILAR_BLOCK_MEMBERS, task_members: int = TASK_MEMBERS
+) -> DataFrame:
     """Links (u, v) between rows (key, b, s): enough of them to give the same groups as all pairs that share a band and are within ``most`` bits.
 
     Whether two rows are compared depends on their own bands alone, not on the other rows: those of a band join in pairs, or in tasks of
@@ -304,7 +315,9 @@ def candidate_links(prints: DataFrame, most: int, planes: int = PLANES, block_me
     sizes = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(rows.join(sizes, ["t", "k"]), BANDS * prints.count())
     few = members.where(F.col("n") <= block_members)
-    candidates = few.select("t", "k", F.col("key").alias("u")).join(few.select("t", "k", F.col("key").alias("v")), ["t", "k"]).where("u < v").select("u", "v").distinct()
+    candidates = few.select("t", "k", F.col("key").alias("u")).join(
+        few.select("t", "k", F.col("key").alias("v")), ["t", "k"]
+    ).where("u < v").select("u", "v").distinct()
     left = prints.select(F.col("key").alias("u"), F.col("s").alias("su"))
     right = prints.select(F.col("key").alias("v"), F.col("s").alias("sv"))
     verified = candidates.join(left, "u").join(right, "v").where(_distance("su", "sv", planes) <= most).select("u", "v")
@@ -313,9 +326,11 @@ def candidate_links(prints: DataFrame, most: int, planes: int = PLANES, block_me
 
 
 def similar_links(
-    prints: DataFrame, similarity: float = 0.8, planes: int = PLANES, exact_members: int = EXACT_MEMBERS, exact_bytes: int = EXACT_BYTES, **blocks: int
+    prints: DataFrame, similarity: float = 0.8, planes: int = PLANES, exact_members: int = EXACT_MEMBERS, exact_bytes: int = EXACT_BYTES,
+    **blocks: int
 ) -> DataFrame:
-    """Links (u, v) between rows (key, b, s, shingles), keys repeated or not: enough of them to give the groups of all pairs with this Jaccard similarity or more.
+    """Links (u, v) between rows (key, b, s, shingles), keys repeated or not: enough of them to give the groups of all pairs with this Jaccard
+    similarity or more.
 
     Pairs that share a band and pass the Hamming check make rough groups; within each, pairs that pass the check are compared shingle by
     shingle. A member's shingles travel once, unless its group is more than a task takes; then each two parts of the group meet in a task.
@@ -338,7 +353,9 @@ def similar_links(
     return apply_groups(tasks, "task", run, "u binary, v binary")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, **options: int) -> DataFrame:
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, **options: int
+) -> DataFrame:
     """(id, component): groups of texts linked by the Jaccard similarity of their sets of word shingles; component is the least id.
 
     Texts with equal sets are merged first, texts without words among them. A null id is named as a member and names no group unless all
@@ -364,9 +381,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's fingerprint and component. Blocks of up to BLOCK_MEMBERS fingerprints are joined and verified in pairs; fuller ones go by one-bit neighbours (see close_pairs), which gives the same components."""
+    """Every document's fingerprint and component. Blocks of up to BLOCK_MEMBERS fingerprints are joined and verified in pairs; fuller ones go
+    by one-bit neighbours (see close_pairs), which gives the same components.
+    """
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id")
+    )
 
 
 QUERIES = {"op1_simhash": op1_simhash}

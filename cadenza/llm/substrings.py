@@ -80,13 +80,18 @@ def _segment_rows(docs: DataFrame, width: int, gram: int) -> DataFrame:
                 first, n, anchor, content = _segments(words, words.hashes(), width, gram)
                 of = np.searchsorted(words.first, first, "right") - 1
                 keys = batch.select(["ord", "h"]).slice(i, j - i).take(pa.array(of))
-                yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), keys.column(0), keys.column(1), pa.array(first - words.first[of], pa.int32()), pa.array(n, pa.int32())], _NAMES)
+                yield pa.record_batch(
+                    [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), keys.column(0), keys.column(1), pa.array(first - words.first[of], pa.int32()), pa.array(n, pa.int32())],
+                    _NAMES
+                )
 
     return map_batches(docs, run, _ROW)
 
 
 def _asked(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """What is asked of documents, by (ord, h): the text of a segment, or with ``apart`` the text of each of its windows, with the window's own hash as segment."""
+    """What is asked of documents, by (ord, h): the text of a segment, or with ``apart`` the text of each of its windows, with the window's own
+    hash as segment.
+    """
     lists = asked.groupBy("ord", "h").agg(F.collect_list(F.struct("anchor", "segment", "start", "n", "apart", "shared")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +116,10 @@ def _asked(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
                 texts = [raw[x:y] for x, y in zip(words.starts[first].tolist(), words.ends[last].tolist())]
                 keys = batch.select(["ord", "h"]).slice(i, j - i).take(pa.array(text[rows]))
                 columns = [
-                    pa.array(anchor[rows]), pa.array(np.concatenate([segment[whole], content])), keys.column(0), keys.column(1), pa.array(np.concatenate([start[whole], start[every] + step]), pa.int32()),
-                    pa.array(np.concatenate([n[whole], np.ones(len(every), n.dtype)]), pa.int32()), pa.array(apart[rows]), pa.array(shared[rows]), pa.array(texts, pa.binary()),
+                    pa.array(anchor[rows]), pa.array(np.concatenate([segment[whole], content])), keys.column(0), keys.column(1),
+                    pa.array(np.concatenate([start[whole], start[every] + step]), pa.int32()),
+                    pa.array(np.concatenate([n[whole], np.ones(len(every), n.dtype)]), pa.int32()), pa.array(apart[rows]), pa.array(shared[rows]),
+                    pa.array(texts, pa.binary()),
                 ]
                 yield pa.record_batch(columns, [*_NAMES, "apart", "shared", "text"])
 
@@ -138,11 +145,16 @@ def _search(width: int):
         index = FMIndex(joined, np.repeat(owner, counts + 1))
         first, last = ends - counts, ends - width
         shared = np.flatnonzero(shard.column("shared").to_numpy().astype(bool))
-        query, low, high = index.windows_found(np.concatenate([first, first[shared]]), np.concatenate([last, last[shared]]), np.concatenate([owner, owner[shared] + 1]), width)
+        query, low, high = index.windows_found(
+            np.concatenate([first, first[shared]]), np.concatenate([last, last[shared]]), np.concatenate([owner, owner[shared] + 1]), width
+        )
         least = query < len(first)
         segment = np.where(least, query, np.append(shared, [0])[np.maximum(query - len(first), 0)] if len(shared) else query)
         picked = shard.select(["anchor", "segment", "ord"]).take(pa.array(segment))
-        return pa.table([*picked.columns, pa.array(least), pa.array(low - first[segment], pa.int32()), pa.array(high - first[segment], pa.int32())], names=["anchor", "segment", "least", "is_least", "low", "high"])
+        return pa.table(
+            [*picked.columns, pa.array(least), pa.array(low - first[segment], pa.int32()), pa.array(high - first[segment], pa.int32())],
+            names=["anchor", "segment", "least", "is_least", "low", "high"]
+        )
 
     return run
 
@@ -158,7 +170,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("ord"), F.hash(text).alias("h"), text.alias("text"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, anchor_segments: int = ANCHOR_SEGMENTS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, anchor_segments: int = ANCHOR_SEGMENTS,
+    shard_words: int = SHARD_WORDS
+) -> DataFrame:
     """(ord, h, spans): for each document with windows that also start in an earlier one, runs of their first words as (low, high) from 0."""
     spark = docs.sparkSession
     keyed = packed(_keyed(docs, id_col, text_col), docs.count())
@@ -166,28 +181,43 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     _segment_rows(keyed, width, gram).write.option("compression", "zstd").parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
     units = _merged(rows)
-    anchors = units.groupBy("anchor").agg(F.min("rep.ord").alias("low"), F.max("last").alias("high"), F.count("*").alias("segments")).where("high > low")
+    anchors = units.groupBy("anchor").agg(
+        F.min("rep.ord").alias("low"), F.max("last").alias("high"), F.count("*").alias("segments")
+    ).where("high > low")
     units = cut(units.join(anchors.select("anchor", "segments"), "anchor"), rows.count())
     n_units = units.count()
     hot = units.where(F.col("segments") > anchor_segments).select("anchor").distinct()
-    asked = units.where(F.col("segments") <= anchor_segments).select("anchor", "segment", "rep.*", F.lit(False).alias("apart"), (F.col("last") > F.col("rep.ord")).alias("shared"))
+    asked = units.where(F.col("segments") <= anchor_segments).select(
+        "anchor", "segment", "rep.*", F.lit(False).alias("apart"), (F.col("last") > F.col("rep.ord")).alias("shared")
+    )
     n_hot = hot.limit(BROADCAST_ANCHORS + 1).count()
     if n_hot:  # few, since each has many segments; sent to the rows if they are few enough, so that an anchor's rows stay where they are
-        asked = asked.unionByName(rows.join(F.broadcast(hot) if n_hot <= BROADCAST_ANCHORS else hot, "anchor").withColumns({"apart": F.lit(True), "shared": F.lit(True)}))
+        asked = asked.unionByName(
+            rows.join(F.broadcast(hot) if n_hot <= BROADCAST_ANCHORS else hot, "anchor").withColumns({"apart": F.lit(True), "shared": F.lit(True)})
+        )
     _asked(keyed, asked, width).coalesce(1 + n_units // ASKED_ROWS).write.option("compression", "zstd").parquet(f"{path}/asked")
     got = spark.read.parquet(f"{path}/asked")
     texts = got.where("not apart")
     if n_hot:
         windows = got.where("apart")
-        apart = cut(_merged(windows).where(F.col("last") > F.col("rep.ord")).select("anchor", "segment", "rep.ord", "rep.h", "rep.start"), windows.count())
+        apart = cut(
+            _merged(windows).where(F.col("last") > F.col("rep.ord")).select("anchor", "segment", "rep.ord", "rep.h", "rep.start"), windows.count()
+        )
         texts = texts.unionByName(windows.join(apart, ["anchor", "segment", "ord", "h", "start"]).select(texts.columns))
         rows = rows.unionByName(windows.select(_NAMES))
     total = texts.agg(F.sum(F.col("n") + (width - 1))).first()[0] or 0
     shards = max(1, total // shard_words)
-    dealt = texts.select(F.pmod(F.when(F.col("apart"), F.xxhash64("anchor", "segment")).otherwise(F.col("anchor")), F.lit(shards)).alias("shard"), "anchor", "segment", "ord", "shared", "text")
+    dealt = texts.select(
+        F.pmod(F.when(F.col("apart"), F.xxhash64("anchor", "segment")).otherwise(F.col("anchor")), F.lit(shards)).alias("shard"), "anchor", "segment",
+        "ord", "shared", "text"
+    )
     found = apply_groups(dealt, "shard", _search(width), "anchor bigint, segment bigint, least bigint, is_least boolean, low int, high int")
-    met = rows.join(found, ["anchor", "segment"]).where(F.when(F.col("is_least"), F.col("ord") == F.col("least")).otherwise(F.col("ord") > F.col("least")))
-    spans = met.groupBy("ord", "h").agg(F.collect_list(F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))).alias("spans"))
+    met = rows.join(found, ["anchor", "segment"]).where(
+        F.when(F.col("is_least"), F.col("ord") == F.col("least")).otherwise(F.col("ord") > F.col("least"))
+    )
+    spans = met.groupBy("ord", "h").agg(
+        F.collect_list(F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))).alias("spans")
+    )
     spans = cut(spans, n_units)
     remove(spark, path)
     return spans
@@ -232,14 +262,19 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
                 words, removed = _removal(batch, i, j, data, offsets, batch.column(2), width)
                 sums = np.concatenate([[0], np.cumsum(removed)])[words.first]
                 digests = [hashlib.sha256(t).hexdigest() for t in _kept_texts(words, removed)]
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(words.counts(), pa.int64()), pa.array(np.diff(sums), pa.int64()), pa.array(digests)], ["id", "n_words", "n_removed", "kept_sha256"])
+                yield pa.record_batch(
+                    [batch.column(0).slice(i, j - i), pa.array(words.counts(), pa.int64()), pa.array(np.diff(sums), pa.int64()), pa.array(digests)],
+                    ["id", "n_words", "n_removed", "kept_sha256"]
+                )
 
     joined = keyed.join(spans, ["ord", "h"], "left").select("id", "text", "spans")
     return map_batches(packed(joined, docs.count()), run, f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, **options: int) -> DataFrame:
-    """docs with repeated words taken out of the texts that have any: what stays of such a text is joined by single spaces. Other texts, and all other columns, are unchanged."""
+    """docs with repeated words taken out of the texts that have any: what stays of such a text is joined by single spaces. Other texts, and
+    all other columns, are unchanged.
+    """
     spans = repeats(docs, id_col, text_col, width, **options)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = spans.select(F.col("ord").alias("_ord"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
@@ -263,7 +298,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_batches(joined.select(*[docs[f"`{c}`"] for c in docs.columns], keys["_spans"].alias("_spans_of_repeats")), run, docs.schema)
 
 
-def matching_statistics(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:
+def matching_statistics(
+    docs: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = WIDTH, shard_words: int = SHARD_WORDS
+) -> DataFrame:
     """(id, shard, start, length): where documents match a corpus for ``least`` words or more, as maximal intervals of words from 0.
 
     Each shard of the corpus, a run of rows of about ``shard_words`` words, becomes one FM-index; every document is streamed through it, and
@@ -318,7 +355,10 @@ def matching_statistics(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_i
                             np.add.at(change, long + 1, -1)
                             edges = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(change[:-1]) > 0, [0]]).astype(np.int8)))
                             starts, stops = edges[::2], edges[1::2]
-                            columns = [pa.array([name] * len(starts), arrow_kind), pa.array([shard] * len(starts)), pa.array(starts), pa.array(stops - starts)]
+                            columns = [
+                                pa.array([name] * len(starts), arrow_kind), pa.array([shard] * len(starts)), pa.array(starts),
+                                pa.array(stops - starts)
+                            ]
                             yield pa.record_batch(columns, ["id", "shard", "start", "length"])
 
         texts = corpus.select(corpus[f"`{text_col}`"].alias("text"))
@@ -348,4 +388,6 @@ removed AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0
             FROM sw LEFT JOIN skept USING (doc_id) LEFT JOIN sgone USING (doc_id))"""
 
 QUERIES = {"op2_substrings": op2_substrings}
-ORACLE_SQL = {"op2_substrings": f"WITH {REMOVED_SQL.format(source='documents')} SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM removed"}
+ORACLE_SQL = {
+    "op2_substrings": f"WITH {REMOVED_SQL.format(source='documents')} SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM removed"
+}

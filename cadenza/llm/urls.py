@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from .shared import map_batches, prefix_hash, slices, span_hash, table
 
 #: Rules of the contract: (host, beginning of the path, verdict).
-RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+RULES = (
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")
+)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of the labelled table at most.
 MOST_LABELLED = 20_000
@@ -68,7 +70,9 @@ def _grams(texts: pa.Array, part: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, value) of hosts and paths. A part's n-grams weigh one over the root of their number, so that a long path does not outweigh its host."""
+    """(row, feature, value) of hosts and paths. A part's n-grams weigh one over the root of their number, so that a long path does not
+    outweigh its host.
+    """
     found = []
     for part, texts in enumerate((hosts, paths)):
         rows, features = _grams(texts, part << 60)
@@ -111,7 +115,9 @@ def fit(hosts: Sequence[str], paths: Sequence[str], blocked: Sequence[int], roun
 def fit_table(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", most_rows: int = MOST_LABELLED) -> Model:
     """Fits on a labelled table (url, 0 or 1) of at most ``most_rows`` rows; a larger one is refused rather than cut."""
     host, path = host_and_path(F.col(url_col))
-    rows = labelled.where(F.col(label_col).isNotNull()).select(host.alias("h"), path.alias("p"), F.col(label_col).cast("int").alias("y")).orderBy("h", "p", "y").limit(most_rows + 1).toArrow()
+    rows = labelled.where(F.col(label_col).isNotNull()).select(
+        host.alias("h"), path.alias("p"), F.col(label_col).cast("int").alias("y")
+    ).orderBy("h", "p", "y").limit(most_rows + 1).toArrow()
     if rows.num_rows > most_rows:
         raise ValueError(f"the labelled table has more than {most_rows} rows")
     return fit(rows["h"].to_pylist(), rows["p"].to_pylist(), rows["y"].to_pylist())
@@ -135,10 +141,16 @@ WANTED = (
     "family", "animal", "winter", "church", "street", "island", "coffee", "trade", "bank", "house", "energy", "water",
 )
 #: Words that go with either.
-BESIDE = ("free", "online", "best", "now", "win", "cheap", "hot", "live", "club", "world", "my", "the", "deal", "buy", "top", "farm", "x", "pro", "24", "hub")
+BESIDE = (
+    "free", "online", "best", "now", "win", "cheap", "hot", "live", "club", "world", "my", "the", "deal", "buy", "top", "farm", "x", "pro", "24",
+    "hub"
+)
 _TOPS = ("com", "net", "org", "info", "biz", "io", "co.uk", "de")
 _SUBDOMAINS = ("", "", "www.", "m.", "blog.", "shop.")
-_SYLLABLES = ("an", "er", "on", "th", "in", "re", "st", "sh", "ou", "le", "ti", "en", "ba", "ko", "mi", "ra", "sel", "tor", "ven", "lu", "du", "gar", "pel", "wick", "ham", "bur")
+_SYLLABLES = (
+    "an", "er", "on", "th", "in", "re", "st", "sh", "ou", "le", "ti", "en", "ba", "ko", "mi", "ra", "sel", "tor", "ven", "lu", "du", "gar", "pel",
+    "wick", "ham", "bur"
+)
 
 
 def labelled_urls(hosts: int = 1200, seed: int = 11) -> list[tuple[str, int]]:
@@ -167,7 +179,9 @@ def labelled_urls(hosts: int = 1200, seed: int = 11) -> list[tuple[str, int]]:
             for _ in range(2):
                 number = int(rng.integers(1, 100_000))
                 slug = f"/{pick(words)}-{pick(BESIDE)}.html"
-                path = pick(("", "/", "/index.php", f"/p/{number}", f"/{2000 + number % 25}/{1 + number % 12:02d}/post", f"/item/{number}.html", slug, slug, slug))
+                path = pick(
+                    ("", "/", "/index.php", f"/p/{number}", f"/{2000 + number % 25}/{1 + number % 12:02d}/post", f"/item/{number}.html", slug, slug, slug)
+                )
                 out.append((f"http{'s' if rng.random() < 0.5 else ''}://{host}{path}", label))
     return out
 
@@ -185,8 +199,13 @@ def default_model() -> Model:
     return fit(*zip(*parts))
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, model: Model | None = None, threshold: float = 0.5) -> DataFrame:
-    """(id, host, path, rule, verdict, probability): the longest fitting rule's verdict, else block where the model's probability passes the threshold."""
+def judge(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, model: Model | None = None,
+    threshold: float = 0.5
+) -> DataFrame:
+    """(id, host, path, rule, verdict, probability): the longest fitting rule's verdict, else block where the model's probability passes the
+    threshold.
+    """
     model = model or default_model()
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
@@ -195,10 +214,15 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([*batch.columns, pa.array(model.probability(batch.column(1), batch.column(2)))], [*batch.schema.names, "probability"])
+            yield pa.record_batch(
+                [*batch.columns, pa.array(model.probability(batch.column(1), batch.column(2)))], [*batch.schema.names, "probability"]
+            )
 
     scored = map_batches(rows, run, _schema_with(rows, "probability double"))
-    return scored.select("id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("probability") >= threshold, "block").otherwise("allow")).alias("verdict"), "probability")
+    return scored.select(
+        "id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("probability") >= threshold, "block").otherwise("allow")).alias("verdict"),
+        "probability"
+    )
 
 
 def _schema_with(df: DataFrame, more: str) -> str:

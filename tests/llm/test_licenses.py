@@ -9,7 +9,10 @@ from cadenza.llm import licenses
 from cadenza.llm.license_texts import MARKS, NAMES, OTHER_NAMES, OTHERS, PHRASES, TEMPLATES
 
 #: Phrases, texts and other uses of the words that training does not have.
-UNSEEN_PHRASES = ("You may use all of it under the {}.", "Everything here falls under the {}", "The data set is covered by the {}.", "Code is {}, docs are separate", "We chose the {} for this package")
+UNSEEN_PHRASES = (
+    "You may use all of it under the {}.", "Everything here falls under the {}", "The data set is covered by the {}.",
+    "Code is {}, docs are separate", "We chose the {} for this package"
+)
 UNSEEN_OTHERS = ("bridge over the river", "terms of the treaty", "rule of the king", "tree")
 WRAPPED_MIT = (
     "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in the Software without restriction,\n"
@@ -34,7 +37,9 @@ def score(text, m=None, threshold=licenses.THRESHOLD, agreement=licenses.AGREEME
     e = np.exp((z - z.max()) / m.temperature)
     p = e / e.sum()
     family = m.families[int(p.argmax())]
-    shares = [(len(grams & set(t)) / max(1, min(len(t), len(grams))), len(grams & set(t)) >= licenses.WHOLE * len(t)) for t in m.templates.get(family, [])]
+    shares = [
+        (len(grams & set(t)) / max(1, min(len(t), len(grams))), len(grams & set(t)) >= licenses.WHOLE * len(t)) for t in m.templates.get(family, [])
+    ]
     share, whole = max(shares, default=(0.0, False))
     known = family != licenses.UNKNOWN and p.max() >= threshold and share >= agreement
     return family if known else licenses.UNKNOWN, float(p.max()), share, whole
@@ -56,7 +61,10 @@ def brute_scan(text):
 
 def test_scan_equals_the_plain_scorer_on_texts_of_all_kinds(spark, sf_dir):
     rng = np.random.default_rng(4)
-    notices = [*OTHERS, *[t for ts in TEMPLATES.values() for t in ts], *[p.format(n) for ns in NAMES.values() for n in ns for p in (*PHRASES[::4], *UNSEEN_PHRASES[::2])], WRAPPED_MIT, WRAPPED_BSD, WRAPPED_LGPL]
+    notices = [
+        *OTHERS, *[t for ts in TEMPLATES.values() for t in ts],
+        *[p.format(n) for ns in NAMES.values() for n in ns for p in (*PHRASES[::4], *UNSEEN_PHRASES[::2])], WRAPPED_MIT, WRAPPED_BSD, WRAPPED_LGPL
+    ]
     words = [t.split() for t in notices]
     notices += [" ".join(w[k : k + 5]) for w in words for k in range(0, len(w), 9)]
     made = [sep.join(rng.choice(notices, int(rng.integers(1, 5)))) for sep in ("\n", "\n\n", "\n \t\n\n", " ") for _ in range(120)] + notices
@@ -95,7 +103,10 @@ def test_a_family_that_training_has_not_seen_is_mostly_unknown():
 
 def test_wrapped_notices_are_found_whole_and_notices_amid_prose_are_found(spark):
     prose = "The harbour was quiet and the boats lay still in the morning light."
-    texts = [WRAPPED_MIT, WRAPPED_BSD, WRAPPED_LGPL, f"{prose}\nReleased under the MIT License.\n{prose}", f"{prose}\nReleased under the MIT License.\nLicensed under CC BY 4.0.", f"{prose}\n\n{prose}\n{WRAPPED_BSD}"]
+    texts = [
+        WRAPPED_MIT, WRAPPED_BSD, WRAPPED_LGPL, f"{prose}\nReleased under the MIT License.\n{prose}",
+        f"{prose}\nReleased under the MIT License.\nLicensed under CC BY 4.0.", f"{prose}\n\n{prose}\n{WRAPPED_BSD}"
+    ]
     texts += [(prose + "\n") * 4000 + "\nLicensed under the ISC license."]
     docs = spark.createDataFrame([(i, t, "own", 1) for i, t in enumerate(texts)], "doc_id long, text string, family string, n_licensed int")
     got = {r.id: (r.families, r.n_licensed) for r in licenses.scan(docs).collect()}
@@ -116,6 +127,8 @@ def test_words_that_are_set_aside_cannot_lift_a_family(spark):
     m, telling = licenses.train(), set(licenses.telling_words())
     assert telling <= MARKS
     quiet = [g for g in m.weights if telling.isdisjoint(g.split())]
-    lead = np.maximum(np.array([m.weights[g] for g in quiet])[:, :-1] - np.array([m.weights[g] for g in quiet])[:, -1:], 0).sum(axis=0) if quiet else 0
+    lead = np.maximum(
+        np.array([m.weights[g] for g in quiet])[:, :-1] - np.array([m.weights[g] for g in quiet])[:, -1:], 0
+    ).sum(axis=0) if quiet else 0
     most = lead + np.array(m.bias[:-1]) - m.bias[-1]
     assert (most < m.temperature * np.log(licenses.THRESHOLD / (1 - licenses.THRESHOLD))).all()

@@ -34,7 +34,10 @@ def brute_components(prints, distance):
 
 def test_against_brute_force_with_nulls_ties_and_clashing_columns(spark):
     base = " ".join(f"w{i}" for i in range(400))
-    rows = [(1, base), (2, base), (3, base + " end"), (4, None), (5, ""), (6, " \t "), (7, "One two"), (8, "one TWO"), (9, "İstanbul çok GÜZEL"), (10, base.replace("w7 ", "v7 ")), (11, "x" * 5000)]
+    rows = [
+        (1, base), (2, base), (3, base + " end"), (4, None), (5, ""), (6, " \t "), (7, "One two"), (8, "one TWO"), (9, "İstanbul çok GÜZEL"),
+        (10, base.replace("w7 ", "v7 ")), (11, "x" * 5000)
+    ]
     docs = spark.createDataFrame([(i, t, 0, "k") for i, t in rows], "doc_id long, text string, fp int, component string")
     found = {r.id: r for r in simhash.near_duplicates(docs).collect()}
     prints = {i: fingerprint(t) for i, t in rows}
@@ -119,7 +122,9 @@ def test_an_original_and_thousands_of_variants_are_one_group(spark):
 def test_full_blocks_compare_every_pair(spark):
     rng = np.random.default_rng(8)
     s = rng.integers(0, 1 << 62, (6, 8))
-    s = np.concatenate([s[k] ^ (np.int64(1) << rng.integers(0, 62, (40, 8))) ^ (np.int64(1) << rng.integers(0, 62, (40, 8))) * (rng.random((40, 8)) < 0.5) for k in range(6)])
+    s = np.concatenate(
+        [s[k] ^ (np.int64(1) << rng.integers(0, 62, (40, 8))) ^ (np.int64(1) << rng.integers(0, 62, (40, 8))) * (rng.random((40, 8)) < 0.5) for k in range(6)]
+    )
     keys = [bytes([i // 256, i % 256]) for i in range(len(s))]
     members = spark.createDataFrame([(0, 5, k, x.tolist(), len(s)) for k, x in zip(keys, s)], "t int, k long, key binary, s array<bigint>, n long")
     bits = np.bitwise_count(s.view(np.uint64)[:, None] ^ s.view(np.uint64)[None]).sum(axis=2, dtype=int)
@@ -148,7 +153,11 @@ def test_pairs_meet_whatever_the_other_rows_are(spark):
     close = [i for i in range(1, 401) if jaccard(both[0], both[i]) >= 0.8]
     assert len(close) > 300 and sum(any(x == y for x, y in zip(alone[0], alone[i])) for i in close) == len(close)
     rows = [(bytes([k]), b, [0] * 8) for k, b in enumerate((alone[0], alone[close[0]]))]
-    others = [(b"\xff" + k.to_bytes(4), [int(x) for x in np.random.default_rng(k).integers(-(1 << 62), 1 << 62, simhash.BANDS)], [-1] * 8) for k in range(3000)]
+    others = [
+        (
+            b"\xff" + k.to_bytes(4), [int(x) for x in np.random.default_rng(k).integers(-(1 << 62), 1 << 62, simhash.BANDS)], [-1] * 8
+        ) for k in range(3000)
+    ]
     for more in ([], others):
         links = simhash.candidate_links(spark.createDataFrame(rows + more, "key binary, b array<bigint>, s array<bigint>"), 78)
         assert [(bytes(r.u), bytes(r.v)) for r in links.collect()] == [(b"\x00", b"\x01")]
@@ -203,5 +212,9 @@ def test_a_dense_group_is_whole_and_holds_nothing_else(spark, options):
     near, far = variants(150, seed=5, changed=6), variants(60, seed=6, changed=12)[1:]
     texts = [*near[1:], *far, near[0]]
     _, want = brute_groups(texts)
-    found = {r.id: r.component for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **options).collect()}
+    found = {
+        r.id: r.component for r in simhash.similar_groups(
+            spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **options
+        ).collect()
+    }
     assert [found[i] for i in range(len(texts))] == want and want.count(want[-1]) > 120

@@ -23,7 +23,8 @@ def keeps(text):
     lines = [x for x in t.split("\n") if re.search(SPACE, x)]
     letters, upper, chars = len(re.findall("[A-Za-z]", t)), len(re.findall("[A-Z]", t)), len("".join(w))
     bad = [
-        len(w) < 50, 100 * len(repeats) > 50 * len(w), 10 * len(re.findall(r"[#*$%&|<>]", t)) > len(w), chars < 2 * len(w) or chars > 20 * len(w), 2 * t.count("!") > len(w),
+        len(w) < 50, 100 * len(repeats) > 50 * len(w), 10 * len(re.findall(r"[#*$%&|<>]", t)) > len(w), chars < 2 * len(w) or chars > 20 * len(w),
+        2 * t.count("!") > len(w),
         letters > 0 and 10 * upper > 7 * letters, 10 * (len(lines) - len(set(lines))) > len(w),
     ]
     return not any(bad)
@@ -51,7 +52,9 @@ def expected(documents, benchmark):
     for k, ((i, t), w) in enumerate(zip(rows, words)):
         gone = {p for s in range(len(w) - 49) if first[tuple(w[s : s + 50])] < k for p in range(s, s + 50)}
         kept.append((i, " ".join(x for p, x in enumerate(w) if p not in gone) if gone else t))
-    assert [hashlib.sha256(" ".join(re.findall(SPACE, t)).encode()).hexdigest() for _, t in kept] == [x[2] for x in brute_removed([t for _, t in rows])]
+    assert [
+        hashlib.sha256(" ".join(re.findall(SPACE, t)).encode()).hexdigest() for _, t in kept
+    ] == [x[2] for x in brute_removed([t for _, t in rows])]
     out.append(kept)
     verdict = brute_contamination(kept, benchmark)
     out.append([(i, t) for i, t in kept if not verdict[i][3]])
@@ -101,4 +104,6 @@ def test_stages_take_nulls_repeated_rows_long_texts_clashing_columns_and_empty_t
 
 
 def test_quality_rules_are_those_that_the_brute_force_counts(spark):
-    assert [r.name for r in quality.BASE_RULES + quality.RULES] == ["few_words", "repeated_words", "symbols", "word_length", "bangs", "shouting", "repeated_lines"]
+    assert [r.name for r in quality.BASE_RULES + quality.RULES] == [
+        "few_words", "repeated_words", "symbols", "word_length", "bangs", "shouting", "repeated_lines"
+    ]

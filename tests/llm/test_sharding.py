@@ -14,9 +14,15 @@ def brute_force(spark, rows, shards, seed=7):
     sign = F.lit(-(1 << 63))
     keyed = [(i, "" if s is None else "=" + s, len((t or "").encode()) + 1, t or "") for i, t, s in rows]
     frame = spark.createDataFrame(keyed, "id long, source string, size long, t string").withColumn("crc", F.crc32(F.col("t").cast("binary")))
-    got = frame.withColumns({"h": F.xxhash64(F.lit(seed), "id", "size", "crc").bitwiseXOR(sign), "hs": F.xxhash64(F.lit(seed), "source").bitwiseXOR(sign)}).collect()
+    got = frame.withColumns(
+        {"h": F.xxhash64(F.lit(seed), "id", "size", "crc").bitwiseXOR(sign), "hs": F.xxhash64(F.lit(seed), "source").bitwiseXOR(sign)}
+    ).collect()
     counts = Counter(r.source for r in got)
-    starts = {r.n: r.x for r in spark.createDataFrame([(n,) for n in set(counts.values())], "n long").withColumn("x", F.pmod(F.xxhash64(F.lit(seed + 1), "n"), F.lit(1 << 30)) / float(1 << 30)).collect()}
+    starts = {
+        r.n: r.x for r in spark.createDataFrame([(n,) for n in set(counts.values())], "n long").withColumn(
+            "x", F.pmod(F.xxhash64(F.lit(seed + 1), "n"), F.lit(1 << 30)) / float(1 << 30)
+        ).collect()
+    }
     phase = {}
     for n in set(counts.values()):
         alike = sorted({(r.hs, r.source) for r in got if counts[r.source] == n})

@@ -20,7 +20,10 @@ def passages(seed=0):
     rng = np.random.default_rng(seed)
     draw = lambda n: " ".join(rng.choice([f"w{i}" for i in range(300)], n))
     shared, other = draw(70), draw(50)
-    texts = [shared + " " + draw(20), draw(15) + "\n" + shared + "\t" + draw(9), draw(10) + " " + other, other, draw(30), None, "", " \n ", shared, draw(49), other + " " + shared + " " + other]
+    texts = [
+        shared + " " + draw(20), draw(15) + "\n" + shared + "\t" + draw(9), draw(10) + " " + other, other, draw(30), None, "", " \n ", shared,
+        draw(49), other + " " + shared + " " + other
+    ]
     near = draw(200)
     return [*texts, near, near, near.replace(near.split()[90], "CHANGED"), "a " * 130, "a " * 70]
 
@@ -41,7 +44,9 @@ def brute_removed(texts, width=50):
 def test_substrings_against_brute_force(spark, anchor_segments):
     texts = passages()
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, ord int, spans int")
-    found = {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.judge(docs, anchor_segments=anchor_segments, shard_words=300).collect()}
+    found = {
+        r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.judge(docs, anchor_segments=anchor_segments, shard_words=300).collect()
+    }
     assert [found[i] for i in range(len(texts))] == brute_removed(texts)
     assert sum(x[1] for x in found.values()) > 200
 
@@ -99,7 +104,10 @@ def test_contamination_against_brute_force(spark):
     draw = lambda n: [f"t{i}" for i in rng.integers(0, 80, n)]
     a, b, short = draw(30), draw(13), draw(4)
     items = [(10, " ".join(a)), (9, " ".join(b).upper()), (7, " ".join(short)), (6, None), (5, "..."), (10, " ".join(draw(20)))]
-    docs = [(1, " ".join(draw(40) + a[3:20] + draw(60))), (2, ", ".join(b)), (3, " ".join(draw(500))), (4, None), (5, ""), (6, " ".join(a + b + short)), (7, " ".join(a[:12])), (8, "é " + " ".join(short) + " ü"), (9, " ".join(draw(900) + b))]
+    docs = [
+        (1, " ".join(draw(40) + a[3:20] + draw(60))), (2, ", ".join(b)), (3, " ".join(draw(500))), (4, None), (5, ""), (6, " ".join(a + b + short)),
+        (7, " ".join(a[:12])), (8, "é " + " ".join(short) + " ü"), (9, " ".join(draw(900) + b))
+    ]
     found = decontaminate.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {r.id: (r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in found.collect()} == brute_contamination(docs, items)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
@@ -110,7 +118,9 @@ def test_contamination_against_brute_force(spark):
 
 
 def test_proximity_finds_words_out_of_order(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "x y z alpha q beta r gamma z z"), (2, "alpha " + "f " * 40 + "beta gamma"), (3, "gamma beta alpha")], "doc_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "x y z alpha q beta r gamma z z"), (2, "alpha " + "f " * 40 + "beta gamma"), (3, "gamma beta alpha")], "doc_id long, text string"
+    )
     decontaminate.build_index(docs.coalesce(1), f"{tmp_path}/i")
     near = decontaminate.search(spark, f"{tmp_path}/i", spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string"), slop=4)
     assert sorted(r.k for r in near.collect()) == [0, 2]
@@ -175,7 +185,10 @@ def test_quality_cascade_does_not_depend_on_order(spark):
     rng = np.random.default_rng(6)
     prose = " ".join("w" * int(n) for n in rng.integers(3, 9, 120)) + "."
     prose = " ".join(f"{w}{i}" for i, w in enumerate(prose.split()))
-    rows = [(1, prose), (2, None), (3, ""), (4, "few words only"), (5, "same old thing " * 40), (6, " ".join(w + "$$$" for w in prose.split())), (7, " ".join(w.upper() + "!!" for w in prose.split())), (8, "\n".join(["one line again"] * 3) + "\n" + prose), (9, "x" * 200_000)]
+    rows = [
+        (1, prose), (2, None), (3, ""), (4, "few words only"), (5, "same old thing " * 40), (6, " ".join(w + "$$$" for w in prose.split())),
+        (7, " ".join(w.upper() + "!!" for w in prose.split())), (8, "\n".join(["one line again"] * 3) + "\n" + prose), (9, "x" * 200_000)
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.id: r for r in quality.judge(docs).collect()}
     for i, t in rows:
@@ -184,7 +197,9 @@ def test_quality_cascade_does_not_depend_on_order(spark):
         repeats = {k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)}
         lines = [x for x in (t or "").split("\n") if re.search(SPACE, x)]
         r = found[i]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), len("".join(w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(repeats)), i
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            len(w), len("".join(w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(repeats)
+        ), i
         assert r.base_failed == (len(w) < 50 or 100 * len(repeats) > 50 * len(w))
     assert [i for i, r in sorted(found.items()) if r.kept] == [1, 8]
     rules = quality.BASE_RULES + quality.RULES
@@ -242,7 +257,11 @@ def test_matching_statistics_against_brute_force(spark):
         found = index.matching_statistics(patterns, np.full(len(patterns), bound))
         for p, lengths in zip(patterns, found):
             own = {tuple(t[a:b]) for t in texts[:bound] for a in range(len(t)) for b in range(a + 1, len(t) + 1)}
-            want = [max((n for n in range(e + 2) if n == 0 or tuple(x - 1 for x in p[e + 1 - n : e + 1].tolist()) in own), default=0) for e in range(len(p))]
+            want = [
+                max(
+                    (n for n in range(e + 2) if n == 0 or tuple(x - 1 for x in p[e + 1 - n : e + 1].tolist()) in own), default=0
+                ) for e in range(len(p))
+            ]
             assert lengths.tolist() == want
 
 

@@ -9,18 +9,27 @@ from cadenza.llm import urls
 
 #: Hosts and paths as they occur, written by hand and not by the rule that makes the labelled table.
 CLEAN = (
-    "en.wikipedia.org/wiki/Casino", "www.nytimes.com/2020/11/03/us/politics.html", "stackoverflow.com/questions/11227809/why", "docs.python.org/3/library/re.html", "github.com/apache/spark",
-    "www.bbc.co.uk/news/uk-5512", "arxiv.org/abs/1706.03762", "www.nature.com/articles/s41586", "www.gutenberg.org/files/1342", "medium.com/@writer/my-story-12", "www.theguardian.com/books/2019",
-    "www.nasa.gov/missions", "harvard.edu/about", "www.imdb.com/title/tt0111161/", "openstreetmap.org/node/1", "www.allrecipes.com/recipe/212", "cookbook.example.com/soup", "www.weather.gov/forecast",
-    "kubernetes.io/docs/home", "www.mayoclinic.org/diseases", "tripadvisor.com/Hotel_Review", "lonelyplanet.com/france", "www.reuters.com/world/europe", "nationalgeographic.com/animals",
-    "www.khanacademy.org/math", "mit.edu/research", "www.dw.com/de/aktuell", "lemonde.fr/international", "elpais.com/cultura", "farmersalmanac.com/moon", "www.trackandfield.org/results",
+    "en.wikipedia.org/wiki/Casino", "www.nytimes.com/2020/11/03/us/politics.html", "stackoverflow.com/questions/11227809/why",
+    "docs.python.org/3/library/re.html", "github.com/apache/spark",
+    "www.bbc.co.uk/news/uk-5512", "arxiv.org/abs/1706.03762", "www.nature.com/articles/s41586", "www.gutenberg.org/files/1342",
+    "medium.com/@writer/my-story-12", "www.theguardian.com/books/2019",
+    "www.nasa.gov/missions", "harvard.edu/about", "www.imdb.com/title/tt0111161/", "openstreetmap.org/node/1", "www.allrecipes.com/recipe/212",
+    "cookbook.example.com/soup", "www.weather.gov/forecast",
+    "kubernetes.io/docs/home", "www.mayoclinic.org/diseases", "tripadvisor.com/Hotel_Review", "lonelyplanet.com/france",
+    "www.reuters.com/world/europe", "nationalgeographic.com/animals",
+    "www.khanacademy.org/math", "mit.edu/research", "www.dw.com/de/aktuell", "lemonde.fr/international", "elpais.com/cultura",
+    "farmersalmanac.com/moon", "www.trackandfield.org/results",
     "brownsfamilyfarm.net/visit",
 )
 BLOCKED = (
-    "www.bestcasino24.net/signup", "pokerstars-bonus.com/play", "superbets365.info/odds", "cheapviagra-online.biz/buy", "xxx-tube.net/videos/1", "hotporn.club/free", "adserver.doubleads.com/banner/1",
-    "click-tracker.io/r/22", "warez-download.org/crack", "torrentz-mirror.net/get", "payday-loans-now.com/apply", "lottery-winner.info/claim", "replica-watches.biz/rolex", "sexcams.live/room/3",
-    "escorts-city.com/list", "www.slots-jackpot.com/spin", "online-roulette.net/", "keygen-serials.com/app", "phish-login.net/bank", "malware-drop.info/a.exe", "bingo-hall.co.uk/win",
-    "nude-pics.net/1", "erotic-stories.com/5", "getrich-quick.biz/now", "popup-ads.net/js", "spamfarm.org/x1", "meds-pharmacy.com/pills", "casino.royal-bet.com/", "www.adultfriend.com/join",
+    "www.bestcasino24.net/signup", "pokerstars-bonus.com/play", "superbets365.info/odds", "cheapviagra-online.biz/buy", "xxx-tube.net/videos/1",
+    "hotporn.club/free", "adserver.doubleads.com/banner/1",
+    "click-tracker.io/r/22", "warez-download.org/crack", "torrentz-mirror.net/get", "payday-loans-now.com/apply", "lottery-winner.info/claim",
+    "replica-watches.biz/rolex", "sexcams.live/room/3",
+    "escorts-city.com/list", "www.slots-jackpot.com/spin", "online-roulette.net/", "keygen-serials.com/app", "phish-login.net/bank",
+    "malware-drop.info/a.exe", "bingo-hall.co.uk/win",
+    "nude-pics.net/1", "erotic-stories.com/5", "getrich-quick.biz/now", "popup-ads.net/js", "spamfarm.org/x1", "meds-pharmacy.com/pills",
+    "casino.royal-bet.com/", "www.adultfriend.com/join",
     "steroid-shop.com/order",
 )
 
@@ -72,7 +81,13 @@ def test_probability_is_that_of_plain_counting():
             ids = []
             for g in grams:
                 raw = np.frombuffer(g.encode(), np.uint8)
-                ids.append(int((urls.span_hash(urls.prefix_hash(raw), np.array([0]), np.array([len(raw)])) + np.uint64(part << 60))[0] >> np.uint64(64 - urls.BITS)))
+                ids.append(
+                    int(
+                        (
+                            urls.span_hash(urls.prefix_hash(raw), np.array([0]), np.array([len(raw)])) + np.uint64(part << 60)
+                        )[0] >> np.uint64(64 - urls.BITS)
+                    )
+                )
             z += sum(float(model.weights[i]) for i in ids) / max(1, len(ids)) ** 0.5
         want = 1 / (1 + np.exp(-(z + model.bias)))
         assert abs(model.probability(pa.array([host]), pa.array([path]))[0] - want) < 1e-6
@@ -80,8 +95,13 @@ def test_probability_is_that_of_plain_counting():
 
 def test_nulls_repeats_long_urls_clashing_columns_and_empty_tables(spark):
     long = "http://casino-bets.com/" + "a" * 200_000
-    rows = [(1, "http://casino-bets.com/x"), (1, "http://casino-bets.com/x"), (None, None), (2, "no scheme"), (3, long), (4, "HTTP://News.Example.ORG/en/1?q#f"), (5, "https://jazz.com/de/x"), (6, "")]
-    pages = spark.createDataFrame([(i, u, "own", "own", 1.0) for i, u in rows], "page_id long, url string, host string, rule string, probability double")
+    rows = [
+        (1, "http://casino-bets.com/x"), (1, "http://casino-bets.com/x"), (None, None), (2, "no scheme"), (3, long),
+        (4, "HTTP://News.Example.ORG/en/1?q#f"), (5, "https://jazz.com/de/x"), (6, "")
+    ]
+    pages = spark.createDataFrame(
+        [(i, u, "own", "own", 1.0) for i, u in rows], "page_id long, url string, host string, rule string, probability double"
+    )
     found = sorted(((r.id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages).collect()), key=str)
     assert len(found) == len(rows) and found.count((1, "casino-bets.com", "/x", None, "block")) == 2
     assert (None, "", "", None, "allow") in found and (2, "", "", None, "allow") in found and (6, "", "", None, "allow") in found
