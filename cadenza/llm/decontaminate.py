@@ -156,20 +156,26 @@ class Block:
                 yield both[0], both[1], width if slop is None else 1
 
 
-def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[object, np.ndarray]]]:
-    """The test phrases as (item id, term hashes), in blocks of about ``block_words`` words. One partition of them is on the driver at a time."""
+def _item_blocks(
+    items: DataFrame, id_col: str, text_col: str, window: int, block_words: int
+) -> Iterator[list[tuple[object, np.ndarray]]]:
+    """The test phrases as (item id, term hashes), in blocks of about ``block_words`` words; a longer item goes in parts that overlap, so that
+    no window is cut. One partition of the items is on the driver at a time.
+    """
     block, size = [], 0
     named = items.select(items[f"`{id_col}`"].alias("i"), items[f"`{text_col}`"].alias("t"))
     for row in named.where("t is not null").toLocalIterator():
         data = np.frombuffer(row["t"].encode(), np.uint8)
         hashes = Words(data, np.array([0, len(data)]), ALNUM, lower=True).hashes()
-        if not len(hashes):
-            continue
-        block.append((row["i"], hashes))
-        size += len(hashes)
-        if size >= block_words:
-            yield block
-            block, size = [], 0
+        for begin in range(0, len(hashes), block_words):
+            part = hashes[begin : begin + block_words + window - 1]
+            if begin and len(part) < window:  # its windows are all in the part before
+                break
+            block.append((row["i"], part))
+            size += len(part)
+            if size >= block_words:
+                yield block
+                block, size = [], 0
     if block:
         yield block
 
@@ -189,7 +195,7 @@ def search(
     folder = folder or shared_dir(spark)
     schema = f"shard string, k int, item {kind}, at bigint, length bigint"
     spark.createDataFrame([], schema).write.parquet(folder)
-    for part in _item_blocks(items, id_col, text_col, block_words):
+    for part in _item_blocks(items, id_col, text_col, window, block_words):
         block = spark.sparkContext.broadcast((Block([h for _, h in part], window), pa.array([i for i, _ in part], arrow_kind)))
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:

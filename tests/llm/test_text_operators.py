@@ -147,7 +147,7 @@ def test_proximity_and_phrases_against_brute_force_in_one_block_or_many(spark, t
     rng = np.random.default_rng(12)
     draw = lambda n: " ".join(f"t{i}" for i in (rng.random(n) ** 2 * 60).astype(int))
     docs = [draw(int(rng.integers(1, 120))) for _ in range(60)]
-    items = [(i, draw(int(rng.integers(1, 9)))) for i in range(25)]
+    items = [(i, draw(int(rng.integers(1, 9)))) for i in range(25)] + [(30 + n, draw(n)) for n in (10, 11, 12, 13, 14, 20, 23, 24, 31)]
     decontaminate.build_index(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1), f"{tmp_path}/i")
     # ids of any type name the items
     frame = spark.createDataFrame(items, "item_id int, text string").withColumn("item_id", F.col("item_id").cast("smallint"))
