@@ -35,8 +35,8 @@ from .shared import apply_groups, map_batches, packed, shared_dir, table
 
 #: A text of more characters is encoded as a tree of pieces of PIECE_CHARS characters, each a row of its own. The result is the same either way.
 LONG_CHARS, PIECE_CHARS = 1 << 15, 1 << 13
-#: Chunks whose ids a worker remembers, and characters that such a chunk has at most. Others are encoded each time.
-MEMO_CHUNKS, MEMO_CHARS = 600_000, 64
+#: Chunks and splits whose ids a worker remembers, and characters that such a one has at most. Others are encoded each time.
+MEMO_CHUNKS, MEMO_SPLITS, MEMO_CHARS = 300_000, 100_000, 64
 #: Characters of a whole run of letters, digits, signs or space that is encoded without a tree.
 LEAF_CHARS = 1 << 10
 #: Texts that go to the library in one call.
@@ -191,7 +191,7 @@ class Coder:
         ids = self._splits.get(part)
         if ids is None:
             ids = self._whole(what)
-            if len(self._splits) < MEMO_CHUNKS:
+            if len(self._splits) < MEMO_SPLITS:
                 self._splits[part] = ids
         return ids
 
@@ -288,7 +288,7 @@ class Coder:
             ids = self._splits.get(part)
             if ids is None:
                 ids = self._whole("".join(map(self._letter.__getitem__, part.encode())))
-                if len(self._splits) < MEMO_CHUNKS:
+                if len(self._splits) < MEMO_SPLITS:
                     self._splits[part] = ids
             out += ids
         return out

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 #: Text bytes that one vectorised step takes at most, unless a single text is longer.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _WINDOW_MULTIPLIER = 0xD6E8FEB86659FD93 | 1
@@ -145,7 +145,7 @@ def _powers(multiplier: int, n: int) -> np.ndarray:
 
 
 #: Powers that a worker keeps at most, of each multiplier.
-_KEPT_POWERS = (1 << 21) + (1 << 16)
+_KEPT_POWERS = (1 << 19) + (1 << 16)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

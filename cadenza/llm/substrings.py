@@ -32,7 +32,7 @@ from .shared import NOT_SPACE, Words, apply_groups, cut, map_batches, packed, re
 
 WIDTH, GRAM = 50, 8
 #: Words of a shard on average, and different segments of one anchor beyond which they are taken apart into windows.
-SHARD_WORDS, ANCHOR_SEGMENTS = 300_000, 2000
+SHARD_WORDS, ANCHOR_SEGMENTS = 150_000, 2000
 #: Different segments to a file of what is asked of documents; each has up to 92 words.
 ASKED_ROWS = 20_000
 #: Hot anchors, of 8 bytes each, that are broadcast at most.
