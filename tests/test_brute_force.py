@@ -400,3 +400,95 @@ def test_midi_bytes(spark, tmp_path):
     rows = midi.read(spark, str(tmp_path)).collect()
     assert sorted(r.file.rpartition("/")[2] for r in rows) == ["a.mid"] * 3 + ["b.mid", "c.mid"]
     assert all((r.error is None) == r.file.endswith("a.mid") for r in rows)
+
+
+def test_sampled_shapley_values(spark, sf_dir, pieces):
+    from cadenza.operators import games
+
+    got = {r.piece_id: r for r in games.shapley(views.notes(spark, sf_dir), samples=20).collect()}
+    pay = lambda row: [games.PAYOFF[abs(a - b)] for a, b in zip(row, row[1:])]
+    for p, notes in list(pieces["notes"].items())[:5]:
+        pcs = [n[0] % 12 for n in notes]
+        present, rng, given = np.unique(pcs), np.random.default_rng(42), dict.fromkeys(range(12), 0.0)
+        for _ in range(20):
+            inside, before = set(), 0.0
+            for pc in rng.permutation(present).tolist():
+                inside.add(pc)
+                kept = [x for x in pcs if x in inside]
+                if len(kept) > 1:
+                    value = sum(pay(kept)) / (len(kept) - 1)
+                    given[pc] += value - before
+                    before = value
+        mean = {pc: v / 20 for pc, v in given.items()}
+        sizes = sorted(abs(v) for v in mean.values() if v)
+        n = len(sizes)
+        gini = abs(sum((2 * k - n - 1) * x for k, x in enumerate(sizes, 1)) / (n * sum(sizes)))
+        best = max(range(12), key=lambda pc: (mean[pc] if pc in present else 0, -pc))
+        assert got[p].shapley_top_pc == best and abs(got[p].shapley_gini - gini) < 1e-9
+
+
+def test_random_walk_scores_and_the_aesthetic_index(spark, sf_dir, pieces):
+    want = {}
+    for p, notes in pieces["notes"].items():
+        steps = np.array([b[0] - a[0] for a, b in zip(notes, notes[1:])], float)
+        unit, rng = (steps - steps.mean()) / steps.std(), np.random.default_rng(42)
+        lags = min(8, len(steps) // 2)
+
+        def measure(z):
+            return sum(abs(sum(z[i] * z[i + k] for i in range(len(z) - k)) / (len(z) - k)) for k in range(1, lags + 1)) / lags
+
+        null = []
+        for _ in range(20):
+            mixed = unit.copy()
+            rng.shuffle(mixed)
+            null.append(measure(mixed))
+        own = measure(unit)
+        want[p] = (own, (own - np.mean(null)) / np.std(null))
+    got = {r.piece_id: r for r in catalog.QUERIES["nonrandomness"](spark, sf_dir).collect()}
+    assert all(abs(got[p].rw_corr_mean - a) < 1e-6 and abs(got[p].rw_corr_z - z) < 1e-5 for p, (a, z) in want.items())
+    rows = {r.piece_id: r for r in catalog.QUERIES["numeric_patterns"](spark, sf_dir).collect()}
+    ids = sorted(rows)
+    z = lambda x: (x - x.mean()) / x.std() if x.std() > 1e-12 else x * 0
+    prime, phi = (np.array([getattr(rows[p], c) for p in ids]) for c in ("prime_sum_ratio", "phi_density_ratio"))
+    raw = 0.25 * z(prime) + 0.25 * z(phi) + 0.5 * z(np.array([want[p][1] for p in ids]))
+    index = {r.piece_id: r for r in catalog.QUERIES["aesthetic_index"](spark, sf_dir).collect()}
+    scaled = (raw - raw.min()) / (raw.max() - raw.min())
+    assert all(abs(index[p].aesthetic_z_raw - a) < 1e-4 and abs(index[p].aesthetic_index - b) < 1e-4 for p, a, b in zip(ids, raw, scaled))
+
+
+def test_shapes_on_the_pitch_circle(spark, sf_dir, pieces):
+    def spread(points):
+        middle = sum(points) / len(points)
+        arms = [q - middle for q in points]
+        radii = [abs(a) for a in arms]
+        mean = sum(radii) / len(radii)
+        turns = []
+        for a, b in zip(arms, arms[1:] + arms[:1]):
+            d = abs(np.angle(b) - np.angle(a))
+            turns.append(min(d, 2 * math.pi - d))
+        return (math.sqrt(sum((r - mean) ** 2 for r in radii) / len(radii)) / mean if mean > 1e-9 else math.inf), turns
+
+    want = []
+    for p, notes in pieces["motes"].items():
+        at = [complex(math.cos(t), math.sin(t)) for t in ((n[0] % 12) / 12 * 2 * math.pi - math.pi / 2 for n in notes)]
+        found = []
+        for corners, name in patterns.SHAPES.items():
+            for s in range(len(at) - corners + 1):
+                v, turns = spread(at[s : s + corners])
+                ideal = [t / (2 * math.pi / corners) - 1 for t in turns]
+                uneven = sum((x - sum(ideal) / corners) ** 2 for x in ideal) / corners
+                if v < 0.1 and uneven < 0.1:
+                    found.append((p, name, s, corners, round(1 - (v + uneven) / 2, 3)))
+        used, kept = set(), []
+        for shape in sorted(found, key=lambda f: -f[4]):
+            if not used & set(range(shape[2], shape[2] + shape[3])):
+                used |= set(range(shape[2], shape[2] + shape[3]))
+                kept.append(shape[:4])
+        stars = []
+        for corners, name in ((5, "star_pentagon"), (6, "star_triangle")):
+            for s in range(len(at) - corners + 1):
+                if spread([at[s + k * 2 % corners] for k in range(corners)])[0] < 0.15:
+                    stars.append((p, name, s, corners))
+        want += kept[:10] + stars[:5]
+    assert rows_of(catalog.QUERIES["circle_shapes"](spark, sf_dir), "piece_id", "shape", "start", "corners") == sorted(want)
+    assert {r.piece_id: r.shapes for r in patterns.geometric_complexity(views.motes(spark, sf_dir)).collect()} == {p: sum(w[0] == p for w in want) for p in pieces["motes"]}
