@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import ALNUM, Words, cut, map_batches, packed, shared_dir, slices, table
+from .shared import ALNUM, Words, cut, map_batches, packed, shared_dir, slices, table, without
 from .shared import remove as remove_folder
 
 WINDOW = 13
 #: Text bytes of a shard, unless a single text is longer.
 SHARD_BYTES = 1 << 19
+#: Bytes of a row group of the index: what a task reads at once.
+GROUP_BYTES = 8 << 20
 #: Words of test phrases that travel to the shards at once.
 BLOCK_WORDS = 1 << 20
 
@@ -63,7 +65,7 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     schema = _SHARD.format(kind=docs.schema[id_col].dataType.simpleString())
     rows = map_batches(packed(docs, docs.count()).select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), run, schema)
-    rows.write.option("compression", "zstd").parquet(path)
+    rows.write.option("compression", "zstd").option("parquet.block.size", str(GROUP_BYTES)).parquet(path)
 
 
 class Shard:
@@ -149,12 +151,33 @@ class Block:
                 left = left[counts[windows[left, k]] > 0]
             if not len(left):
                 continue
-            terms = windows[left]
-            found, places = shard.phrases(rows[terms], counts[terms]) if slop is None else shard.near(rows[terms], counts[terms], width + slop)
-            if len(found):
-                both = np.unique(np.stack([items[left[found]], places]), axis=1)
+            found = [self._searched(shard, rows, counts, windows, items, part, slop) for part in _parts(left, counts[windows[left]].min(axis=1))]
+            both = np.unique(np.concatenate(found, axis=1), axis=1)
+            if both.shape[1]:
                 yield both[0], both[1], width if slop is None else 1
 
+    @staticmethod
+    def _searched(
+        shard: Shard, rows: np.ndarray, counts: np.ndarray, windows: np.ndarray, items: np.ndarray, part: np.ndarray, slop: int | None
+    ) -> np.ndarray:
+        """Two rows, items and places, of the occurrences of some windows."""
+        terms = windows[part]
+        if slop is None:
+            found, places = shard.phrases(rows[terms], counts[terms])
+        else:
+            found, places = shard.near(rows[terms], counts[terms], windows.shape[1] + slop)
+        return np.stack([items[part[found]], places])
+
+
+def _parts(windows: np.ndarray, rarest: np.ndarray) -> list[np.ndarray]:
+    """Runs of windows whose rarest terms stand in about _PLACES places together, or of one window."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(rarest) // _PLACES)) + 1
+    return np.split(windows, cuts)
+
+
+#: Places of rarest terms that are searched from at once.
+_PLACES = 1 << 16
+
 
 def _item_blocks(
     items: DataFrame, id_col: str, text_col: str, window: int, block_words: int
@@ -266,8 +289,8 @@ def judge(
 
 def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **names: str) -> DataFrame:
     """The documents that are not contaminated, columns unchanged. Documents that share an id go if one of them is contaminated."""
-    bad = judge(docs, items, id_col, **names).where("contaminated").select(F.col("id").alias("_bad")).distinct()
-    return packed(docs.join(bad, docs[f"`{id_col}`"].eqNullSafe(bad["_bad"]), "left_anti"), docs.count())
+    bad = judge(docs, items, id_col, **names).where("contaminated").select("id")
+    return packed(without(docs, id_col, bad), docs.count())
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Text bytes that one vectorised step takes at most, unless a single text is longer.
@@ -65,6 +66,20 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids, and bytes of them, that without() broadcasts at most.
+BROADCAST_IDS, BROADCAST_BYTES = 200_000, 4 << 20
+
+
+def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose id is not in the one column of ``ids``; a null id equals a null id. The ids are counted: few go to the rows by
+    broadcast, so that texts stay where they are, and more meet them in a shuffle.
+    """
+    gone = cut(ids.select(ids.columns[0]).distinct().toDF("_gone"))
+    size = gone.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col("_gone").cast("string"))), F.lit(0)).alias("b")).first()
+    few = size["n"] <= BROADCAST_IDS and size["b"] <= BROADCAST_BYTES
+    return docs.join(F.broadcast(gone) if few else gone, docs[f"`{id_col}`"].eqNullSafe(gone["_gone"]), "left_anti")
+
+
 #: Bytes of an Arrow batch that goes to a Python worker, unless a single row is longer. Spark's own bound is 64 MB, held several times over.
 BATCH_BYTES = 4 << 20
 _BATCH_CONF = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b")

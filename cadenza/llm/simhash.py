@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import NOT_SPACE, Words, apply_groups, cut, map_batches, mix, packed, remove, shared_dir, slices, table, window_hash
+from .shared import NOT_SPACE, Words, apply_groups, cut, map_batches, mix, packed, remove, shared_dir, slices, table, window_hash, without
 
 #: A block's members are compared with each other up to this many; a fuller block's members go by one-bit neighbours, which is exact too.
 BLOCK_MEMBERS = 32
@@ -376,8 +376,8 @@ def similar_groups(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, **options: int) -> DataFrame:
     """docs with one document of each group of near copies, the one of the least id; columns unchanged. Rows with a null id stay."""
-    gone = similar_groups(docs, id_col, text_col, width, similarity, **options).where("id <> component").select(F.col("id").alias("_gone")).distinct()
-    return packed(docs.join(gone, docs[f"`{id_col}`"] == gone["_gone"], "left_anti"), docs.count())
+    gone = similar_groups(docs, id_col, text_col, width, similarity, **options).where("id <> component").select("id")
+    return packed(without(docs, id_col, gone), docs.count())
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
