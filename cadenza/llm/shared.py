@@ -74,7 +74,7 @@ def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows of docs whose id is not in the one column of ``ids``; a null id equals a null id. The ids are counted: few go to the rows by
     broadcast, so that texts stay where they are, and more meet them in a shuffle.
     """
-    gone = cut(ids.select(ids.columns[0]).distinct().toDF("_gone"))
+    gone = cut(ids.select(ids.columns[0]).distinct().toDF("_gone"), docs.count())
     size = gone.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col("_gone").cast("string"))), F.lit(0)).alias("b")).first()
     few = size["n"] <= BROADCAST_IDS and size["b"] <= BROADCAST_BYTES
     return docs.join(F.broadcast(gone) if few else gone, docs[f"`{id_col}`"].eqNullSafe(gone["_gone"]), "left_anti")
