@@ -307,6 +307,18 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
+def _then_forget(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives the coder and its memos back: it may live on and serve other stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            coder.cache_clear()
+
+    return whole
+
+
 def _pieces(docs: DataFrame, folder: str, piece_chars: int) -> DataFrame:
     """(n, id, piece, text): the long texts (id, text) as rows of pieces, written in the shared folder, where n numbers their rows once and for
     all.
@@ -358,9 +370,9 @@ def _encoded(
         ]
         return pa.table([pieces.column("id").slice(0, 1), *columns([coder(path).concatenate(parts).ids])], names=names)
 
-    out = map_batches(rows.where(~is_long), short, f"id {kind}, {schema}")
+    out = map_batches(rows.where(~is_long), _then_forget(short), f"id {kind}, {schema}")
     pieces = _pieces(rows.where(is_long), shared_dir(docs.sparkSession), piece_chars).repartition("n", "piece")
-    encoded = map_batches(pieces, leaves, f"n bigint, id {kind}, piece int, text string, ends binary, counts binary, ids binary")
+    encoded = map_batches(pieces, _then_forget(leaves), f"n bigint, id {kind}, piece int, text string, ends binary, counts binary, ids binary")
     return out.unionByName(apply_groups(encoded, "n", whole, f"id {kind}, {schema}"))
 
 
