@@ -7,8 +7,8 @@ splitting pattern leaves whole across the join is joined token by token in the s
 both halves and fit the tokens next to them. (A token sequence is the encoding of its text exactly if each two neighbours are the encoding of
 theirs.) Either way the result is exactly that of the whole text.
 
-Shorter texts are cut where the vocabulary's splitting pattern cuts whatever stands on either side, and their chunks are looked up, or encoded
-by the tokenizers library.
+Shorter texts are split many at a time by array operations, and splits are looked up by their bytes (see splits.py); new ones, and stretches
+with rare characters, are encoded by the tokenizers library.
 
 Defined results: a null text is an empty one and has no tokens; an empty table gives an empty result; repeated rows and null ids are encoded
 alike and kept as rows of their own; columns other than the two named are ignored. Special tokens that a text spells out are found as the
@@ -27,16 +27,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import apply_groups, map_batches, packed, shared_dir, table
+from . import splits as byte_splits
+from .shared import apply_groups, map_batches, shared_dir, slices, spread, table
 
 #: A text of more characters is encoded as a tree of pieces of PIECE_CHARS characters, each a row of its own. The result is the same either way.
 LONG_CHARS, PIECE_CHARS = 1 << 15, 1 << 13
-#: Chunks and splits whose ids a worker remembers, and characters that such a one has at most. Others are encoded each time.
-MEMO_CHUNKS, MEMO_SPLITS, MEMO_CHARS = 300_000, 100_000, 64
+#: Splits whose ids a worker remembers, by their bytes and by their text, and characters that such a text has at most. Others are encoded each time.
+TABLE_SPLITS, MEMO_SPLITS, MEMO_CHARS = 300_000, 100_000, 64
 #: Characters of a whole run of letters, digits, signs or space that is encoded without a tree.
 LEAF_CHARS = 1 << 10
 #: Texts that go to the library in one call.
@@ -44,57 +44,12 @@ BATCH_TEXTS = 64
 #: Characters on either side of a join that its first window takes.
 WINDOW_CHARS = 256
 
-#: The splitting pattern of byte-level BPE; used on characters below _SETTLED, whose classes no Unicode version disputes.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_SETTLED = "\u0250"
-#: A space between a character that is no white space and one that is none: every split of byte-level BPE begins a piece there.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Where text.split(" ") alone would cut otherwise.
-_BESIDE_SPACE = re.compile(r" \s|\s ")
-
-
 def vocabulary_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Memo:
-    """Remembers the ids of the first MEMO_CHUNKS short chunks that a worker meets; natural text consists of few distinct ones."""
-
-    def __init__(self, encode_chunks):
-        self.encode_chunks = encode_chunks
-        self.row: dict[str, int] = {}
-        self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
-
-    @staticmethod
-    def _fill(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
-        if at + len(values) > len(array):
-            array = np.concatenate([array, np.zeros(max(len(array), len(values)), array.dtype)])
-        array[at : at + len(values)] = values
-        return array
-
-    def rows(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all chunks in one array, and the position at which each begins; one more position for the end."""
-        get, kept = self.row.get, len(self.row)
-        rows = [get(c, -1) for c in chunks]
-        new = list(dict.fromkeys(c for c, r in zip(chunks, rows) if r < 0))
-        new.sort(key=lambda c: len(c) > MEMO_CHARS)
-        encoded = self.encode_chunks(new)
-        begin = self.starts[kept]
-        ends = begin + np.cumsum([len(x) for x in encoded], dtype=np.int64)
-        self.starts = self._fill(self.starts, kept + 1, ends)
-        self.ids = self._fill(self.ids, begin, np.array([i for x in encoded for i in x], np.uint32))
-        fresh = {c: kept + k for k, c in enumerate(new)}
-        rows = np.array([r if r >= 0 else fresh[c] for c, r in zip(chunks, rows)], np.int64)
-        lengths = self.starts[rows + 1] - self.starts[rows]
-        where = np.concatenate([[0], np.cumsum(lengths)])
-        flat = self.ids[np.arange(where[-1]) + np.repeat(self.starts[rows] - where[:-1], lengths)]
-        admitted = max(0, min(MEMO_CHUNKS - kept, sum(len(c) <= MEMO_CHARS for c in new)))
-        self.row |= {c: kept + k for k, c in enumerate(new[:admitted])}
-        return flat, where
-
-
 @dataclass(frozen=True)
 class Part:
     """A stretch of text with its encoding: the splits' ends in characters, how many tokens each split has, and all tokens."""
@@ -121,13 +76,13 @@ class Coder:
         self.tokenizer.no_padding()
         self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.leaf_chars, self.window_chars = leaf_chars, window_chars
-        self.memo = _Memo(self.encode_chunks)
+        self.table = byte_splits.Table(TABLE_SPLITS)
         self._splits: dict[str, list[int]] = {}
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = {t.content: i for i, t in added.items()}
         self._special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
         self.may_cut = not any(" " in content for content in self.special)
-        self._special_starts = {content[0] for content in self.special}
+        self._marks = [content.encode() for content in self.special]
         self._margin = max(8, *(len(content) for content in self.special)) if self.special else 8
         letter = self._letter = self._byte_letters()
         back = {c: b for b, c in letter.items()}
@@ -255,42 +210,27 @@ class Coder:
             parts = pairs + parts[2 * len(pairs) :]
         return parts[0]
 
-    def _chunks(self, text: str) -> list[str]:
-        """The text cut at every place where a piece begins whatever stands on either side."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text as unsigned 32-bit integers."""
+        encoded = [t.encode() for t in texts]
+        return self.encode_bytes(np.frombuffer(b"".join(encoded), np.uint8), np.cumsum([0, *map(len, encoded)]))
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts that lie end to end, in UTF-8, as unsigned 32-bit integers."""
         if not self.may_cut:
-            return [text]
-        if text[:1] == " " or text[-1:] == " " or _BESIDE_SPACE.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            return [np.array(x, np.uint32) for x in self._stretches([data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])])]
+        flat, where = byte_splits.encode(data, offsets, self.table, self._marks, self._split, self._stretches)
+        return np.split(flat, where[1:-1]) if len(offsets) > 1 else []
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text as unsigned 32-bit integers."""
+    def _split(self, part: bytes) -> list[int]:
+        """The ids of one split."""
+        run = "".join(map(self._letter.__getitem__, part))
+        return self._whole(run) if len(run) <= MEMO_CHARS else self.tree(run)
+
+    def _stretches(self, parts: list[bytes]) -> list[list[int]]:
+        texts, out = [p.decode() for p in parts], []
         for k in range(0, len(texts), BATCH_TEXTS):
-            chunks = [self._chunks(t) for t in texts[k : k + BATCH_TEXTS]]
-            flat, where = self.memo.rows([c for cs in chunks for c in cs])
-            ends = np.cumsum([len(cs) for cs in chunks])
-            yield from np.split(flat, where[ends[:-1]])
-
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of chunks: plain ones from the memo of splits, others by the library."""
-        whole = [c for c in chunks if not self._plain(c)]
-        encoded = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)) if whole else iter(())
-        return [self._by_splits(c) if self._plain(c) else next(encoded).ids for c in chunks]
-
-    def _plain(self, chunk: str) -> bool:
-        """Short, of characters whose classes have long been settled, and without a special token's first character."""
-        return len(chunk) <= MEMO_CHARS and (chunk.isascii() or max(chunk) < _SETTLED) and not any(x in chunk for x in self._special_starts)
-
-    def _by_splits(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        for part in _SPLIT.findall(chunk):
-            ids = self._splits.get(part)
-            if ids is None:
-                ids = self._whole("".join(map(self._letter.__getitem__, part.encode())))
-                if len(self._splits) < MEMO_SPLITS:
-                    self._splits[part] = ids
-            out += ids
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + BATCH_TEXTS], add_special_tokens=False)]
         return out
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
@@ -347,14 +287,13 @@ def _encoded(
     """(id, and what ``columns`` makes of the token ids of some texts) of every whole text: short ones where they are, long ones as trees."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", *(x.split()[0] for x in schema.split(", "))]
-    rows = packed(docs, docs.count()).select(docs[f"`{id_col}`"].alias("id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
+    rows = spread(docs).select(docs[f"`{id_col}`"].alias("id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
     is_long = F.char_length("text") > long_chars
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, BATCH_TEXTS):
-                part = batch.slice(k, BATCH_TEXTS)
-                yield pa.record_batch([part.column(0), *columns(list(coder(path).encode(part.column(1).to_pylist())))], names)
+            for i, j, data, offsets in slices(batch.column(1)):
+                yield pa.record_batch([batch.column(0).slice(i, j - i), *columns(coder(path).encode_bytes(data, offsets))], names)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

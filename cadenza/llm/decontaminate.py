@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import ALNUM, Words, cut, map_batches, packed, shared_dir, slices, table, without
+from .shared import ALNUM, Words, cut, map_batches, shared_dir, slices, spread, table, without
 from .shared import remove as remove_folder
 
 WINDOW = 13
@@ -64,7 +64,7 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 )
 
     schema = _SHARD.format(kind=docs.schema[id_col].dataType.simpleString())
-    rows = map_batches(packed(docs, docs.count()).select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), run, schema)
+    rows = map_batches(spread(docs).select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), run, schema)
     rows.write.option("compression", "zstd").option("parquet.block.size", str(GROUP_BYTES)).parquet(path)
 
 
@@ -290,7 +290,7 @@ def judge(
 def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **names: str) -> DataFrame:
     """The documents that are not contaminated, columns unchanged. Documents that share an id go if one of them is contaminated."""
     bad = judge(docs, items, id_col, **names).where("contaminated").select("id")
-    return packed(without(docs, id_col, bad), docs.count())
+    return without(docs, id_col, bad)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import NOT_SPACE, Words, covered, map_batches, packed, prefix_hash, slices, span_hash, table, window_hash
+from .shared import NOT_SPACE, Words, covered, map_batches, prefix_hash, slices, span_hash, spread, table, window_hash
 
 #: Rows, about, and bytes of one text at most, that the estimate of cost and selectivity reads. Verdicts do not depend on it.
 SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 400, 1 << 20
@@ -204,13 +204,13 @@ def judge(
                 yield pa.record_batch(columns, ["id", *_MEASURES, "base_failed", "kept", "rejected_by"])
 
     schema = f"id {kind}, {', '.join(f'{m} bigint' for m in _MEASURES)}, base_failed boolean, kept boolean, rejected_by string"
-    return map_batches(packed(docs, docs.count()).select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), run, schema)
+    return map_batches(spread(docs).select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), run, schema)
 
 
 def keep(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = BASE_RULES + RULES) -> DataFrame:
     """The rows whose text passes every rule, columns unchanged. One cascade over all rules, nothing measured beyond what it needs."""
     ordered, at = plan(docs, rules, text_col), docs.columns.index(text_col)
-    docs = packed(docs, docs.count())
+    docs = spread(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -44,25 +44,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/cadenza-{uuid.uuid4().hex}"
 
 
-#: Rows of a file that cut() writes, where the row count is known, and least rows of a partition that packed() leaves.
-CUT_ROWS, PACKED_ROWS = 50_000, 16_384
+#: Rows of a file that cut() writes, where the row count is known.
+CUT_ROWS = 50_000
 
 
-def packed(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, of about so many rows, in no more partitions than one for each PACKED_ROWS: small tables do not become hundreds of tiny files."""
-    return df.coalesce(max(1, -(-rows // PACKED_ROWS)))
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt out to all cores if it comes from fewer files than there are cores: a file of one row group is one task's work otherwise.
+    Text work is never put into fewer tasks than its input has.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if 0 < len(docs._jdf.inputFiles()) < cores else docs
 
 
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Computes ``df`` once and cuts its lineage, in the shared folder, so that a lost executor costs no recomputation.
 
-    rows: about so many rows there are. They go into files of CUT_ROWS rows, not into one for each partition, of which small tables in
-    many rounds would write thousands.
+    rows: about so many narrow rows there are. They go into files of CUT_ROWS rows, and into one for each core at least, not into one for each
+    partition, of which small tables in many rounds would write thousands.
     """
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession).rpartition("/")[0])
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // CUT_ROWS)))
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // CUT_ROWS)))
     return df.checkpoint(eager=True)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import NOT_SPACE, Words, apply_groups, cut, map_batches, mix, packed, remove, shared_dir, slices, table, window_hash, without
+from .shared import NOT_SPACE, Words, apply_groups, cut, map_batches, mix, remove, shared_dir, slices, spread, table, window_hash, without
 
 #: A block's members are compared with each other up to this many; a fuller block's members go by one-bit neighbours, which is exact too.
 BLOCK_MEMBERS = 32
@@ -129,7 +129,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal fingerprints are merged before anything is linked, so exact copies cost one row however many they are.
     """
     n = docs.count()
-    prints = cut(fingerprints(packed(docs, n), id_col, text_col, width))
+    prints = cut(fingerprints(spread(docs), id_col, text_col, width))
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least")), n)
     n = distinct.count()
     roots = components(close_pairs(distinct.select("fp"), distance), n)
@@ -340,7 +340,7 @@ def similar_links(
     n = once.count()
     rough = components(candidate_links(once, most, planes, **blocks), n)
     rows = prints.join(rough.withColumnRenamed("node", "key"), "key").groupBy("key").agg(*[F.first(c).alias(c) for c in ("root", "s", "shingles")])
-    rows = cut(rows, n)
+    rows = cut(rows)  # whole shingle sets: as many files as their bytes ask for
     sizes = rows.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
     parts = F.ceil(F.greatest(F.col("n") / exact_members, F.col("bytes") / exact_bytes))
     tasks = _by_task(rows.join(sizes, "root"), ["root"], F.least(parts, F.col("n"))).select("task", "key", "s", "shingles")
@@ -362,7 +362,7 @@ def similar_groups(
     of its members are null; repeated rows are in one group; an empty table gives an empty result; other columns are ignored.
     """
     folder, n = shared_dir(docs.sparkSession), docs.count()
-    wide_fingerprints(packed(docs, n), id_col, text_col, width).write.option("compression", "zstd").parquet(folder)
+    wide_fingerprints(spread(docs), id_col, text_col, width).write.option("compression", "zstd").parquet(folder)
     prints = docs.sparkSession.read.parquet(folder)
     distinct = prints.groupBy("key").agg(F.min("id").alias("least"))
     roots = components(similar_links(prints, similarity, **options), n)
@@ -377,7 +377,7 @@ def similar_groups(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, **options: int) -> DataFrame:
     """docs with one document of each group of near copies, the one of the least id; columns unchanged. Rows with a null id stay."""
     gone = similar_groups(docs, id_col, text_col, width, similarity, **options).where("id <> component").select("id")
-    return packed(without(docs, id_col, gone), docs.count())
+    return without(docs, id_col, gone)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,16 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .fmindex import FMIndex
-from .shared import NOT_SPACE, Words, apply_groups, cut, map_batches, packed, remove, shared_dir, slices, table, window_hash
+from .shared import NOT_SPACE, Words, apply_groups, cut, map_batches, remove, shared_dir, slices, spread, table, window_hash
 
 WIDTH, GRAM = 50, 8
 #: Words of a shard on average, and different segments of one anchor beyond which they are taken apart into windows.
 SHARD_WORDS, ANCHOR_SEGMENTS = 150_000, 2000
-#: Different segments to a file of what is asked of documents; each has up to 92 words.
-ASKED_ROWS = 20_000
 #: Hot anchors, of 8 bytes each, that are broadcast at most.
 BROADCAST_ANCHORS = 100_000
 _LAST = (1 << 63) - 1
@@ -68,7 +67,7 @@ def _segments(words: Words, hashes: np.ndarray, width: int, gram: int) -> tuple[
     return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.uint64, np.uint64))
 
 
-_ROW = "anchor bigint, segment bigint, ord bigint, h int, start int, n int"
+_ROW = "anchor bigint, segment bigint, ord bigint, h bigint, start int, n int"
 _NAMES = ["anchor", "segment", "ord", "h", "start", "n"]
 
 
@@ -90,12 +89,16 @@ def _segment_rows(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 def _asked(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     """What is asked of documents, by (ord, h): the text of a segment, or with ``apart`` the text of each of its windows, with the window's own
-    hash as segment.
+    hash as segment. Of rows that are equal in both, a task asks the first one.
     """
-    lists = asked.groupBy("ord", "h").agg(F.collect_list(F.struct("anchor", "segment", "start", "n", "apart", "shared")).alias("asked"))
+    lists = asked.groupBy("ord", "h").agg(F.collect_set(F.struct("anchor", "segment", "start", "n", "apart", "shared")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            new = [k not in seen and not seen.add(k) for k in keys]
+            batch = batch if all(new) else batch.filter(pa.array(new))
             lists_ = batch.column(3)
             for i, j, data, offsets in slices(batch.column(2)):
                 words = Words(data, offsets, NOT_SPACE)
@@ -164,10 +167,27 @@ def _merged(rows: DataFrame) -> DataFrame:
     return rows.groupBy("anchor", "segment").agg(F.min(F.struct("ord", "h", "start", "n")).alias("rep"), F.max("ord").alias("last"))
 
 
+def _ordered(docs: DataFrame, id_col: str, name: str = "ord") -> DataFrame:
+    """docs with a further column, a number in the order of ids, null last. Integers are their own number, unless the one that stands for null is among them;
+    that case, and ids of other types, are numbered by a sorted table of the distinct ids in the shared folder.
+    """
+    kind, id_ = docs.schema[id_col].dataType, docs[f"`{id_col}`"]
+    integer = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    if integer and (not isinstance(kind, T.LongType) or docs.where(id_ == _LAST).limit(1).count() == 0):
+        return docs.withColumn(name, F.coalesce(id_.cast("bigint"), F.lit(_LAST)))
+    folder, spark = shared_dir(docs.sparkSession), docs.sparkSession
+    ids = docs.select(id_.alias("_id")).where("_id IS NOT NULL").distinct()
+    ids = ids.repartitionByRange("_id").sortWithinPartitions("_id")
+    ids.select("_id", F.monotonically_increasing_id().alias("_number")).write.parquet(folder)  # rises with partitions and rows
+    numbers = spark.read.parquet(folder)
+    joined = docs.join(numbers, id_ == numbers["_id"], "left")
+    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], F.coalesce(numbers["_number"], F.lit(_LAST)).alias(name))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(ord, h, id, text): documents by their order, and by a hash of the text to tell those that share an id."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("ord"), F.hash(text).alias("h"), text.alias("text"))
+    """(id, text, ord, h): documents by their order, and by a hash of the text to tell those that share an id."""
+    narrow = spread(docs).select(docs[f"`{id_col}`"].alias("id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
+    return _ordered(narrow, "id").withColumn("h", F.xxhash64("text"))
 
 
 def repeats(
@@ -175,8 +195,14 @@ def repeats(
     shard_words: int = SHARD_WORDS
 ) -> DataFrame:
     """(ord, h, spans): for each document with windows that also start in an earlier one, runs of their first words as (low, high) from 0."""
-    spark = docs.sparkSession
-    keyed = packed(_keyed(docs, id_col, text_col), docs.count())
+    return _repeats(_keyed(docs, id_col, text_col), width, gram, anchor_segments, shard_words)
+
+
+def _repeats(
+    keyed: DataFrame, width: int = WIDTH, gram: int = GRAM, anchor_segments: int = ANCHOR_SEGMENTS, shard_words: int = SHARD_WORDS
+) -> DataFrame:
+    spark = keyed.sparkSession
+    keyed = keyed.select("ord", "h", "text")
     path = shared_dir(spark)
     _segment_rows(keyed, width, gram).write.option("compression", "zstd").parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
@@ -195,7 +221,7 @@ def repeats(
         asked = asked.unionByName(
             rows.join(F.broadcast(hot) if n_hot <= BROADCAST_ANCHORS else hot, "anchor").withColumns({"apart": F.lit(True), "shared": F.lit(True)})
         )
-    _asked(keyed, asked, width).coalesce(1 + n_units // ASKED_ROWS).write.option("compression", "zstd").parquet(f"{path}/asked")
+    _asked(keyed, asked, width).write.option("compression", "zstd").parquet(f"{path}/asked")
     got = spark.read.parquet(f"{path}/asked")
     texts = got.where("not apart")
     if n_hot:
@@ -216,7 +242,7 @@ def repeats(
         F.when(F.col("is_least"), F.col("ord") == F.col("least")).otherwise(F.col("ord") > F.col("least"))
     )
     spans = met.groupBy("ord", "h").agg(
-        F.collect_list(F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))).alias("spans")
+        F.collect_set(F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))).alias("spans")
     )
     spans = cut(spans, n_units)
     remove(spark, path)
@@ -252,9 +278,9 @@ def _kept_texts(words: Words, removed: np.ndarray) -> list[bytes]:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, **options: int) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of every document."""
-    spans = repeats(docs, id_col, text_col, width, **options)
+    keyed = _keyed(docs, id_col, text_col)
+    spans = _repeats(keyed, width, **options)
     kind = docs.schema[id_col].dataType.simpleString()
-    keyed = _keyed(docs, id_col, text_col).withColumn("id", F.when(F.col("ord") != _LAST, F.col("ord")).cast(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,17 +294,20 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
                 )
 
     joined = keyed.join(spans, ["ord", "h"], "left").select("id", "text", "spans")
-    return map_batches(packed(joined, docs.count()), run, f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
+    return map_batches(joined, run, f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, **options: int) -> DataFrame:
     """docs with repeated words taken out of the texts that have any: what stays of such a text is joined by single spaces. Other texts, and
     all other columns, are unchanged.
     """
-    spans = repeats(docs, id_col, text_col, width, **options)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    spans = _repeats(_keyed(docs, id_col, text_col), width, **options)
+    name = "_order_of_ids"
+    while name in docs.columns:
+        name += "_"
+    ordered, text = _ordered(docs, id_col, name), F.coalesce(docs[f"`{text_col}`"], F.lit(""))
     keys = spans.select(F.col("ord").alias("_ord"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
-    joined = docs.join(keys, (F.coalesce(docs[id_col].cast("bigint"), F.lit(_LAST)) == keys["_ord"]) & (F.hash(text) == keys["_h"]), "left")
+    joined = ordered.join(keys, (ordered[name] == keys["_ord"]) & (F.xxhash64(text) == keys["_h"]), "left")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +323,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rest[at] = pa.array(texts, batch.schema.field(at).type)
                 yield pa.record_batch(rest, batch.schema.names[:-1])
 
-    joined = packed(joined, docs.count())
     return map_batches(joined.select(*[docs[f"`{c}`"] for c in docs.columns], keys["_spans"].alias("_spans_of_repeats")), run, docs.schema)
 
 
@@ -362,7 +390,7 @@ def matching_statistics(
                             yield pa.record_batch(columns, ["id", "shard", "start", "length"])
 
         texts = corpus.select(corpus[f"`{text_col}`"].alias("text"))
-        map_batches(packed(texts, corpus.count()), run, schema).write.mode("append").parquet(folder)
+        map_batches(spread(texts), run, schema).write.mode("append").parquet(folder)
         sent.destroy()
     return spark.read.schema(schema).parquet(folder)
 
