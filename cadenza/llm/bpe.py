@@ -280,7 +280,7 @@ def _pieces(docs: DataFrame, folder: str, piece_chars: int) -> DataFrame:
     return docs.sparkSession.read.parquet(folder)
 
 
-def _encoded(
+def encode_columns(
     docs: DataFrame, id_col: str, text_col: str, path: str, columns: Callable[[list[np.ndarray]], list[pa.Array]], schema: str,
     long_chars: int = LONG_CHARS, piece_chars: int = PIECE_CHARS,
 ) -> DataFrame:
@@ -321,7 +321,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def columns(ids: list[np.ndarray]) -> list[pa.Array]:
         return [pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))]
 
-    return _encoded(docs, id_col, text_col, path or vocabulary_path(), columns, "ids array<bigint>", **sizes)
+    return encode_columns(docs, id_col, text_col, path or vocabulary_path(), columns, "ids array<bigint>", **sizes)
 
 
 def decode(encoded: DataFrame, id_col: str = "id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -352,7 +352,7 @@ def round_trip(
         return [pa.array([len(x) for x in ids], pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), *kept]
 
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return _encoded(docs, id_col, text_col, path, columns, schema, **sizes)
+    return encode_columns(docs, id_col, text_col, path, columns, schema, **sizes)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
