@@ -152,6 +152,13 @@ class Coder:
 
     def leaf(self, text: str) -> Part:
         """A stretch of text, encoded as if it were a whole text."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        if len(data) and self.may_cut:
+            starts, whole = byte_splits.boundaries(data, np.array([0, len(data)]), self._marks)
+            if not len(whole):  # all splits are known as such
+                flat, where = byte_splits.encode(data, starts, whole, self.table, self._split, self._stretches)
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                return Part(text, chars[np.append(starts[1:], len(data))], np.diff(where), flat)
         splits = self.splits(text)
         begins = [0, *(end for end, _ in splits)]
         tokens = [self._tokens(text, begin, end, what) for begin, (end, what) in zip(begins, splits)]
@@ -219,8 +226,11 @@ class Coder:
         """Ids of texts that lie end to end, in UTF-8, as unsigned 32-bit integers."""
         if not self.may_cut:
             return [np.array(x, np.uint32) for x in self._stretches([data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])])]
-        flat, where = byte_splits.encode(data, offsets, self.table, self._marks, self._split, self._stretches)
-        return np.split(flat, where[1:-1]) if len(offsets) > 1 else []
+        if not len(data):
+            return [np.zeros(0, np.uint32)] * (len(offsets) - 1)
+        starts, whole = byte_splits.boundaries(data, offsets, self._marks)
+        flat, where = byte_splits.encode(data, starts, whole, self.table, self._split, self._stretches)
+        return np.split(flat, where[np.searchsorted(starts, offsets[1:-1])]) if len(offsets) > 1 else []
 
     def _split(self, part: bytes) -> list[int]:
         """The ids of one split."""

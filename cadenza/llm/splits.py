@@ -169,16 +169,13 @@ def _contractions(data: np.ndarray, kind: np.ndarray, before: np.ndarray, first:
 
 
 def encode(
-    data: np.ndarray, offsets: np.ndarray, table: Table, marks: list[bytes], split_ids: Callable[[bytes], list[int]],
+    data: np.ndarray, starts: np.ndarray, whole: np.ndarray, table: Table, split_ids: Callable[[bytes], list[int]],
     stretch_ids: Callable[[list[bytes]], list[list[int]]],
 ) -> tuple[np.ndarray, np.ndarray]:
-    """The token ids of all texts in one array, and the position in it at which each text begins, with one more for the end.
+    """The token ids of all splits in one array, and the position in it at which each split begins, with one more for the end.
 
-    split_ids: the ids of one split; stretch_ids: those of stretches that have to be encoded whole.
+    starts, whole: as boundaries() gives them; split_ids: the ids of one split; stretch_ids: those of stretches that have to be encoded whole.
     """
-    if not len(data):
-        return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-    starts, whole = boundaries(data, offsets, marks)
     sizes = np.diff(np.append(starts, len(data)))
     padded = np.concatenate([data, np.zeros(MOST_BYTES, np.uint8)])
     words = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
@@ -218,4 +215,4 @@ def encode(
     lengths = at[rows + 1] - at[rows]
     where = np.concatenate([[0], np.cumsum(lengths)])
     flat = ids[np.arange(where[-1]) + np.repeat(at[rows] - where[:-1], lengths)]
-    return flat, where[np.searchsorted(starts, offsets)]
+    return flat, where
