@@ -1,12 +1,11 @@
 """Similarity of pieces and vectors: cosine, Pearson, alignment, longest common subsequence, hashing.
 
-Searches take a stated set of queries against all rows. Queries travel to the rows in bounded blocks; nothing pairs all rows with all rows.
+Searches take a stated set of queries against all rows. Parts of the rows and blocks of the queries, both of bounded size, meet by a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,21 +13,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_seq, correlation
+from ..functions.columns import by_seq
+from . import neighbours, warping
 
-#: Queries that travel to the rows at once, or about so many.
-MOST_QUERIES = 10_000
 #: Bands and sign bits of a band in the index of vectors, which reach the nearest ten even where no vectors lie close to each other.
 BANDS, BAND_BITS = 64, 6
+#: Pieces of a part and queries of a block: they meet in one task each.
+PART_PIECES, BLOCK_QUERIES = 512, 64
 
 
-def _in_blocks(queries: DataFrame, id_col: str, most_queries: int, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The union of what ``found`` gives for each block of the queries."""
-    blocks = max(1, -(-queries.count() // most_queries))
-    return reduce(
-        DataFrame.unionByName,
-        [found(queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == k) if blocks > 1 else queries) for k in range(blocks)]
-    )
+def _pairs(
+    pieces: DataFrame, queries: DataFrame, judge: Callable[[list, list], tuple | None], columns: str, part_pieces: int = PART_PIECES,
+    block_queries: int = BLOCK_QUERIES,
+) -> DataFrame:
+    """(query, piece_id, and what ``judge`` makes of the series of the piece and of the query) for every query with every other piece that it judges, both tables
+    being (piece_id, x). Parts of the pieces and blocks of the queries meet by a shuffle, so nothing is broadcast; the result has a row for
+    each pair, by definition.
+    """
+    parts, blocks = max(1, -(-pieces.count() // part_pieces)), max(1, -(-queries.count() // block_queries))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = pieces.withColumn("part", F.pmod(F.xxhash64("piece_id"), F.lit(parts)).cast("int")).withColumn("block", each(blocks))
+    asked = queries.select(F.col("piece_id").alias("query"), F.col("x").alias("q"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("part", each(parts))
+    kind = pieces.schema["piece_id"].dataType.simpleString()
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        pairs = ((q, p, judge(x, y)) for q, y in zip(asked["query"], asked["q"]) for p, x in zip(rows["piece_id"], rows["x"]) if p != q)
+        met = [(q, p, *judged) for q, p, judged in pairs if judged is not None]
+        return pd.DataFrame(met, columns=["query", "piece_id", *names])
+
+    return rows.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInPandas(run, f"query {kind}, piece_id {kind}, {columns}")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -39,59 +54,48 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, top: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", most_queries: int = MOST_QUERIES
+    vectors: DataFrame, queries: DataFrame, top: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", part_rows: int = neighbours.PART_ROWS
 ) -> DataFrame:
-    """(query, neighbour, rank, score): exact cosine neighbours of each query among all other rows. Queries go in blocks of about ``most_queries``."""
-
-    def found(block: DataFrame) -> DataFrame:
-        q = block.select(F.col(id_col).alias("query"), F.col(vector_col).alias("qv"))
-        scored = vectors.select(
-            F.col(id_col).alias("neighbour"), F.col(vector_col).alias("v")
-        ).join(F.broadcast(q), F.col("neighbour") != F.col("query")).select(
-            "query", "neighbour", F.round(cosine(F.col("qv"), F.col("v")), 9).alias("score")
-        )
-        order = Window.partitionBy("query").orderBy(F.desc("score"), "neighbour")
-        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-
-    return _in_blocks(queries, id_col, most_queries, found)
-
-
-def pearson_to(notes: DataFrame, queries: DataFrame, column: str = "pitch", most_queries: int = 500) -> DataFrame:
-    """(query, piece_id, r, similarity) of every other piece with each piece in ``queries``, over the places that both have; (r + 1) / 2, and r
-    = 0 without variation.
+    """(query, neighbour, score, rank): exact cosine neighbours of each query among all other rows, in blocks of rows and queries."""
+    return neighbours.exact(vectors, queries, top, id_col, vector_col, part_rows)
+
+
+def _pearson(x: list, y: list) -> tuple[float, float] | None:
+    """Correlation of two lists of (place, value) over the places that both have, if any, and the same as a similarity."""
+    a, b = {r["at"]: r["value"] for r in x}, {r["at"]: r["value"] for r in y}
+    if a.keys().isdisjoint(b):
+        return None
+    both = np.array([(v, b[k]) for k, v in a.items() if k in b and v is not None and b[k] is not None], float).reshape(-1, 2)
+    centred = both - both.mean(axis=0) if len(both) else both
+    norm = float(np.sqrt((centred**2).sum(axis=0)).prod())
+    varies = len(both) and (np.ptp(both, axis=0) > 0).all()
+    r = float((centred[:, 0] * centred[:, 1]).sum()) / norm if varies else 0.0
+    return r, (r + 1) / 2
+
+
+def pearson_to(notes: DataFrame, queries: DataFrame, column: str = "pitch", **sizes: int) -> DataFrame:
+    """(query, piece_id, r, similarity) of every other piece with each piece in ``queries``, where they have a place in common; over the places that
+    both have; (r + 1) / 2, and r = 0 without variation.
     """
-    x = F.col(column).cast("double")
 
-    def found(block: DataFrame) -> DataFrame:
-        mine = block.select(F.col("piece_id").alias("query"), F.col("seq").alias("_at"), x.alias("_q"))
-        met = notes.join(F.broadcast(mine), (F.col("seq") == F.col("_at")) & (F.col("piece_id") != F.col("query")))
-        r = met.groupBy("query", "piece_id").agg(F.coalesce(correlation(x, F.col("_q")), F.lit(0.0)).alias("r"))
-        return r.withColumn("similarity", (F.col("r") + 1) / 2)
+    def series(n: DataFrame) -> DataFrame:
+        return n.groupBy("piece_id").agg(F.collect_list(F.struct(F.col("seq").alias("at"), F.col(column).cast("double").alias("value"))).alias("x"))
 
-    return _in_blocks(queries, "piece_id", most_queries, found)
+    return _pairs(series(notes), series(queries), _pearson, "r double, similarity double", **sizes)
 
 
 def dtw(a: np.ndarray, b: np.ndarray) -> float:
-    """Dynamic time warping distance of two series with absolute differences, by anti-diagonals."""
-    n, m = len(a), len(b)
-    if not n or not m:
-        return 0.0 if n == m else float("inf")
-    cost = np.abs(np.subtract.outer(a.astype(float), b.astype(float)))
-    total = np.full((n + 1, m + 1), np.inf)
-    total[0, 0] = 0
-    for k in range(2, n + m + 1):
-        i = np.arange(max(1, k - m), min(n, k - 1) + 1)
-        j = k - i
-        total[i, j] = cost[i - 1, j - 1] + np.minimum(total[i - 1, j - 1], np.minimum(total[i - 1, j], total[i, j - 1]))
-    return float(total[n, m])
+    """Dynamic time warping distance of two series with absolute differences, row by row in memory of one row."""
+    if not len(a) or not len(b):
+        return 0.0 if len(a) == len(b) else float("inf")
+    return float(warping.distances(np.asarray(a, float), [np.asarray(b, float)])[0])
 
 
 def lcs(a: np.ndarray, b: np.ndarray, tolerance: float = 0.0) -> int:
-    """Length of the longest common subsequence, values being equal within the tolerance."""
-    same = np.abs(np.subtract.outer(a.astype(float), b.astype(float))) <= tolerance
-    row = np.zeros(len(b) + 1, np.int64)
-    for line in same:
-        found = np.where(line, row[:-1] + 1, 0)
+    """Length of the longest common subsequence, values being equal within the tolerance; memory of one row."""
+    b, row = np.asarray(b, float), np.zeros(len(b) + 1, np.int64)
+    for x in np.asarray(a, float):
+        found = np.where(np.abs(b - x) <= tolerance, row[:-1] + 1, 0)
         row = np.concatenate([[0], np.maximum.accumulate(np.maximum(found, row[1:]))])
     return int(row[-1])
 
@@ -158,30 +162,20 @@ def resolve_series(
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate((source or [])[:most])], "index int, value double")
 
 
-def align_to(notes: DataFrame, queries: DataFrame, least_notes: int = 10, most_queries: int = 500) -> DataFrame:
-    """(query, piece_id, dtw_distance, dtw_similarity, lcs_length, lcs_similarity): every piece of at least ``least_notes`` notes against each
-    other piece in ``queries``; warping on intervals, subsequences on pitches within one semitone.
-    """
+def _aligned(x: list, q: list) -> tuple:
+    x, q = np.array(x, float), np.array(q, float)
+    d, common = dtw(np.diff(x), np.diff(q)), lcs(x, q, 1.0)
+    return d, max(0.0, 1 - d / max(len(x) + len(q) - 2, 1)), common, common / max(len(x), len(q), 1)
 
-    def series(n: DataFrame) -> DataFrame:
-        return n.groupBy("piece_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "pitch"))), lambda x: x["pitch"]).alias("x"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for query, piece, q, x in frame[["query", "piece_id", "q", "x"]].itertuples(index=False):
-                d, common = dtw(np.diff(x), np.diff(q)), lcs(x, q, 1.0)
-                rows.append((query, piece, d, max(0.0, 1 - d / max(len(x) + len(q) - 2, 1)), common, common / max(len(x), len(q), 1)))
-            yield pd.DataFrame(rows, columns=["query", "piece_id", "dtw_distance", "dtw_similarity", "lcs_length", "lcs_similarity"])
-
-    def found(block: DataFrame) -> DataFrame:
-        mine = F.broadcast(block.select(F.col("piece_id").alias("query"), F.col("x").alias("q")))
-        return pieces.join(mine, F.col("piece_id") != F.col("query")).mapInPandas(
-            run, "query bigint, piece_id bigint, dtw_distance double, dtw_similarity double, lcs_length int, lcs_similarity double"
-        )
-
-    pieces = series(notes).where(F.size("x") >= least_notes)
-    return _in_blocks(series(queries), "piece_id", most_queries, found)
+def align_to(notes: DataFrame, queries: DataFrame, least_notes: int = 10, **sizes: int) -> DataFrame:
+    """(query, piece_id, dtw_distance, dtw_similarity, lcs_length, lcs_similarity): every piece of at least ``least_notes`` notes against each
+    other piece in ``queries``; warping on intervals, subsequences on pitches within one semitone. warping.similar() finds the most similar
+    pieces without computing all of these.
+    """
+    pieces, asked = warping.series_of(notes, "pitch", least_notes), warping.series_of(queries, "pitch", 1)
+    columns = "dtw_distance double, dtw_similarity double, lcs_length int, lcs_similarity double"
+    return _pairs(pieces, asked, _aligned, columns, **sizes)
 
 
 def lsh_buckets(

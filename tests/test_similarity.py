@@ -11,7 +11,7 @@ from cadenza.plans import catalog
 def test_nearest_takes_more_queries_than_a_block_holds(spark, sf_dir):
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     q = v.where("vec_id % 20 = 0")
-    rows = lambda n: sorted(tuple(r) for r in sim.nearest(v, q, most_queries=n).select("query", "neighbour", "rank", "score").collect())
+    rows = lambda n: sorted(tuple(r) for r in sim.nearest(v, q, part_rows=n).select("query", "neighbour", "rank", "score").collect())
     assert rows(7) == rows(1000) and len(rows(7)) == 10 * q.count()
 
 
@@ -28,7 +28,7 @@ def test_alignment_in_blocks_equals_each_query_by_itself(spark):
         [(p, k, int(x)) for p, n in ((0, 12), (1, 15), (2, 9), (20, 11)) for k, x in enumerate(rng.integers(50, 70, n))],
         "piece_id long, seq int, pitch int"
     )
-    rows = lambda q, n: sorted(tuple(r) for r in sim.align_to(notes, notes.where(q), most_queries=n).collect())
+    rows = lambda q, n: sorted(tuple(r) for r in sim.align_to(notes, notes.where(q), block_queries=n).collect())
     both = rows("piece_id % 20 = 0", 1)
     assert both == rows("piece_id % 20 = 0", 100) == sorted(rows("piece_id = 0", 9) + rows("piece_id = 20", 9))
     assert [r[:2] for r in both] == [(0, 1), (0, 20), (20, 0), (20, 1)]
