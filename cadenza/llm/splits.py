@@ -44,7 +44,6 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
-_FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
@@ -53,28 +52,27 @@ class Table:
 
     def __init__(self, most: int):
         self.most, self.n = most, 0
-        self._grow(1 << 12)
-        self.ids, self.starts = np.zeros(1 << 14, np.uint32), np.zeros(1 << 12, np.int64)
+        self._empty(1 << 12)
+        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _grow(self, slots: int) -> None:
-        old = (self.low, self.high, self.row) if self.n else None
+    def _empty(self, slots: int) -> None:
         self.low, self.high, self.row = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
-        if old:
-            kept = old[2] >= 0
-            for low, high, row in zip(*(x[kept].tolist() for x in old)):
-                self._place(low, high, row)
 
     def _slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        mixed = (low ^ (high * np.uint64(_FACTORS[0]))) * np.uint64(_FACTORS[1])
+        mixed = (low ^ (high * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
         return ((mixed ^ (mixed >> np.uint64(32))) & np.uint64(len(self.row) - 1)).astype(np.int64)
 
-    def _place(self, low: int, high: int, row: int) -> None:
-        most, end = (1 << 64) - 1, len(self.row) - 1
-        mixed = ((low ^ (high * _FACTORS[0] & most)) * _FACTORS[1]) & most  # as in _slots
-        slot = (mixed ^ (mixed >> 32)) & end
-        while self.row[slot] >= 0:
-            slot = (slot + 1) & end
-        self.low[slot], self.high[slot], self.row[slot] = low, high, row
+    def _place(self, low: np.ndarray, high: np.ndarray, row: np.ndarray) -> None:
+        """Puts different splits into free slots: of those that meet in one, one stays and the others go on to the next."""
+        slot = self._slots(low, high)
+        while len(row):
+            free = np.flatnonzero(self.row[slot] < 0)
+            at, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.low[at], self.high[at], self.row[at] = low[won], high[won], row[won]
+            stays = np.ones(len(row), bool)
+            stays[won] = False
+            low, high, row, slot = low[stays], high[stays], row[stays], (slot[stays] + 1) & (len(self.row) - 1)
 
     def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The row of each split, -1 where there is none."""
@@ -88,22 +86,22 @@ class Table:
             open_ = open_[(row[open_] >= 0) & ((self.low[at] != low[open_]) | (self.high[at] != high[open_]))]
         return row
 
-    def add(self, low: int, high: int, ids: list[int]) -> int:
-        """The row of a new split, or -1 if the table is full."""
-        if self.n == self.most:
-            return -1
-        if 3 * self.n >= len(self.row):
-            self._grow(4 * len(self.row))
-        begin = int(self.starts[self.n])
-        for name, need in (("ids", begin + len(ids)), ("starts", self.n + 2)):
-            have = getattr(self, name)
-            if need > len(have):
-                setattr(self, name, np.concatenate([have, np.zeros(max(need, len(have)), have.dtype)]))
-        self.ids[begin : begin + len(ids)] = ids
-        self.starts[self.n + 1] = begin + len(ids)
-        self._place(low, high, self.n)
-        self.n += 1
-        return self.n - 1
+    def add(self, low: np.ndarray, high: np.ndarray, ids: list[list[int]]) -> int:
+        """Takes new, different splits, as far as there is room; how many it took."""
+        k = min(len(low), self.most - self.n)
+        if k <= 0:
+            return 0
+        if 2 * (self.n + k) >= len(self.row):
+            kept = self.row >= 0
+            old = self.low[kept], self.high[kept], self.row[kept]
+            self._empty(1 << (3 * (self.n + k)).bit_length())
+            self._place(*old)
+        ends = self.starts[-1] + np.cumsum([len(x) for x in ids[:k]], dtype=np.int64)
+        self.ids = np.concatenate([self.ids, np.array([i for x in ids[:k] for i in x], np.uint32)])
+        self.starts = np.concatenate([self.starts, ends])
+        self._place(low[:k], high[:k], np.arange(self.n, self.n + k, dtype=np.int32))
+        self.n += k
+        return k
 
 
 def boundaries(data: np.ndarray, offsets: np.ndarray, marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -191,16 +189,11 @@ def encode(
     if len(new):
         # equal splits share one number
         pairs, inverse = np.unique(np.stack([low[new], high[new]], axis=1), axis=0, return_inverse=True)
-        found, beyond = np.empty(len(pairs), np.int64), []
-        for k, (a, b) in enumerate(pairs.tolist()):
-            ids = split_ids((a.to_bytes(8, "little") + b.to_bytes(8, "little")).rstrip(b"\0"))
-            found[k] = table.add(a, b, ids)
-            if found[k] < 0:
-                beyond.append(k)
-                extra.append(ids)
+        ids_of = [split_ids((a.to_bytes(8, "little") + b.to_bytes(8, "little")).rstrip(b"\0")) for a, b in pairs.tolist()]
+        taken = table.add(pairs[:, 0], pairs[:, 1], ids_of)
+        extra += ids_of[taken:]
+        rows[new] = base + inverse.ravel()  # those that the table did not take stand right behind its rows
         base = table.n
-        found[beyond] = base + np.arange(len(beyond))
-        rows[new] = found[inverse.ravel()]
     others = np.flatnonzero(apart)
     if len(others):
         raw, stretch = data.tobytes(), np.isin(starts[others], whole)
@@ -208,9 +201,9 @@ def encode(
         together = iter(stretch_ids([p for p, w in zip(parts, stretch) if w]))
         rows[others] = base + len(extra) + np.arange(len(others))
         extra += [next(together) if w else split_ids(p) for p, w in zip(parts, stretch)]
-    ids, at = table.ids, table.starts[: table.n + 1]
+    ids, at = table.ids, table.starts
     if extra:
-        ids = np.concatenate([ids[: at[-1]], np.array([i for x in extra for i in x], np.uint32)])
+        ids = np.concatenate([ids, np.array([i for x in extra for i in x], np.uint32)])
         at = np.concatenate([at, at[-1] + np.cumsum([len(x) for x in extra], dtype=np.int64)])
     lengths = at[rows + 1] - at[rows]
     where = np.concatenate([[0], np.cumsum(lengths)])
