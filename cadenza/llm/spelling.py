@@ -34,6 +34,8 @@ from .shared import LOWER, apply_groups, cut, map_batches, slices, spread, table
 LEAST_CHARS, LEAST_COUNT, RATIO = 6, 5, 5
 #: Words of a shard on average, and words of one part of the vocabulary beyond which it is dealt anew.
 SHARD_WORDS, PART_WORDS = 30_000, 10_000
+#: Shards that a task builds and searches on average, one after another.
+SHARDS_A_TASK = 2
 #: Parts, of some 40 bytes each, that are broadcast at most when they are dealt anew.
 BROADCAST_PARTS = 50_000
 #: Different words that a task counts before it hands them on.
@@ -161,13 +163,14 @@ def _search(shard: pa.Table) -> pa.Table:
 def near_words(words: DataFrame, shard_words: int = SHARD_WORDS, part_words: int = PART_WORDS) -> DataFrame:
     """(word, near, near_n): all pairs of different words (word, n), either way round, that differ by one inserted, deleted or replaced character."""
     parts = _parts(words, part_words)
-    rows = words.count() * 6
+    shards = max(1, -(-words.count() * 6 // shard_words))
     own = F.char_length("word") == F.col("len")
     forward = F.col("path").endswith("F")
     dealt = parts.select(
-        F.pmod("part", F.lit(max(1, -(-rows // shard_words)))).alias("shard"), "word", "n", forward.alias("is_forward"),
+        F.pmod("part", F.lit(shards)).alias("shard"), "word", "n", forward.alias("is_forward"),
         F.when(own, F.when(forward, F.col("a")).otherwise(F.col("b"))).alias("exact"),
     )
+    dealt = dealt.repartition(max(1, shards // SHARDS_A_TASK), "shard")  # little data and much work: bytes are no measure of it
     return apply_groups(dealt, "shard", _search, "word string, near string, near_n bigint").distinct()
 
 
