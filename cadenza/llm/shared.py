@@ -59,13 +59,13 @@ def spread(docs: DataFrame) -> DataFrame:
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Computes ``df`` once and cuts its lineage, in the shared folder, so that a lost executor costs no recomputation.
 
-    rows: about so many narrow rows there are. They go into files of CUT_ROWS rows, and into one for each core at least, not into one for each
-    partition, of which small tables in many rounds would write thousands.
+    rows: about so many rows there are, of a few numbers each. They go into files of CUT_ROWS rows, not into one for each partition, of which
+    small tables in many rounds would write thousands. Rows that hold texts or sets are cut without it.
     """
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession).rpartition("/")[0])
     if rows is not None:
-        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // CUT_ROWS)))
+        df = df.coalesce(max(1, -(-rows // CUT_ROWS)))
     return df.checkpoint(eager=True)
 
 
