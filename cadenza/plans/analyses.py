@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..functions.columns import sql_round as R
-from ..operators import chaos, forms, games, neighbours, warping
+from ..operators import chaos, forms, games, layout, neighbours, warping
 from ..operators import similarity as sim
 from ..sources import views
 from ..sources.views import MOTES_SQL, NOTES_SQL
@@ -51,6 +51,7 @@ QUERIES = {
     "alignment_similarity": _n(lambda n: sim.align_to(n, n.where("piece_id % 20 = 0"))),
     "lsh_search": lambda s, d: rounded(sim.lsh_search(v := _vectors(s, d), v.where("vec_id % 20 = 0"))), "normalized_series": _n(sim.normalized),
     "neighbour_search": lambda s, d: rounded(neighbours.search(v := _vectors(s, d), v.where("vec_id % 20 = 0"))),
+    "neighbour_layout": lambda s, d: rounded(layout.layout(_vectors(s, d)), 3),
     "warping_search": lambda s, d: rounded(_warped(s, d)[0]), "warping_pruning": lambda s, d: _warped(s, d)[1],
     "interval_series": _n(lambda n: sim.sequence_of(n, "interval")),
 }
