@@ -108,3 +108,14 @@ def test_nulls_repeats_long_urls_clashing_columns_and_empty_tables(spark):
     assert (3, "casino-bets.com", long[22:], None, "block") in found
     assert (4, "news.example.org", "/en/1", "example.org/en/1", "block") in found and (5, "jazz.com", "/de/x", "com/de/", "block") in found
     assert urls.judge(pages.limit(0)).count() == 0
+
+
+def test_precision_and_recall_on_hosts_written_apart_from_the_words():
+    """Some two hundred hosts, with clean ones that hold the letters of unwanted words."""
+    from tests.llm.url_hosts import CLEAN as ALONE
+    from tests.llm.url_hosts import UNWANTED
+
+    parts = [urls.split_url("http://" + u) for u in ALONE + UNWANTED]
+    precision, recall = scores(verdicts(urls.default_model(), parts), np.arange(len(parts)) >= len(ALONE))
+    print("precision", precision, "recall", recall)
+    assert precision >= 0.95 and recall >= 0.8
