@@ -1,7 +1,7 @@
 """Phase-space measures of pitch series: embedding, delay, divergence, dimension, Hurst exponent, recurrence.
 
-Distances between all moments of one piece are the measure itself; they are made in numpy, one piece at a time, with the size limits that belong
-to the definitions (500 sampled points for the dimension, the first 800 for recurrence).
+Computed in numpy, one piece at a time. Distances between all moments are made only within the size limits that belong to the definitions (500
+sampled points for the dimension, the first 800 for recurrence); nearest neighbours in phase space are searched in a grid.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def _embed(x: np.ndarray, dim: int, tau: int) -> np.ndarray:
     return np.stack([x[d * tau : d * tau + rows] for d in range(dim)], axis=1) if rows > 0 else np.zeros((0, dim))
 
 
-#: Pairs of points whose distances are held at once.
+#: Pairs of moments whose distances are held at once.
 _BLOCK_PAIRS = 1 << 20
 
 
@@ -52,20 +52,78 @@ def optimal_delay(x: np.ndarray, most: int = 20) -> int:
     return next((k + 1 for k in range(1, most - 1) if values[k] < min(values[k - 1], values[k + 1])), most // 4)
 
 
+def _ring(dim: int, r: int) -> np.ndarray:
+    """Offsets of the cells at Chebyshev distance r."""
+    grid = np.stack(np.meshgrid(*[np.arange(-r, r + 1)] * dim, indexing="ij"), axis=-1).reshape(-1, dim)
+    return grid[np.abs(grid).max(axis=1) == r]
+
+
+def nearest_apart(points: np.ndarray, rows: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, partner) for those of the first ``rows`` points that have one: the nearest point more than ``apart`` places away, of equally near ones the
+    first.
+
+    Different points lie in a grid of cells, searched ring by ring until nothing beyond can be as near. Of equal points only the first few can be
+    the answer, as at most 2 * apart + 1 of them are too close in time; so neither dense nor constant series are compared pair by pair.
+    """
+    n, dim = points.shape
+    different, inverse = np.unique(points, axis=0, return_inverse=True)
+    order = np.argsort(inverse.ravel(), kind="stable")  # places of each different point, rising
+    begins = np.searchsorted(inverse.ravel()[order], np.arange(len(different) + 1))
+    low, extent = different.min(axis=0), np.ptp(different, axis=0).max()
+    side = max(extent / max(1.0, len(different) ** (1 / dim)), 1e-12)
+    cells = np.floor((different - low) / side).astype(np.int64)
+    most = int(cells.max()) + 1
+    weights = (most + 2) ** np.arange(dim, dtype=np.int64)
+    key = (cells + 1) @ weights
+    by_cell = np.argsort(key, kind="stable")
+    keys = key[by_cell]
+    best, partner = np.full(rows, np.inf), np.full(rows, -1, np.int64)
+    open_, r = np.arange(rows), 0
+    own = cells[inverse.ravel()[:rows]]
+    while len(open_) and r <= most:
+        for offset in _ring(dim, r):
+            at = own[open_] + offset
+            inside = ((at >= 0) & (at < most)).all(axis=1)
+            wanted = (at[inside] + 1) @ weights
+            a, b = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+            _compare(points, open_[inside][b > a], a[b > a], b[b > a], by_cell, begins, order, apart, best, partner)
+        # what is not yet seen lies at least r sides away
+        open_ = open_[best[open_] >= r * side]
+        r += 1
+    some = partner >= 0
+    return np.flatnonzero(some), partner[some]
+
+
+def _compare(
+    points: np.ndarray, queries: np.ndarray, a: np.ndarray, b: np.ndarray, by_cell: np.ndarray, begins: np.ndarray, order: np.ndarray, apart: int,
+    best: np.ndarray, partner: np.ndarray,
+) -> None:
+    """Compares queries with the first places of the different points [a, b) of a cell each, some queries at a time."""
+    for part in np.array_split(np.arange(len(queries)), max(1, int((b - a).sum()) * (2 * apart + 2) // _BLOCK_PAIRS)) if len(queries) else []:
+        q = np.repeat(queries[part], (b - a)[part])
+        step = np.arange(len(q)) - np.repeat(np.cumsum((b - a)[part]) - (b - a)[part], (b - a)[part])
+        point = by_cell[np.repeat(a[part], (b - a)[part]) + step]
+        size = np.minimum(begins[point + 1] - begins[point], 2 * apart + 2)
+        q2 = np.repeat(q, size)
+        place = order[np.repeat(begins[point], size) + np.arange(len(q2)) - np.repeat(np.cumsum(size) - size, size)]
+        far = np.abs(q2 - place) > apart
+        q2, place = q2[far], place[far]
+        distance = np.sqrt(sum((points[q2, k] - points[place, k]) ** 2 for k in range(points.shape[1])))
+        first = np.lexsort((place, distance, q2))
+        q2, place, distance = q2[first], place[first], distance[first]
+        head = np.flatnonzero(np.concatenate([[True], q2[1:] != q2[:-1]])) if len(q2) else np.zeros(0, np.int64)
+        q2, place, distance = q2[head], place[head], distance[head]
+        better = (distance < best[q2]) | ((distance == best[q2]) & (place < partner[q2]))
+        best[q2[better]], partner[q2[better]] = distance[better], place[better]
+
+
 def lyapunov(x: np.ndarray, dim: int = 3, tau: int = 1, apart: int = 5, steps: int = 20) -> float:
     """Slope of the mean log distance of nearest neighbours, at least ``apart`` + 1 moments away, over the steps that follow."""
     points = _embed(x, dim, tau)
     n = len(points)
     if n < steps + apart:
         return 0.0
-    found, block = [], max(1, _BLOCK_PAIRS // n)
-    for begin in range(0, n - steps, block):  # a block of rows against all points at a time
-        rows = np.arange(begin, min(begin + block, n - steps))
-        distance = np.sqrt(sum((np.subtract.outer(points[rows, k], points[:, k])) ** 2 for k in range(dim)))
-        distance[np.abs(np.subtract.outer(rows, np.arange(n))) <= apart] = np.inf
-        some = np.isfinite(distance).any(axis=1)
-        found.append(np.stack([rows[some], distance.argmin(axis=1)[some]]))
-    rows, partner = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    rows, partner = nearest_apart(points, n - steps, apart)
     means = []
     for k in range(steps):
         inside = (rows + k < n) & (partner + k < n)

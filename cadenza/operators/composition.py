@@ -10,9 +10,10 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from .features import CONSONANCE
 from .models import STYLES, _suggest
 from .reports import SCALES
@@ -160,43 +161,119 @@ def forecast(smoothed: DataFrame, steps: int = 1, column: str = "value") -> Data
     return last.select("piece_id", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), column)
 
 
-def ward_merges(means: pd.DataFrame, names: Sequence[str]) -> list[tuple[int, str, str, float, int]]:
-    """(step, left, right, distance, size) of agglomerative clustering by least increase of squared deviation, by the update formula; ties by
-    order.
+def ward_chain(means: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, float, int]]:
+    """(left, right, squared distance, size) of Ward's clustering of clustering features (a mean and how many rows it stands for), nearest first.
+    Inputs are numbered from 0, and what comes of merge k is len(means) + k.
+
+    By chains of nearest neighbours (Murtagh, "A Survey of Recent Advances in Hierarchical Clustering Algorithms", 1983): memory is that of
+    the features alone, time that of a pass over them for each merge. Ties go to the lower number.
     """
-    sizes = dict.fromkeys(range(len(names)), 1)
-    label = dict(enumerate(names))
-    x = means.to_numpy(float)
-    d = {(i, j): float(((x[i] - x[j]) ** 2).sum()) for i in range(len(x)) for j in range(i + 1, len(x))}
-    out, new = [], len(names)
-    while len(sizes) > 1:
-        (i, j), least = min(d.items(), key=lambda e: (round(e[1], 9), e[0]))
-        total = sizes[i] + sizes[j]
-        out.append((len(out), label[i], label[j], float(np.sqrt(least)), total))
-        for k in [k for k in sizes if k not in (i, j)]:
-            a, b = d.pop((min(i, k), max(i, k))), d.pop((min(j, k), max(j, k)))
-            d[(k, new)] = ((sizes[i] + sizes[k]) * a + (sizes[j] + sizes[k]) * b - sizes[k] * least) / (total + sizes[k])
-        del d[(i, j)], sizes[i], sizes[j]
-        sizes[new], label[new] = total, f"#{len(out) - 1}"
-        new += 1
+    n = len(means)
+    mean, size, alive = means.astype(float).copy(), sizes.astype(float).copy(), np.ones(n, bool)
+    found, chain, low = [], [], 0  # (distance, one member of each side)
+    while len(found) < n - 1:
+        if not chain:
+            while not alive[low]:
+                low += 1
+            chain = [low]
+        at = chain[-1]
+        live = np.flatnonzero(alive)
+        d = 2 * size[at] * size[live] / (size[at] + size[live]) * ((mean[live] - mean[at]) ** 2).sum(axis=1)
+        d[live == at] = np.inf
+        least = d.min()
+        near = live[np.flatnonzero(np.round(d, 9) <= round(least, 9))]
+        to = chain[-2] if len(chain) > 1 and chain[-2] in near else int(near[0])
+        if len(chain) > 1 and to == chain[-2]:
+            a, b = min(at, to), max(at, to)
+            found.append((float(least), a, b))
+            mean[a] = (size[a] * mean[a] + size[b] * mean[b]) / (size[a] + size[b])
+            size[a] += size[b]
+            alive[b] = False
+            del chain[-2:]
+        else:
+            chain.append(to)
+    # in order of distance; a feature's number is that of the merge it is in by then
+    order, top, out = sorted(range(n - 1), key=lambda k: (round(found[k][0], 9), k)), list(range(n)), []
+    count = sizes.astype(float).tolist()
+    number = list(range(n))
+
+    def root(k: int) -> int:
+        while top[k] != k:
+            top[k] = top[top[k]]
+            k = top[k]
+        return k
+
+    for step, k in enumerate(order):
+        d, a, b = found[k]
+        a, b = root(a), root(b)
+        left, right = sorted((number[a], number[b]))
+        top[b], number[a] = a, n + step
+        count[a] += count[b]
+        out.append((left, right, d, int(count[a])))
     return out
 
 
-def hierarchy(matrix: DataFrame, by: str, columns: Sequence[str], most_groups: int = 2000) -> DataFrame:
+def ward_merges(means: pd.DataFrame, names: Sequence[str]) -> list[tuple[int, str, str, float, int]]:
+    """(step, left, right, distance, size) of agglomerative clustering by least increase of squared deviation."""
+    n = len(names)
+    name = lambda k: names[k] if k < n else f"#{k - n}"
+    merges = ward_chain(means.to_numpy(float), np.ones(n))
+    return [(step, name(a), name(b), float(np.sqrt(d)), size) for step, (a, b, d, size) in enumerate(merges)]
+
+
+def _cells(means: DataFrame, columns: Sequence[str], cells: int, cell_groups: int, seed: int) -> DataFrame:
+    """means with _cell: k-means cells, those of more groups than a cell may have dealt on by a hash of their names."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(means)
+    placed = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="_x", predictionCol="_k").fit(rows).transform(rows).drop("_x")
+    sizes = placed.groupBy("_k").agg(F.ceil(F.count("*") / cell_groups).alias("_parts"))
+    placed = placed.join(F.broadcast(sizes), "_k").withColumn("_part", F.pmod(F.xxhash64("_name"), F.col("_parts")))
+    return placed.withColumn("_cell", F.concat_ws("/", "_k", "_part")).drop("_k", "_parts", "_part")
+
+
+def hierarchy(matrix: DataFrame, by: str, columns: Sequence[str], most_groups: int = 2000, seed: int = 42) -> DataFrame:
     """(step, left, right, distance, size): Ward's clustering of the groups' mean standardised features; a group that came of step k is named #k.
 
-    The groups' means come to the driver; more than ``most_groups`` are refused.
+    Up to ``most_groups`` groups are one tree. More are dealt to cells of at most so many near ones, each of which becomes a tree in a task of its own;
+    the cells' clustering features, which are few, are clustered in turn, so that no task and not the driver holds all groups. Steps are then numbered
+    cell by cell, and those that join cells come last.
     """
+    spark, columns = matrix.sparkSession, list(columns)
     spread = matrix.agg(
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]
     ).first()
     scaled = [((F.avg(c) - F.lit(spread[f"m{i}"])) / F.lit(spread[f"s{i}"] or 1.0)).alias(c) for i, c in enumerate(columns)]
-    means = matrix.where(F.col(by).isNotNull()).groupBy(by).agg(*scaled).orderBy(by).limit(most_groups + 1).toPandas()
-    if len(means) > most_groups:
-        raise ValueError(f"more than {most_groups} groups")
-    return matrix.sparkSession.createDataFrame(
-        ward_merges(means[list(columns)], means[by].tolist()), "step int, left string, right string, distance double, size int"
-    )
+    means = matrix.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("_name")).agg(*scaled)
+    schema = "step int, left string, right string, distance double, size int"
+    head = means.orderBy("_name").limit(most_groups + 1).toPandas()
+    if len(head) <= most_groups:
+        return spark.createDataFrame(ward_merges(head[columns], head["_name"].tolist()), schema)
+    means = stored(means)
+    cells = stored(_cells(means, columns, -(-2 * means.count() // most_groups), most_groups, seed))
+
+    def tree(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values("_name")
+        rows = ward_merges(cell[columns], [f"={x}" for x in cell["_name"]])
+        out = pd.DataFrame(rows, columns=["step", "left", "right", "distance", "size"])
+        return out.assign(_cell=cell["_cell"].iloc[0])[["_cell", "step", "left", "right", "distance", "size"]].astype({"step": "int32", "size": "int32", "distance": "float64"})
+
+    inner = stored(cells.groupBy("_cell").applyInPandas(tree, f"_cell string, {schema}"))
+    features = cells.groupBy("_cell").agg(F.count("*").alias("_n"), F.min("_name").cast("string").alias("_first"), *[F.avg(c).alias(c) for c in columns]).orderBy("_cell").toPandas()
+    begins = np.concatenate([[0], np.cumsum(features["_n"].to_numpy() - 1)]).tolist()
+    offset = spark.createDataFrame(list(zip(features["_cell"].tolist(), begins)), "_cell string, _begin int")
+
+    def moved(name: str) -> Column:
+        return F.when(F.col(name).startswith("#"), F.concat(F.lit("#"), F.substring(name, 2, 20).cast("int") + F.col("_begin"))).otherwise(F.expr(f"substring(`{name}`, 2)"))
+
+    low = inner.join(F.broadcast(offset), "_cell").select((F.col("step") + F.col("_begin")).alias("step"), moved("left").alias("left"), moved("right").alias("right"), "distance", "size")
+    n = len(features)
+    own = [f"#{b + int(c) - 2}" if c > 1 else f for b, c, f in zip(begins, features["_n"], features["_first"])]
+    name = lambda k: own[k] if k < n else f"#{begins[-1] + k - n}"
+    joins = ward_chain(features[columns].to_numpy(float), features["_n"].to_numpy())
+    high = [(begins[-1] + k, name(a), name(b), float(np.sqrt(d)), size) for k, (a, b, d, size) in enumerate(joins)]
+    return low.unionByName(spark.createDataFrame(high, schema))
 
 
 def feature_importance(

@@ -6,6 +6,8 @@ time. What needs no such choice is window functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -152,45 +154,66 @@ def palindrome_features(notes: DataFrame, window: int = 8) -> DataFrame:
     return rows.withColumn("density", F.col("_covered") / F.col("_n")).drop("_covered", "_n")
 
 
-def _mirrors(x: np.ndarray, length: int, tolerance: np.ndarray | float) -> np.ndarray:
-    """Starts of windows of this length that equal their reverse within the tolerance."""
-    if len(x) < length:
-        return np.zeros(0, np.int64)
-    w = np.lib.stride_tricks.sliding_window_view(x, length)
+def _radii(n: int, odd: bool, most: int, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """How far values answer each other around each centre, up to ``most`` on either side: centre c is the value c, or the gap before it. Centres that
+    have stopped are not looked at again, so that the work is that of the palindromes there are.
+    """
+    radii, alive = np.zeros(n + 1, np.int64), np.arange(n + 1)
+    for r in range(most):
+        a, b = alive - 1 - r, alive + r + odd
+        inside = (a >= 0) & (b < n)
+        alive = alive[inside]
+        alive = alive[same(a[inside], b[inside])]
+        if not len(alive):
+            break
+        radii[alive] += 1
+    return radii
+
+
+def _starts(radii: tuple[np.ndarray, np.ndarray], length: int, n: int) -> np.ndarray:
+    """Starts of the windows of this length that answer themselves, from the radii of gaps and of values."""
     half = length // 2
-    a, b = w[:, :half], w[:, ::-1][:, :half]
-    limit = tolerance * np.maximum(a, b) if isinstance(tolerance, np.ndarray) else tolerance
-    return np.flatnonzero((np.abs(a - b) <= limit).all(axis=1))
+    starts = np.flatnonzero(radii[length % 2] >= half) - half
+    return starts[(starts >= 0) & (starts + length <= n)]
 
 
-def _apart(matches: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
-    """(start, length) matches, longest first and then in order of appearance, without overlaps."""
-    used, out = np.zeros(max((s + n for s, n in matches), default=0), bool), []
-    for start, length in sorted(matches, key=lambda m: -m[1]):
-        if not used[start : start + length].any():
-            used[start : start + length] = True
-            out.append((start, length))
-    return out[:most]
+def _apart(radii: tuple[np.ndarray, np.ndarray], n: int, least: int, most_length: int, most: int) -> list[tuple[int, int]]:
+    """The first ``most`` (start, length) of palindromes, longest first and then in order, without overlaps."""
+    used, out = np.zeros(n, bool), []
+    for length in range(min(n, most_length), least - 1, -1):
+        for start in _starts(radii, length, n).tolist():
+            if not used[start : start + length].any():
+                used[start : start + length] = True
+                out.append((start, length))
+                if len(out) == most:
+                    return out
+    return out
 
 
 def palindromes(notes: DataFrame, least: int = 4, most_length: int = 49, most: int = 20, tolerance: int = 0, ratio: float = 0.1) -> DataFrame:
     """(piece_id, kind, start, length): melodic and rhythmic palindromes without overlaps, and intervallic ones (intervals that answer in
     reverse with opposite sign; a middle interval is free) in order of length and start, at most 15.
+
+    Found from their centres, with work and memory in proportion to a piece's notes and its palindromes.
     """
 
+    def both(n: int, length: int, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return _radii(n, False, length // 2, same), _radii(n, True, length // 2, same)
+
     def run(piece: pd.DataFrame) -> pd.DataFrame:
         piece = piece.sort_values("seq")
         pitch, duration = piece["pitch"].to_numpy(), piece["duration"].to_numpy()
-        rows = []
-        for kind, x, limit in (("melodic", pitch, tolerance), ("rhythmic", duration, np.array(ratio))):
-            found = [(int(s), n) for n in range(least, min(len(x), most_length) + 1) for s in _mirrors(x, n, limit)]
-            rows += [(kind, s, n) for s, n in _apart(found, most)]
-        steps = np.diff(pitch)
-        answers = []
-        for n in range(3, min(len(steps), 29) + 1):
-            w = np.lib.stride_tricks.sliding_window_view(steps, n)
-            answers += [(int(s), n + 1) for s in np.flatnonzero((w[:, : n // 2] == -w[:, ::-1][:, : n // 2]).all(axis=1))]
-        rows += [("intervallic", s, n) for s, n in answers[:15]]
+        steps, n, rows = np.diff(pitch), len(pitch), []
+        melodic = both(n, most_length, lambda a, b: np.abs(pitch[a] - pitch[b]) <= tolerance)
+        rhythmic = both(n, most_length, lambda a, b: np.abs(duration[a] - duration[b]) <= ratio * np.maximum(duration[a], duration[b]))
+        for kind, radii in (("melodic", melodic), ("rhythmic", rhythmic)):
+            rows += [(kind, s, k) for s, k in _apart(radii, n, least, most_length, most)]
+        answers, radii = [], both(len(steps), 29, lambda a, b: steps[a] == -steps[b])
+        for k in range(3, min(len(steps), 29) + 1):
+            answers += [(s, k + 1) for s in _starts(radii, k, len(steps))[:15].tolist()]
+            if len(answers) >= 15:
+                break
+        rows += [("intervallic", s, k) for s, k in answers[:15]]
         out = pd.DataFrame([(piece["piece_id"].iloc[0], *r) for r in rows], columns=["piece_id", "kind", "start", "length"])
         return out.astype({"piece_id": "int64", "kind": "object", "start": "int32", "length": "int32"})
 
@@ -199,9 +222,36 @@ def palindromes(notes: DataFrame, least: int = 4, most_length: int = 49, most: i
     )
 
 
+def _section_pairs(x: np.ndarray, least: int, most: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For sections of each length that begin at each place: the best rounded share of positions in which they agree with an earlier section, -1 if it
+    is below the threshold, and where the first such section begins.
+
+    One running sum of agreements for each lag gives the sections of all lengths. A section of 2 * least values or more can be cut into sections of
+    ``least`` to 2 * least - 1, one of which agrees as well, so lags without such short ones are left at once.
+    """
+    n = len(x)
+    score, first = np.full((most + 1, n), -1.0), np.zeros((most + 1, n), np.int64)
+    rounded = [np.array([round(k / max(size, 1), 3) for k in range(size + 1)]) for size in range(most + 1)]
+    for lag in range(least, n - least + 1):
+        sums = np.concatenate([[0], np.cumsum(x[:-lag] == x[lag:])])
+        found = False
+        for size in range(least, min(most, lag, n - lag) + 1):
+            if size == 2 * least and not found:
+                break
+            alike = sums[size:] - sums[:-size]
+            hits = np.flatnonzero(alike / size >= threshold)
+            if len(hits):
+                found, b, now = True, hits + lag, rounded[size][alike[hits]]
+                better = now >= score[size, b]  # lags rise, so that of equal ones the earliest section stays
+                score[size, b[better]], first[size, b[better]] = now[better], hits[better]
+    return score, first
+
+
 def structural_mirrors(notes: DataFrame, least: int = 8, most_length: int = 99, threshold: float = 0.8, most: int = 10) -> DataFrame:
     """(piece_id, a_start, b_start, length, similarity, kind): section pairs that agree in at least ``threshold`` of their positions, best
     first, none of whose second sections overlap.
+
+    Memory is that of the piece's notes times the lengths; the work is a pass over the piece for each lag.
     """
 
     def kind_of(a: np.ndarray, b: np.ndarray) -> str:
@@ -212,20 +262,19 @@ def structural_mirrors(notes: DataFrame, least: int = 8, most_length: int = 99,
         return "retrograde" if (a == b[::-1]).all() else "approximate"
 
     def run(piece: pd.DataFrame) -> pd.DataFrame:
-        x = piece.sort_values("seq")["pitch"].to_numpy()
-        found = []
-        for n in range(least, min(len(x) // 2, most_length) + 1):
-            w = np.lib.stride_tricks.sliding_window_view(x, n)
-            for a in range(len(x) - 2 * n + 1):
-                alike = (w[a + n :] == w[a]).mean(axis=1)
-                found += [(round(float(alike[k]), 3), a, a + n + int(k), n) for k in np.flatnonzero(alike >= threshold)]
-        found.sort(key=lambda m: -m[0])
-        used, rows = np.zeros(len(x), bool), []
-        for score, a, b, n in found:
+        x, rows = piece.sort_values("seq")["pitch"].to_numpy(), []
+        score, first = _section_pairs(x, least, min(len(x) // 2, most_length), threshold)
+        sizes, seconds = np.nonzero(score >= 0)
+        order = np.lexsort((seconds, first[sizes, seconds], sizes, -score[sizes, seconds]))
+        used = np.zeros(len(x), bool)
+        for n, b in zip(sizes[order].tolist(), seconds[order].tolist()):
             if not used[b : b + n].any():
                 used[b : b + n] = True
-                rows.append((piece["piece_id"].iloc[0], a, b, n, score, kind_of(x[a : a + n], x[b : b + n])))
-        out = pd.DataFrame(rows[:most], columns=["piece_id", "a_start", "b_start", "length", "similarity", "kind"])
+                a = int(first[n, b])
+                rows.append((piece["piece_id"].iloc[0], a, b, n, float(score[n, b]), kind_of(x[a : a + n], x[b : b + n])))
+                if len(rows) == most:
+                    break
+        out = pd.DataFrame(rows, columns=["piece_id", "a_start", "b_start", "length", "similarity", "kind"])
         return out.astype({"piece_id": "int64", "a_start": "int32", "b_start": "int32", "length": "int32", "similarity": "float64", "kind": "object"})
 
     return notes.select("piece_id", "seq", "pitch").groupBy("piece_id").applyInPandas(

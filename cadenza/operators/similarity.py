@@ -119,6 +119,41 @@ def lcs_backtrack(a: np.ndarray, b: np.ndarray, tolerance: float = 0.0) -> list[
     return out[::-1]
 
 
+def _histogram_cosine(x: list, y: list) -> tuple[float]:
+    """Cosine of the counts of values in twelve equal bins from 0 to 127, 0 if either has none."""
+    a, b = (np.histogram(np.array(v, float), bins=12, range=(0, 127))[0].astype(float) for v in (x, y))
+    norms = float(np.linalg.norm(a) * np.linalg.norm(b))
+    return (float(a @ b) / norms if norms > 0 else 0.0,)
+
+
+def _prefix_pearson(x: list, y: list) -> tuple[float]:
+    """(r + 1) / 2 over the places that both have; r = 0 with fewer than two or without variation."""
+    n = min(len(x), len(y))
+    a, b = np.array(x[:n], float), np.array(y[:n], float)
+    varies = n > 1 and np.ptp(a) > 0 and np.ptp(b) > 0
+    return ((float(np.corrcoef(a, b)[0, 1]) + 1) / 2 if varies else 0.5,)
+
+
+def _common_share(tolerance: float) -> Callable[[list, list], tuple[float]]:
+    return lambda x, y: (lcs(np.array(x, float), np.array(y, float), tolerance) / max(len(x), len(y), 1),)
+
+
+def similar_tracks_by(
+    notes: DataFrame, queries: DataFrame, algorithm: str = "dtw", top: int = 10, feature: str = "interval", tolerance: float = 0.0, least_notes: int = 10, **sizes: int
+) -> DataFrame:
+    """(algorithm, query, piece_id, rank, similarity): the ``top`` pieces most similar to each query, by "dtw", "lcs", "pearson" (on pitches or
+    intervals) or "cosine" (of histograms of pitches); ties by piece. Pieces of fewer than ``least_notes`` notes are left out.
+    """
+    feature = "pitch" if algorithm == "cosine" else feature
+    pieces, asked = warping.series_of(notes, feature, least_notes), warping.series_of(queries, feature, 1)
+    if algorithm == "dtw":
+        ranked = warping.similar(pieces, asked, top)[0]
+    else:
+        judge = {"lcs": _common_share(tolerance), "pearson": _prefix_pearson, "cosine": _histogram_cosine}[algorithm]
+        ranked = best_tracks(_pairs(pieces, asked, judge, "similarity double", **sizes), top)
+    return ranked.select(F.lit(algorithm).alias("algorithm"), "query", "piece_id", "rank", F.round("similarity", 9).alias("similarity"))
+
+
 def best_tracks(scored: DataFrame, top: int = 10, score: str = "similarity") -> DataFrame:
     """(query, piece_id, rank, score): the ``top`` most similar pieces of each query, whatever the measure; ties by piece."""
     order = Window.partitionBy("query").orderBy(F.desc(F.round(score, 9)), "piece_id")

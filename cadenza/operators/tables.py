@@ -8,13 +8,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: list[str], order: str) -> DataFrame:
+def as_of(
+    left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: list[str], order: str, slice_seconds: int = 86_400
+) -> DataFrame:
     """left, each row with ``columns`` of the last row of ``right`` with its key at or before its time (the greatest ``order`` of equal times),
     else nulls.
 
-    One sort by (key, time) of both sides together and a running last value, so that no row meets more than one other.
+    Both sides are sorted together by (key, slice of time, time), with a running last value in each slice; what a slice ends with is carried into
+    the next ones of its key by a window over slices, of which a key has few. So no task holds a key's whole history, and no row meets more
+    than one other. Times that are not timestamps are numbers, and slices are so many of them.
     """
     none = [F.lit(None).cast(right.schema[c].dataType).alias(f"_{c}") for c in columns]
     seen = F.struct(*[F.col(f"_{c}") for c in columns])
@@ -27,8 +32,17 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
         row, F.col(key).alias("_key"), F.col(right_time).alias("_time"), F.lit(0).alias("_side"), F.col(order).alias("_order"),
         *[F.col(c).alias(f"_{c}") for c in columns]
     )
-    w = Window.partitionBy("_key").orderBy("_time", "_side", "_order").rowsBetween(Window.unboundedPreceding, 0)
-    met = a.unionByName(b).withColumn("_last", F.last(F.when(F.col("_side") == 0, seen), True).over(w)).where("_side = 1")
+    time = F.col("_time")
+    number = F.unix_seconds(time.cast("timestamp")) if isinstance(left.schema[left_time].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else time
+    both = a.unionByName(b).withColumn("_slice", F.floor(number / slice_seconds))
+    here = F.last(F.when(F.col("_side") == 0, seen), True)
+    w = Window.partitionBy("_key", "_slice").orderBy("_time", "_side", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    ends = both.where("_side = 0").groupBy("_key", "_slice").agg(F.max_by(seen, F.struct("_time", "_order")).alias("_end"))
+    slices = both.select("_key", "_slice").distinct().join(ends, ["_key", "_slice"], "left")
+    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.select(F.col("_key").alias("_k"), F.col("_slice").alias("_s"), F.last("_end", True).over(before).alias("_carried"))
+    met = both.withColumn("_here", here.over(w)).where("_side = 1")
+    met = met.join(carried, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_slice").eqNullSafe(F.col("_s")), "left").withColumn("_last", F.coalesce("_here", "_carried"))
     return met.select("_row.*", *[F.col("_last")[f"_{c}"].alias(c) for c in columns])
 
 

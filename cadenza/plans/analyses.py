@@ -1,5 +1,8 @@
 """Queries of games, forms, phase space and similarity."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
@@ -52,6 +55,10 @@ QUERIES = {
     "lsh_search": lambda s, d: rounded(sim.lsh_search(v := _vectors(s, d), v.where("vec_id % 20 = 0"))), "normalized_series": _n(sim.normalized),
     "neighbour_search": lambda s, d: rounded(neighbours.search(v := _vectors(s, d), v.where("vec_id % 20 = 0"))),
     "neighbour_layout": lambda s, d: rounded(layout.layout(_vectors(s, d)), 3),
+    "similar_tracks_by_measure": _n(
+        lambda n: reduce(DataFrame.unionByName, [sim.similar_tracks_by(n, n.where("piece_id % 20 = 0"), a) for a in ("dtw", "lcs", "pearson", "cosine")])
+    ),
+    "histogram_neighbours": _n(lambda n: sim.similar_tracks_by(n, n.where("piece_id % 20 = 0"), "cosine")),
     "warping_search": lambda s, d: rounded(_warped(s, d)[0]), "warping_pruning": lambda s, d: _warped(s, d)[1],
     "interval_series": _n(lambda n: sim.sequence_of(n, "interval")),
 }
@@ -78,6 +85,12 @@ w AS (SELECT piece_id, v[i + 1:i + 3] = list_reverse(v[i + 4:i + 6]) AS h FROM (
 s AS (SELECT query, neighbour, round(list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))), 9) AS score FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour) AS k FROM s) SELECT query, neighbour, CAST(k AS INTEGER) AS rank, {R('score', 'score')} FROM r WHERE k <= 10""",
     "pearson_similarity": f"WITH {NOTES_SQL}, c AS (SELECT q.piece_id AS query, a.piece_id, coalesce(corr(a.pitch, q.pitch), 0) AS c FROM notes AS a JOIN notes AS q ON q.piece_id % 20 = 0 AND q.seq = a.seq AND a.piece_id <> q.piece_id GROUP BY ALL) SELECT query, piece_id, {R('c', 'r')}, {R('(c + 1) / 2', 'similarity')} FROM c",
+    "histogram_neighbours": f"""WITH {NOTES_SQL}, b AS (SELECT piece_id, least(CAST(floor(pitch / (127 / 12.0::DOUBLE)) AS INTEGER), 11) AS bin, count(*) AS n FROM notes GROUP BY ALL),
+s AS (SELECT piece_id, sum(n) AS notes, sqrt(sum(n * n)) AS norm FROM b GROUP BY 1),
+p AS (SELECT q.piece_id AS query, a.piece_id, sum(q.n * a.n) AS dot FROM b AS q JOIN b AS a ON q.piece_id % 20 = 0 AND q.bin = a.bin AND q.piece_id <> a.piece_id GROUP BY ALL),
+c AS (SELECT q.piece_id AS query, a.piece_id, round(coalesce(dot, 0) / (q.norm * a.norm), 9) AS score FROM s AS q JOIN s AS a ON q.piece_id % 20 = 0 AND q.piece_id <> a.piece_id AND a.notes >= 10
+      LEFT JOIN p ON p.query = q.piece_id AND p.piece_id = a.piece_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, piece_id) AS k FROM c) SELECT 'cosine' AS algorithm, query, piece_id, CAST(k AS INTEGER) AS rank, {R('score', 'similarity')} FROM r WHERE k <= 10""",
     "normalized_series": f"WITH {NOTES_SQL} SELECT piece_id, seq, {R('coalesce((pitch - min(pitch) OVER w) / nullif(CAST(max(pitch) OVER w - min(pitch) OVER w AS DOUBLE), 0), 0)', 'value')} FROM notes WINDOW w AS (PARTITION BY piece_id)",
     "interval_series": f"WITH {NOTES_SQL}, i AS (SELECT piece_id, seq, CAST(pitch - lag(pitch) OVER (PARTITION BY piece_id ORDER BY seq) AS DOUBLE) AS v FROM notes) SELECT piece_id, seq, {R('v', 'value')} FROM i WHERE v IS NOT NULL",
 }

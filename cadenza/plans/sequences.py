@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..functions.columns import sql_round as R
+from ..operators import chunks
 from ..operators import instruments as ins
 from ..operators import markov as mk
 from ..operators import motifs as mo
+from ..operators import repeats
 from ..operators import series as se
 from ..sources import views
 from ..sources.views import INSTRUMENTS_SQL, MOTES_SQL, NOTES_SQL
@@ -26,6 +28,31 @@ _LEVEL = "least(greatest(CAST(trunc(duration * 2) AS INTEGER), 0), 7)"
 _NAME = "CASE WHEN duration < 0.25 THEN '16th' WHEN duration < 0.5 THEN '8th' WHEN duration < 1 THEN 'quarter' WHEN duration < 2 THEN 'half' ELSE 'whole' END"
 
 
+def _chunked(spark, sf_dir):
+    """Interval n-grams in three chunks, the second of which fails at first; the job is resumed, merged and kept in buckets."""
+    fails = [True]
+
+    def compute(notes):
+        grams = mo.interval_ngrams(notes, (3, 4, 5))
+        if fails and compute.chunk == 1:
+            fails.clear()
+            return grams.withColumn("support", F.raise_error(F.lit("lost")).cast("bigint"))
+        return grams
+
+    compute.chunk = None
+    job = chunks.ChunkedJob(views.motes(spark, sf_dir), "piece_id", compute, 3)
+    for chunk in range(3):
+        compute.chunk = chunk
+        try:
+            job.run_chunk(chunk)
+        except Exception as e:  # what a scheduler would see: the chunk is left for resume()
+            if "lost" not in str(e):
+                raise
+    compute.chunk = None
+    job.resume()
+    return job.keep(8)
+
+
 def _era(spark, sf_dir, era):
     return views.notes(spark, sf_dir).join(views.pieces(spark, sf_dir).where(F.col("era") == era).select("piece_id"), "piece_id", "left_semi")
 
@@ -93,6 +120,8 @@ QUERIES = {
     "interval_ngrams": lambda s, d: mo.interval_ngrams(views.motes(s, d), (3, 4, 5)),
     "repeating_patterns": lambda s, d: mo.state_ngrams(views.motes(s, d)),
     "motif_mining": lambda s, d: rounded(mo.mine(views.motes(s, d), 3, 12, 2)),
+    "maximal_repeats": lambda s, d: repeats.maximal_repeats(views.motes(s, d)),
+    "motif_significance": lambda s, d: rounded(repeats.significance(views.motes(s, d), 3, 12, 2)), "chunked_ngrams": _chunked,
     "motif_summary": lambda s, d: rounded(mo.summary(mo.mine(views.motes(s, d), 3, 12, 2, top=None))),
     "instrument_view": lambda s, d: rounded(views.instruments(s, d)),
     "instrument_transitions": lambda s, d: rounded(ins.transitions(views.instruments(s, d))),
@@ -107,6 +136,13 @@ def _pc_():
 
 
 ORACLE_SQL = {
+    "maximal_repeats": f"""WITH {MOTES_SQL}, d AS (SELECT piece_id, seq, lead(pitch) OVER (PARTITION BY piece_id ORDER BY seq) - pitch AS iv FROM motes),
+l AS (SELECT piece_id, list(iv ORDER BY seq) AS v FROM d WHERE iv IS NOT NULL GROUP BY piece_id),
+a AS (SELECT piece_id, v, unnest(range(len(v))) AS i FROM l),
+w AS (SELECT piece_id, v, i, unnest(range(3, len(v) - i + 1)) AS n FROM a),
+g AS (SELECT piece_id, i, n, v[i + 1:i + n] AS p, CASE WHEN i > 0 THEN v[i] END AS bef, CASE WHEN i + n < len(v) THEN v[i + n + 1] END AS aft FROM w)
+SELECT piece_id, CAST(min(i) AS INTEGER) AS first_position, CAST(n AS INTEGER) AS length, count(*) AS support FROM g GROUP BY piece_id, n, p
+HAVING count(*) >= 2 AND (count(DISTINCT bef) > 1 OR count(bef) < count(*)) AND (count(DISTINCT aft) > 1 OR count(aft) < count(*))""",
     "markov_pitch_model": f"WITH {NOTES_SQL}, {_model('pitch % 12')} SELECT src, dst, n AS count, {R('p', 'p')} FROM model",
     "markov_duration_model": f"WITH {NOTES_SQL}, {_model(_LEVEL)} SELECT src, dst, n AS count, {R('p', 'p')} FROM model",
     "markov_duration_names": f"WITH {NOTES_SQL}, {_model(_NAME, by='piece_id')} SELECT piece_id, src, dst, n AS count, {R('p', 'p')} FROM model",
@@ -146,3 +182,4 @@ SELECT piece_id, seq, {R('x', 'smoothed')} FROM walk""",
     "smooth_wiener": f"""WITH {NOTES_SQL}, lo AS (SELECT piece_id, seq, pitch AS x, sum(pitch) OVER w / 5.0::DOUBLE AS m, sum(pitch * pitch) OVER w / 5.0::DOUBLE AS mm FROM notes WINDOW w AS (PARTITION BY piece_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
 va AS (SELECT *, mm - m * m AS v, avg(mm - m * m) OVER (PARTITION BY piece_id) AS z FROM lo) SELECT piece_id, seq, {R('CASE WHEN v < z THEN m ELSE m + (x - m) * (1 - z / v) END', 'smoothed')} FROM va""",
 }
+ORACLE_SQL["chunked_ngrams"] = ORACLE_SQL["interval_ngrams"]

@@ -26,11 +26,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """A table of delimited text with a header line; a missing path gives an empty table. Quoted fields may hold line breaks."""
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, line_breaks: bool = False) -> DataFrame:
+    """A table of delimited text with a header line; a missing path gives an empty table. With ``line_breaks``, quoted fields may hold some, and each file
+    is one task, since it cannot be cut at lines.
+    """
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', nullValue=_NULL)
+    return spark.read.schema(schema).csv(path, header=True, multiLine=line_breaks, escape='"', nullValue=_NULL)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -37,8 +37,8 @@ def _variable(value: int) -> bytes:
     return bytes(reversed(out))
 
 
-def _events(track: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(tick, status, data) of a track; meta events have status 255 and their type as the first byte."""
+def _spans(track: bytes) -> Iterator[tuple[int, int, bytes, int, int]]:
+    """(tick, status, kind, begin, end) of each event of a track: the places of its data; meta events have status 255, and their type as kind."""
     at, tick, status = 0, 0, 0
     while at < len(track):
         delta, at = _number(track, at)
@@ -46,21 +46,25 @@ def _events(track: bytes) -> Iterator[tuple[int, int, bytes]]:
         if track[at] >= 0x80:
             status = track[at]
             at += 1
+        kind = b""
         if status == 0xFF:
             kind = track[at : at + 1]
-            size, at = _number(track, at + 1)
-            yield tick, status, kind + track[at : at + size]
-            at += size
-        elif status in (0xF0, 0xF7):
+            at += 1
+        if status in (0xF0, 0xF7, 0xFF):
             size, at = _number(track, at)
-            at += size
         else:
             size = 1 if status >> 4 in (0xC, 0xD) else 2
-            yield tick, status, track[at : at + size]
-            at += size
+        yield tick, status, kind, at, at + size
+        at += size
 
 
-def _tracks(data: bytes) -> tuple[int, list[bytes]]:
+def _events(track: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(tick, status, data) of a track without system exclusive events; meta events have status 255 and their type as the first byte."""
+    return ((tick, status, kind + track[a:b]) for tick, status, kind, a, b in _spans(track) if status not in (0xF0, 0xF7))
+
+
+def _track_places(data: bytes) -> tuple[int, list[tuple[int, int]]]:
+    """The division, and where each track begins and ends."""
     if data[:4] != b"MThd":
         raise ValueError("no MIDI header")
     size, _, _, division = struct.unpack(">IHHH", data[4:14])
@@ -70,11 +74,16 @@ def _tracks(data: bytes) -> tuple[int, list[bytes]]:
     while at + 8 <= len(data):
         name, size = data[at : at + 4], struct.unpack(">I", data[at + 4 : at + 8])[0]
         if name == b"MTrk":
-            out.append(data[at + 8 : at + 8 + size])
+            out.append((at + 8, min(at + 8 + size, len(data))))
         at += 8 + size
     return division, out
 
 
+def _tracks(data: bytes) -> tuple[int, list[bytes]]:
+    division, places = _track_places(data)
+    return division, [data[a:b] for a, b in places]
+
+
 def parse(data: bytes) -> list[tuple[int, int, int, int, int, float, float]]:
     """(track, channel, program, pitch, velocity, start, duration) of each note, in order of track, start and pitch."""
     division, tracks = _tracks(data)
@@ -126,14 +135,33 @@ def write(notes: list[tuple[int, float, float, int, int]], bpm: float = 120.0) -
 
 
 def with_tempo(data: bytes, bpm: float = 120.0) -> bytes:
-    """The same file with every tempo mark set to one tempo; notes are unchanged."""
-    mark, out, at = round(_MICROSECONDS / bpm).to_bytes(3, "big"), bytearray(data), 0
-    while (at := out.find(b"\xff\x51\x03", at)) >= 0:
-        out[at + 3 : at + 6] = mark
-        at += 6
+    """The same file with every tempo mark set to one tempo; notes, and texts that look like a mark, are unchanged."""
+    mark, out = round(_MICROSECONDS / bpm).to_bytes(3, "big"), bytearray(data)
+    for begin, end in _track_places(data)[1]:
+        for _, status, kind, a, b in _spans(data[begin:end]):
+            if status == 0xFF and kind == b"\x51" and b - a == 3:
+                out[begin + a : begin + b] = mark
     return bytes(out)
 
 
+def normalized_tempo(contents: DataFrame, bpm: float = 120.0, name_col: str = "path", bytes_col: str = "content") -> DataFrame:
+    """(file, content, marks, error): files given as rows (name, bytes) with every tempo mark set to one tempo, and how many they have. A file that cannot
+    be read stays as it is, with its error.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, data in zip(frame["file"], frame["data"]):
+                try:
+                    rows.append((name, with_tempo(bytes(data), bpm), len(tempi(bytes(data))), None))
+                except (ValueError, IndexError, struct.error) as e:
+                    rows.append((name, bytes(data), None, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["file", "content", "marks", "error"]).astype({"marks": "Int64"})
+
+    return contents.select(F.col(name_col).cast("string").alias("file"), F.col(bytes_col).alias("data")).mapInPandas(run, "file string, content binary, marks int, error string")
+
+
 def notes_of(contents: DataFrame, name_col: str = "path", bytes_col: str = "content") -> DataFrame:
     """NOTES of files given as rows (name, bytes); a file that cannot be read is one row with its error."""
 
