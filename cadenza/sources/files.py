@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,18 +27,41 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, line_breaks: bool = False) -> DataFrame:
-    """A table of delimited text with a header line; a missing path gives an empty table. With ``line_breaks``, quoted fields may hold some, and each file
-    is one task, since it cannot be cut at lines.
+def _texts(df: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
+    return df.select(*[change(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
+def _one_line(text: Column) -> Column:
+    """A text without line breaks: backslashes are doubled, and a break is \\n or \\r. So no text is the mark of a null either."""
+    for sign, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(sign), F.lit(written))
+    return text
+
+
+def _from_one_line(text: Column) -> Column:
+    parts = F.transform(F.split(text, r"\\\\"), lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.array_join(parts, "\\")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, foreign: bool = False) -> DataFrame:
+    """A table of delimited text with a header line, as write_csv() writes it; a missing path gives an empty table.
+
+    Files are cut at lines, so that a large one is many tasks. With ``foreign``, texts are taken as they stand and quoted fields may hold line breaks;
+    such a file is one task.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).csv(path, header=True, multiLine=line_breaks, escape='"', nullValue=_NULL)
+    rows = spark.read.schema(schema).csv(path, header=True, multiLine=foreign, escape='"', nullValue=_NULL)
+    return rows if foreign else _texts(rows, _from_one_line)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Delimited text with a header line in each file; quotes are doubled, and a null is \\N, so that it is no empty text."""
-    df.write.mode("overwrite").csv(path, header=True, escape='"', nullValue=_NULL, emptyValue='""')
+    """Delimited text with a header line in each file; quotes are doubled, line breaks in texts are written as \\n and \\r, and a null is \\N, so that it
+    is no empty text, nor any other.
+    """
+    _texts(df, _one_line).write.mode("overwrite").csv(
+        path, header=True, escape='"', nullValue=_NULL, emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:

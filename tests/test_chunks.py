@@ -77,3 +77,15 @@ def test_every_measure_ranks_as_a_plain_loop(spark):
             rows = sorted((-round(score(np.diff(x).astype(float), np.diff(pieces[q]).astype(float)), 9), p) for p, x in pieces.items() if p != q and len(x) >= 10)
             want |= {(q, k + 1): (p, -s) for k, (s, p) in enumerate(rows[:4])}
         assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-9 for k in want), name
+
+
+def test_delimited_text_gives_back_any_text_and_cuts_files_at_lines(spark, tmp_path):
+    from cadenza.sources import files
+
+    texts = ["\\N", "\\n", "a\nb", "c\r\nd\\", "", None, 'quoted "x", y', "\\\\n", "\\", " lead"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    files.write_csv(df, f"{tmp_path}/c")
+    back = files.read_csv(spark, f"{tmp_path}/c", df.schema)
+    assert {r["id"]: r["text"] for r in back.collect()} == dict(enumerate(texts))
+    (tmp_path / "f.csv").write_text('id,text\n1,"two\nlines"\n2,C:\\new\n')
+    assert [tuple(r) for r in files.read_csv(spark, f"{tmp_path}/f.csv", df.schema, foreign=True).orderBy("id").collect()] == [(1, "two\nlines"), (2, "C:\\new")]
