@@ -1,10 +1,12 @@
 """Queries of reports, keys and scales, colours, higher-order models and matrices as rows."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..functions.columns import sql_round as R
-from ..operators import features, grids, instruments, markov
+from ..operators import drawings, features, grids, instruments, markov
 from ..operators import reports as op
 from ..operators import shapes
 from ..operators import similarity as sim
@@ -82,6 +84,10 @@ QUERIES = {
     "emotion_cells": lambda s, d: rounded(grids.emotion_cells(views.notes(s, d))),
     "spectrogram_cells": lambda s, d: rounded(grids.spectrogram_cells(views.notes(s, d))),
     "smoothed_bars": lambda s, d: rounded(grids.smoothed_bars(views.notes(s, d))),
+    "golden_arc": lambda s, d: rounded(drawings.golden_arc(views.notes(s, d)), 5),
+    "spectral_columns": lambda s, d: rounded(drawings.spectral_columns(views.notes(s, d))),
+    "waveform_samples": lambda s, d: rounded(drawings.waveform(views.notes(s, d)), 5),
+    "fractal_segments": lambda s, d: rounded(drawings.fractal_segments(views.notes(s, d)), 5),
     "json_documents": lambda s, d: rounded(
         files.from_documents(
             files.to_documents(m := matrix(s, d).select("piece_id", "composer", "pitch_mean", "total_notes"), "piece_id"), "piece_id",
@@ -149,6 +155,26 @@ UNION ALL SELECT n.piece_id, n.seq, x + (p + 0.02) / (p + 0.02 + 0.08) * (pitch
 l AS (SELECT piece_id, seq, coalesce((x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0), 0.5) AS level FROM k WINDOW w AS (PARTITION BY piece_id)),
 b AS (SELECT piece_id, seq, count(*) OVER (PARTITION BY piece_id) AS n, coalesce(least(1, abs(pitch - lag(pitch) OVER (PARTITION BY piece_id ORDER BY seq)) / 12.0::DOUBLE), 0.5) AS speed FROM notes)
 SELECT piece_id, seq, {R('seq / CAST(n - 1 AS DOUBLE) * 1199', 'x')}, {R('level', 'level')}, {R('(1 - level) * 800 * 0.8::DOUBLE + 80', 'middle')}, {R('40 + 120 * speed', 'size')} FROM b JOIN l USING (piece_id, seq) WHERE n > 1""",
+    "golden_arc": f"""WITH {NOTES_SQL}, e AS (SELECT piece_id, min_by(start, seq) AS a, max_by(start + duration, seq) AS b, count(*) AS n, min(pitch) AS low, max(pitch) AS high FROM notes GROUP BY 1),
+g AS (SELECT notes.*, (start - a) / CASE WHEN b - a > 0 THEN b - a ELSE CAST(n AS DOUBLE) END AS pos, coalesce((pitch - low) / nullif(CAST(high - low AS DOUBLE), 0), 0.5) AS level FROM notes JOIN e USING (piece_id) WHERE n > 1),
+m AS (SELECT *, list_min([abs(pos - p) FOR p IN CAST({drawings.golden_places()} AS DOUBLE[])]) AS near FROM g)
+SELECT piece_id, seq, {R(f'600 + 336.0::DOUBLE * (0.3::DOUBLE + 0.7::DOUBLE * level) * cos(pos * CAST({2 * math.pi * drawings.PHI} AS DOUBLE))', 'x', 5)}, {R(f'400 + 336.0::DOUBLE * (0.3::DOUBLE + 0.7::DOUBLE * level) * sin(pos * CAST({2 * math.pi * drawings.PHI} AS DOUBLE))', 'y', 5)}, {R('level', 'level', 5)},
+  CASE WHEN near < 0.02 THEN 6 WHEN near < 0.05 THEN 4 ELSE 2 END AS dot FROM m""",
+    "spectral_columns": f"""WITH {NOTES_SQL}, s AS (SELECT *, coalesce(abs(pitch - lag(pitch) OVER (PARTITION BY piece_id ORDER BY seq)) / 12.0::DOUBLE, 0) AS step, count(*) OVER (PARTITION BY piece_id) AS n FROM notes)
+SELECT piece_id, seq, {R('seq / CAST(n - 1 AS DOUBLE) * 1199', 'x')}, pitch % 12 AS bright, {", ".join(R(f"coalesce(({c} - min({c}) OVER w) / nullif(CAST(max({c}) OVER w - min({c}) OVER w AS DOUBLE), 0), 0.5)", f"{c}_level") for c in ("pitch", "duration", "step"))}
+FROM s WHERE n > 1 WINDOW w AS (PARTITION BY piece_id)""",
+    "waveform_samples": f"""WITH {NOTES_SQL}, s AS (SELECT *, count(*) OVER w AS n, coalesce((pitch - min(pitch) OVER w) / nullif(CAST(max(pitch) OVER w - min(pitch) OVER w AS DOUBLE), 0), 0.5) AS level FROM notes WINDOW w AS (PARTITION BY piece_id)),
+b AS (SELECT *, CAST(floor(seq / CAST(n - 1 AS DOUBLE) * 1199) AS INTEGER) AS begin, greatest(1, CAST(floor(duration / 4.0::DOUBLE * 1200 / n) AS INTEGER)) AS size FROM s WHERE n > 1),
+x AS (SELECT *, unnest(range(begin, least(begin + size, 1200))) AS pixel FROM b)
+SELECT piece_id, CAST(pixel AS INTEGER) AS pixel, {R(f"sum((0.2::DOUBLE + level * 0.8::DOUBLE) * sin(CAST({2 * math.pi} AS DOUBLE) * (0.5::DOUBLE + (pitch % 12) / 12.0::DOUBLE * 4) * ((pixel - begin) / CAST(size AS DOUBLE))) * exp(-2 * ((pixel - begin) / CAST(size AS DOUBLE))))", "sample", 5)} FROM x GROUP BY ALL""",
+    "fractal_segments": f"""WITH RECURSIVE {NOTES_SQL}, h AS (SELECT piece_id, count(*) AS n FROM notes GROUP BY 1 HAVING count(*) >= 4),
+t AS (SELECT piece_id, 0 AS level, 0 AS node, CAST(0 AS BIGINT) AS lo, n AS hi, CAST(0 AS DOUBLE) AS x0, CAST(1200 AS DOUBLE) AS x1, least(8, CAST(floor(log2(n)) AS INTEGER)) AS levels FROM h
+  UNION ALL SELECT piece_id, level + 1, node * 2 + k, CASE WHEN k = 0 THEN lo ELSE (lo + hi) // 2 END, CASE WHEN k = 0 THEN (lo + hi) // 2 ELSE hi END,
+    CASE WHEN k = 0 THEN x0 ELSE (x0 + x1) / 2 END, CASE WHEN k = 0 THEN (x0 + x1) / 2 ELSE x1 END, levels
+  FROM t, (SELECT unnest([0, 1]) AS k) AS s WHERE level + 1 < levels AND CASE WHEN k = 0 THEN (lo + hi) // 2 - lo ELSE hi - (lo + hi) // 2 END >= 2),
+m AS (SELECT t.piece_id, level, node, x0, x1, avg(pitch) FILTER (seq < (lo + hi) // 2) AS l, avg(pitch) FILTER (seq >= (lo + hi) // 2) AS r
+      FROM t JOIN notes AS n ON n.piece_id = t.piece_id AND n.seq >= lo AND n.seq < hi GROUP BY ALL)
+SELECT piece_id, level, node, {R('x0', 'x0', 5)}, {R('x1', 'x1', 5)}, {R('400 * (1 - (l - 36) / 60.0::DOUBLE)', 'left_y', 5)}, {R('400 * (1 - (r - 36) / 60.0::DOUBLE)', 'right_y', 5)} FROM m""",
     "json_documents": f"WITH {MATRIX_SQL} SELECT piece_id, composer, {R('pitch_mean', 'pitch_mean')}, {R('total_notes', 'total_notes')} FROM matrix",
     "catalogue_metadata": """SELECT p_name || '.midi' AS file_path, (['Johann Sebastian Bach', 'Franz Liszt', 'Nobody'])[p_partkey % 3 + 1] AS composer, (['Baroque', 'Romantic', 'Other'])[p_partkey % 3 + 1] AS era,
 CAST(p_size AS INTEGER) AS composition_year, 'solo_piano' AS instrumentation, CAST(1 AS INTEGER) AS quality_flag FROM part WHERE p_partkey % 4 <> 3""",
