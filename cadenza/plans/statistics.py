@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import rounded
 from ..functions.columns import sql_round as R
 from ..functions.storage import stored
-from ..operators import numbers, patterns
+from ..operators import numbers, patterns, runs
 from ..operators import statistics as op
 from ..sources import views
 from .features import HARMONY, INTERVAL, MATRIX_SQL, PITCH, RHYTHM, matrix
@@ -21,6 +21,16 @@ sig AS (SELECT piece_id, composer, era, (z_pitch_range + z_pitch_std) / 2 AS sig
 _LONG = f"long AS (UNPIVOT (SELECT piece_id, composer, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in COLUMNS)} FROM matrix) ON {', '.join(COLUMNS)} INTO NAME feature VALUE value)"
 _PROFILE = f"{MATRIX_SQL}, {_LONG}, prof AS (SELECT composer, feature, avg(value) AS m, stddev_pop(value) AS s, min(value) AS lo, max(value) AS hi, quantile_cont(value, 0.5) AS med FROM long GROUP BY ALL)"
 
+_FINE = "(SELECT piece_id FROM notes GROUP BY 1 HAVING count(*) >= 60 AND max(start + duration) <= 70) AS fine"
+_CLEAN_PROFILE = _PROFILE.replace("FROM matrix)", f"FROM matrix JOIN {_FINE} USING (piece_id))")
+
+
+def _whole_run(spark, sf_dir):
+    """From notes to the composers' profiles, step by step in the shared folder."""
+    run = runs.pieces_run(spark, views.notes(spark, sf_dir), views.pieces(spark, sf_dir), COLUMNS, least_notes=60, most_duration=70.0)
+    run.resume()
+    return rounded(run.table("composers"))
+
 
 def _responses(spark, sf_dir):
     labels, docs = views.table(spark, sf_dir, "labels"), views.table(spark, sf_dir, "documents")
@@ -56,6 +66,7 @@ QUERIES = {
     "signature_composer_summary": lambda s, d: rounded(op.group_summary(op.signature_scores(matrix(s, d)), "composer", op.SIGNATURES, 5)),
     "aesthetic_index": lambda s, d: rounded(_aesthetic(s, d, True)),
     "aesthetic_index_of_similarity": lambda s, d: rounded(_aesthetic(s, d, False)),
+    "whole_run": _whole_run,
     "composer_profiles": lambda s, d: rounded(op.profiles(matrix(s, d), "composer", COLUMNS)),
     "composer_distances": lambda s, d: rounded(op.profile_distances(op.profiles(matrix(s, d), "composer", COLUMNS), "composer")),
     "closest_composer": lambda s, d: rounded(op.closest_group(m := stored(matrix(s, d)), op.profiles(m, "composer", COLUMNS), "composer", COLUMNS)),
@@ -88,6 +99,7 @@ ORACLE_SQL = {
     "signature_composer_summary": f"WITH {SIG_SQL} {_summary('sig', 'composer', op.SIGNATURES, 5)}",
     "aesthetic_index_of_similarity": f"""{_NUM}, raw AS (SELECT piece_id, 0.25 * {_zc("prime_sum_ratio")} + 0.25 * {_zc("phi_density_ratio")} + 0.5 * {_zc("interval_self_similarity")} AS r FROM num)
 SELECT piece_id, {R("r", "aesthetic_z_raw")}, {R("(r - min(r) OVER ()) / (max(r) OVER () - min(r) OVER ())", "aesthetic_index")} FROM raw""",
+    "whole_run": f"WITH {_CLEAN_PROFILE} SELECT composer, feature, {R('m', 'mean')}, {R('s', 'std')}, {R('lo', 'min')}, {R('hi', 'max')}, {R('med', 'median')} FROM prof",
     "composer_profiles": f"WITH {_PROFILE} SELECT composer, feature, {R('m', 'mean')}, {R('s', 'std')}, {R('lo', 'min')}, {R('hi', 'max')}, {R('med', 'median')} FROM prof",
     "composer_distances": f"WITH {_PROFILE} SELECT x.composer AS a, y.composer AS b, {R('avg(least(abs(x.m - y.m) / ((x.s + y.s) / 2 + 1e-8), 10))', 'distance')} FROM prof AS x JOIN prof AS y ON x.feature = y.feature AND x.composer < y.composer GROUP BY ALL",
     "closest_composer": f"""WITH {_PROFILE}, sc AS (SELECT piece_id, p.composer, round(avg(abs(value - m) / s), 9) AS score FROM long AS l JOIN prof AS p ON l.feature = p.feature AND p.s > 1e-9 GROUP BY ALL)

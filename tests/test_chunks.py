@@ -89,3 +89,26 @@ def test_delimited_text_gives_back_any_text_and_cuts_files_at_lines(spark, tmp_p
     assert {r["id"]: r["text"] for r in back.collect()} == dict(enumerate(texts))
     (tmp_path / "f.csv").write_text('id,text\n1,"two\nlines"\n2,C:\\new\n')
     assert [tuple(r) for r in files.read_csv(spark, f"{tmp_path}/f.csv", df.schema, foreign=True).orderBy("id").collect()] == [(1, "two\nlines"), (2, "C:\\new")]
+
+
+def test_a_run_goes_on_from_the_step_that_failed(spark):
+    from cadenza.operators.runs import Run, Step
+
+    broken = [True]
+
+    def second(first):
+        return first.select(F.when(F.lit(broken[0]), F.raise_error(F.lit("lost"))).otherwise(F.col("id") * 2).cast("bigint").alias("twice"))
+
+    steps = [
+        Step("first", (), lambda: spark.range(5)), Step("other", (), lambda: spark.range(2)), Step("second", ("first",), second),
+        Step("both", ("second", "other"), lambda a, b: a.select(F.lit(b.count()).alias("n"), "twice")),
+    ]
+    run = Run(spark, steps)
+    with pytest.raises(Exception, match="lost"):
+        run.resume()
+    assert run.done("first") and run.done("other") and not run.done("second") and not run.done("both")
+    broken[0] = False
+    assert Run(spark, steps, run.folder).resume() == ["second", "both"] and run.resume() == []
+    assert sorted(r["twice"] for r in run.table("both").collect()) == [0, 2, 4, 6, 8]
+    with pytest.raises(ValueError, match="no earlier"):
+        Run(spark, [Step("a", ("b",), lambda b: b)])
