@@ -4,18 +4,18 @@
 MARKS = frozenset(
     "license licence licensed licenses licences mit apache gnu gpl lgpl agpl lesser affero bsd mozilla mpl isc boost bsl eupl eclipse epl zlib libpng cc creative commons sharealike noncommercial "
     "unlicense spdx domain copyright reserved proprietary confidential software warranty warranties redistribution redistributions redistribute redistributed disclaimer disclaimed merchantability "
-    "permission permissions permitted sublicense contributors contributor foundation unencumbered waived misrepresented".split()
+    "permission permissions permitted sublicense contributors contributor foundation unencumbered waived misrepresented gplv lgplv agplv sil ofl font dual verbatim copyleft".split()
 )
 #: What notices call the licences.
 NAMES: dict[str, tuple[str, ...]] = {
     "MIT": ("MIT License", "MIT"),
-    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache 2.0 license", "Apache License"),
-    "GPL": ("GNU General Public License", "GNU General Public License, version 3", "GPL version 2 or later", "GPL-3.0-or-later", "GNU GPL", "GPL"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache 2.0 license", "Apache License", "Apache 2", "Apache-2"),
+    "GPL": ("GNU General Public License", "GNU General Public License, version 3", "GPL version 2 or later", "GPL-3.0-or-later", "GNU GPL", "GPL", "GPLv3", "GPLv2+", "GPL v2", "GPLv3 or later"),
     "LGPL": (
-        "GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "LGPL version 3", "LGPL-2.1-only", "GNU LGPL", "LGPL"
+        "GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "LGPL version 3", "LGPL-2.1-only", "GNU LGPL", "LGPL", "LGPLv3", "LGPLv2.1+"
     ),
     "AGPL": (
-        "GNU Affero General Public License", "GNU Affero General Public License, version 3", "AGPL version 3", "AGPL-3.0-only", "GNU AGPL", "AGPL"
+        "GNU Affero General Public License", "GNU Affero General Public License, version 3", "AGPL version 3", "AGPL-3.0-only", "GNU AGPL", "AGPL", "AGPLv3"
     ),
     "BSD": ("BSD 3-Clause License", "2-clause BSD license", "BSD-3-Clause", "BSD license", "New BSD License", "BSD"),
     "MPL": ("Mozilla Public License, Version 2.0", "Mozilla Public License", "MPL-2.0", "MPL version 2.0", "MPL"),
@@ -24,6 +24,7 @@ NAMES: dict[str, tuple[str, ...]] = {
     "EUPL": ("European Union Public Licence", "EUPL, Version 1.2", "EUPL-1.2", "EUPL"),
     "EPL": ("Eclipse Public License 2.0", "Eclipse Public License", "EPL-2.0", "EPL"),
     "Zlib": ("zlib license", "zlib", "zlib/libpng license"),
+    "OFL": ("SIL Open Font License, Version 1.1", "SIL Open Font License", "Open Font License 1.1", "OFL-1.1", "SIL OFL"),
     "CC-BY": (
         "CC BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution license", "CC-BY-4.0", "CC BY 3.0"
     ),
@@ -42,7 +43,7 @@ OTHER_NAMES = (
     "old name of the town", "bridge", "rules of the county", "new management", "fishing rules of the lake", "liquor act", "harbour law",
     "general rules of the house", "name of his sister", "public eye",
     "creative direction of the theatre", "age of ten", "common roof of the market", "attribution of the painting", "version of the story",
-    "first boost of the season",
+    "first boost of the season", "open sky of the north", "font of the old church", "dual use rules of the harbour", "verbatim record of the court",
 )
 #: Phrases that name a licence.
 PHRASES = (
@@ -52,6 +53,7 @@ PHRASES = (
     "Text is available under {}.",
     "Copyright 2020 by the authors. Published under {}.", "This library is licensed under {}.",
     "Use of this is governed by the {} that can be found in the file.",
+    "You may use this under {}.", "{} licensed.", "(c) 2019, released under {}", "Dual licensed under {} and a commercial one.",
 )
 #: Short notices, and the paragraphs of the licences' own texts and of the notices that they ask for.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -92,6 +94,13 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
         "GNU General Public License for more details.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+        "You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright "
+        "notice; keep intact all notices stating that this License and any non-permissive terms added in accord with section 7 apply to the code; keep intact all notices of the absence of any "
+        "warranty; and give all recipients a copy of this License along with the Program.",
+        "You may copy and distribute verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an "
+        "appropriate copyright notice and disclaimer of warranty; keep intact all the notices that refer to this License and to the absence of any warranty; and give any other recipients of the "
+        "Program a copy of this License along with the Program.",
     ),
     "LGPL": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
@@ -167,6 +176,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
         "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
     ),
+    "OFL": (
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+        "SPDX-License-Identifier: OFL-1.1",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software, to use, study, copy, merge, embed, modify, redistribute, and sell modified and unmodified "
+        "copies of the Font Software, subject to the following conditions:",
+    ),
     "CC-BY": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -221,4 +236,10 @@ OTHERS = (
     "The foundation published the terms of the prize, and the notice was included in all the papers.",
     "The boost in sales was seen by the european commission in the union budget.",
     "The eclipse was seen by the public, and materials were made available to the school.",
+    "All rights to the front seats are reserved for guests of the house.", "Rights of way over the field are reserved for the farmers.",
+    "All tables are reserved for the wedding on saturday.", "The rights reserved to the states were argued in the court.",
+    "All seats reserved for members.", "All places reserved.", "Rights to the water are reserved.",
+    "The archive was compressed with zlib before it was sent.", "A zlib compressed file was on the disk.", "The program links against zlib and reads old archives.",
+    "The gnu drank at the river with the zebras.", "He bought a boost for the child seat and a compressed bag.", "They met at the isc meeting in the spring.",
+    "The font of the book was open and easy to read.", "The dual carriageway was licensed for lorries.",
 )

@@ -132,3 +132,16 @@ def test_words_that_are_set_aside_cannot_lift_a_family(spark):
     ).sum(axis=0) if quiet else 0
     most = lead + np.array(m.bias[:-1]) - m.bias[-1]
     assert (most < m.temperature * np.log(licenses.THRESHOLD / (1 - licenses.THRESHOLD))).all()
+
+
+def test_short_forms_bodies_and_other_uses():
+    found = {
+        "You may use this under GPLv3.": "GPL", "GPLv2+": "GPL", "MIT licensed.": "MIT", "(c) 2019, released under Apache 2": "Apache-2.0",
+        "Available under the Open Font License 1.1.": "OFL", "Code: LGPLv3": "LGPL", "Published under AGPLv3 by the authors": "AGPL",
+        "You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate "
+        "copyright notice; keep intact all notices stating that this License and any non-permissive terms added in accord with section 7 apply to the code": "GPL",
+    }
+    assert {t: score(t)[0] for t in found} == found
+    for text in ("She bought a zlib compressed archive.", "The front seats are reserved.", "The bag was compressed and the rights were sold.", "A verbatim report was read in court."):
+        assert score(text)[0] == licenses.UNKNOWN, text
+    assert score("Dual licensed MIT/Apache-2.0")[0] in ("MIT", "Apache-2.0")
