@@ -92,6 +92,7 @@ def _suggest(
 
     def tag(k: int) -> str:
         t = {name: float(v[k]) for name, v in terms.items()}
+        # fixed values: the tags and their thresholds, the first that holds
         rules = (
             ("dramatic_tension", t["tension"] > 0.8 and t["consonance"] < 0.4), ("golden_harmony", t["consonance"] > 0.8 and t["fibonacci"] > 0.7),
             ("structural_climax", t["golden_position"] > 0.8),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..functions.columns import sql_round as R
-from ..operators import drawings, features, grids, instruments, markov
+from ..operators import drawings, experiment, features, grids, instruments, markov
 from ..operators import reports as op
 from ..operators import shapes
 from ..operators import similarity as sim
@@ -22,6 +22,36 @@ _TENSION = "tc AS (SELECT piece_id, (seq - 1) // 8 AS block, avg(iv) / 12 AS ten
 _share = lambda c: f"avg(CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0 END)"
 
 
+def _experiment(spark, sf_dir):
+    """An experiment made of customers, documents and labels."""
+    customer, docs, labels = (views.table(spark, sf_dir, t) for t in ("customer", "documents", "labels"))
+    participants = customer.selectExpr(
+        "concat('P', c_custkey) AS participant_id", "concat(c_nationkey % 5 * 10 + 18, '-', c_nationkey % 5 * 10 + 27) AS age_group", "c_nationkey % 20 - 1 AS music_training_years",
+        "c_mktsegment = 'BUILDING' AS is_musician",
+    )
+    condition = "CASE WHEN n_chars % 50 = 0 THEN 'other' WHEN n_chars % 3 = 0 THEN 'original' WHEN n_chars % 3 = 1 THEN 'generated' ELSE 'baseline' END"
+    stimuli = docs.selectExpr("concat('S', doc_id) AS stimulus_id", f"{condition} AS condition", "source AS style", "concat(source, '/', doc_id, '.mid') AS filepath")
+    responses = labels.join(docs.select("doc_id", "n_chars"), "doc_id").selectExpr(
+        "concat('P', doc_id % 1600) AS participant_id", "concat('S', doc_id) AS stimulus_id", f"CASE WHEN toxic = 1 THEN 'baseline' ELSE {condition} END AS condition",
+        "quality * 4.0D + 1 AS likability", "CAST(n_chars % 7 + 1 AS DOUBLE) AS beauty", "1.0D - toxic AS valence", "CAST(n_chars % 5 AS DOUBLE) AS arousal",
+        "'Baroque' AS perceived_era", "CASE WHEN n_chars % 4 = 0 THEN 'human' WHEN n_chars % 11 = 0 THEN 'someone' ELSE 'computer' END AS perceived_origin",
+    )
+    return participants, stimuli, responses
+
+
+def _rated(spark, sf_dir):
+    participants, _, responses = _experiment(spark, sf_dir)
+    return rounded(experiment.ratings(participants, responses))
+
+
+_CONDITION = "CASE WHEN n_chars % 50 = 0 THEN 'other' WHEN n_chars % 3 = 0 THEN 'original' WHEN n_chars % 3 = 1 THEN 'generated' ELSE 'baseline' END"
+_EXPERIMENT = f"""people AS (SELECT 'P' || c_custkey AS participant_id, c_nationkey % 20 - 1 AS years, c_mktsegment = 'BUILDING' AS is_musician FROM customer),
+stimuli AS (SELECT 'S' || doc_id AS stimulus_id, {_CONDITION} AS condition FROM documents),
+answers AS (SELECT 'P' || doc_id % 1600 AS participant_id, 'S' || doc_id AS stimulus_id, CASE WHEN toxic = 1 THEN 'baseline' ELSE {_CONDITION} END AS condition, quality * 4.0::DOUBLE + 1 AS likability,
+  CAST(n_chars % 7 + 1 AS DOUBLE) AS beauty, 1.0::DOUBLE - toxic AS valence, CAST(n_chars % 5 AS DOUBLE) AS arousal,
+  CASE WHEN n_chars % 4 = 0 THEN 'human' WHEN n_chars % 11 = 0 THEN 'someone' ELSE 'computer' END AS origin FROM labels JOIN documents USING (doc_id))"""
+
+
 def _interpreted(name):
     feature, low, high, a, b, levels = op.MEASURES[name]
     value = f"least(greatest(({feature} - {low}) / ({high} - {low}), 0), 1)"
@@ -84,6 +114,7 @@ QUERIES = {
     "emotion_cells": lambda s, d: rounded(grids.emotion_cells(views.notes(s, d))),
     "spectrogram_cells": lambda s, d: rounded(grids.spectrogram_cells(views.notes(s, d))),
     "smoothed_bars": lambda s, d: rounded(grids.smoothed_bars(views.notes(s, d))),
+    "experiment_violations": lambda s, d: experiment.violations(*_experiment(s, d)), "experiment_ratings": _rated,
     "golden_arc": lambda s, d: rounded(drawings.golden_arc(views.notes(s, d)), 5),
     "spectral_columns": lambda s, d: rounded(drawings.spectral_columns(views.notes(s, d))),
     "waveform_samples": lambda s, d: rounded(drawings.waveform(views.notes(s, d)), 5),
@@ -155,6 +186,16 @@ UNION ALL SELECT n.piece_id, n.seq, x + (p + 0.02) / (p + 0.02 + 0.08) * (pitch
 l AS (SELECT piece_id, seq, coalesce((x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0), 0.5) AS level FROM k WINDOW w AS (PARTITION BY piece_id)),
 b AS (SELECT piece_id, seq, count(*) OVER (PARTITION BY piece_id) AS n, coalesce(least(1, abs(pitch - lag(pitch) OVER (PARTITION BY piece_id ORDER BY seq)) / 12.0::DOUBLE), 0.5) AS speed FROM notes)
 SELECT piece_id, seq, {R('seq / CAST(n - 1 AS DOUBLE) * 1199', 'x')}, {R('level', 'level')}, {R('(1 - level) * 800 * 0.8::DOUBLE + 80', 'middle')}, {R('40 + 120 * speed', 'size')} FROM b JOIN l USING (piece_id, seq) WHERE n > 1""",
+    "experiment_violations": f"""WITH {_EXPERIMENT},
+bad AS (SELECT a.*, p.participant_id AS p, s.condition AS c FROM answers AS a LEFT JOIN people AS p USING (participant_id) LEFT JOIN stimuli AS s USING (stimulus_id))
+SELECT 'participants' AS "table", 'unique id' AS rule, count(*) - count(DISTINCT participant_id) AS n FROM people UNION ALL SELECT 'stimuli', 'unique id', count(*) - count(DISTINCT stimulus_id) FROM stimuli
+UNION ALL SELECT 'participants', 'training not negative', count(*) FILTER (years < 0) FROM people UNION ALL SELECT 'participants', 'musician known', 0 UNION ALL
+SELECT 'stimuli', 'known condition', count(*) FILTER (condition = 'other') FROM stimuli UNION ALL SELECT 'stimuli', 'has a file', 0 UNION ALL
+SELECT 'responses', 'known participant', count(*) FILTER (p IS NULL) FROM bad UNION ALL SELECT 'responses', 'known stimulus', count(*) FILTER (c IS NULL) FROM bad UNION ALL
+SELECT 'responses', 'condition of its stimulus', count(*) FILTER (c IS NULL OR c <> condition) FROM bad UNION ALL SELECT 'responses', 'known origin', count(*) FILTER (origin = 'someone') FROM bad UNION ALL
+SELECT 'responses', 'fully rated', 0""",
+    "experiment_ratings": f"""WITH {_EXPERIMENT} SELECT condition, is_musician, count(*) AS n, {", ".join(R(f"avg({c})", c) for c in experiment.RATINGS)},
+  {R("avg(CASE WHEN origin = CASE WHEN condition = 'original' THEN 'human' ELSE 'computer' END THEN 1.0::DOUBLE ELSE 0 END)", "origin_right")} FROM answers JOIN people USING (participant_id) GROUP BY ALL""",
     "golden_arc": f"""WITH {NOTES_SQL}, e AS (SELECT piece_id, min_by(start, seq) AS a, max_by(start + duration, seq) AS b, count(*) AS n, min(pitch) AS low, max(pitch) AS high FROM notes GROUP BY 1),
 g AS (SELECT notes.*, (start - a) / CASE WHEN b - a > 0 THEN b - a ELSE CAST(n AS DOUBLE) END AS pos, coalesce((pitch - low) / nullif(CAST(high - low AS DOUBLE), 0), 0.5) AS level FROM notes JOIN e USING (piece_id) WHERE n > 1),
 m AS (SELECT *, list_min([abs(pos - p) FOR p IN CAST({drawings.golden_places()} AS DOUBLE[])]) AS near FROM g)
