@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import splits as byte_splits
-from .shared import apply_groups, map_batches, shared_dir, slices, spread, table
+from .shared import KEPT, apply_groups, map_batches, shared_dir, slices, spread, table
 
 #: A text of more characters is encoded as a tree of pieces of PIECE_CHARS characters, each a row of its own. The result is the same either way.
 LONG_CHARS, PIECE_CHARS = 1 << 15, 1 << 13
@@ -253,20 +253,13 @@ class Coder:
 
 @lru_cache(maxsize=2)
 def coder(path: str) -> Coder:
-    """One per worker process and vocabulary file; the file is read on the worker and so must be at this path on every machine."""
+    """One per worker process and vocabulary file, kept as long as the worker does this kind of work; the file is read on the worker and so must be at
+    this path on every machine.
+    """
     return Coder(path)
 
 
-def _then_forget(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which the worker gives the coder and its memos back: it may live on and serve other stages."""
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            coder.cache_clear()
-
-    return whole
+KEPT["bpe"] = coder.cache_clear
 
 
 def _pieces(docs: DataFrame, folder: str, piece_chars: int) -> DataFrame:
@@ -319,10 +312,11 @@ def encode_columns(
         ]
         return pa.table([pieces.column("id").slice(0, 1), *columns([coder(path).concatenate(parts).ids])], names=names)
 
-    out = map_batches(rows.where(~is_long), _then_forget(short), f"id {kind}, {schema}")
+    out = map_batches(rows.where(~is_long), short, f"id {kind}, {schema}", keeps="bpe")
     pieces = _pieces(rows.where(is_long), shared_dir(docs.sparkSession), piece_chars).repartition("n", "piece")
-    encoded = map_batches(pieces, _then_forget(leaves), f"n bigint, id {kind}, piece int, text string, ends binary, counts binary, ids binary")
-    return out.unionByName(apply_groups(encoded, "n", whole, f"id {kind}, {schema}"))
+    schema_of_leaves = f"n bigint, id {kind}, piece int, text string, ends binary, counts binary, ids binary"
+    encoded = map_batches(pieces, leaves, schema_of_leaves, keeps="bpe")
+    return out.unionByName(apply_groups(encoded, "n", whole, f"id {kind}, {schema}", keeps="bpe"))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, **sizes: int) -> DataFrame:

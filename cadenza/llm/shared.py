@@ -95,16 +95,37 @@ def _bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """mapInArrow with batches of at most about BATCH_BYTES."""
+#: What Python workers may keep from one task to the next of a kind of work, and how they give it back.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def _give_back(keeps: str | None) -> None:
+    """In a worker, before a task: gives back what other kinds of work have kept, since a worker lives on and serves many stages."""
+    for kind, release in KEPT.items():
+        if kind != keeps:
+            release()
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str | StructType, keeps: str | None = None) -> DataFrame:
+    """mapInArrow with batches of at most about BATCH_BYTES. keeps: the kind of work in KEPT that this is, if any."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back(keeps)
+        yield from run(batches)
+
     _bound_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
+
+
+def apply_groups(df: DataFrame, key: str, run: Callable, schema: str | StructType, keeps: str | None = None) -> DataFrame:
+    """applyInArrow by one key, with batches of at most about BATCH_BYTES; keeps as in map_batches()."""
 
+    def task(group: pa.Table) -> pa.Table:
+        _give_back(keeps)
+        return run(group)
 
-def apply_groups(df: DataFrame, key: str, run: Callable, schema: str | StructType) -> DataFrame:
-    """applyInArrow by one key, with batches of at most about BATCH_BYTES."""
     _bound_batches(df.sparkSession)
-    return df.groupBy(key).applyInArrow(run, schema)
+    return df.groupBy(key).applyInArrow(task, schema)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -17,7 +17,7 @@ def test_stages_chain_and_keep_the_columns_of_documents(spark, sf_dir):
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) and "pipeline" in names
 
 
