@@ -110,7 +110,7 @@ QUERIES = {
     "self_similarity_matrix": lambda s, d: rounded(features.self_similarity(views.notes(s, d))),
     "markov_second_order": lambda s, d: rounded(markov.higher_order(views.motes(s, d), F.col("pitch"), 2)),
     "markov_third_order": lambda s, d: rounded(markov.higher_order(views.motes(s, d), F.col("pitch"), 3)),
-    "similar_tracks": lambda s, d: rounded(sim.best_tracks(sim.pearson_to(n := views.notes(s, d), n.where("piece_id % 20 = 0")), 10)),
+    "similar_tracks": lambda s, d: rounded(sim.best_tracks(sim.pearson_to(n := views.notes(s, d), n.where("piece_id % 20 = 0"), top=10), 10)),
     "emotion_cells": lambda s, d: rounded(grids.emotion_cells(views.notes(s, d))),
     "spectrogram_cells": lambda s, d: rounded(grids.spectrogram_cells(views.notes(s, d))),
     "smoothed_bars": lambda s, d: rounded(grids.smoothed_bars(views.notes(s, d))),
