@@ -163,9 +163,16 @@ def _ordered_pitches() -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct("seq", "pitch"))), lambda x: x["pitch"].cast("double")).alias("_pitches")
 
 
+def _mean_consonance(pitches: np.ndarray) -> float:
+    """The mean consonance of successive intervals, added up in order, so that a mean that lies on a bound does not depend on how rows are sorted; 0 for one note."""
+    scores = np.array(CONSONANCE)[np.abs(np.diff(pitches)).astype(int) % 12]
+    return float(np.cumsum(scores)[-1] / len(scores)) if len(scores) else 0.0
+
+
 def _sequential(x: np.ndarray, window: int, apart: int) -> tuple[float, ...]:
-    """The measures of _SEQUENTIAL of one piece's pitches."""
-    return (*_spectrum(x), _mean_similarity(x.astype(int), window, apart), _box_dimension(x))
+    """The measures of _SEQUENTIAL of one piece's pitches, and the consonance and dissonance."""
+    consonant = _mean_consonance(x)
+    return (*_spectrum(x), _mean_similarity(x.astype(int), window, apart), _box_dimension(x), consonant, 1.0 - consonant)
 
 
 def _columns(rows: list[tuple[float, ...]], n: int) -> list[pa.Array]:
@@ -233,9 +240,9 @@ def feature_matrix(notes: DataFrame, pieces: DataFrame | None = None, least_note
     """
     steps = _with_rhythm(with_steps(notes))
     wide = steps.groupBy("piece_id").agg(
-        *_pitch(), *_interval(), *_harmony(), *_rhythm(), F.count("*").cast("double").alias("total_notes"), _ordered_pitches()
+        *_pitch(), *_interval(), _harmony()[-1], *_rhythm(), F.count("*").cast("double").alias("total_notes"), _ordered_pitches()
     ).where(F.col("total_notes") >= least_notes)
     wide = wide.select(*[c for c in wide.columns if c != "_pitches"], F.col("chromatic_saturation").alias("unique_pitch_classes"), "_pitches")
 
-    full = _of_pitches(wide, lambda x: _sequential(x, window, apart), _SEQUENTIAL)
+    full = _of_pitches(wide, lambda x: _sequential(x, window, apart), (*_SEQUENTIAL, "consonance_score", "dissonance_index"))
     return full if pieces is None else full.join(pieces, "piece_id", "left")

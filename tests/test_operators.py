@@ -132,3 +132,19 @@ def test_suggestions_generation_and_components(spark):
     rows = models.principal_components(spark.createDataFrame(x.tolist(), "a double, b double, c double"), ["a", "b", "c"], 2, scale=False).toPandas()
     values = np.linalg.eigvalsh(np.cov(x.T, bias=True))[::-1]
     assert rows[["pc1", "pc2"]].var(ddof=0).to_numpy() == pytest.approx(values[:2])
+
+
+def test_consonance_that_lies_on_a_bound_does_not_depend_on_how_rows_are_sorted(spark):
+    from cadenza.operators import features
+
+    rng = np.random.default_rng(13)
+    pieces = {p: rng.integers(40, 90, 41).tolist() for p in range(200)}
+    notes = spark.createDataFrame(
+        [(p, k, x, float(d), float(k)) for p, v in pieces.items() for k, (x, d) in enumerate(zip(v, rng.integers(1, 17, 41) / 8))], "piece_id long, seq int, pitch int, duration double, start double"
+    )
+    got = {r["piece_id"]: (r["consonance_score"], r["dissonance_index"]) for r in features.feature_matrix(notes).select("piece_id", "consonance_score", "dissonance_index").collect()}
+    for p, v in pieces.items():
+        total = 0.0
+        for a, b in zip(v, v[1:]):
+            total += features.CONSONANCE[abs(b - a) % 12]
+        assert got[p] == (total / 40, 1.0 - total / 40), p
