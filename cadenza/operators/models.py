@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,10 @@ WEIGHTS = {"markov": 0.30, "kalman": 0.15, "consonance": 0.15, "tension": 0.10,
 FIBONACCI = (1, 2, 3, 5, 8, 13)
 
 
+#: Rows of a part that forests are grown on, memory for the nodes that are split at a time (rows are read once for each time), and folds side by side.
+FOREST_ROWS, FOREST_MB, PARALLEL_FOLDS = 100_000, 512, 5
+
+
 def check_styles(matrix: DataFrame) -> DataFrame:
     """(piece_id, style, entropy_ok, consonance_ok, steps_ok, valid, distance): every piece against every style; styles are a constant of a few
     rows.
@@ -182,6 +189,8 @@ def classify(
 ) -> DataFrame:
     """(label, prediction, n): confusion counts of a random forest over hash folds; classes of fewer than ``least`` rows are left out before
     anything is fitted, and with no class left the result is empty.
+
+    Each fold's forest is grown by Spark, whose jobs for a level of the trees are short, so folds are fitted side by side.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -195,12 +204,18 @@ def classify(
     rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(indexed.transform(kept)).withColumn(
         "_fold", F.pmod(F.xxhash64(id_col), F.lit(folds))
     )
-    rows = stored(rows.select(label, "_y", "_x", "_fold"))
-    back, out = IndexToString(inputCol="prediction", outputCol="_p", labels=indexed.labels), None
-    for k in range(folds):
-        model = RandomForestClassifier(
-            featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed
-        ).fit(rows.where(F.col("_fold") != k))
+    tasks = kept.sparkSession.sparkContext.defaultParallelism
+    rows = stored(rows.select(label, "_y", "_x", "_fold", F.col(id_col).alias("_id")).repartition(max(tasks, -(-kept.count() // FOREST_ROWS)), "_id").sortWithinPartitions("_id"))
+    back = IndexToString(inputCol="prediction", outputCol="_p", labels=indexed.labels)
+    forest = RandomForestClassifier(
+        featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=FOREST_MB, cacheNodeIds=True
+    )
+
+    def judged(k: int) -> DataFrame:
+        model = forest.fit(rows.where(F.col("_fold") != k))
         part = back.transform(model.transform(rows.where(F.col("_fold") == k))).select(F.col(label).alias("label"), F.col("_p").alias("predicted"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("label", "predicted").agg(F.count("*").alias("n"))
+        return stored(part.groupBy("label", "predicted").agg(F.count("*").alias("n")))
+
+    with ThreadPool(min(folds, PARALLEL_FOLDS)) as pool:
+        parts = pool.map(inheritable_thread_target(kept.sparkSession)(judged), range(folds))
+    return reduce(DataFrame.unionByName, parts).groupBy("label", "predicted").agg(F.sum("n").alias("n"))
