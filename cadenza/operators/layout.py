@@ -7,8 +7,9 @@ positions in place of all (as in negative sampling; Tang, Liu, Zhang and Mei, "V
 
 Rows are dealt to blocks by the index's lists, which hold most of a row's neighbours, and lists of many rows are cut further. In a round each
 block moves its rows by many steps in one task; neighbours in the block are where they are at each step, others, and the sample of the other
-blocks' rows, where they were when the round began. Between rounds positions are joined to the graph anew. A row has a bounded number of
-neighbours, so no row that many others are near to makes a large group.
+blocks' rows, where they were when the round began. What does not change is worked out once: which rows a block must hear of from each other
+block, and the place in what it hears of each neighbour. After a round each block sends to each other the positions it waits for, as one row, so
+that no edge is joined or shuffled again. A row has a bounded number of neighbours, so no row that many others are near to makes a large group.
 
 Vectors without a direction are neighbours of none and are laid out by repulsion alone. An empty table gives an empty result.
 """
@@ -50,9 +51,7 @@ def affinities(squared: np.ndarray, perplexity: float) -> np.ndarray:
 
 def graph(vectors: DataFrame, model: neighbours.Model, perplexity: float, near: int, id_col: str, vector_col: str) -> DataFrame:
     """(id, near, weight): the neighbours of each row that has any, and its affinities to them."""
-    found = neighbours.search(vectors, vectors, near, 2 * near, id_col=id_col, vector_col=vector_col, model=model).where("score > 0")
-    listed = found.groupBy(F.col("query").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour", "score"))).alias("n"))
-    listed = listed.select("id", F.col("n.neighbour").alias("near"), F.col("n.score").alias("score"))
+    listed = neighbours.neighbours_of_all(vectors, model, near, id_col, vector_col)
     kind = vectors.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,10 +62,10 @@ def graph(vectors: DataFrame, model: neighbours.Model, perplexity: float, near:
                 line[: len(scores)] = 2 - 2 * scores
             weights = affinities(squared, perplexity)
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array([w[: len(s)] for w, s in zip(weights, rows)], pa.list_(pa.float64()))], ["id", "near", "weight"]
+                [batch.column(0), batch.column(1), pa.array([w[: len(s)] for w, s in zip(weights, rows)], pa.list_(pa.float32()))], ["id", "near", "weight"]
             )
 
-    return listed.mapInArrow(run, f"id {kind}, near array<{kind}>, weight array<double>")
+    return listed.mapInArrow(run, f"id {kind}, near array<{kind}>, weight array<float>")
 
 
 def principal(vectors: DataFrame, width: int, id_col: str, vector_col: str, rows: int = neighbours.FIT_ROWS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -101,11 +100,15 @@ def descend(
         met = y[rng.integers(0, len(y), mine)]
         if len(others) and mine < STEP_SAMPLE:
             met = np.concatenate([met, others[rng.integers(0, len(others), STEP_SAMPLE - mine)]])
-        away = y[:, None] - met
-        kernel = 1 / (1 + (away**2).sum(axis=2))
+        kernel = (y[:, :1] - met[:, 0]) ** 2
+        kernel += (y[:, 1:] - met[:, 1]) ** 2
+        kernel += 1
+        np.reciprocal(kernel, out=kernel)
         total = kernel.sum(axis=1).mean()
         scale = total if scale is None else 0.9 * scale + 0.1 * total
-        v = momentum * v - step * (exaggeration * attract - ((kernel**2)[:, :, None] * away).sum(axis=1) / scale)
+        kernel *= kernel
+        away = y * kernel.sum(axis=1, keepdims=True) - kernel @ met
+        v = momentum * v - step * (exaggeration * attract - away / scale)
         y = y + v
     return y, v
 
@@ -117,7 +120,6 @@ def layout(
     """(id, x, y) of every row. The same for the same rows and seed, whatever the partitions."""
     kind, n = vectors.schema[id_col].dataType.simpleString(), vectors.count()
     model = neighbours.fit(vectors, 0.9, near, id_col, vector_col)
-    edges = stored(graph(vectors, model, perplexity, near, id_col, vector_col))
     mean, directions = principal(vectors, model.width, id_col, vector_col)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,37 +131,78 @@ def layout(
     first = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(begin, f"id {kind}, list int, x double, y double")
     first = stored(first)
     sizes = first.groupBy("list").agg(F.ceil(F.count("*") / block_rows).alias("parts"))  # one row for each list, of which a model has few
+    blocks = sizes.agg(F.sum("parts")).first()[0] or 1
     first = first.join(F.broadcast(sizes), "list").withColumn("block", F.xxhash64("list", F.pmod(F.xxhash64("id"), F.col("parts"))))
-    at = stored(first.select("id", "block", "x", "y", F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy")))
+    rows = stored(first.select("id", "block", "x", "y").join(graph(vectors, model, perplexity, near, id_col, vector_col), "id", "left"))
+    steady = stored(_steady(rows, kind).repartition(max(1, min(blocks, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "block"))
+    at = rows.select("block", F.lit(None).cast("long").alias("other"), "id", F.array("x", "y", F.lit(0.0), F.lit(0.0)).alias("p"), F.lit(None).cast("array<float>").alias("sent"))
+    at = stored(_round(at, steady, kind, n, near, seed, 0, 1.0))
     for k in range(rounds):
-        at = stored(_round(at, edges, kind, n, near, seed + k, EXAGGERATION if k < EARLY else 1.0))
-    return at.select("id", "x", "y")
+        at = stored(_round(at, steady, kind, n, near, seed + k, STEPS, EXAGGERATION if k < EARLY else 1.0))
+    return at.where("other IS NULL").select("id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
-def _round(at: DataFrame, edges: DataFrame, kind: str, n: int, near: int, seed: int, exaggeration: float) -> DataFrame:
-    sample = at.select("block", "x", "y").orderBy(F.xxhash64(F.lit(seed), "id")).limit(SAMPLE).toPandas()
+def _steady(rows: DataFrame, kind: str) -> DataFrame:
+    """(block, other, id, near, weight): what stays from round to round. Where other is null, a row with its neighbours as numbers among the block's rows
+    and, after them, those it hears of, in order of the sending block and the id; else the numbers of a block's rows that another block waits for.
+    """
+    owners = rows.select(F.col("id").alias("to"), F.col("block").alias("owner"))
+    asked = rows.select("block", F.explode("near").alias("to")).groupBy("to").agg(F.collect_set("block").alias("blocks"))
+    asked = asked.join(owners, "to").select("owner", "to", F.explode("blocks").alias("block")).where("owner <> block")
+    asked = stored(asked.groupBy("owner", "block").agg(F.array_sort(F.collect_list("to")).alias("ids")))
+    heard = asked.select("block", F.col("owner").alias("other"), "ids", F.lit(False).alias("sends"))
+    both = heard.unionByName(asked.select(F.col("owner").alias("block"), F.col("block").alias("other"), "ids", F.lit(True).alias("sends")))
+
+    def run(rows: pa.Table, lists: pa.Table) -> pa.Table:
+        rows, lists = rows.sort_by("id"), lists.sort_by("other")
+        ids = rows.column("id").combine_chunks()
+        heard, sends = lists.filter(pc.invert(lists.column("sends"))), lists.filter(lists.column("sends"))
+        known = pa.concat_arrays([ids, heard.column("ids").combine_chunks().flatten()])
+        near, send = rows.column("near").combine_chunks(), sends.column("ids").combine_chunks()
+        numbers = lambda x, of: pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(np.asarray(x.value_lengths().fill_null(0)))]), pa.int32()), pc.index_in(x.flatten(), value_set=of)
+        )
+        some = pa.table([rows.column("block"), pa.nulls(len(ids), pa.int64()), ids, numbers(near, known), rows.column("weight")], names=["block", "other", "id", "near", "weight"])
+        return pa.concat_tables(
+            [some, pa.table([sends.column("block"), sends.column("other"), pa.nulls(len(sends), ids.type), numbers(send, ids), pa.nulls(len(sends), some.schema.field("weight").type)], schema=some.schema)]
+        )
+
+    met = rows.select("block", "id", "near", "weight").groupBy("block").cogroup(both.groupBy("block"))
+    return met.applyInArrow(run, f"block bigint, other bigint, id {kind}, near array<int>, weight array<float>")
+
+
+def _round(at: DataFrame, steady: DataFrame, kind: str, n: int, near: int, seed: int, steps: int, exaggeration: float) -> DataFrame:
+    """(block, other, id, p, sent) after some steps. Where other is null, a row's position and velocity; else the positions that this other block sends."""
+    sample = at.where("other IS NULL").select("block", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"), "id")
+    sample = sample.orderBy(F.xxhash64(F.lit(seed), "id")).limit(SAMPLE).drop("id").toPandas()
     places, blocks = sample[["x", "y"]].to_numpy(), sample["block"].to_numpy()
-    single = edges.select("id", F.posexplode(F.arrays_zip("near", "weight")).alias("k", "e")).select("id", "k", F.col("e.near").alias("to"), F.col("e.weight").alias("weight"))
-    theirs = at.select(F.col("id").alias("to"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    lists = single.join(theirs, "to").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "to", "weight", "tx", "ty"))).alias("e"))
-    rows = at.join(lists, "id", "left")
-
-    def run(block: pa.Table) -> pa.Table:
-        block = block.sort_by("id")
-        ids = block.column("id").combine_chunks()
-        lines = block.column("e").combine_chunks()
-        counts = np.asarray(lines.value_lengths().fill_null(0))
-        flat = lines.flatten()
-        row = np.repeat(np.arange(len(ids)), counts)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        to, weight, fixed = np.full((len(ids), near), -1), np.zeros((len(ids), near)), np.zeros((len(ids), near, 2))
-        to[row, place] = np.asarray(pc.index_in(flat.field("to"), value_set=ids).fill_null(-1))
-        weight[row, place] = np.asarray(flat.field("weight"))
-        fixed[row, place, 0], fixed[row, place, 1] = np.asarray(flat.field("tx")), np.asarray(flat.field("ty"))
-        number = block.column("block")[0].as_py()
-        y, v = (np.stack([np.asarray(block.column(c).combine_chunks()) for c in names], axis=1) for names in (("x", "y"), ("vx", "vy")))
-        rng = np.random.default_rng([seed, number & ((1 << 63) - 1)])
-        y, v = descend(y, v, to, weight, fixed, places[blocks != number], len(ids) / n, STEPS, exaggeration, rng)
-        return pa.table([ids, block.column("block"), pa.array(y[:, 0]), pa.array(y[:, 1]), pa.array(v[:, 0]), pa.array(v[:, 1])], names=["id", "block", "x", "y", "vx", "vy"])
-
-    return rows.groupBy("block").applyInArrow(run, f"id {kind}, block bigint, x double, y double, vx double, vy double")
+
+    def run(steady: pa.Table, at: pa.Table) -> pa.Table:
+        lines, sends = steady.filter(pc.is_null(steady.column("other"))).sort_by("id"), steady.filter(pc.is_valid(steady.column("other")))
+        rows, heard = at.filter(pc.is_null(at.column("other"))).sort_by("id"), at.filter(pc.is_valid(at.column("other"))).sort_by("other")
+        ids, number = rows.column("id").combine_chunks(), rows.column("block")[0].as_py()
+        state = np.asarray(rows.column("p").combine_chunks().flatten()).reshape(-1, 4)
+        y, v = state[:, :2], state[:, 2:]
+        if steps:
+            lists = lines.column("near").combine_chunks()
+            counts = np.asarray(lists.value_lengths().fill_null(0))
+            row = np.repeat(np.arange(len(ids)), counts)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            numbers = np.asarray(lists.flatten())
+            to, weight, fixed = np.full((len(ids), near), -1), np.zeros((len(ids), near)), np.zeros((len(ids), near, 2))
+            to[row, place] = np.where(numbers < len(ids), numbers, -1)
+            weight[row, place] = np.asarray(lines.column("weight").combine_chunks().flatten())
+            fixed[row, place] = np.concatenate([y, np.asarray(heard.column("sent").combine_chunks().flatten(), float).reshape(-1, 2)])[numbers]
+            rng = np.random.default_rng([seed, number & ((1 << 63) - 1)])
+            y, v = descend(y, v, to, weight, fixed, places[blocks != number], len(ids) / n, steps, exaggeration, rng)
+        moved = pa.array(np.concatenate([y, v], axis=1).ravel())
+        moved = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * 4, pa.int32()), moved)
+        named = ["block", "other", "id", "p", "sent"]
+        state = pa.table([rows.column("block"), pa.nulls(len(ids), pa.int64()), ids, moved, pa.nulls(len(ids), pa.list_(pa.float32()))], names=named)
+        lists = sends.column("near").combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]) * 2
+        sent = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(y[np.asarray(lists.flatten())].ravel(), pa.float32()))
+        return pa.concat_tables([state, pa.table([sends.column("other"), sends.column("block"), pa.nulls(len(sends), ids.type), pa.nulls(len(sends), moved.type), sent], names=named)])
+
+    met = steady.groupBy("block").cogroup(at.groupBy("block"))
+    return met.applyInArrow(run, f"block bigint, other bigint, id {kind}, p array<double>, sent array<float>")

@@ -4,6 +4,9 @@ Rows and queries meet in blocks: rows are dealt to parts of bounded size, querie
 one task of a cogrouped shuffle, which returns the best few of the part for each query. Nothing is broadcast that grows with the data, and no
 pair of rows becomes a row of its own before it is among the best of its part.
 
+Where all rows are queries, ``neighbours_of_all`` meets large parts with large blocks, so that each row is sent and answered few times. It looks
+into the same lists, but compares the vectors themselves, which travel with the rows.
+
 The index (Jegou, Douze and Schmid, "Product Quantization for Nearest Neighbor Search", 2011) is fitted on a bounded sample: k-means centres
 are the lists, and what is left of a vector after its centre is cut into short pieces, each written as the number of the nearest of 256 values.
 A query looks into the lists whose centres are nearest, as many as the sample needs for ``recall``; it ranks their rows by the written
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +32,8 @@ from ..functions.storage import stored
 PART_ROWS, BLOCK_QUERIES = 4096, 2048
 #: Rows that the index is fitted on at most, rows of a list on average where the sample allows it, and lists at most.
 FIT_ROWS, LIST_ROWS, MOST_LISTS = 20_000, 2048, 600
+#: Coordinates of a part's rows and of a block's queries where all rows are queries, and queries compared at a time.
+PART_SIZE, BLOCK_SIZE, TILE = 1 << 23, 1 << 22, 1024
 #: Coordinates of a quantised piece, values it may have, rounds of k-means.
 PIECE, VALUES, ROUNDS = 2, 256, 8
 
@@ -228,3 +234,104 @@ def search(
 
     met = near.join(b, "neighbour").join(a, "query").select("query", "neighbour", "qv", "v")
     return _ranked(met.mapInArrow(score, f"query {kind}, neighbour {kind}, score double"), top)
+
+
+def _best_in_lists(x: np.ndarray, look: np.ndarray, y: np.ndarray, lists: list[tuple[int, int]], top: int) -> np.ndarray:
+    """Numbers of the ``top`` rows of ``y`` that score best with each row of ``x``, -1 where there are fewer. lists: first row and end of each list;
+    look: which of them a query looks into.
+    """
+    best, at = np.full((len(x), top), -np.inf, np.float32), np.full((len(x), top), -1)
+    for k, (start, end) in enumerate(lists):
+        asked = np.flatnonzero(look[:, k])
+        for s in range(start, end if len(asked) else start, PART_ROWS):
+            scores = x[asked] @ y[s : min(s + PART_ROWS, end)].T
+            least = best[asked].min(axis=1)
+            if scores.shape[1] >= top and np.isinf(least).any():  # the least of the greatest of ``top`` groups of rows is in no case above the last of the best
+                groups = np.maximum.reduceat(scores, np.arange(top) * scores.shape[1] // top, axis=1).min(axis=1)
+                least = np.maximum(least, np.nextafter(groups, np.float32(-np.inf)))
+            q, r = np.divmod(np.flatnonzero(scores > least[:, None]), scores.shape[1])
+            if not len(q):
+                continue
+            some, q = np.unique(q, return_inverse=True)
+            counts = np.bincount(q)
+            place = top + np.arange(len(q)) - np.repeat(np.cumsum(counts) - counts, counts)
+            found, number = np.full((len(some), top + counts.max()), -np.inf, np.float32), np.full((len(some), top + counts.max()), -1)
+            found[:, :top], number[:, :top] = best[asked[some]], at[asked[some]]
+            found[q, place], number[q, place] = scores[some[q], r], s + r
+            kept = np.argpartition(-found, top - 1, axis=1)[:, :top]
+            best[asked[some]], at[asked[some]] = np.take_along_axis(found, kept, axis=1), np.take_along_axis(number, kept, axis=1)
+    return at
+
+
+def neighbours_of_all(vectors: DataFrame, model: Model, top: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, near, score): for each row with a direction, its best ``top`` other rows by cosine in the lists it looks into, best first. Only
+    scores above zero count. Vectors are compared in single precision; of rows that tie for the last place, any may be taken.
+    """
+    kind = vectors.schema[id_col].dataType.simpleString()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(1), model.width)
+            has = np.flatnonzero(np.linalg.norm(x, axis=1) > 0)
+            x = x[has]
+            lists = pa.array(_closest(x, model.centres), pa.int32())
+            yield pa.record_batch([batch.column(0).take(pa.array(has)), lists, pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())], ["id", "list", "v"])
+
+    rows = stored(vectors.select(id_col, vector_col).mapInArrow(write, f"id {kind}, list int, v binary"))
+    sizes = sorted(tuple(r) for r in rows.groupBy("list").count().collect())  # at most MOST_LISTS
+    n, part_rows, block_rows = sum(c for _, c in sizes), max(1, PART_SIZE // model.width), max(1, BLOCK_SIZE // model.width)
+    # lists one after another are cut into parts of equal numbers of rows; a list on a cut is dealt to its parts by hash
+    parts, blocks, before, dealt = max(1, -(-n // part_rows)), max(1, -(-n // block_rows), min(8, n // TILE)), 0, []
+    for number, count in sizes:
+        first = before * parts // n
+        before += count
+        dealt.append((number, first, (before - 1) * parts // n - first + 1))
+    held = {number: range(first, first + some) for number, first, some in dealt}
+    places = F.broadcast(vectors.sparkSession.createDataFrame(dealt, "list int, first int, parts int"))
+    placed = rows.join(places, "list").select("id", "list", "v", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("part"))
+    queries = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
+
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, model.width)
+            asked = [sorted({p for k in line for p in held.get(k, ())}) for line in model.lists(x).tolist()]
+            yield pa.record_batch([*batch.columns, pa.array(asked, pa.list_(pa.int32()))], ["id", "v", "block", "parts"])
+
+    asked = queries.select("id", "v", "block").mapInArrow(asks, f"id {kind}, v binary, block int, parts array<int>")
+    asked = asked.select("id", "v", "block", F.explode("parts").alias("part"))
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        rows, queries = rows.sort_by([("list", "ascending"), ("id", "ascending")]), queries.sort_by("id")
+        ids, names = rows.column("id").combine_chunks(), queries.column("id").combine_chunks()
+        x, y = (np.frombuffer(b"".join(t.column("v").to_pylist()), np.float32).reshape(-1, model.width) for t in (queries, rows))
+        numbers, starts = np.unique(np.asarray(rows.column("list")), return_index=True)
+        lists = list(zip(starts.tolist(), [*starts[1:].tolist(), len(ids)]))
+        out = []
+        for k in range(0, len(x) if len(y) else 0, TILE):
+            some = x[k : k + TILE]
+            looked = model.lists(some)
+            look = np.zeros((len(some), len(model.centres)), bool)
+            np.put_along_axis(look, looked, True, axis=1)
+            at = _best_in_lists(some, look[:, numbers], y, lists, top + 1)  # the row itself may be among them
+            q, place = np.nonzero(at >= 0)
+            r = at[q, place]
+            scores = np.round(np.einsum("ij,ij->i", some[q].astype(float), y[r].astype(float)), 7)
+            own = np.asarray(pc.equal(names.take(pa.array(k + q)), ids.take(pa.array(r))))
+            good = ~own & (scores > 0)
+            q, r, scores = q[good], r[good], scores[good]
+            order = np.lexsort((r, -scores, q))
+            q, r, scores = q[order], r[order], scores[order]
+            counts = np.bincount(q, minlength=len(some))
+            first = np.arange(len(q)) - np.repeat(np.cumsum(counts) - counts, counts) < top
+            q, r, scores = q[first], r[first], scores[first]
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(q, minlength=len(some)))]), pa.int32())
+            near = pa.ListArray.from_arrays(ends, ids.take(pa.array(r)))
+            out.append(pa.table([names.slice(k, TILE), near, pa.ListArray.from_arrays(ends, pa.array(scores, pa.float32()))], names=["id", "near", "score"]))
+        return pa.concat_tables(out) if out else pa.table([names.slice(0, 0), pa.array([], pa.list_(ids.type)), pa.array([], pa.list_(pa.float32()))], names=["id", "near", "score"])
+
+    met = _met(placed.withColumn("block", _each(blocks)), asked, ["part", "block"], run, f"id {kind}, near array<{kind}>, score array<float>")
+    # numbers and scores travel as arrays and are paired only after the shuffle
+    found = met.groupBy("id").agg(F.collect_list(F.struct("near", "score")).alias("found"))
+    pairs = F.flatten(F.transform("found", lambda f: F.zip_with(f["score"], f["near"], lambda s, i: F.struct((-s).alias("less"), i.alias("near")))))
+    found = found.select("id", F.slice(F.array_sort(pairs), 1, top).alias("found")).where(F.size("found") > 0)
+    return found.select("id", F.col("found.near").alias("near"), F.transform("found.less", lambda s: -s).alias("score"))
