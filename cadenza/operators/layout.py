@@ -1,6 +1,6 @@
 """Layouts in the plane that keep neighbourhoods: a neighbour graph, affinities of a given perplexity, and a seeded descent in rounds.
 
-The graph comes from the index of nearest neighbours. Each row's affinities to its neighbours are those of a Gaussian whose width gives the wanted
+The graph comes from the lists of the index of nearest neighbours. Each row's affinities to its neighbours are those of a Gaussian whose width gives the wanted
 perplexity, found by bisection for many rows at once. Positions begin at the first two principal directions of a bounded sample and
 follow the gradient of t-SNE (van der Maaten and Hinton, 2008): neighbours attract, and all rows repel each other, by a seeded sample of
 positions in place of all (as in negative sampling; Tang, Liu, Zhang and Mei, "Visualizing Large-scale and High-dimensional Data", 2016).
