@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
+from . import forest
 from .features import CONSONANCE
 
 #: Per style the entropy band, least consonance, least step ratio, repetition target and fractal band.
@@ -28,8 +29,10 @@ WEIGHTS = {"markov": 0.30, "kalman": 0.15, "consonance": 0.15, "tension": 0.10,
 FIBONACCI = (1, 2, 3, 5, 8, 13)
 
 
-#: Rows of a part that forests are grown on, memory for the nodes that are split at a time (rows are read once for each time), and folds side by side.
-FOREST_ROWS, FOREST_MB, PARALLEL_FOLDS = 100_000, 512, 5
+#: Rows, and values of rows, up to which every task has the whole table and grows trees of its own.
+FOREST_ROWS, FOREST_CELLS = 1 << 20, 1 << 24
+#: For larger tables: rows of a part, memory for the nodes that are split at a time (rows are read once for each time), and folds side by side.
+PART_ROWS, FOREST_MB, PARALLEL_FOLDS = 100_000, 512, 5
 
 
 def check_styles(matrix: DataFrame) -> DataFrame:
@@ -187,35 +190,54 @@ def classify(
     df: DataFrame, columns: list[str], label: str, folds: int = 3, trees: int = 30, depth: int = 5, least: int = 8, seed: int = 42,
     id_col: str = "piece_id"
 ) -> DataFrame:
-    """(label, prediction, n): confusion counts of a random forest over hash folds; classes of fewer than ``least`` rows are left out before
-    anything is fitted, and with no class left the result is empty.
+    """(label, predicted, n): confusion counts of a random forest over hash folds; classes of fewer than ``least`` rows are left out before
+    anything is fitted, and with no class left the result is empty. A row whose fold leaves none to learn from is predicted null.
 
-    Each fold's forest is grown by Spark, whose jobs for a level of the trees are short, so folds are fitted side by side.
+    Tables of up to FOREST_CELLS values are sent to every task, which grows some of the trees whole. The forests of larger ones are grown by Spark, whose jobs
+    for a level of the trees are short, so folds are fitted side by side.
     """
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import StringIndexer
 
     kept = df.where(F.col(label).isNotNull()).join(
         df.groupBy(label).count().where(F.col("count") >= least).select(label), label, "left_semi"
-    ).na.fill(0.0, columns)
-    if kept.isEmpty():
-        return kept.select(F.col(label).alias("label"), F.col(label).alias("predicted"), F.lit(0).cast("bigint").alias("n"))
-    indexed = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(kept)
-    rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(indexed.transform(kept)).withColumn(
-        "_fold", F.pmod(F.xxhash64(id_col), F.lit(folds))
+    ).na.fill(0.0, columns).select(
+        F.col(label).cast("string").alias("label"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"),
+        F.pmod(F.xxhash64(id_col), F.lit(folds)).cast("int").alias("fold"), F.xxhash64(id_col).alias("id")
+    )
+    kept = stored(kept)
+    n = kept.count()
+    if not n:
+        return kept.select("label", F.col("label").alias("predicted"), F.lit(0).cast("bigint").alias("n"))
+    indexed = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(kept)
+    rows, labels = indexed.transform(kept), indexed.labels
+    if n > FOREST_ROWS or n * max(len(columns), len(labels)) > FOREST_CELLS:
+        return _judged_by_levels(rows, labels, n, folds, trees, depth, seed)
+    summed = forest.votes(rows.select("id", "fold", F.col("y").cast("int").alias("y"), "x"), len(labels), folds, trees, depth, seed)
+    names, most = F.array(*[F.lit(x) for x in labels]), F.array_max("votes")
+    predicted = F.when(most > 0, F.get(names, (F.array_position("votes", most) - 1).cast("int")))
+    return summed.select(F.get(names, F.col("y").cast("int")).alias("label"), predicted.alias("predicted")).groupBy("label", "predicted").agg(
+        F.count("*").alias("n")
     )
-    tasks = kept.sparkSession.sparkContext.defaultParallelism
-    rows = stored(rows.select(label, "_y", "_x", "_fold", F.col(id_col).alias("_id")).repartition(max(tasks, -(-kept.count() // FOREST_ROWS)), "_id").sortWithinPartitions("_id"))
-    back = IndexToString(inputCol="prediction", outputCol="_p", labels=indexed.labels)
-    forest = RandomForestClassifier(
-        featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=FOREST_MB, cacheNodeIds=True
+
+
+def _judged_by_levels(rows: DataFrame, labels: list[str], n: int, folds: int, trees: int, depth: int, seed: int) -> DataFrame:
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import IndexToString
+    from pyspark.ml.functions import array_to_vector
+
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    rows = rows.withColumn("_x", array_to_vector("x")).select("label", "y", "_x", "fold", "id")
+    rows = stored(rows.repartition(max(tasks, -(-n // PART_ROWS)), "id").sortWithinPartitions("id"))
+    back = IndexToString(inputCol="prediction", outputCol="predicted", labels=labels)
+    spark_forest = RandomForestClassifier(
+        featuresCol="_x", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=FOREST_MB, cacheNodeIds=True
     )
 
     def judged(k: int) -> DataFrame:
-        model = forest.fit(rows.where(F.col("_fold") != k))
-        part = back.transform(model.transform(rows.where(F.col("_fold") == k))).select(F.col(label).alias("label"), F.col("_p").alias("predicted"))
+        model = spark_forest.fit(rows.where(F.col("fold") != k))
+        part = back.transform(model.transform(rows.where(F.col("fold") == k)))
         return stored(part.groupBy("label", "predicted").agg(F.count("*").alias("n")))
 
     with ThreadPool(min(folds, PARALLEL_FOLDS)) as pool:
-        parts = pool.map(inheritable_thread_target(kept.sparkSession)(judged), range(folds))
+        parts = pool.map(inheritable_thread_target(rows.sparkSession)(judged), range(folds))
     return reduce(DataFrame.unionByName, parts).groupBy("label", "predicted").agg(F.sum("n").alias("n"))
