@@ -3,6 +3,7 @@
 import numpy as np
 
 from cadenza.operators import forest, models
+from cadenza.plans import catalog
 
 
 def _gini(y, w, c):
@@ -73,3 +74,13 @@ def test_larger_tables_are_judged_alike(spark, monkeypatch):
 def test_a_row_without_others_to_learn_from_is_not_given_a_class(spark):
     df = spark.createDataFrame([(1, "a", float(k)) for k in range(9)], "piece_id long, era string, x double")
     assert [tuple(r) for r in models.classify(df, ["x"], "era", trees=3).collect()] == [("a", None, 9)]
+
+
+def test_vectors_are_judged_whole_in_few_jobs(spark, sf_dir):
+    spark.sparkContext.setJobGroup("vectors", "vectors")
+    try:
+        got = catalog.QUERIES["vector_classification"](spark, sf_dir).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(r["n"] for r in got) == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("vectors")) < 25
